@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 def known(x: Column) -> Column:
     """NULL for NaN and +/-infinity."""
     d = x.cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))), d)
+    # NaN orders above infinity, so one comparison rules out both
+    return F.when(F.abs(d) < F.lit(float("inf")), d)
 
 
 def clamp(x: Column, lo: float = 0.0, hi: float = 100.0) -> Column:
@@ -60,7 +61,7 @@ def scale(x: Column, lo: float, hi: float) -> Column:
 def log_scale(x: Column, full: float) -> Column:
     """log1p saturation to 100 at ``full``."""
     d = F.greatest(x.cast("double"), F.lit(0.0))
-    return F.when(x.isNotNull(), clamp(F.log1p(d) / F.log1p(F.lit(float(full))) * 100.0))
+    return F.when(x.isNotNull(), F.least(F.lit(100.0), F.log1p(d) / F.log1p(F.lit(float(full))) * 100.0))
 
 
 def nonzero(x: Column) -> Column:
@@ -92,9 +93,32 @@ def joined(arr: Column, sep: str = ",") -> Column:
 
 
 def lookup(key: Column, table: dict, default: object = None) -> Column:
-    """Small fixed map as a chained WHEN (folds into codegen)."""
-    out = pick(*[(key == F.lit(k), v) for k, v in table.items()])
-    return out if default is None else out.otherwise(F.lit(default))
+    """Small fixed map; the literal map folds, and the key appears only once."""
+    out = F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    return out if default is None else F.coalesce(out, F.lit(default))
+
+
+def fenced(df, names: list[str]):
+    """Keep computed columns from being inlined into later filters and projects.
+
+    Catalyst substitutes a column's expression into every filter above it, which
+    re-runs regexes and multiplies nested score formulas.  Passing the computed
+    columns through a one-row inline() makes them plain attributes from here on.
+    Source columns stay outside, so filters on them still reach the scan."""
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*[F.col(c) for c in names]))))
+
+
+def stages(df, *steps: dict[str, Column]):
+    """Add columns step by step; every step computes its values exactly once."""
+    for step in steps:
+        df = fenced(df.withColumns(step), list(step))
+    return df
+
+
+def opt(df, name: str, kind: str = "double") -> Column:
+    """The column if the table has it, else a typed NULL (a missing signal)."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
 def n(cond: Column) -> Column:

@@ -52,13 +52,21 @@ def provider(name: Column) -> Column:
     )
 
 
-def course_type(class_name: Column) -> Column:
-    """Messy class title -> one of the catalogue keys (first rule wins)."""
+def title_signals(class_name: Column) -> dict[str, Column]:
+    """What a class title mentions; named columns, so each regex runs once."""
     name = low(class_name)
-    brand = provider(name)
-    aid = name.rlike(r"first\s*aid")
-    cpr = name.rlike(r"\bcpr\b|heartsaver")
-    bls = name.rlike(r"\bbls\b|basic life support")
+    return {
+        "t_name": name,
+        "t_brand": provider(name),
+        "t_aid": name.rlike(r"first\s*aid"),
+        "t_cpr": name.rlike(r"\bcpr\b|heartsaver"),
+        "t_bls": name.rlike(r"\bbls\b|basic life support"),
+    }
+
+
+def course_type(t: dict[str, Column]) -> Column:
+    """Title signals -> one of the catalogue keys (first rule wins)."""
+    name, brand, aid, cpr, bls = t["t_name"], t["t_brand"], t["t_aid"], t["t_cpr"], t["t_bls"]
     return pick(
         (name == "", "unknown_course_type"),
         (name.rlike("skills|skill session|rqi"), "skills_session"),
@@ -75,27 +83,24 @@ def course_type(class_name: Column) -> Column:
     )
 
 
-def demand_bucket(ctype: Column, class_name: Column) -> Column:
+def demand_bucket(ctype: Column, t: dict[str, Column]) -> Column:
     """Charted demand channel; a branded BLS skills session is BLS demand."""
-    name = low(class_name)
-    skills_bls = (ctype == "skills_session") & name.rlike(r"\bbls\b|basic life support")
+    skills_bls = (ctype == "skills_session") & t["t_bls"]
     return pick(
-        (skills_bls & (provider(name) == "arc"), "ARC_BLS"),
-        (skills_bls & (provider(name) == "aha"), "AHA_BLS"),
+        (skills_bls & (t["t_brand"] == "arc"), "ARC_BLS"),
+        (skills_bls & (t["t_brand"] == "aha"), "AHA_BLS"),
         default=F.coalesce(lookup(ctype, COURSE_BUCKET), F.lit("OTHER")),
     )
 
 
-def decision_course(ctype: Column, class_name: Column) -> Column:
+def decision_course(ctype: Column, t: dict[str, Column]) -> Column:
     """Roll up to the three decision courses, NULL when the title proves none."""
-    name = low(class_name)
-    brand = provider(name)
-    bls = name.rlike(r"\bbls\b|basic life support")
+    brand, bls = t["t_brand"], t["t_bls"]
     return pick(
         (ctype.isin(DECISION_COURSES), ctype),
         ((brand == "aha") & bls, "aha_bls"),
         ((brand == "arc") & bls, "arc_bls"),
-        ((brand == "arc") & name.rlike(r"\bcpr\b|first\s*aid|\baed\b"), "arc_cpr"),
+        ((brand == "arc") & t["t_name"].rlike(r"\bcpr\b|first\s*aid|\baed\b"), "arc_cpr"),
     )
 
 

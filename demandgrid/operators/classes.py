@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from demandgrid.functions.exprs import blank_to_null, clamp, joined, lookup, n, pick, ratio, renorm, rnd
+from demandgrid.functions.exprs import blank_to_null, clamp, joined, lookup, n, pick, ratio, renorm, rnd, stages
 from demandgrid.functions.text import (
-    cancelled, course_label, course_type, decision_course, demand_bucket, is_blank, location_key,
+    cancelled, course_label, course_type, decision_course, demand_bucket, is_blank, title_signals, location_key,
     address_parts, location_name, low, parse_date, parse_int, parse_price, squeeze,
 )
 
@@ -27,15 +27,17 @@ def iso(c: Column) -> Column:
 def typed_classes(df: DataFrame) -> DataFrame:
     """Course type, demand bucket, decision course, month, day part, cancelled flag."""
     d = C("class_date")
-    return df.withColumns({
-        "course_type": course_type(C("class_name")),
+    signals = title_signals(C("class_name"))
+    t = {k: C(k) for k in signals}
+    base = df.withColumns({
         "month": F.date_format(d, "yyyy-MM"),
         "day_part": F.when(F.weekday(d) >= 5, "weekend").when(d.isNotNull(), "weekday"),
         "cancelled": cancelled(C("status")),
-    }).withColumns({
-        "bucket": demand_bucket(C("course_type"), C("class_name")),
-        "decision": decision_course(C("course_type"), C("class_name")),
     })
+    return stages(base, signals, {"course_type": course_type(t)}).withColumns({
+        "bucket": demand_bucket(C("course_type"), t),
+        "decision": decision_course(C("course_type"), t),
+    }).drop(*signals)
 
 
 # --- ingest of a messy export --------------------------------------------------

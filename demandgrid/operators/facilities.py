@@ -53,7 +53,10 @@ def providers_per_zip(df: DataFrame, zip_: Column, taxonomy: Column, entity: Col
 
 # fixed values: words in institution names
 NURSING_WORDS = ["nursing", "nurse"]
-HEALTH_WORDS = ["health", "medical", "nursing", "allied"]
+HEALTH_WORDS = [
+    "nursing", "nurse", "health", "medical", "dental", "pharmacy", "therapy", "paramedic", "emt", "allied health",
+    "respiratory", "radiolog", "surgical tech",
+]
 
 
 def institutions_per_zip(df: DataFrame, nursing: list[str] = NURSING_WORDS, health: list[str] = HEALTH_WORDS) -> DataFrame:
@@ -66,7 +69,7 @@ def institutions_per_zip(df: DataFrame, nursing: list[str] = NURSING_WORDS, heal
 
 
 # fixed values: map tags per kind
-CHILDCARE_TAGS = ["childcare", "kindergarten", "preschool"]
+CHILDCARE_TAGS = ["childcare", "kindergarten"]
 SCHOOL_TAGS = ["school", "college", "university"]
 COMMUNITY_TAGS = ["library", "community_centre", "community_center", "place_of_worship", "social_facility", "townhall"]
 

@@ -141,7 +141,7 @@ def polygon_contains(lat: Column, lng: Column, polygon: Column) -> Column:
     pairs = F.arrays_zip(polygon.alias("a"), F.concat(F.slice(polygon, -1, 1), F.slice(polygon, F.lit(1), F.greatest(size - 1, F.lit(1)))).alias("b"))
 
     def crosses(e: Column) -> Column:
-        a, b = e.getField("0"), e.getField("1")
+        a, b = e.getField("a"), e.getField("b")
         run = b["lng"] - a["lng"]
         run = F.when(run == 0, F.lit(1e-12)).otherwise(run)
         straddles = (a["lng"] > lng) != (b["lng"] > lng)

@@ -134,4 +134,4 @@ def LOG_SCALE(x: str, full: float) -> str:
 def HAV(a: str, b: str, c: str, d: str, radius: float = 3958.8) -> str:
     h = (f"pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * "
          f"pow(sin(radians({d} - {b}) / 2), 2)")
-    return f"(2.0 * {radius} * asin(sqrt(least(1.0, {h}))))"
+    return f"(2.0 * {radius} * asin(sqrt(CASE WHEN {h} > 1 THEN 1.0 ELSE {h} END)))"

@@ -46,6 +46,11 @@ def compare(columns_a, rows_a, columns_b, rows_b) -> str | None:
         return sorted(([norm(r[i]) for i in order] for r in rows), key=lambda r: [(x is None, str(type(x).__name__), str(x)) for x in r])
 
     a, b = table(columns_a, rows_a), table(columns_b, rows_b)
+    left = {tuple(map(str, r)) for r in a} - {tuple(map(str, r)) for r in b}
+    right = {tuple(map(str, r)) for r in b} - {tuple(map(str, r)) for r in a}
+    if left or right:
+        pick = lambda rows: sorted(rows, key=lambda r: r[::-1])[:3]
+        return f"{len(left)} differ {sorted(columns_a)}\n   spark {pick(left)}\n   sql   {pick(right)}"
     for x, y in zip(a, b):
         if x != y or [type(i) for i in x] != [type(i) for i in y]:
             return f"{sorted(columns_a)}\n   spark {x}\n   sql   {y}"
