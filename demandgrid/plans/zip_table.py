@@ -6,7 +6,7 @@ key; the same rule is rendered as DataFrame columns and as SQL text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandgrid.plans.sql import VIEWS, extend
@@ -73,31 +73,34 @@ def _sql_value(v) -> str:
     return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'"
 
 
-def _sql() -> str:
+def derived_sql(numbers: dict, labels: dict, bools: dict) -> str:
+    """SQL select items of the rules, over a key column k."""
     out = []
-    for name, (base, step, cycle, per, gap) in NUMBERS.items():
+    for name, (base, step, cycle, per, gap) in numbers.items():
         out.append(f"CASE WHEN k % {gap} = 0 THEN NULL ELSE CAST({base} + k * {step} % {cycle} AS DOUBLE) / {float(per)} END AS {name}")
-    for name, values in {**LABELS, **BOOLS}.items():
-        kind = "BOOLEAN" if name in BOOLS else "VARCHAR"
+    for name, values in {**labels, **bools}.items():
+        kind = "BOOLEAN" if name in bools else "VARCHAR"
         whens = " ".join(f"WHEN {i} THEN {_sql_value(v)}" for i, v in enumerate(values))
         out.append(f"CAST(CASE k % {len(values)} {whens} END AS {kind}) AS {name}")
     return ",\n ".join(out)
 
 
+def derived_columns(k: Column, numbers: dict, labels: dict, bools: dict) -> dict[str, Column]:
+    """DataFrame columns of the same rules."""
+    cols = {name: F.when(k % gap != 0, (base + k * step % cycle).cast("double") / float(per)) for name, (base, step, cycle, per, gap) in numbers.items()}
+    for name, values in {**labels, **bools}.items():
+        picked = F.array(*[F.lit(v).cast("boolean" if name in bools else "string") for v in values])
+        cols[name] = F.element_at(picked, (k % len(values) + 1).cast("int"))
+    return cols
+
+
 extend("v_zip", f"""SELECT z.*, c.lat, c.lng, CASE WHEN z.land_sqmi > 0 THEN z.population / z.land_sqmi END AS population_density,
- {_sql()}
+ {derived_sql(NUMBERS, LABELS, BOOLS)}
  FROM (SELECT *, CAST(zip AS INT) AS k FROM v_zip_signal) z JOIN v_centroid c ON z.zip = c.zip""", ["v_zip_signal", "v_centroid"])
 
 
 def zips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = C("zip").cast("long")
-    cols = {n_: F.when(k % gap != 0, (base + k * step % cycle).cast("double") / float(per)) for n_, (base, step, cycle, per, gap) in NUMBERS.items()}
-    for name, values in {**LABELS, **BOOLS}.items():
-        col = F.when(F.lit(False), F.lit(values[1]))
-        for i, v in enumerate(values):
-            if v is not None:
-                col = col.when(k % len(values) == i, F.lit(v))
-        cols[name] = col
+    cols = derived_columns(C("zip").cast("long"), NUMBERS, LABELS, BOOLS)
     base = zip_signals(spark, sf_dir).join(centroids(spark, sf_dir), "zip")
     cols["population_density"] = F.when(C("land_sqmi") > 0, C("population") / C("land_sqmi"))
     return base.withColumns(cols)
