@@ -196,7 +196,7 @@ def sortable_date(c: Column) -> Column:
     return F.coalesce(
         F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"),
         F.try_to_timestamp(day, F.lit("M/d/yyyy")).cast("date"),
-        _pivot(F.try_to_timestamp(short, F.lit("M/d/yy")), "M/d/yy"),
+        F.try_to_timestamp(short, F.lit("M/d/yy")).cast("date"),
     )
 
 

@@ -377,12 +377,12 @@ def benchmarks(df: DataFrame, courses: list[str]) -> DataFrame:
 HALF_LIFE_MONTHS = 6.0
 
 
-def forecast(df: DataFrame, modeled_price: float | None = None, by_course: bool = True) -> DataFrame:
+def forecast(df: DataFrame, modeled_price: float | None = None, keys: list[str] | None = None) -> DataFrame:
     """Recency-weighted expectation per course: a class six months older counts half.
 
     Rows collapse to (course, month) sums first; the newest month then comes
     from a window over those few rows."""
-    keys = ["course_type"] if by_course else []
+    keys = ["course_type"] if keys is None else keys
     base = df.withColumn("idx", F.year("class_date") * 12 + F.month("class_date"))
     fill_ok = C("enrolled").isNotNull() & (C("capacity") > 0)
     m = base.groupBy(*keys, "idx").agg(

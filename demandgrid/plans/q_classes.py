@@ -283,7 +283,7 @@ def _(spark, sf):
 
 @query("a17_forecast_overall", with_views("area", FORECAST.format(k="", p="", t="area", g="", **_FC)))
 def _(spark, sf):
-    return K.forecast(area(spark, sf), 69.0, by_course=False)
+    return K.forecast(area(spark, sf), 69.0, keys=[])
 
 
 SCORE_SQL = with_views("held", raw=GROWTH.format(k="zip", t="held") + f""",
