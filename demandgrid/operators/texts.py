@@ -78,7 +78,7 @@ def page_signals(pages: DataFrame, as_of_year: int) -> DataFrame:
     newest = F.array_max(years)
     outdated = F.when(found(t, OUTDATED), True).when(newest.isNotNull(), newest <= as_of_year - 4)
     return pages.select("page_id", *[F.coalesce(found(t, p), F.lit(False)).alias(k) for k, p in PAGE_SIGNALS.items()],
-                        ~F.coalesce(found(t, CONTACT), F.lit(False)).alias("contact_friction"), outdated.alias("outdated_website"))
+                        (~F.coalesce(found(t, CONTACT), F.lit(False))).alias("contact_friction"), outdated.alias("outdated_website"))
 
 
 def signal_sets(flags: DataFrame) -> DataFrame:
