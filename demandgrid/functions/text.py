@@ -289,3 +289,36 @@ def token_jaccard(a: Column, b: Column) -> Column:
     """Shared share of two token arrays, 0 when either is empty."""
     shared = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / (F.size(a) + F.size(b) - shared)).otherwise(F.lit(0.0))
+
+
+def target_line(c: Column, default_state: str) -> Column:
+    """struct(place, state): a trailing two-letter part is the state."""
+    parts = F.transform(F.split(F.trim(c), ","), lambda x: F.trim(x))
+    last = F.element_at(parts, -1)
+    has = (F.size(parts) > 1) & last.rlike("^[A-Za-z]{2}$")
+    place = F.when(has, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), ", ")).otherwise(F.array_join(parts, ", "))
+    return F.struct(place.alias("place"), F.when(has, F.upper(last)).otherwise(F.lit(default_state)).alias("state"))
+
+
+def has_id(c: Column) -> Column:
+    t = F.trim(F.coalesce(c, F.lit("")))
+    return (t != "") & ~F.lower(t).isin("nan", "nat", "none", "0", "0.0")
+
+
+def teachable_courses(aha_id: Column, hsi_id: Column, certificates: Column) -> Column:
+    """Courses somebody may be offered for, from ids and certificate wording."""
+    t = F.lower(F.coalesce(certificates, F.lit("")))
+    arc = t.contains("arc") | t.contains("red cross") | has_id(hsi_id)
+    return F.array_compact(F.array(F.when(has_id(aha_id) | t.contains("aha") | t.contains("american heart"), "AHA_BLS"), F.when(arc, "ARC_BLS"), F.when(arc, "ARC_CPR_FA_AED")))
+
+
+def certification_signals(aha_id: Column, hsi_id: Column, certificates: Column) -> Column:
+    ids = F.array_compact(F.array(F.when(has_id(aha_id), "AHA instructor ID on file"), F.when(has_id(hsi_id), "HSI/ASHI instructor ID on file")))
+    return F.array_distinct(F.concat(lines(certificates), ids))
+
+
+def salary(notes: Column) -> Column:
+    """'$45' out of '#Salary: $45.' in free notes, else blank."""
+    raw = F.regexp_extract(F.coalesce(notes, F.lit("")), r"(?i)#?\s*Salary\s*[:=]\s*\$?\s*([\d,.]+)", 1)
+    amount = F.regexp_replace(F.regexp_replace(raw, ",", ""), r"\.+$", "")
+    return F.when(amount != "", F.concat(F.lit("$"), amount)).otherwise("")

@@ -88,3 +88,22 @@ def map_elements_per_zip(counted: DataFrame) -> DataFrame:
         k("childcare").alias("childcare_count"), k("school").alias("school_count"),
         k("childcare", "school", "community").alias("community_facility_count"),
         capped(k("parking"), 10).alias("parking_proxy_score"), capped(k("commercial"), 30).alias("commercial_access_proxy_score"))
+
+
+def merge_sources(sources: dict[str, DataFrame]) -> DataFrame:
+    """Datasets keyed by ZIP as one: all ZIPs, later sources overwrite the same
+    field, and each row names the sources it came from."""
+    out = None
+    for name, df in sources.items():
+        mine = df.select("zip", F.lit(name).alias("_s"), *[C(c).alias(f"_n_{c}") for c in df.columns if c != "zip"])
+        if out is None:
+            out = df.select("zip", F.array(F.lit(name)).alias("sources"), *[c for c in df.columns if c != "zip"])
+            continue
+        j = out.join(mine, "zip", "full_outer")
+        none = F.array().cast("array<string>")
+        cols = {"sources": F.concat(F.coalesce("sources", none), F.when(C("_s").isNotNull(), F.array("_s")).otherwise(none))}
+        for c in df.columns:
+            if c != "zip":
+                cols[c] = F.coalesce(C(f"_n_{c}"), C(c)) if c in out.columns else C(f"_n_{c}")
+        out = j.withColumns(cols).drop("_s", *[c for c in j.columns if c.startswith("_n_")])
+    return out
