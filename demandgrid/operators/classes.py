@@ -352,15 +352,14 @@ def best_slots(df: DataFrame) -> DataFrame:
 
 def benchmarks(df: DataFrame, courses: list[str]) -> DataFrame:
     """Course benchmarks against the overall mean of all usable classes."""
-    overall = df.agg(mean_students().alias("a"))
-    overall_fill = df.agg(mean_fill_pct().alias("f"))
+    overall = df.agg(F.struct(mean_students().alias("a"), mean_fill_pct().alias("f")).alias("s")).scalar()
     ok = C("enrolled").isNotNull() & (C("capacity") > 0)
     rows = df.where(C("course_type").isin(courses)).groupBy("course_type").agg(
         mean_students().alias("average_students"), mean_fill_pct().alias("average_fill_pct"),
         n(ok).alias("fill_rate_class_count"), F.sum("enrolled").alias("total_students"),
         F.count("enrolled").alias("class_count"), rnd(F.median("enrolled"), 2).alias("median_students"),
         F.min("enrolled").alias("min_students"), F.max("enrolled").alias("max_students"))
-    rows = rows.withColumns({"overall_average": overall.scalar(), "overall_fill_pct": overall_fill.scalar()})
+    rows = rows.withColumns({"overall_average": overall.getField("a"), "overall_fill_pct": overall.getField("f")})
     diff = rnd(C("average_students") - C("overall_average"), 2)
     rows = rows.withColumn("difference", diff)
     rows = rows.withColumn("percent_vs_average", rnd(ratio(C("difference") * 100.0, F.nullif(C("overall_average"), F.lit(0.0))), 1))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demandgrid.functions.exprs import haversine, haversine_meters, joined, rnd
+from demandgrid.functions.exprs import haversine, haversine_meters, joined, ratio, rnd
 from demandgrid.operators import geo as G
 from demandgrid.operators import ranks as RK
 from demandgrid.operators import zip_demand as Z
-from demandgrid.operators.classes import reference_avg
+from demandgrid.operators.classes import is_held
 from demandgrid.plans import views as V
-from demandgrid.plans.q_classes import AVG2, FILL, held
+from demandgrid.plans.q_classes import AVG2, CUTOFF, FILL, held
 from demandgrid.plans.registry import query
 from demandgrid.plans.sql import CLAMP, HAV, R, extend, with_views
 
@@ -22,9 +22,11 @@ def profiles(spark, sf):
 
 
 def anchors(spark, sf):
-    ref = reference_avg(held(spark, sf))
-    newest = V.classes(spark, sf).agg(F.date_format(F.max("class_date"), "yyyy-MM-dd").alias("d"))
-    return ref.select("reference_avg").scalar(), newest.scalar()
+    """Reference average and newest date as fields of one scalar subquery."""
+    rows = V.classes(spark, sf)
+    e = F.when(is_held(CUTOFF) & (C("enrolled") > 0), C("enrolled"))
+    one = rows.agg(F.struct(rnd(ratio(F.sum(e), F.count(e)), 2).alias("ref"), F.date_format(F.max("class_date"), "yyyy-MM-dd").alias("latest")).alias("s")).scalar()
+    return one.getField("ref"), one.getField("latest")
 
 
 def scored(spark, sf):

@@ -17,6 +17,8 @@ def local_session(cores: str = "8", partitions: str = "8") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        # call-site capture per column operation only helps error messages
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.ui.retainedExecutions", "5")
         .getOrCreate()
     )
