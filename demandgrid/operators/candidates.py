@@ -447,7 +447,7 @@ def catchment_overlap(nearest5: DataFrame, cands: DataFrame) -> DataFrame:
     competitor meet; sets without anything in common count as zero in the mean.
     ``nearest5``: candidate_id, place_id (at most five rows a candidate)."""
     sets = nearest5.groupBy("candidate_id").agg(F.array_sort(F.collect_set("place_id")).alias("ids"))
-    kinds = sets.groupBy("ids").agg(F.count("*").alias("w")).withColumn("sid", F.xxhash64("ids"))
+    kinds = sets.groupBy("ids").agg(F.count("*").alias("w")).withColumn("sid", F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")))
     m = sets.agg(F.count("*").alias("m")).scalar()
     one = kinds.select("sid", F.size("ids").alias("n"), "w", F.explode("ids").alias("pid"))
     other = one.select(C("sid").alias("sid2"), C("n").alias("n2"), C("w").alias("w2"), "pid")
@@ -455,7 +455,7 @@ def catchment_overlap(nearest5: DataFrame, cands: DataFrame) -> DataFrame:
     jac = C("k") / (C("n") + C("n2") - C("k"))
     weight = C("w2") - F.when(C("sid") == C("sid2"), 1).otherwise(0)
     sums = shared.groupBy("sid").agg(F.sum(jac * weight).alias("s"))
-    per = sets.withColumn("sid", F.xxhash64("ids")).join(sums, "sid").select("candidate_id", "s").withColumn("_m", m)
+    per = sets.withColumn("sid", F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))).join(sums, "sid").select("candidate_id", "s").withColumn("_m", m)
     mean = F.try_divide(C("s"), C("_m") - 1)
     out = cands.select("candidate_id").join(per, "candidate_id", "left")
     return out.select("candidate_id", rnd(F.coalesce(clamp(1.0 - mean / 0.6, 0, 1), F.lit(1.0)) * 100.0, 2).alias("catchment_overlap"))

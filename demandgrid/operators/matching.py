@@ -40,7 +40,8 @@ def first_match(left: DataFrame, right: DataFrame, miles: float = 0.05, share: f
     def groups(df: DataFrame, p: str) -> DataFrame:
         placed = df.where(C(f"{p}_lat").isNotNull() & C(f"{p}_lng").isNotNull()).withColumn(f"{p}_w", word_set(C(f"{p}_name")))
         placed = placed.where(F.size(f"{p}_w") > 0)
-        return placed.withColumn(f"{p}_g", F.xxhash64(f"{p}_w", f"{p}_lat", f"{p}_lng"))
+        named = F.struct(C(f"{p}_w").alias("w"), C(f"{p}_lat").alias("lat"), C(f"{p}_lng").alias("lng"))
+        return placed.withColumn(f"{p}_g", F.md5(F.to_json(named)))
 
     lrows, rrows = groups(left, "l"), groups(right, "r")
     lg = lrows.select("l_g", "l_w", "l_lat", "l_lng").dropDuplicates(["l_g"])
@@ -82,7 +83,7 @@ def near_duplicates(df: DataFrame, key: str, name: str, share: float = 0.6) -> D
     ensure_checkpoint_dir(df.sparkSession)
     rows = df.select(C(key).alias("k"), word_set(C(name)).alias("w"))
     sets = rows.where(F.size("w") > 0).groupBy("w").agg(F.min("k").alias("pos"))
-    sets = sets.withColumn("sid", F.xxhash64("w"))
+    sets = sets.withColumn("sid", F.md5(F.array_join("w", " ")))
     words = sets.select("sid", F.size("w").alias("n"), F.explode("w").alias("t"))
     rarity = words.groupBy("t").agg(F.count("*").alias("df"))
     ordered = words.join(rarity, "t").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))

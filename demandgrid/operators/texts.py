@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.functions.exprs import n, pick, stages
+from demandgrid.functions.exprs import EARTH_MILES_GRID, n, pick, stages
+from demandgrid.operators.classes import top_per
+from demandgrid.operators.geo import within
 
 C = F.col
 
@@ -100,10 +102,44 @@ def posting_flags(df: DataFrame, text: Column) -> DataFrame:
     return out.withColumn("certification", any_cert)
 
 
-def posting_demand(matched: DataFrame, key: str) -> DataFrame:
-    """Counts per candidate over the postings that matched it."""
+def posting_spots(flags: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Postings of one place, radius and state as one row of counts.
+
+    Copies and bulk postings at one address then meet candidates once."""
+    keys = ["jlat", "jlng", "radius", "state", *(extra or [])]
+    return flags.groupBy(*keys).agg(F.count("*").alias("postings"), n(C("certification")).alias("certified"), *[n(C(k)).alias(k) for k in [*CERTIFICATIONS, *ROLES]])
+
+
+def near_spots(cands: DataFrame, spots: DataFrame, max_radius: float) -> DataFrame:
+    """Distinct candidate places x posting spots that cover them (own radius,
+    state equal when the posting names one).  ``cands``: lat, lng, state."""
+    at = cands.where(C("lat").isNotNull()).select("lat", "lng", C("state").alias("c_state")).distinct()
+    near = within(at, spots, ("lat", "lng"), ("jlat", "jlng"), C("radius"), max_radius, EARTH_MILES_GRID)
+    return near.where((F.coalesce(C("state"), F.lit("")) == "") | (C("state") == F.upper("c_state")))
+
+
+def _per_candidate(cands: DataFrame, per: DataFrame) -> DataFrame:
+    c = cands.where(C("lat").isNotNull()).select("candidate_id", "lat", "lng", "state").alias("c")
+    p = per.alias("p")
+    same = (C("c.lat") == C("p.lat")) & (C("c.lng") == C("p.lng")) & C("c.state").eqNullSafe(C("p.c_state"))
+    return c.join(p, same).select("c.candidate_id", *[f"p.{x}" for x in per.columns if x not in ("lat", "lng", "c_state")])
+
+
+def posting_demand(cands: DataFrame, flags: DataFrame, max_radius: float) -> DataFrame:
+    """Counts per candidate over the postings whose radius covers it."""
+    here = ["lat", "lng", "c_state"]
+    counts = near_spots(cands, posting_spots(flags), max_radius).groupBy(*here).agg(
+        F.sum("postings").alias("active_postings_count"), F.sum("certified").alias("certification_postings_count"), *[F.sum(k).alias(f"{k}_count") for k in [*CERTIFICATIONS, *ROLES]])
     name = F.lower(F.trim("employer"))
-    return matched.groupBy(key).agg(
-        F.count("*").alias("active_postings_count"), n(C("certification")).alias("certification_postings_count"),
-        F.countDistinct(F.when(name != "", name)).alias("unique_employers_count"),
-        *[n(C(k)).alias(f"{k}_count") for k in [*CERTIFICATIONS, *ROLES]])
+    who = flags.where(name != "").select("jlat", "jlng", "radius", "state", name.alias("who")).distinct()
+    employers = near_spots(cands, who, max_radius).groupBy(*here).agg(F.countDistinct("who").alias("unique_employers_count"))
+    j = counts.alias("a").join(employers.alias("b"), (C("a.lat") == C("b.lat")) & (C("a.lng") == C("b.lng")) & C("a.c_state").eqNullSafe(C("b.c_state")), "left")
+    both = j.select("a.*", F.coalesce("b.unique_employers_count", F.lit(0)).alias("unique_employers_count"))
+    return _per_candidate(cands, both)
+
+
+def top_employers(cands: DataFrame, flags: DataFrame, max_radius: float, limit: int = 10) -> DataFrame:
+    who = F.when(F.trim("employer") == "", "unknown").otherwise(F.trim("employer"))
+    per = flags.withColumn("who", who).groupBy("jlat", "jlng", "radius", "state", "who").agg(F.count("*").alias("postings"))
+    sums = near_spots(cands, per, max_radius).groupBy("lat", "lng", "c_state", C("who").alias("employer")).agg(F.sum("postings").alias("postings"))
+    return _per_candidate(cands, top_per(sums, ["lat", "lng", "c_state"], [C("postings").desc(), C("employer")], limit, "position"))

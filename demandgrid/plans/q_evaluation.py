@@ -439,12 +439,12 @@ def _(spark, sf):
 @query("a29_posting_demand", with_views("v_candw v_job", f"""SELECT candidate_id, count(*) AS active_postings_count, count(CASE WHEN {_anyc} THEN 1 END) AS certification_postings_count,
  count(DISTINCT nullif(lower(trim(employer)), '')) AS unique_employers_count, {", ".join(f"count(CASE WHEN {k} THEN 1 END) AS {k}_count" for k in _jf)} FROM ({JM}) WHERE d <= radius GROUP BY 1""", jf=JOBF))
 def _(spark, sf):
-    return X.posting_demand(posting_matches(spark, sf), "candidate_id")
+    from demandgrid.plans.q_candidates import cands
+    return X.posting_demand(cands(spark, sf), posting_flags(spark, sf), 6.0)
 
 
 @query("a29_top_employers", with_views("v_candw v_job", f"""SELECT candidate_id, employer, postings, CAST(rn AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY postings DESC, employer) AS rn FROM (
  SELECT candidate_id, CASE WHEN trim(employer) = '' THEN 'unknown' ELSE trim(employer) END AS employer, count(*) AS postings FROM ({JM}) WHERE d <= radius GROUP BY 1, 2)) WHERE rn <= 10""", jf=JOBF))
 def _(spark, sf):
-    who = F.when(F.trim("employer") == "", "unknown").otherwise(F.trim("employer"))
-    counts = posting_matches(spark, sf).groupBy("candidate_id", who.alias("employer")).agg(F.count("*").alias("postings"))
-    return K.top_per(counts, ["candidate_id"], [C("postings").desc(), C("employer")], 10, "position")
+    from demandgrid.plans.q_candidates import cands
+    return X.top_employers(cands(spark, sf), posting_flags(spark, sf), 6.0)
