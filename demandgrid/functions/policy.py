@@ -68,7 +68,7 @@ SITE_WEIGHTS = {
     "demand_score": 0.23,
     "healthcare_training_ecosystem_score": 0.18,
     "competition_gap_score": 0.15,
-    "allcpr_opportunity_score": 0.13,
+    "opportunity_score": 0.13,
     "economy_score": 0.09,
     "accessibility_score": 0.10,
     "historical_performance_score": 0.08,
