@@ -26,11 +26,25 @@ def local_session(cores: str = "8", partitions: str = "8") -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only an unconfigured (local)
-    session gets a scratch folder of its own."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder driver and executors share: the one the cluster names.  Only a
+    local[*] session may fall back on a scratch folder of its own; elsewhere each
+    machine would write to its own disk, so the setting is required."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="demandgrid-ckpt-"))
+        return sc._jsc.sc().getCheckpointDir().get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="demandgrid-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Make checkpoint() usable, in the folder of shared_dir()."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        folder = shared_dir(spark)
+        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir(folder)
