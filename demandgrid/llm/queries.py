@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgrid.llm import exact_dedup, mixing, quality_rules
+from demandgrid.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules
 from demandgrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +69,13 @@ q AS (SELECT d.doc_id, d.size, t.*, sum(d.size) OVER (PARTITION BY src_no ORDER
 SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, floor(target) - (ends - size))) + greatest(0, least(size, floor(target) - source_size - (ends - size))) AS BIGINT) AS taken FROM q""")
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
