@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgrid.llm import exact_dedup, language_id, mixing, packing, pii, quality_classifier, quality_rules, simhash
+from demandgrid.llm import exact_dedup, language_id, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup
 from demandgrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_simhash")
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.strip_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
