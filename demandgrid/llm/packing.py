@@ -23,20 +23,22 @@ each; no rows give no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import WORDS, saved
+from demandgrid.llm.common import saved
 from demandgrid.operators.ranks import global_rank
 
 MAX_LEN = 2048
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -47,30 +49,72 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Texts of ASCII and Latin-1 letters: NFC leaves them alone and they lower-case one to one.
+PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+#: What the pre-tokenizer makes of such a text in lower case; the tokenizer treats each by itself.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
+RUN = re.compile(r"[a-zß-öø-ÿ]+")
+SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
+
+
 class WordIds:
-    """Ids of texts as little-endian unsigned 32-bit bytes, through a bounded word cache."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = _tokenizer(path), {}
+    The parts of a plain text are looked up in a bounded cache.  New runs of letters
+    are encoded together, a line of them at once, and told apart by the mark that ends
+    a word; other new parts and texts that are not plain are encoded by themselves."""
 
-    def __call__(self, text: str) -> bytes:
-        words = WORDS.findall(text)
-        new = list({w for w in words if w not in self.known})
+    def __init__(self, path: str) -> None:
+        self.tokenizer, self.parts = _tokenizer(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, strings: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _learn(self, new: set[str], line: int = 500) -> None:
+        runs = [p for p in new if RUN.fullmatch(p)]
+        rest = list(new.difference(runs))
+        for p, ids in zip(rest, self._encode(rest)):
+            self.parts[p] = ids.tobytes()
+        lines = [runs[k : k + line] for k in range(0, len(runs), line)]
+        for words, ids in zip(lines, self._encode([" ".join(x) for x in lines])):
+            ends, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+            if len(ends) != len(words):
+                raise ValueError("the vocabulary does not mark word ends")
+            start = 0
+            for w, end in zip(words, ends):
+                self.parts[w] = raw[start:end]
+                start = end
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        split = [PARTS.findall(t.lower()) if PLAIN.fullmatch(t) and not SPECIAL.search(t) else None for t in texts]
+        if len(self.parts) > CACHED_WORDS:
+            self.parts = {}
+        known, new = self.parts, set()
+        for parts in split:
+            new.update(filterfalse(known.__contains__, parts or ()))
         if new:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known, new = {}, list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+            self._learn(new)
+        for text, parts in zip(texts, split):
+            yield self._encode([text])[0].tobytes() if parts is None else b"".join(map(known.__getitem__, parts))
+
+
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """One cache a worker process, kept from task to task."""
+    return WordIds(path)
 
 
 def _cut(path: str, max_len: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of, last = WordIds(path), np.array([end_id], dtype="<u4").tobytes()
+        ids_of, last = _word_ids(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = ids_of(text or "") + last
+            rows, texts = [], [t or "" for t in batch["text"]]
+            ids_of_all = (x for k in range(0, len(texts), 256) for x in ids_of(texts[k : k + 256]))
+            for doc_id, ids in zip(batch["doc_id"], ids_of_all):
+                ids += last
                 for k in range(0, len(ids), 4 * max_len):
                     piece = ids[k : k + 4 * max_len]
                     rows.append((doc_id, k // (4 * max_len), k // 4, len(piece) // 4, zlib.crc32(piece), *([piece] if with_ids else [])))
