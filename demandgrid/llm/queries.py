@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from demandgrid.llm import exact_dedup, language_id, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup
 from demandgrid.llm.common import table
@@ -99,3 +99,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.strip_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
