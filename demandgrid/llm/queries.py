@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from demandgrid.llm import exact_dedup, language_id, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup
+from demandgrid.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup
 from demandgrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op8_line_dedup", r"""
+WITH l AS (SELECT doc_id, i - 1 AS line, regexp_extract_all(x[i], '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+k AS (SELECT doc_id, line, list_sort(list_distinct(w)) AS s FROM l WHERE len(w) > 0),
+s AS (SELECT row_number() OVER (ORDER BY f) AS id, s, len(s) AS n, f FROM (SELECT s, min((doc_id, line)) AS f FROM k GROUP BY s)),
+t AS (SELECT id, n, unnest(s) AS w FROM s),
+p AS (SELECT b.id, a.n AS n1, b.n AS n2, count(*) AS c FROM t b JOIN t a ON a.w = b.w AND a.id < b.id AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n),
+g AS (SELECT DISTINCT id FROM p WHERE 10 * c >= 8 * (n1 + n2 - c)),
+r AS (SELECT k.doc_id, count(*) AS n, string_agg(CAST(k.line AS VARCHAR), ',' ORDER BY k.line) AS removed FROM k JOIN s USING (s) LEFT JOIN g USING (id) WHERE g.id IS NOT NULL OR (k.doc_id, k.line) <> s.f GROUP BY k.doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n_lines, 0) AS n_lines, coalesce(r.n, 0) AS n_removed, coalesce(r.removed, '') AS removed FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id)""")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
