@@ -150,6 +150,6 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, thres
 
 
 def accepted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents predicted good, with all their columns."""
+    """The documents predicted good, with all their columns; rows of one doc_id go together."""
     bad = saved(classify(docs, labels, fit_rows, threshold)).where("predicted = 0").select(C("doc_id").alias("_id")).distinct()
-    return docs.join(bad, C("doc_id").cast("bigint").eqNullSafe(C("_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_id"]), "left_anti")

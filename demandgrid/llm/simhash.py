@@ -358,4 +358,4 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHIN
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
     """The document with the smallest id of every component, with all its columns."""
     gone = saved(near_duplicates(docs, distance, width)).where(~C("doc_id").eqNullSafe(C("component_id"))).select(C("doc_id").alias("_id")).distinct()
-    return docs.join(gone, C("doc_id").cast("bigint").eqNullSafe(C("_id")), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone["_id"]), "left_anti")
