@@ -180,3 +180,13 @@ def centroid_merge(old: DataFrame, new: DataFrame) -> DataFrame:
     """Union by ZIP where the new coordinates win."""
     both = old.withColumn("_o", F.lit(1)).unionByName(new.withColumn("_o", F.lit(0)))
     return both.groupBy("zip").agg(F.min_by(F.struct("lat", "lng"), "_o").alias("r")).select("zip", "r.lat", "r.lng")
+
+
+def missing_inputs(areas: DataFrame, key: str, inputs: dict[str, DataFrame]) -> DataFrame:
+    """(area, input) for every manual input that has no row of that area: tasks to fill in."""
+    present = None
+    for name, df in inputs.items():
+        rows = df.select(C(key), F.lit(name).alias("input"))
+        present = rows if present is None else present.unionByName(rows)
+    wanted = areas.select(key).distinct().withColumn("input", F.explode(F.array(*[F.lit(n) for n in inputs])))
+    return wanted.join(present, [key, "input"], "left_anti")

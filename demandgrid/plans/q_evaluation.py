@@ -228,10 +228,10 @@ def _(spark, sf):
 
 _w = "pow(0.5, (max(idx) OVER (PARTITION BY zip, decision) - idx) / 6.0)"
 EV0 = f"""SELECT a.*, z.demand_score AS pub_demand, z.competition_gap_score AS gap_score, l.local_all, (SELECT {AVG2} FROM held) AS overall_avg, f.expected_students, f.forecast_confidence FROM (
- SELECT zip, decision AS course_type, count(*) AS total_classes, {AVG2} AS local_avg, {FILL} AS fill FROM held WHERE zip IS NOT NULL AND decision IS NOT NULL AND class_id % 7 <= CAST(zip AS INT) % 8 AND CAST(strftime(class_date, '%d') AS INT) <= CAST(zip AS INT) GROUP BY 1, 2) a
+ SELECT zip, decision AS course_type, count(*) AS total_classes, {AVG2} AS local_avg, {FILL} AS fill FROM held WHERE zip IS NOT NULL AND decision IS NOT NULL GROUP BY 1, 2) a
  JOIN v_zip z ON a.zip = z.zip JOIN (SELECT zip, {AVG2} AS local_all FROM held WHERE zip IS NOT NULL GROUP BY 1) l ON a.zip = l.zip
  LEFT JOIN (SELECT zip, decision AS course_type, {R(_ES, 2)} AS expected_students, CASE WHEN count(enrolled) >= 12 THEN 'high' WHEN count(enrolled) >= 5 THEN 'medium' ELSE 'low' END AS forecast_confidence FROM (
-   SELECT *, {_w} AS w FROM (SELECT *, year(class_date) * 12 + month(class_date) AS idx FROM held WHERE zip IS NOT NULL AND decision IS NOT NULL AND CAST(zip AS INT) % 4 > 0)) GROUP BY 1, 2) f ON a.zip = f.zip AND a.course_type = f.course_type"""
+   SELECT *, {_w} AS w FROM (SELECT *, year(class_date) * 12 + month(class_date) AS idx FROM held WHERE zip IS NOT NULL AND decision IS NOT NULL)) GROUP BY 1, 2) f ON a.zip = f.zip AND a.course_type = f.course_type AND CAST(a.zip AS INT) % 4 > 0"""
 _cw = "CASE {} WHEN 'high' THEN 0.9 WHEN 'medium' THEN 0.7 WHEN 'low' THEN 0.45 WHEN 'none' THEN 0.1 ELSE {} END"
 _nodes = ["historical_performance", "public_demand", "course_relative_performance", "competition_gap", "schedule_strength", "forecast_expected_students"]
 GRAPH = layer("ev0",
@@ -253,12 +253,11 @@ extend("graph", GRAPH, ["ev0"])
 def graph(spark, sf):
     h = held(spark, sf).where("zip IS NOT NULL")
     d = h.where("decision IS NOT NULL").withColumn("course_type", C("decision"))
-    zi = C("zip").cast("int")
-    # thinned by rules of the row itself so that small and large samples both occur
-    some = d.where((C("class_id") % 7 <= zi % 8) & (F.dayofmonth("class_date") <= zi))
-    a = some.groupBy("zip", "course_type").agg(F.count("*").alias("total_classes"), K.mean_students().alias("local_avg"), K.fill_pct().alias("fill"))
+    a = d.groupBy("zip", "course_type").agg(F.count("*").alias("total_classes"), K.mean_students().alias("local_avg"), K.fill_pct().alias("fill"))
     local = h.groupBy("zip").agg(K.mean_students().alias("local_all"))
-    fc = K.forecast(d.where(zi % 4 > 0), keys=["zip", "course_type"]).select("zip", "course_type", "expected_students", C("confidence").alias("forecast_confidence"))
+    # every class is forecast; every fourth ZIP is then without one, as NULLs
+    known = lambda c: F.when(C("zip").cast("int") % 4 > 0, C(c))
+    fc = K.forecast(d, keys=["zip", "course_type"]).select("zip", "course_type", known("expected_students").alias("expected_students"), known("confidence").alias("forecast_confidence"))
     z = zips(spark, sf).select("zip", "demand_score", C("competition_gap_score").alias("gap_score"))
     j = a.join(z, "zip").join(local, "zip").join(fc, ["zip", "course_type"], "left").withColumn("overall_avg", held(spark, sf).agg(K.mean_students().alias("a")).scalar())
     enrol = F.least(F.lit(100.0), 50.0 * C("local_avg") / C("local_all"))

@@ -174,10 +174,13 @@ def _(spark, sf):
     return a.unionByName(b).where(~C("n").contains("provider 7")).groupBy("source").agg(F.count("*").alias("leads"))
 
 
-@query("c48_missing_inputs", "SELECT (SELECT count(*) FROM supplier WHERE s_suppkey < 0) = 0 AS sites_missing, (SELECT count(*) FROM part) = 0 AS rooms_missing")
+@query("c48_missing_inputs", with_views("v_zip v_space", """SELECT z.zip, i.input, 'add_' || i.input || '_input' AS task FROM v_zip z CROSS JOIN (VALUES ('rooms'), ('hospitals'), ('transit')) i(input) WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.input = i.input AND h.zip = z.zip)""",
+       have="SELECT 'rooms' AS input, zip FROM v_space UNION ALL SELECT 'hospitals', zip FROM v_zip WHERE hospital_count > 0 UNION ALL SELECT 'transit', zip FROM v_zip WHERE hospital_count < 0"))
 def _(spark, sf):
-    s = V.table(spark, sf, "supplier").where("s_suppkey < 0").agg((F.count("*") == 0).alias("sites_missing"))
-    return s.withColumn("rooms_missing", V.table(spark, sf, "part").agg((F.count("*") == 0).alias("m")).scalar())
+    z = zips(spark, sf)
+    have = {"rooms": V.table(spark, sf, "part").select(F.lpad((C("p_partkey") % 700).cast("string"), 5, "0").alias("zip")),
+            "hospitals": z.where("hospital_count > 0").select("zip"), "transit": z.where("hospital_count < 0").select("zip")}
+    return MT.missing_inputs(z.select("zip"), "zip", have).withColumn("task", F.concat(F.lit("add_"), C("input"), F.lit("_input")))
 
 
 @query("j32_room_candidates", with_views("v_zip v_room v_space", """SELECT zip, source, count(*) AS rooms FROM (SELECT zip, 'location' AS source FROM v_room UNION ALL SELECT zip, 'commercial' FROM v_space UNION ALL SELECT zip, 'signal' FROM v_zip WHERE community_facility_count >= 1) WHERE zip IN (SELECT zip FROM v_zip) GROUP BY 1, 2"""))

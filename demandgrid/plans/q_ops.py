@@ -172,7 +172,7 @@ def _(spark, sf):
 
 @query("a39_health_summary", with_views("health", "SELECT s AS health_status, count(h.site_id) AS sites, count(CASE WHEN is_weak THEN 1 END) AS at_risk FROM (VALUES ('CRITICAL'),('WATCH'),('STABLE'),('STRONG'),('LEAKAGE')) v(s) LEFT JOIN health h ON h.health = s GROUP BY 1"))
 def _(spark, sf):
-    all_ = V.table(spark, sf, "region").limit(1).select(F.explode(F.array(*[F.lit(s) for s in O.STATUSES])).alias("health_status"))
+    all_ = V.table(spark, sf, "region").agg(F.count("*").alias("c")).select(F.explode(F.array(*[F.lit(s) for s in O.STATUSES])).alias("health_status"))  # one row, then the fixed list
     counts = health(spark, sf).groupBy("health_status").agg(F.count("*").alias("c"), F.count_if("is_weak").alias("w"))
     return all_.join(counts, "health_status", "left").select("health_status", F.coalesce("c", F.lit(0)).alias("sites"), F.coalesce("w", F.lit(0)).alias("at_risk"))
 
@@ -371,12 +371,13 @@ def _(spark, sf):
 _var = R("card + 27.0 + 0.03 * price", 2)
 UNIT = f"""SELECT *, {R('1070.0 / contribution', 1)} AS break_even_students, {R('100.0 * contribution / price', 1)} AS contribution_pct FROM (SELECT *, {R(f'price - {_var} - 45.0 / 7', 2)} AS contribution, {_var} AS variable_cost FROM (
  SELECT zip, course, coalesce(CASE WHEN course = 'ARC_CPR_FA_AED' THEN cpr ELSE bls END, dp)::DOUBLE AS price, card, CASE WHEN (CASE WHEN course = 'ARC_CPR_FA_AED' THEN cpr ELSE bls END) IS NOT NULL THEN 'competitor_median' ELSE 'default' END AS price_source
- FROM v_zip LEFT JOIN (SELECT zip, max(CASE WHEN course_type = 'BLS' THEN mp END) AS bls, max(CASE WHEN course_type = 'CPR' THEN mp END) AS cpr FROM (SELECT zip, course_type, median(price) AS mp FROM v_supply WHERE CAST(zip AS INT) % 4 > 0 GROUP BY 1, 2) GROUP BY 1) m USING (zip)
+ FROM v_zip LEFT JOIN (SELECT zip, max(CASE WHEN course_type = 'BLS' THEN mp END) AS bls, max(CASE WHEN course_type = 'CPR' THEN mp END) AS cpr FROM (SELECT zip, course_type, median(CASE WHEN CAST(zip AS INT) % 4 > 0 THEN price END) AS mp FROM v_supply GROUP BY 1, 2) GROUP BY 1) m USING (zip)
  CROSS JOIN (VALUES ('AHA_BLS', 95.0, 25.0), ('ARC_BLS', 85.0, 20.0), ('ARC_CPR_FA_AED', 75.0, 18.0)) c(course, dp, card)))"""
 
 
 def few_supply(spark, sf):
-    return O.competitor_supply(supply_rows(spark, sf).where(C("zip").cast("int") % 4 > 0))
+    """All supply; every fourth ZIP lists no prices, so the default price is used there."""
+    return O.competitor_supply(supply_rows(spark, sf).withColumn("price", F.when(C("zip").cast("int") % 4 > 0, C("price"))))
 
 
 @query("m51_unit_economics", """WITH p AS (SELECT DISTINCT CAST(40 + l_partkey % 90 AS DOUBLE) AS price FROM lineitem) SELECT price, variable_cost, contribution, CASE WHEN contribution > 0 THEN """ + R("1070.0 / contribution", 1) + """ END AS break_even_students, """ + R("100.0 * contribution / price", 1)
@@ -449,7 +450,7 @@ def people(spark, sf):
 
 
 _pm = HAV("z.lat", "z.lng", "c.lat", "c.lng")
-LEADX = "SELECT lead_id, CASE WHEN lead_id % 4 = 0 THEN 'INSTRUCTOR-' || CAST(lead_id % 300 AS VARCHAR) ELSE name END AS name, zip, source, trim(regexp_replace(lower(CASE WHEN lead_id % 4 = 0 THEN 'INSTRUCTOR-' || CAST(lead_id % 300 AS VARCHAR) ELSE name END), '[^a-z0-9]+', ' ', 'g')) AS nn, distance_miles FROM v_lead WHERE lead_id % 5 = 0 AND CAST(zip AS INT) < 60"
+LEADX = "SELECT lead_id, CASE WHEN lead_id % 4 = 0 THEN 'INSTRUCTOR-' || CAST(lead_id % 300 AS VARCHAR) ELSE name END AS name, zip, source, trim(regexp_replace(lower(CASE WHEN lead_id % 4 = 0 THEN 'INSTRUCTOR-' || CAST(lead_id % 300 AS VARCHAR) ELSE name END), '[^a-z0-9]+', ' ', 'g')) AS nn, distance_miles FROM v_lead"
 MATCHED = f"""
  ppl AS (SELECT p.instructor AS person, lower(p.instructor) AS nn, c.lat, c.lng FROM perf p JOIN v_centroid c ON p.home_zip = c.zip), lx AS ({LEADX}),
  dd AS (SELECT z.zip, c.person, c.nn, {_pm} AS d FROM v_centroid z CROSS JOIN ppl c), near AS (SELECT * FROM dd WHERE d <= 1.5),
@@ -463,7 +464,7 @@ MATCHED = f"""
 def _(spark, sf):
     k = C("lead_id")
     name = F.when(k % 4 == 0, F.concat(F.lit("INSTRUCTOR-"), (k % 300).cast("string"))).otherwise(C("name"))
-    lx = leads(spark, sf).where((k % 5 == 0) & (C("zip").cast("int") < 60)).withColumn("name", name)
+    lx = leads(spark, sf).withColumn("name", name)
     m = O.match_instructors(V.centroids(spark, sf), people(spark, sf), lx, 1.5)
     return m.select("zip", "name", "source", "distance_miles", "past_instructor")
 
@@ -480,11 +481,11 @@ def _(spark, sf):
 def listing_sides(spark, sf):
     p = V.pois(spark, sf)
     k = C("place_id")
-    left = p.where(k % 2 == 0).select(k.alias("l_id"), C("name").alias("l_name"), C("lat").alias("l_lat"), C("lng").alias("l_lng"))
-    # the second source repeats two of three spots, some with another wording
-    shifted = p.where((k % 2 == 0) & (k % 3 > 0)).select((k + 1000000).alias("r_id"), F.when(k % 5 == 0, F.concat(C("name"), F.lit(" inc"))).when(k % 7 == 0, "other words here").otherwise(C("name")).alias("r_name"),
-                                                         (C("lat") + 0.0002).alias("r_lat"), C("lng").alias("r_lng"))
-    copies = p.where((k % 2 == 0) & (k % 10 == 4)).select((k + 2000000).alias("r_id"), C("name").alias("r_name"), (C("lat") + 0.0002).alias("r_lat"), C("lng").alias("r_lng"))
+    left = p.select(k.alias("l_id"), C("name").alias("l_name"), C("lat").alias("l_lat"), C("lng").alias("l_lng"))
+    # the second source has no coordinates for every third place, and words some names otherwise
+    shifted = p.select((k + 1000000).alias("r_id"), F.when(k % 5 == 0, F.concat(C("name"), F.lit(" inc"))).when(k % 7 == 0, "other words here").otherwise(C("name")).alias("r_name"),
+                                                         F.when(k % 3 > 0, C("lat") + 0.0002).alias("r_lat"), C("lng").alias("r_lng"))
+    copies = p.where(k % 10 == 4).select((k + 2000000).alias("r_id"), C("name").alias("r_name"), (C("lat") + 0.0002).alias("r_lat"), C("lng").alias("r_lng"))
     return left, shifted.unionByName(copies)
 
 
