@@ -30,23 +30,48 @@ def offset_point(lat: Column, lng: Column, north: Column, east: Column) -> tuple
     return lat + north / MILES_PER_DEGREE, lng + east / (MILES_PER_DEGREE * F.cos(F.radians(lat)))
 
 
+def lng_cells(size: float) -> int:
+    """Cells round the globe: equal ones, at least ``size`` degrees wide, so that their
+    numbers close into a ring at +/-180 degrees."""
+    return max(1, int(360.0 // size))
+
+
+def lng_cell(lng: Column, size: float) -> Column:
+    n = lng_cells(size)
+    return F.least(F.floor(F.pmod(lng + 180.0, F.lit(360.0)) * (n / 360.0)), F.lit(n - 1).cast("bigint"))
+
+
+def lng_range(lo: Column, hi: Column, size: float) -> Column:
+    """Cells of the longitudes from lo to hi (lo <= hi, either may pass +/-180)."""
+    n = lng_cells(size)
+    ring = F.lit(n).cast("bigint")
+    at = lambda x: F.floor((x + 180.0) * (n / 360.0))
+    part = F.array_distinct(F.transform(F.sequence(at(lo), at(lo) + F.least(at(hi) - at(lo), ring)), lambda x: F.pmod(x, ring)))
+    return F.when(hi - lo >= 360.0, F.sequence(F.lit(0).cast("bigint"), ring - 1)).otherwise(part)
+
+
 def cell(lat: Column, lng: Column, size: float) -> tuple[Column, Column]:
-    return F.floor(lat / size), F.floor(lng / size)
+    return F.floor(lat / size), lng_cell(lng, size)
+
+
+def _lng_reach(far_lat: Column, miles: Column) -> Column:
+    """Longitude half-width of a box whose edge nearest a pole is at ``far_lat``: all
+    longitudes when the box holds the pole."""
+    wide = F.least(F.lit(180.0), miles / (_SAFE_DEGREE * F.greatest(F.cos(F.radians(far_lat)), F.lit(1e-9))))
+    return F.when(far_lat >= 90.0, F.lit(180.0)).otherwise(wide)
 
 
 def _reach(lat: Column, miles: Column) -> tuple[Column, Column]:
     """Half-widths in degrees that certainly contain a circle of that radius."""
     dlat = miles / _SAFE_DEGREE
-    # longitude degrees shrink toward the pole: use the far edge of the box
-    far = F.least(F.abs(lat) + dlat, F.lit(89.0))
-    return dlat, miles / (_SAFE_DEGREE * F.cos(F.radians(far)))
+    return dlat, _lng_reach(F.abs(lat) + dlat, miles)
 
 
 def spread_cells(df: DataFrame, lat: str, lng: str, miles: Column, size: float) -> DataFrame:
     """One copy per cell the search box touches, as columns cy, cx."""
     dlat, dlng = _reach(C(lat), miles)
     ys = F.sequence(F.floor((C(lat) - dlat) / size), F.floor((C(lat) + dlat) / size))
-    xs = F.sequence(F.floor((C(lng) - dlng) / size), F.floor((C(lng) + dlng) / size))
+    xs = lng_range(C(lng) - dlng, C(lng) + dlng, size)
     located = df.where(C(lat).isNotNull() & C(lng).isNotNull() & miles.isNotNull())
     return located.withColumn("cy", F.explode(ys)).withColumn("cx", F.explode(xs))
 
@@ -83,31 +108,44 @@ def nearest(
     """Nearest site of every distinct coordinate: lat, lng, <site>, distance.
 
     First the 3x3 cells around the point.  Its best hit is final when it is
-    closer than the edge of that block; the rest look again over every cell the
-    maximum distance can reach.  Both steps are equi-joins, and the second sees
-    only points in sparse country.  Ties go to the smallest site key."""
+    closer than the edge of that block; the rest look again within a radius that
+    grows fourfold up to the maximum, and only points without a hit in it go on, so
+    a point in sparse country never meets all sites of the next town but one.  All
+    steps are equi-joins.  Ties go to the smallest site key."""
     coords = pts.where(C(lat).isNotNull() & C(lng).isNotNull()).select(C(lat).alias("p_lat"), C(lng).alias("p_lng")).distinct()
     # sites sharing a spot collapse to the smallest key
     spots = sites.where(C(s_lat).isNotNull() & C(s_lng).isNotNull()).groupBy(
         C(s_lat).alias("q_lat"), C(s_lng).alias("q_lng")).agg(F.min(site).alias("q_site"))
     dist = haversine(C("p_lat"), C("p_lng"), C("q_lat"), C("q_lng"), radius)
 
-    def best(candidates: DataFrame) -> DataFrame:
-        hit = candidates.withColumn("d", dist).where(C("d") <= max_miles)
+    def best(candidates: DataFrame, limit: float) -> DataFrame:
+        hit = candidates.withColumn("d", dist).where(C("d") <= limit)
         return hit.groupBy("p_lat", "p_lng").agg(F.min(F.struct("d", "q_site")).alias("b"))
 
-    cy, cx = F.floor(C("p_lat") / near_cell), F.floor(C("p_lng") / near_cell)
-    ring = coords.withColumn("cy", F.explode(F.sequence(cy - 1, cy + 1))).withColumn("cx", F.explode(F.sequence(cx - 1, cx + 1)))
-    near = coords.join(best(ring.join(in_cell(spots, "q_lat", "q_lng", near_cell), ["cy", "cx"])), ["p_lat", "p_lng"], "left")
+    cy, cx = cell(C("p_lat"), C("p_lng"), near_cell)
+    ring_size = F.lit(lng_cells(near_cell)).cast("bigint")
+    around = F.array_distinct(F.transform(F.sequence(cx - 1, cx + 1), lambda x: F.pmod(x, ring_size)))
+    ring = coords.withColumn("cy", F.explode(F.sequence(cy - 1, cy + 1))).withColumn("cx", F.explode(around))
+    near = coords.join(best(ring.join(in_cell(spots, "q_lat", "q_lng", near_cell), ["cy", "cx"]), max_miles), ["p_lat", "p_lng"], "left")
     dy = F.least(C("p_lat") - (cy - 1) * near_cell, (cy + 2) * near_cell - C("p_lat")) * _SAFE_DEGREE
-    edge_lat = F.least(F.greatest(F.abs((cy - 1) * near_cell), F.abs((cy + 2) * near_cell)), F.lit(89.0))
-    dx = F.least(C("p_lng") - (cx - 1) * near_cell, (cx + 2) * near_cell - C("p_lng")) * _SAFE_DEGREE * F.cos(F.radians(edge_lat))
+    wide = 360.0 / lng_cells(near_cell)
+    x = F.pmod(C("p_lng") + 180.0, F.lit(360.0))
+    edge_lat = F.greatest(F.abs((cy - 1) * near_cell), F.abs((cy + 2) * near_cell))
+    # a block at the pole is next to every longitude, so nothing there is final
+    shrink = F.when(edge_lat < 89.0, F.cos(F.radians(edge_lat))).otherwise(F.lit(0.0))
+    dx = F.least(x - (cx - 1) * wide, (cx + 2) * wide - x) * _SAFE_DEGREE * shrink
     near = near.withColumn("final", F.coalesce(C("b.d") < F.least(dy, dx, F.lit(float(max_miles))), F.lit(False)))
-    wide = cell_size(max_miles)
-    rest = spread_cells(near.where(~C("final")).select("p_lat", "p_lng"), "p_lat", "p_lng", F.lit(float(max_miles)), wide)
-    far = best(rest.join(in_cell(spots, "q_lat", "q_lng", wide), ["cy", "cx"]))
-    both = near.where("final").select("p_lat", "p_lng", "b").unionByName(far)
-    return both.select(C("p_lat").alias(lat), C("p_lng").alias(lng), C("b.q_site").alias(site), C("b.d").alias("distance"))
+    found, rest = near.where("final").select("p_lat", "p_lng", "b"), near.where(~C("final")).select("p_lat", "p_lng")
+    reach = near_cell * MILES_PER_DEGREE
+    while True:
+        reach = min(reach * 4.0, float(max_miles))
+        size = cell_size(reach)
+        hits = best(spread_cells(rest, "p_lat", "p_lng", F.lit(reach), size).join(in_cell(spots, "q_lat", "q_lng", size), ["cy", "cx"]), reach)
+        found = found.unionByName(hits)
+        if reach >= max_miles:
+            break
+        rest = rest.join(hits, ["p_lat", "p_lng"], "left_anti")
+    return found.select(C("p_lat").alias(lat), C("p_lng").alias(lng), C("b.q_site").alias(site), C("b.d").alias("distance"))
 
 
 def assign(pts: DataFrame, lat: str, lng: str, sites: DataFrame, site: str, s_lat: str, s_lng: str, max_miles: float) -> DataFrame:
@@ -164,10 +202,9 @@ def polygon_cells(zones: DataFrame, polygon: str, meters: float, size: float) ->
     lng_lo, lng_hi = F.array_min(F.transform(p, lambda v: v["lng"])), F.array_max(F.transform(p, lambda v: v["lng"]))
     pad = meters / 1609.344
     dlat = F.lit(pad / _SAFE_DEGREE)
-    far = F.least(F.greatest(F.abs(lat_lo), F.abs(lat_hi)) + dlat, F.lit(89.0))
-    dlng = F.lit(pad) / (_SAFE_DEGREE * F.cos(F.radians(far)))
+    dlng = _lng_reach(F.greatest(F.abs(lat_lo), F.abs(lat_hi)) + dlat, F.lit(pad))
     return zones.withColumn("cy", F.explode(F.sequence(F.floor((lat_lo - dlat) / size), F.floor((lat_hi + dlat) / size)))).withColumn(
-        "cx", F.explode(F.sequence(F.floor((lng_lo - dlng) / size), F.floor((lng_hi + dlng) / size))))
+        "cx", F.explode(lng_range(lng_lo - dlng, lng_hi + dlng, size)))
 
 
 def near_zones(pts: DataFrame, key: str, lat: str, lng: str, zones: DataFrame, polygon: str,

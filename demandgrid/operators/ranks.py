@@ -77,28 +77,46 @@ def average_rank(df: DataFrame, value: str, name: str, keys: list[str] | None =
 def fit(df: DataFrame, x: str, y: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """n, Pearson, slope, intercept and R2 from one pass of sums.
 
-    Undefined statistics are NULL: no spread in x gives no line, no spread in
-    either gives no correlation.  Values are shifted by the overall first moment
-    through the two-step form below to keep the sums well conditioned."""
+    Undefined statistics are NULL, never NaN: no spread in x gives no line, no spread
+    in either gives no correlation.  Unweighted moments are Spark's mergeable central
+    ones; weighted ones are summed about each key's weighted means, which a first
+    aggregation finds, so values far from zero lose no digits."""
     keys = keys or []
-    w = C(weight).cast("double") if weight else F.lit(1.0)
     ok = df.where(C(x).isNotNull() & C(y).isNotNull()).select(
-        *keys, C(x).cast("double").alias("_x"), C(y).cast("double").alias("_y"), w.alias("_w"))
-    s = ok.groupBy(*keys).agg(
-        F.sum("_w").alias("n"), F.sum(C("_x") * C("_w")).alias("sx"), F.sum(C("_y") * C("_w")).alias("sy"),
-        F.sum(C("_x") * C("_x") * C("_w")).alias("sxx"), F.sum(C("_y") * C("_y") * C("_w")).alias("syy"),
-        F.sum(C("_x") * C("_y") * C("_w")).alias("sxy"),
-        F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1"))
-    cxx = C("sxx") - C("sx") * C("sx") / C("n")
-    cyy = C("syy") - C("sy") * C("sy") / C("n")
-    cxy = C("sxy") - C("sx") * C("sy") / C("n")
+        *keys, C(x).cast("double").alias("_x"), C(y).cast("double").alias("_y"), (C(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+    ends = [F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1")]
+    if weight is None:
+        size = F.count("*").cast("double")
+        s = ok.groupBy(*keys).agg(
+            size.alias("n"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"), (F.var_pop("_x") * size).alias("cxx"),
+            (F.var_pop("_y") * size).alias("cyy"), (F.covar_pop("_x", "_y") * size).alias("cxy"), *ends)
+    else:
+        # a plain mean as the first centre: the weighted sums about it stay small
+        centre = ok.groupBy(*keys).agg(F.avg("_x").alias("x_"), F.avg("_y").alias("y_"))
+        if keys:
+            named = centre.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+            same = F.lit(True)
+            for i, k in enumerate(keys):
+                same = same & C(k).eqNullSafe(C(f"_k{i}"))
+            about = ok.join(named, same)
+        else:
+            both = centre.select(F.struct("x_", "y_")).scalar()
+            about = ok.withColumns({"x_": both["x_"], "y_": both["y_"]})
+        about = about.withColumns({"_dx": C("_x") - C("x_"), "_dy": C("_y") - C("y_")})
+        sums = about.groupBy(*keys).agg(
+            F.sum("_w").alias("n"), F.max("x_").alias("x_"), F.max("y_").alias("y_"), F.sum(C("_dx") * C("_w")).alias("sx"), F.sum(C("_dy") * C("_w")).alias("sy"),
+            F.sum(C("_dx") * C("_dx") * C("_w")).alias("sxx"), F.sum(C("_dy") * C("_dy") * C("_w")).alias("syy"), F.sum(C("_dx") * C("_dy") * C("_w")).alias("sxy"), *ends)
+        s = sums.withColumns({
+            "mx": C("x_") + ratio(C("sx"), C("n")), "my": C("y_") + ratio(C("sy"), C("n")), "cxx": C("sxx") - ratio(C("sx") * C("sx"), C("n")),
+            "cyy": C("syy") - ratio(C("sy") * C("sy"), C("n")), "cxy": C("sxy") - ratio(C("sx") * C("sy"), C("n"))})
+    cxx, cyy, cxy = C("cxx"), C("cyy"), C("cxy")
     x_spread = (C("n") >= 2) & (C("x1") > C("x0"))
     y_spread = C("y1") > C("y0")
     slope = F.when(x_spread, F.try_divide(cxy, cxx))
-    r = F.when(x_spread & y_spread, F.try_divide(cxy, F.sqrt(cxx * cyy)))
+    r = F.when(x_spread & y_spread, F.try_divide(cxy, F.sqrt(cxx) * F.sqrt(cyy)))
     return s.select(
         *keys, C("n").cast("bigint").alias("n"), r.alias("pearson"), slope.alias("slope"),
-        ratio(C("sy") - slope * C("sx"), C("n")).alias("intercept"),
+        (C("my") - slope * C("mx")).alias("intercept"),
         F.when(x_spread & y_spread, r * r).alias("r_squared"), (x_spread & ~y_spread).alias("flat_y"))
 
 

@@ -176,6 +176,38 @@ def test_within_equals_full_scan(spark):
     assert got == {(i, j) for i, p, q in a for j, r, s in b if hav(p, q, r, s, 3958.8) <= 7.0}
 
 
+def globe(n, seed):
+    """Points at the date line, at the poles and anywhere."""
+    r = random.Random(seed)
+    at = [lambda: (r.uniform(-2, 2), r.choice([-180.0, 180.0]) + r.uniform(-1, 1)), lambda: (r.choice([-1, 1]) * (90 - r.random() ** 2), r.uniform(-180, 180)), lambda: (r.uniform(40, 42), r.uniform(-1, 1))]
+    pts = [at[k % 3]() for k in range(n)]
+    return [(k, la, lo if -180 <= lo <= 180 else lo - 360 * (1 if lo > 0 else -1)) for k, (la, lo) in enumerate(pts)]
+
+
+@pytest.mark.parametrize("miles", [5.0, 25.0, 90.0])
+def test_joins_close_round_the_globe(spark, miles):
+    a, b = globe(90, 1) + [(900, 0.0, 179.99), (901, 89.9, 10.0)], globe(60, 2) + [(900, 0.0, -179.99), (901, 89.9, -170.0)]
+    x, y = spark.createDataFrame(a, "i long, la double, lo double"), spark.createDataFrame(b, "j long, lb double, lc double")
+    got = [(r.i, r.j) for r in G.within(x, y, ("la", "lo"), ("lb", "lc"), miles, miles).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, p, q in a for j, r, s in b if hav(p, q, r, s, 3958.8) <= miles}
+    near = {r.i: (r.j, r.distance) for r in G.assign(x, "la", "lo", y, "j", "lb", "lc", miles).collect()}
+    for i, p, q in a:
+        d, j = min((hav(p, q, r, s), j) for j, r, s in b)
+        assert near[i][0] == (j if d <= miles else None)
+
+
+def test_line_fit_far_from_zero(spark):
+    rows = [(1e9 + i / 1000, 2.0 * i, i % 3 + 1.0) for i in range(1000)] + [(None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "x double, y double, w double")
+    for weight in (None, "w"):
+        f = R.fit(df, "x", "y", None, weight).first()
+        assert f.slope == pytest.approx(2000, rel=1e-6) and f.pearson == pytest.approx(1.0, abs=1e-9)
+    flat = R.fit(spark.createDataFrame([(1.0, 5.0), (1.0, 6.0)], "x double, y double"), "x", "y").first()
+    assert (flat.slope, flat.pearson, flat.r_squared, flat.intercept) == (None, None, None, None)
+    level = R.fit(spark.createDataFrame([(1e9, 5.1), (1e9 + 1, 5.1)], "x double, y double"), "x", "y").first()
+    assert (level.slope, level.pearson, level.flat_y) == (0.0, None, True)
+
+
 def test_polygon_and_short_polygon(spark):
     v = lambda a, b: F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lng"))
     sq = F.array(v(0.0, 0.0), v(0.0, 2.0), v(2.0, 2.0), v(2.0, 0.0))
