@@ -9,7 +9,7 @@ starts in a document with a smaller id.
    (about 2 of 26 words are anchors of some window).  Equal windows have equal
    anchors, so only windows whose anchor occurs in two documents can repeat; only
    anchors are shuffled for the whole corpus, not windows.
-3. The windows that are left are hashed (128 bits) and counted; the smallest id of
+3. The windows that are left are hashed (96 bits) and counted; the smallest id of
    a repeated window owns it.  The owners' runs of such windows are the reference:
    every repeated passage once, whatever the number of its copies.
 4. The reference is cut into shards of bounded size by owner.  A shard goes to the
@@ -106,17 +106,17 @@ def _scan(span: int, gram: int):
 
 
 def _windows(span: int, gram: int):
-    """Windows of candidate documents whose anchor is shared."""
+    """Windows of candidate documents whose anchor is shared, by 96 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text_hash, text, shared in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2), batch.column(3)):
+            for doc, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 words = word_hashes(WORDS.findall(text.as_py()))
                 wanted = np.array(shared.as_py(), dtype=np.int64).view(np.uint64)
                 at = np.flatnonzero(np.isin(window_anchors(words, span, gram), wanted))
-                one, two = (rolled(words, span, b)[at].view(np.int64) for b in BASES)
+                one, two = (rolled(words, span, b)[at] for b in BASES)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), doc)), pa.array(np.full(len(at), text_hash)), pa.array(at.astype(np.int32)), pa.array(one), pa.array(two)], [*KEY, "at", "w1", "w2"])
+                    [pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32)), pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc", "at", "w1", "w2"])
 
     return run
 
@@ -135,20 +135,20 @@ def _deal(span: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text_hash, text, at, owner in zip(*(c.to_pylist() for c in batch.columns)):
+            for rid, doc, text, at, owner in zip(*(c.to_pylist() for c in batch.columns)):
                 words = WORDS.findall(text)
                 at, owner = np.array(at), np.array(owner)
                 order = np.argsort(at)
                 at, owner = at[order], owner[order]
                 mine, shard = owner == doc, owner % shards
                 for a, b in _runs(at[mine]):
-                    rows.append((doc % shards, 0, doc, text_hash, a, " ".join(words[a : b + span]), b - a + span))
+                    rows.append((doc % shards, 0, rid, doc, a, " ".join(words[a : b + span]), b - a + span))
                 for s in np.unique(shard[~mine]).tolist():
                     for a, b in _runs(at[~mine & (shard == s)]):
-                        rows.append((s, 1, doc, text_hash, a, " ".join(words[a : b + span]), b - a + span))
+                        rows.append((s, 1, rid, doc, a, " ".join(words[a : b + span]), b - a + span))
             cols = list(zip(*rows)) or [[]] * 7
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["shard", "kind", *KEY, "start", "words", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["shard", "kind", "rid", "doc_id", "start", "words", "n"])
 
     return run
 
@@ -228,7 +228,7 @@ def _match(span: int):
         group, automaton, ready = None, SuffixAutomaton(), False
         for batch in batches:
             rows = []
-            for shard, salt, kind, doc, text_hash, start, words in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, salt, kind, rid, doc, start, words in zip(*(c.to_pylist() for c in batch.columns)):
                 if (shard, salt) != group:
                     group, automaton, ready = (shard, salt), SuffixAutomaton(), False
                 if kind == 0:
@@ -237,9 +237,9 @@ def _match(span: int):
                 if not ready:
                     automaton.finish()
                     ready = True
-                rows += [(doc, text_hash, start + a, start + b) for a, b in automaton.spans(words.split(" "), doc, span)]
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [*KEY, "start", "end"])
+                rows += [(rid, start + a, start + b) for a, b in automaton.spans(words.split(" "), doc, span)]
+            cols = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rid", "start", "end"])
 
     return run
 
@@ -259,36 +259,43 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard_words: int = SHARD_WORDS, salt_words: int = SALT_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three stored tables: the scanned documents (doc_id, _text, n_words, sha, copy:
-    a document with a smaller id has the same words), the candidates' texts, and the
-    spans (doc_id, _text, start, end in words) that go from documents that are no copies."""
+    a document with a smaller id has the same words), the candidates' texts (rid,
+    doc_id, _text, text), and the spans (rid, start, end in words) that go from
+    documents that are no copies."""
     gram = min(gram, span)
     rows = docs.select(C("doc_id").cast("bigint"), F.xxhash64(C("text").cast("string")).alias("_text"), C("text").cast("string"))
-    base = saved(rows.mapInArrow(_scan(span, gram), "doc_id bigint, _text bigint, n_words bigint, sha binary, anchors array<bigint>"))
-    many = saved(base.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
-    base = saved(base.join(many, "sha", "left").withColumn("copy", F.coalesce(C("doc_id") > C("first"), F.lit(False))).drop("first"))
-    anchors = base.where(~C("copy") & C("doc_id").isNotNull()).select(*KEY, F.explode("anchors").alias("h"))
-    shared = saved(anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
-    wanted = anchors.join(shared, "h").groupBy(*KEY).agg(F.collect_list("h").alias("anchors"))
-    texts = saved(rows.join(wanted, KEY).dropDuplicates(KEY).select(*KEY, "text", "anchors"))
-    windows = texts.mapInArrow(_windows(span, gram), "doc_id bigint, _text bigint, at int, w1 bigint, w2 bigint")
-    owned = saved(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_b")).where("owner < _b").drop("_b"))
-    found = windows.join(owned, ["w1", "w2"]).groupBy(*KEY).agg(F.collect_list("at").alias("at"), F.collect_list("owner").alias("owner"))
+    scanned = saved(rows.mapInArrow(_scan(span, gram), "doc_id bigint, _text bigint, n_words bigint, sha binary, anchors array<bigint>"))
+    many = saved(scanned.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    base = saved(scanned.drop("anchors").join(many, "sha", "left").withColumn("copy", F.coalesce(C("doc_id") > C("first"), F.lit(False))).drop("first"))
+    # an anchor counts when two different texts have it; copies of one text are of one digest
+    anchors = scanned.where(C("doc_id").isNotNull()).select(*KEY, F.xxhash64("sha").alias("_sha"), F.explode("anchors").alias("h"))
+    shared = saved(anchors.groupBy("h").agg(F.min("_sha").alias("a"), F.max("_sha").alias("b")).where("a < b").select("h"))
+    wanted = anchors.join(shared, "h").groupBy(*KEY).agg(F.collect_set("h").alias("anchors"))
+    wanted = wanted.join(base.where("copy").select(*KEY), KEY, "left_anti")
+    texts = saved(rows.join(wanted, KEY).dropDuplicates(KEY).select(F.monotonically_increasing_id().alias("rid"), *KEY, "text", "anchors"))
+    # rid is a fact once written: one short number per text from here on
+    columns = ("text", "anchors")
+    counted = texts.select("doc_id", *columns).mapInArrow(_windows(span, gram), "doc bigint, at int, w1 bigint, w2 int").select("w1", "w2", C("doc").alias("doc_id"))
+    owned = saved(counted.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_b")).where("owner < _b").drop("_b"))
+    windows = texts.select("rid", *columns).mapInArrow(_windows(span, gram), "doc bigint, at int, w1 bigint, w2 int").withColumnRenamed("doc", "rid")
+    found = windows.join(owned, ["w1", "w2"]).groupBy("rid").agg(F.collect_list("at").alias("at"), F.collect_list("owner").alias("owner"))
     shards = max(1, -(-owned.count() // shard_words))
-    dealt = saved(texts.drop("anchors").join(found, KEY).mapInArrow(_deal(span, shards), "shard bigint, kind int, doc_id bigint, _text bigint, start bigint, words string, n bigint"))
+    dealt = texts.select("rid", "doc_id", "text").join(found, "rid").mapInArrow(_deal(span, shards), "shard bigint, kind int, rid bigint, doc_id bigint, start bigint, words string, n bigint")
+    dealt = saved(dealt)
     salts = saved(dealt.where("kind = 1").groupBy("shard").agg(F.ceil(F.sum("n") / salt_words).alias("_salts")))
-    salted = dealt.join(salts, "shard").withColumn("_mine", F.pmod(F.xxhash64("doc_id", "start"), C("_salts")))
+    salted = dealt.join(salts, "shard").withColumn("_mine", F.pmod(F.xxhash64("rid", "start"), C("_salts")))
     salt = F.explode(F.when(C("kind") == 0, F.sequence(F.lit(0).cast("bigint"), C("_salts") - 1)).otherwise(F.array("_mine"))).alias("salt")
-    placed = salted.select("shard", salt, "kind", *KEY, "start", "words").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    spans = saved(placed.mapInArrow(_match(span), "doc_id bigint, _text bigint, start bigint, end bigint"))
-    return base.drop("anchors"), texts.drop("anchors"), spans
+    placed = salted.select("shard", salt, "kind", "rid", "doc_id", "start", "words").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    spans = saved(placed.mapInArrow(_match(span), "rid bigint, start bigint, end bigint"))
+    return base, texts.drop("anchors"), spans
 
 
 def strip_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard_words: int = SHARD_WORDS, salt_words: int = SALT_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text (the kept words joined by one
     space; null where nothing went, the document then stays as it is)."""
     base, texts, spans = repeats(docs, span, gram, shard_words, salt_words)
-    per = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    cut = saved(texts.join(per, KEY).select(*KEY, "text", "spans").mapInArrow(_strip, "doc_id bigint, _text bigint, n_removed bigint, kept_text string"))
+    per = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    cut = saved(texts.join(per, "rid").select(*KEY, "text", "spans").mapInArrow(_strip, "doc_id bigint, _text bigint, n_removed bigint, kept_text string"))
     gone = C("copy") & (C("n_words") >= span)
     kept = F.when(gone, F.lit("")).otherwise(C("kept_text"))
     return base.join(cut, KEY, "left").select(
