@@ -39,3 +39,15 @@ def n_words(text: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text modulo n: the fixed folds."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def pruned(rows: DataFrame, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """``rows`` without most of those whose doc_id is not among ``ids`` (doc_id).
+
+    A bitmap of hashed ids, at most ``bits`` / 64 rows whatever the input, is broadcast
+    so that the join that follows need not shuffle the other rows' texts.  Wanted rows
+    always pass; the more ids, the more others pass too."""
+    h = F.xxhash64("doc_id").bitwiseAND(bits - 1)
+    words = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("_m"))
+    marked = rows.withColumn("_h", h).join(F.broadcast(words), F.shiftright("_h", 6) == F.col("_w"))
+    return marked.where(F.expr("(_m & shiftleft(1L, int(_h & 63))) != 0")).select(*rows.columns)
