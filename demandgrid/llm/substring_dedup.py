@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import WORDS, saved
+from demandgrid.llm.common import WORDS, pruned, saved
 
 SPAN = 50
 GRAM = 26
@@ -271,8 +271,8 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard_words: in
     anchors = scanned.where(C("doc_id").isNotNull()).select(*KEY, F.xxhash64("sha").alias("_sha"), F.explode("anchors").alias("h"))
     shared = saved(anchors.groupBy("h").agg(F.min("_sha").alias("a"), F.max("_sha").alias("b")).where("a < b").select("h"))
     wanted = anchors.join(shared, "h").groupBy(*KEY).agg(F.collect_set("h").alias("anchors"))
-    wanted = wanted.join(base.where("copy").select(*KEY), KEY, "left_anti")
-    texts = saved(rows.join(wanted, KEY).dropDuplicates(KEY).select(F.monotonically_increasing_id().alias("rid"), *KEY, "text", "anchors"))
+    wanted = saved(wanted.join(base.where("copy").select(*KEY), KEY, "left_anti"))
+    texts = saved(pruned(rows, wanted).join(wanted, KEY).dropDuplicates(KEY).select(F.monotonically_increasing_id().alias("rid"), *KEY, "text", "anchors"))
     # rid is a fact once written: one short number per text from here on
     columns = ("text", "anchors")
     counted = texts.select("doc_id", *columns).mapInArrow(_windows(span, gram), "doc bigint, at int, w1 bigint, w2 int").select("w1", "w2", C("doc").alias("doc_id"))
