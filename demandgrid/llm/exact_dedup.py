@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import LOWER_BYTES, saved
+from demandgrid.llm.common import LOWER_BYTES, saved, without
 
 TABLE_BYTES = 32 << 20
 PARTIAL = "h bigint, content binary, keep_id bigint, n bigint"
@@ -140,7 +140,7 @@ def _settle(table_bytes: int):
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests = [hashlib.sha256((x.as_py() or b"").translate(LOWER_BYTES)).hexdigest() for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], ["doc_id", "text_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.string())], ["doc_id", "_text", "text_sha256"])
 
 
 def copy_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -153,26 +153,23 @@ def copy_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     )
 
 
+def _members(docs: DataFrame, table_bytes: int) -> DataFrame:
+    """One row per document: its group (nulls for a lone text) by a join of digests."""
+    groups = saved(copy_groups(docs, table_bytes))
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    return rows.mapInArrow(_digests, "doc_id bigint, _text bigint, text_sha256 string").join(groups, "text_sha256", "left")
+
+
 def groups_of_copies(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    groups = saved(copy_groups(docs, table_bytes))
-    members = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(_digests, "doc_id bigint, text_sha256 string")
-    both = members.join(groups, "text_sha256", "left")
     lone = F.col("group_size").isNull()
     keep_id = F.when(lone, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return both.select(
+    return _members(docs, table_bytes).select(
         "doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """The rows that stay, with all their columns: a row goes if its (digest, id)
-    is not that of its group's keeper."""
-    groups = saved(copy_groups(docs, table_bytes))
-    # a row's digest in SQL, so its other columns need not pass through Python
-    lower = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    names = docs.columns
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.sha2(lower, 256).alias("_digest"))
-    found = groups.select(F.col("text_sha256").alias("_digest"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_many"))
-    stays = F.col("_many").isNull() | F.col("_row.doc_id").cast("bigint").eqNullSafe(F.col("_keep"))
-    return marked.join(found, "_digest", "left").where(stays).select("_row.*")
+    """The rows that stay, with all their columns."""
+    gone = _members(docs, table_bytes).where(F.col("group_size").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return without(docs, saved(gone.select("doc_id", "_text")))

@@ -26,7 +26,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from demandgrid.llm.common import n_words, saved
 from demandgrid.operators.ranks import global_rank, running_total
@@ -98,18 +97,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """The documents of the mix with all their columns, one row per copy.  A copy
-    that is cut keeps its first words, joined by one space."""
+    """The documents of the mix with all their columns, one row per copy.  A copy that
+    is cut keeps its first words, joined by one space.
+
+    Within a source and epoch the schedule takes the shuffled documents up to a last
+    one, so a row per source and epoch says all; texts are never shuffled for it.  Rows
+    repeated under the last one's doc_id are cut alike."""
+    last = F.max(F.struct("order", "doc_id", C("served").cast("bigint").alias("served"))).alias("last")
+    sent = schedule(docs, weights, share, epochs).withColumn("order", F.md5(C("doc_id").cast("string").cast("binary")))
+    cuts = sent.groupBy("src_no", "source", "epoch").agg(last).groupBy(C("source").alias("_src")).agg(F.collect_list("last").alias("_cuts"))
     words = F.array_remove(F.split(C("_row.text").cast("string"), r"[\x20\x09-\x0D]+"), "")
-    key = ["_id", "_src", "_words"]
-    nth = F.row_number().over(W.partitionBy(*key).orderBy(*key)).alias("_nth")  # tells rows repeated under one id apart
-    queue = queued(docs, weights, share, epochs).withColumnsRenamed({"doc_id": "_id", "source": "_src", "size": "_words"})
-    queue = saved(queue.select("*", nth)).withColumnsRenamed({"_id": "doc_id", "_src": "source", "_words": "size"})
-    sent = schedule(docs, weights, share, epochs, queue).select(
-        C("doc_id").alias("_id"), C("source").alias("_src"), C("size").alias("_words"), "_nth", C("served").alias("_served"))
     rows = docs.select(
-        F.struct(*[C(f"`{c}`") for c in docs.columns]).alias("_row"), C("doc_id").cast("bigint").alias("_id"),
-        C("source").cast("string").alias("_src"), n_words(C("text").cast("string")).alias("_words")).select("*", nth)
-    both = [rows[k].eqNullSafe(sent[k]) for k in [*key, "_nth"]]
-    text = F.when(sent["_served"] == rows["_words"], C("_row.text")).otherwise(F.array_join(F.slice(words, 1, sent["_served"].cast("int")), " "))
-    return rows.join(sent, both).select(*[(text if c == "text" else C("_row")[c]).alias(c) for c in docs.columns])
+        F.struct(*[C(f"`{c}`") for c in docs.columns]).alias("_row"), C("source").cast("string").alias("_source"), C("doc_id").cast("bigint").alias("_id"),
+        F.md5(C("doc_id").cast("string").cast("binary")).alias("_order"), n_words(C("text").cast("string")).alias("_words")).where("_words > 0")
+    both = rows.join(saved(cuts), C("_source").eqNullSafe(C("_src")))
+    me = F.struct(C("_order").alias("order"), C("_id").alias("doc_id"))
+    served = F.transform("_cuts", lambda c: F.when(me < F.struct(c["order"].alias("order"), c["doc_id"].alias("doc_id")), C("_words")).when(
+        (C("_order") == c["order"]) & C("_id").eqNullSafe(c["doc_id"]), F.least(c["served"], C("_words"))).otherwise(F.lit(0)))
+    copies = both.select("_row", "_words", F.explode(served).alias("_served")).where("_served > 0")
+    text = F.when(C("_served") == C("_words"), C("_row.text")).otherwise(F.array_join(F.slice(words, 1, C("_served").cast("int")), " "))
+    return copies.select(*[(text if c == "text" else C("_row")[c]).alias(c) for c in docs.columns])

@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import WORDS, crc_mod, saved
+from demandgrid.llm.common import WORDS, crc_mod, saved, without
 
 FIT_ROWS = 12_000
 THRESHOLD = 0.7
@@ -60,13 +60,14 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = pd.DataFrame([statistics(t or "") for t in batch["text"]], columns=list(STATS), dtype="float64")
         out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
+        out.insert(1, "_text", batch["_text"])
         yield out
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every whole text."""
-    rows = docs.select(C("doc_id").cast("bigint"), C("text").cast("string"))
-    return rows.mapInPandas(_measure, "doc_id bigint, " + ", ".join(f"{s} double" for s in STATS))
+    """doc_id, _text (hash of the text) and the statistics of every whole text."""
+    rows = docs.select(C("doc_id").cast("bigint"), F.xxhash64(C("text").cast("string")).alias("_text"), C("text").cast("string"))
+    return rows.mapInPandas(_measure, "doc_id bigint, _text bigint, " + ", ".join(f"{s} double" for s in STATS))
 
 
 Rule = tuple[tuple[str, str, float], ...]  # (statistic, "<=" or ">", bound), all of which must hold
@@ -139,17 +140,21 @@ class _Node:
 
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    stats = saved(measured(docs))
+    return _scored(saved(measured(docs)), labels, fit_rows, threshold).drop("_text")
+
+
+def _scored(stats: DataFrame, labels: DataFrame, fit_rows: int, threshold: float) -> DataFrame:
     held = crc_mod(C("doc_id"), 4) == 2
     known = labels.select(C("doc_id").cast("bigint").alias("_id"), C("quality").cast("int").alias("label")).where(C("label").isNotNull() & (crc_mod(C("_id"), 4) != 2))
     first = known.orderBy(F.md5(C("_id").cast("string").cast("binary")), "_id", "label").limit(fit_rows)
     # at most fit_rows labels; documents without labels never reach the fit
     sample = saved(stats.join(F.broadcast(first), C("doc_id") == C("_id")).select("label", *STATS).limit(2 * fit_rows))
     model = fit(sample)
-    return stats.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), model.score().alias("score")).withColumn("predicted", (C("score") >= threshold).cast("int"))
+    return stats.select("doc_id", "_text", F.coalesce(held, F.lit(False)).alias("held_out"), model.score().alias("score")).withColumn("predicted", (C("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents predicted good, with all their columns; rows of one doc_id go together."""
-    bad = saved(classify(docs, labels, fit_rows, threshold)).where("predicted = 0").select(C("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_id"]), "left_anti")
+    """The documents predicted good, with all their columns."""
+    stats = saved(measured(docs))
+    bad = _scored(stats, labels, fit_rows, threshold).where("predicted = 0")
+    return without(docs, saved(bad.select("doc_id", "_text")))

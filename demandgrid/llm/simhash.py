@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import LOWER_TEXT, WORDS, saved
+from demandgrid.llm.common import LOWER_TEXT, WORDS, saved, without
 
 BITS = 64
 DISTANCE = 3
@@ -70,14 +70,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every whole text."""
+    """doc_id, _text (hash of the text), fp (the 64 bits as a signed long) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "_text", "fp"])
 
-    return docs.select(C("doc_id").cast("bigint"), C("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(C("doc_id").cast("bigint"), F.xxhash64(C("text").cast("string")).alias("_text"), C("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id bigint, _text bigint, fp bigint")
 
 
 # ---- partitions and thresholds
@@ -344,6 +345,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    return _classes(docs, distance, width, bucket_rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(docs: DataFrame, distance: int, width: int, bucket_rows: int) -> DataFrame:
     prints = saved(fingerprints(docs, width))
     nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     parts = plan(*co_occurrence(nodes), distance)
@@ -352,10 +357,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHIN
     rooted = saved(rooted)
     least = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = saved(rooted.join(least, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, "fp")
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
     """The document with the smallest id of every component, with all its columns."""
-    gone = saved(near_duplicates(docs, distance, width)).where(~C("doc_id").eqNullSafe(C("component_id"))).select(C("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone["_id"]), "left_anti")
+    return without(docs, saved(_classes(docs, distance, width, BUCKET_ROWS).where(~C("doc_id").eqNullSafe(C("component_id"))).select("doc_id", "_text")))
