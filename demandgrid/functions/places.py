@@ -155,6 +155,6 @@ HEALTHCARE_WORDS = [
 ]
 TRAINING_WORDS = [
     "cpr", "bls", "acls", "pals", "first aid", "life support", "nursing school", "school of nursing", "nursing program", "emt", "emergency medical technician",
-    "paramedic", "medical assistant", "phlebotomy", "cna", "certified nursing assistant", "allied health", "health science", "vocational", "community college",
+    "paramedic", "medical assistant", "phlebotomy", "cna ", "certified nursing assistant", "allied health", "health science", "vocational", "community college",
 ]
 COMPETITOR_WORDS = ["cpr", "bls", "acls", "pals", "first aid", "basic life support", "advanced cardiac life support", "aha training", "red cross training", "heartsaver"]

@@ -13,13 +13,13 @@ COURSE_LABELS = {
     "arc_bls": "ARC BLS",
     "aha_bls": "AHA BLS",
     "aha_cpr": "AHA CPR / Heartsaver",
-    "allcpr_bls": "ALLCPR BLS",
-    "allcpr_cpr": "ALLCPR CPR",
+    "house_bls": "HOUSE BLS",
+    "house_cpr": "HOUSE CPR",
     "acls": "ACLS",
     "pals": "PALS",
     "cpr_first_aid_blended": "CPR / First Aid (hybrid)",
     "skills_session": "Skills session",
-    "unknown_course_type": "ALLCPR",
+    "unknown_course_type": "HOUSE",
 }
 DECISION_COURSES = ["aha_bls", "arc_bls", "arc_cpr"]
 BUCKETS = ["ARC_CPR", "ARC_BLS", "AHA_BLS"]
@@ -42,22 +42,23 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(low(c), r"\s+", " "))
 
 
-def provider(name: Column) -> Column:
-    """Training brand named in a lower-cased class title, '' when none."""
+def provider(name: Column, own_pattern: str = r"\bhouse\b") -> Column:
+    """Training brand named in a lower-cased class title, '' when none; the operator's
+    own brand is whatever ``own_pattern`` finds, and is called house."""
     return pick(
-        (name.rlike("allcpr|all cpr|all-cpr"), "allcpr"),
+        (name.rlike(own_pattern), "house"),
         (name.rlike("arc|red cross|redcross"), "arc"),
         (name.rlike("aha|american heart|heartsaver|heartcode|heart association"), "aha"),
         default="",
     )
 
 
-def title_signals(class_name: Column) -> dict[str, Column]:
+def title_signals(class_name: Column, own_pattern: str = r"\bhouse\b") -> dict[str, Column]:
     """What a class title mentions; named columns, so each regex runs once."""
     name = low(class_name)
     return {
         "t_name": name,
-        "t_brand": provider(name),
+        "t_brand": provider(name, own_pattern),
         "t_aid": name.rlike(r"first\s*aid"),
         "t_cpr": name.rlike(r"\bcpr\b|heartsaver"),
         "t_bls": name.rlike(r"\bbls\b|basic life support"),
@@ -76,8 +77,8 @@ def course_type(t: dict[str, Column]) -> Column:
         ((brand == "arc") & (cpr | aid), "arc_cpr"),
         ((brand == "aha") & bls, "aha_bls"),
         ((brand == "aha") & (cpr | aid), "aha_cpr"),
-        ((brand == "allcpr") & bls, "allcpr_bls"),
-        ((brand == "allcpr") & cpr, "allcpr_cpr"),
+        ((brand == "house") & bls, "house_bls"),
+        ((brand == "house") & cpr, "house_cpr"),
         (~bls & (name.contains("blend") | (aid & cpr) | (aid & name.contains("aed"))), "cpr_first_aid_blended"),
         default="unknown_course_type",
     )

@@ -88,9 +88,11 @@ def near_duplicates(df: DataFrame, key: str, name: str, share: float = 0.6) -> D
     rarity = words.groupBy("t").agg(F.count("*").alias("df"))
     ordered = words.join(rarity, "t").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
     keep = C("n") - F.ceil(F.lit(share) * C("n")).cast("int") + 1
-    index = ordered.select("sid", F.explode(F.slice(F.transform("ts", lambda s: s["t"]), F.lit(1), keep)).alias("t"))
-    other = index.select(C("sid").alias("sid2"), "t")
-    cand = index.join(other, "t").where(C("sid") != C("sid2")).select("sid", "sid2").distinct()
+    index = ordered.select("sid", "n", F.posexplode(F.slice(F.transform("ts", lambda s: s["t"]), F.lit(1), keep)).alias("j", "t"))
+    other = index.select(C("sid").alias("sid2"), C("n").alias("n2"), C("j").alias("j2"), "t")
+    # sizes too different, or too few words left after the first shared one, cannot overlap enough
+    room = (F.least("n", "n2") >= share * F.greatest("n", "n2") - 1e-9) & (F.least(C("n") - C("j"), C("n2") - C("j2")) >= share / (1 + share) * (C("n") + C("n2")) - 1e-9)
+    cand = index.join(other, "t").where((C("sid") != C("sid2")) & room).select("sid", "sid2").distinct()
     a = sets.select("sid", "w", "pos")
     b = sets.select(C("sid").alias("sid2"), C("w").alias("w2"), C("pos").alias("pos2"))
     edges = cand.join(a, "sid").join(b, "sid2").where((token_jaccard(C("w"), C("w2")) >= share) & (C("pos2") < C("pos"))).select(
@@ -113,13 +115,19 @@ def near_duplicates(df: DataFrame, key: str, name: str, share: float = 0.6) -> D
 
 
 def merge_duplicates(df: DataFrame, links: DataFrame, key: str, fill: list[str], order: str) -> DataFrame:
-    """Keeper rows with their empty fields filled from merged rows, first known wins."""
+    """Keeper rows with their empty fields filled from merged rows, first known wins;
+    sources in order of first appearance (one already named is not named again), and
+    ``contactable`` when the merged row has a phone or an address on the web."""
     j = df.join(links, key)
     first = lambda c: F.min_by(c, F.when(C(c).isNotNull() & (C(c) != ""), C(order)))
-    agg = j.groupBy("keeper").agg(F.count("*").alias("merged"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"), *[first(c).alias(f"_{c}") for c in fill])
-    base = df.join(agg, C(key) == C("keeper"))
+    agg = j.groupBy("keeper").agg(F.count("*").alias("merged"), *[first(c).alias(f"_{c}") for c in fill])
+    seen = j.groupBy("keeper", "source").agg(F.min(order).alias("_o")).groupBy("keeper").agg(F.array_sort(F.collect_list(F.struct("_o", "source"))).alias("_s"))
+    add = lambda acc, s: F.when(F.contains(acc, s["source"]), acc).when(acc == "", s["source"]).otherwise(F.concat(acc, F.lit("+"), s["source"]))
+    sources = seen.select(C("keeper").alias("_k"), F.aggregate("_s", F.lit(""), add).alias("sources"))
+    base = df.join(agg, C(key) == C("keeper")).join(sources, C("keeper") == C("_k"))
     has = lambda c: C(c).isNotNull() & (C(c) != "")
-    return base.withColumns({c: F.when(has(c), C(c)).otherwise(C(f"_{c}")) for c in fill}).drop("keeper", *[f"_{c}" for c in fill])
+    filled = base.withColumns({c: F.when(has(c), C(c)).otherwise(C(f"_{c}")) for c in fill}).drop("keeper", "_k", *[f"_{c}" for c in fill])
+    return filled.withColumn("contactable", F.coalesce(has("phone"), F.lit(False)) | F.coalesce(has("url"), F.lit(False)))
 
 
 def contained(long: DataFrame, long_text: str, short: DataFrame, short_text: str) -> DataFrame:
@@ -190,3 +198,58 @@ def missing_inputs(areas: DataFrame, key: str, inputs: dict[str, DataFrame]) ->
         present = rows if present is None else present.unionByName(rows)
     wanted = areas.select(key).distinct().withColumn("input", F.explode(F.array(*[F.lit(n) for n in inputs])))
     return wanted.join(present, [key, "input"], "left_anti")
+
+
+def match_summary(right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row over the second source (r_id, rating, reviews): matched and unmatched rows,
+    mean rating and review total of the matched ones (NULL without any)."""
+    both = right.join(pairs.select("r_id", F.lit(True).alias("_m")), "r_id", "left")
+    hit = C("_m").isNotNull()
+    reviews = F.sum(F.when(hit, C("reviews")))
+    return both.agg(F.count_if(hit).alias("matched"), F.count_if(~hit).alias("right_only"), F.round(F.avg(F.when(hit, C("rating"))), 2).alias("avg_rating"),
+                    F.when(reviews != 0, reviews).alias("total_reviews"))
+
+
+def lookup_override(candidates: DataFrame, key: str, text: str, overrides: DataFrame, their_key: str, needle: str, position: str) -> DataFrame:
+    """(candidate, position, matched_by): the first override row with the candidate's own
+    key, else the first whose needle occurs in the candidate's joined text (lower-cased)."""
+    exact = overrides.where(C(their_key).isNotNull()).groupBy(C(their_key).alias("_k")).agg(F.min(position).alias("_exact"))
+    needles = overrides.select(C(position), F.trim(F.lower(needle)).alias("_n")).where(C("_n") != "").groupBy("_n").agg(F.min(position).alias(position))
+    loose = contained(candidates.select(key, text), text, needles, "_n").groupBy(C(key).alias("_c")).agg(F.min(position).alias("_loose"))
+    both = candidates.join(exact, C(key) == C("_k"), "left").join(loose, C(key) == C("_c"), "left")
+    by = F.when(C("_exact").isNotNull(), "candidate_id").otherwise("address")
+    return both.select(key, F.coalesce("_exact", "_loose").alias(position), by.alias("matched_by")).where(C(position).isNotNull())
+
+
+def match_by_area_then_name(places: DataFrame, rows: DataFrame) -> DataFrame:
+    """(loc, position): the first row of the place's own ZIP, else the first whose plain
+    name holds the place's plain name or is held by it.
+
+    ``places``: loc, zip, name; ``rows``: position, zip, name (plain names)."""
+    area = rows.where(F.coalesce(C("zip"), F.lit("")) != "").groupBy("zip").agg(F.min("position").alias("_area"))
+    names = rows.where(F.coalesce(C("name"), F.lit("")) != "").groupBy(C("name").alias("_rn")).agg(F.min("position").alias("position"))
+    ours = places.where(F.coalesce(C("name"), F.lit("")) != "").select("loc", C("name").alias("_ln"))
+    one = contained(ours, "_ln", names, "_rn").select("loc", "position")
+    two = contained(names, "_rn", ours, "_ln").select("loc", "position")
+    # an empty place name is held by every name, so the first row with a name counts
+    bare = places.where(F.coalesce(C("name"), F.lit("")) == "").select("loc").withColumn("position", names.agg(F.min("position")).scalar())
+    loose = one.unionByName(two).unionByName(bare).groupBy("loc").agg(F.min("position").alias("_loose"))
+    return places.join(area, "zip", "left").join(loose, "loc", "left").select("loc", F.coalesce("_area", "_loose").alias("position")).where(C("position").isNotNull())
+
+
+def lead_identity(id_: Column, name: Column, source: Column) -> Column:
+    """The id of a stored lead, else its name and source."""
+    known = F.coalesce(id_.cast("string"), F.lit(""))
+    return F.when(known != "", known).otherwise(F.concat(F.coalesce(name, F.lit("")), F.lit("|"), F.coalesce(source, F.lit(""))))
+
+
+def replace_filled(generated: DataFrame, filled: DataFrame, miles: float) -> DataFrame:
+    """Rent rows after a merge: (row_id, filled_id).  Each generated row in id order is
+    replaced by the first unused filled row at its place; the others stay blank, and
+    filled rows without a place are kept.  ``generated``: row_id, lat, lng; ``filled``: filled_id, lat, lng."""
+    one = F.lit("same")  # only the distance counts
+    left = generated.select(C("row_id").alias("l_id"), one.alias("l_name"), C("lat").alias("l_lat"), C("lng").alias("l_lng"))
+    right = filled.select(C("filled_id").alias("r_id"), one.alias("r_name"), C("lat").alias("r_lat"), C("lng").alias("r_lng"))
+    pairs = first_match(left, right, miles).select(C("l_id").alias("row_id"), C("r_id").alias("filled_id"))
+    kept = generated.select("row_id").join(pairs, "row_id", "left")
+    return kept.unionByName(filled.select("filled_id").join(pairs, "filled_id", "left_anti").select(F.lit(None).cast("bigint").alias("row_id"), "filled_id"))

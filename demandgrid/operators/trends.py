@@ -99,8 +99,8 @@ def scheduling_signals(df: DataFrame) -> DataFrame:
 
 
 # fixed values: which course types and place categories speak for BLS or CPR
-BLS_TYPES = ["aha_bls", "arc_bls", "allcpr_bls"]
-CPR_TYPES = ["aha_cpr", "arc_cpr", "allcpr_cpr", "cpr_first_aid_blended"]
+BLS_TYPES = ["aha_bls", "arc_bls", "house_bls"]
+CPR_TYPES = ["aha_cpr", "arc_cpr", "house_cpr", "cpr_first_aid_blended"]
 BLS_PLACES = ["hospital", "urgent_care", "ems", "fire_station", "nursing_school", "medical_school", "cna_training", "healthcare_training"]
 CPR_PLACES = ["childcare_center", "gym", "community_college", "university", "senior_care"]
 

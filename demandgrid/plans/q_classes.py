@@ -77,7 +77,7 @@ def _(spark, sf):
 SELECT class_name, course_type, CASE course_type WHEN 'arc_cpr' THEN 'ARC CPR' WHEN 'arc_bls' THEN 'ARC BLS'
  WHEN 'aha_bls' THEN 'AHA BLS' WHEN 'aha_cpr' THEN 'AHA CPR / Heartsaver' WHEN 'acls' THEN 'ACLS'
  WHEN 'cpr_first_aid_blended' THEN 'CPR / First Aid (hybrid)' WHEN 'skills_session' THEN 'Skills session'
- ELSE 'ALLCPR' END AS label, count(*) AS classes FROM c GROUP BY 1, 2, 3"""))
+ ELSE 'HOUSE' END AS label, count(*) AS classes FROM c GROUP BY 1, 2, 3"""))
 def _(spark, sf):
     return V.classes(spark, sf).groupBy("class_name", "course_type", T.course_label(C("course_type")).alias("label")).agg(
         F.count("*").alias("classes"))
@@ -445,8 +445,8 @@ def _(spark, sf):
 
 
 @query("a61_public_vs_actual", with_views(
-    "held", f"""SELECT {R("avg(CASE WHEN course_type IN ('aha_bls','arc_bls','allcpr_bls') THEN a END)", 2)} AS bls_actual,
- {R("avg(CASE WHEN course_type IN ('aha_cpr','arc_cpr','allcpr_cpr','cpr_first_aid_blended') THEN a END)", 2)} AS cpr_actual,
+    "held", f"""SELECT {R("avg(CASE WHEN course_type IN ('aha_bls','arc_bls','house_bls') THEN a END)", 2)} AS bls_actual,
+ {R("avg(CASE WHEN course_type IN ('aha_cpr','arc_cpr','house_cpr','cpr_first_aid_blended') THEN a END)", 2)} AS cpr_actual,
  (SELECT count(*) FROM v_poi WHERE kind IN ('hospital','urgent care','nursing school','CPR training')) AS bls_demand_sites,
  CAST(0 AS BIGINT) AS cpr_demand_sites FROM cm""",
     v_poi=__import__("demandgrid.plans.sql", fromlist=["VIEWS"]).VIEWS["v_poi"],

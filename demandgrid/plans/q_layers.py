@@ -252,7 +252,7 @@ def _(spark, sf):
 @query("s03_locations_file", f"SELECT 'site ' || CAST(s_suppkey AS VARCHAR) AS place_key, 'Reno' AS city, {_z} AS zip FROM supplier")
 def _(spark, sf):
     raw = sup(spark, sf).select(F.concat(F.lit("Site "), C("s_suppkey").cast("string"), F.lit(" (t)")).alias("Abbreviation"), F.concat(F.lit("A(1 B, Reno, NV "), zz(), F.lit(")")).alias("Name"))
-    df = RD.big_csv(spark, saved(spark, raw)).withColumn("pos", F.monotonically_increasing_id())
+    df = RD.big_csv(spark, saved(spark, raw), position="pos")
     return CL.location_dimension(df, "Abbreviation", "Name", "pos").select("place_key", "city", "zip")
 
 
@@ -352,20 +352,23 @@ def _(spark, sf):
     return O.performance(num).orderBy(C("performance_score").desc(), "name").limit(30).select("name", "performance_score")
 
 
-@query("s23_json_twin", "SELECT s_suppkey AS id, s_name AS name FROM supplier")
+@query("s23_json_twin", "SELECT s_suppkey AS id, s_name AS name, 'json' AS kind FROM supplier UNION ALL SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN s_name END, 'csv' FROM supplier")
 def _(spark, sf):
-    path = scratch(spark) + ".json"
-    sup(spark, sf).select(C("s_suppkey").alias("id"), C("s_name").alias("name")).write.json(path)
-    return spark.read.schema("id bigint, name string").json(path)
+    rows = sup(spark, sf).select(C("s_suppkey").alias("id"), C("s_name").alias("name"))
+    twin, both = scratch(spark), scratch(spark)
+    rows.write.json(twin + ".json")
+    rows.where("id IS NULL").write.json(both + ".json")  # the CSV is preferred where both exist
+    rows.select("id", F.when(C("id") % 3 > 0, C("name")).alias("name")).write.option("header", True).csv(both + ".csv")
+    read = lambda path, kind: RD.table_or_json(spark, path, "id bigint, name string", multi_line=False).withColumn("kind", F.lit(kind))
+    return read(twin, "json").unionByName(read(both, "csv"))
 
 
 @query("s24_zip_list_file", f"SELECT {_z} AS zip FROM supplier WHERE s_suppkey % 2 = 0")
 def _(spark, sf):
     path = scratch(spark)
-    rows = sup(spark, sf).where(C("s_suppkey") % 2 == 0).select(F.array(F.struct(C("s_suppkey").cast("string").alias("zip")), F.struct(zz().alias("zip"))).alias("zips"))
-    rows.write.json(path)
-    z = spark.read.schema("zips array<struct<zip:string>>").json(path).select(F.posexplode("zips").alias("pos", "z")).select(T.zip5(C("z.zip")).alias("zip"), "pos")
-    return MT.first_per_value(z, "zip", "pos").select("zip")
+    listed = F.when(C("s_suppkey") % 2 == 0, F.array(F.struct(C("s_suppkey").cast("string").alias("zip")), F.struct(zz().alias("zip"))))
+    sup(spark, sf).select(listed.alias("zips")).write.json(path)
+    return RD.zip_list(spark, path, multi_line=False).select("zip")
 
 
 @query("s25_rescored_profiles", with_views("v_scored", "SELECT candidate_id, area_score FROM v_scored"))
@@ -374,7 +377,7 @@ def _(spark, sf):
     path = scratch(spark)
     cohort_scored(spark, sf).select("candidate_id", F.struct(*K.SUB_SCORES).alias("sub_scores")).write.json(path)
     schema = "candidate_id bigint, sub_scores struct<" + ",".join(f"{k}:double" for k in K.SUB_SCORES) + ">"
-    p = spark.read.schema(schema).json(path)
+    p = RD.profiles(spark, path, schema, multi_line=False)
     return p.select("candidate_id", rnd(K.total([C(f"sub_scores.{k}") * w for k, w in K.SUB_SCORES.items()]), 2).alias("area_score"))
 
 

@@ -489,11 +489,30 @@ def listing_sides(spark, sf):
     return left, shifted.unionByName(copies)
 
 
-@query("j18_listing_match")
+_W = "list_sort(list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda t: t <> '')))"
+# the walk: left rows in id order, each takes the first unused right row that fits
+LISTED = f"""l AS (SELECT place_id AS l_id, {_W.format('name')} AS w, lat, lng FROM v_poi),
+ r AS (SELECT r_id, {_W.format('name')} AS w, lat, lng FROM (SELECT place_id + 1000000 AS r_id, CASE WHEN place_id % 5 = 0 THEN name || ' inc' WHEN place_id % 7 = 0 THEN 'other words here' ELSE name END AS name, CASE WHEN place_id % 3 > 0 THEN lat + 0.0002 END AS lat, lng FROM v_poi
+  UNION ALL SELECT place_id + 2000000, name, lat + 0.0002, lng FROM v_poi WHERE place_id % 10 = 4)),
+ p AS MATERIALIZED (SELECT l_id, r_id FROM l JOIN r ON abs(l.lat - r.lat) < 0.01 AND abs(l.lng - r.lng) < 0.01 AND {HAV('l.lat', 'l.lng', 'r.lat', 'r.lng', 3958.7613)} <= 0.05 AND len(list_intersect(l.w, r.w)) * 1.0 / (len(l.w) + len(r.w) - len(list_intersect(l.w, r.w))) >= 0.5),
+ q AS MATERIALIZED (SELECT row_number() OVER (ORDER BY l_id) AS i, l_id, list(r_id ORDER BY r_id) AS rs FROM p GROUP BY l_id),
+ walk(i, used, l_id, r_id) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT UNION ALL
+  SELECT i, CASE WHEN t IS NULL THEN used ELSE list_append(used, t) END, l_id, t FROM (SELECT q.i, w.used, q.l_id, list_filter(q.rs, lambda x: NOT list_contains(w.used, x))[1] AS t FROM walk w JOIN q ON q.i = w.i + 1))"""
+
+
+@query("j18_listing_match", with_views("v_poi", "SELECT l_id, r_id FROM walk WHERE r_id IS NOT NULL", raw=LISTED).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, sf):
     return MT.first_match(*listing_sides(spark, sf))
 
 
+@query("j18_listing_summary", with_views("v_poi", """SELECT count(w.r_id) AS matched, count(*) - count(w.r_id) AS right_only, round(avg(CASE WHEN w.r_id IS NOT NULL THEN rating END), 2) AS avg_rating, CAST(sum(CASE WHEN w.r_id IS NOT NULL THEN reviews END) AS BIGINT) AS total_reviews
+ FROM (SELECT r.r_id, CASE WHEN r_id % 9 > 0 THEN CAST(r_id % 5 AS DOUBLE) END AS rating, r_id % 40 AS reviews FROM r) r LEFT JOIN (SELECT r_id FROM walk WHERE r_id IS NOT NULL) w ON r.r_id = w.r_id""", raw=LISTED).replace("WITH ", "WITH RECURSIVE ", 1))
+def _(spark, sf):
+    left, right = listing_sides(spark, sf)
+    facts = right.select("r_id", F.when(C("r_id") % 9 > 0, (C("r_id") % 5).cast("double")).alias("rating"), (C("r_id") % 40).alias("reviews"))
+    return MT.match_summary(facts, MT.first_match(left, right))
+
+
 _tok = lambda c: f"list_distinct(list_filter(string_split(lower({c}), ' '), lambda t: t <> ''))"
 _jac = lambda a, b: f"len(list_intersect({a}, {b})) * 1.0 / nullif(len({a}) + len({b}) - len(list_intersect({a}, {b})), 0)"
 
@@ -508,14 +527,28 @@ def sourced(spark, sf):
     k = C("p_partkey")
     p = V.table(spark, sf, "part")
     return p.select(k.alias("lead_id"), F.concat_ws(" ", C("p_name"), F.lit("academy"), F.when(k % 3 == 0, F.lit("east")), (k % 40).cast("string")).alias("name"), F.when(k % 4 == 0, F.concat(F.lit("555-"), k.cast("string"))).otherwise("").alias("phone"),
-                    F.when(k % 5 == 0, F.concat(F.lit("u"), k.cast("string"))).alias("url"), F.when(k % 2 == 0, "google").otherwise("yelp").alias("source"))
-
-
-@query("j19_near_duplicate_names")
+                    F.when(k % 5 == 0, F.concat(F.lit("u"), k.cast("string"))).alias("url"), F.when(k % 2 == 0, "google").otherwise("yelp").alias("source"), F.when(k % 7 == 0, F.concat(F.lit("street "), k.cast("string"))).alias("address"))
+
+
+@query("j19_near_duplicate_names", r"""WITH RECURSIVE d AS MATERIALIZED (SELECT p_partkey AS lead_id, concat_ws(' ', p_name, 'academy', CASE WHEN p_partkey % 3 = 0 THEN 'east' END, CAST(p_partkey % 40 AS VARCHAR)) AS name, CASE WHEN p_partkey % 4 = 0 THEN '555-' || CAST(p_partkey AS VARCHAR) ELSE '' END AS phone,
+  CASE WHEN p_partkey % 5 = 0 THEN 'u' || CAST(p_partkey AS VARCHAR) END AS url, CASE WHEN p_partkey % 2 = 0 THEN 'google' ELSE 'yelp' END AS source, CASE WHEN p_partkey % 7 = 0 THEN 'street ' || CAST(p_partkey AS VARCHAR) END AS address FROM part),
+ n AS MATERIALIZED (SELECT *, list_sort(list_distinct(list_filter(string_split_regex(lower(name), '\s+'), lambda t: t <> ''))) AS w FROM d),
+ s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pos) AS i, w, pos FROM (SELECT w, min(lead_id) AS pos FROM n GROUP BY w)),
+ t AS MATERIALIZED (SELECT i, len(w) AS n, unnest(w) AS t FROM s),
+ e AS MATERIALIZED (SELECT b.i, a.i AS j FROM t b JOIN t a ON a.t = b.t AND a.i < b.i GROUP BY b.i, a.i, a.n, b.n HAVING count(*) * 1.0 / (a.n + b.n - count(*)) >= 0.6),
+ q AS MATERIALIZED (SELECT s.i, list(e.j) AS js FROM s LEFT JOIN e ON s.i = e.i GROUP BY s.i),
+ walk(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT q.i, CASE WHEN list_has_any(w.kept, list_filter(q.js, lambda x: x IS NOT NULL)) THEN w.kept ELSE list_append(w.kept, q.i) END FROM walk w JOIN q ON q.i = w.i + 1),
+ kept AS MATERIALIZED (SELECT unnest(kept) AS i FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)),
+ lead AS (SELECT s.i, coalesce(min(CASE WHEN k.i = s.i THEN s.i END), min(CASE WHEN e.j = k.i THEN k.i END)) AS k FROM s LEFT JOIN e ON e.i = s.i LEFT JOIN kept k ON k.i = s.i OR k.i = e.j GROUP BY s.i),
+ g AS MATERIALIZED (SELECT n.*, s2.pos AS keeper FROM n JOIN s USING (w) JOIN lead ON lead.i = s.i JOIN s s2 ON s2.i = lead.k),
+ m AS (SELECT keeper, count(*) AS merged, min_by(phone, lead_id) FILTER (phone <> '') AS p, min_by(url, lead_id) FILTER (url <> '') AS u, min_by(address, lead_id) FILTER (address <> '') AS a FROM g GROUP BY keeper),
+ o AS (SELECT keeper, string_agg(source, '+' ORDER BY f) AS sources FROM (SELECT keeper, source, min(lead_id) AS f FROM g GROUP BY 1, 2) GROUP BY 1),
+ r AS (SELECT d.lead_id, d.name, coalesce(nullif(d.phone, ''), m.p) AS phone, coalesce(nullif(d.url, ''), m.u) AS url, d.source, coalesce(nullif(d.address, ''), m.a) AS address, m.merged, o.sources FROM d JOIN m ON d.lead_id = m.keeper JOIN o ON o.keeper = m.keeper)
+SELECT *, coalesce(phone <> '', false) OR coalesce(url <> '', false) AS contactable FROM r""")
 def _(spark, sf):
     df = sourced(spark, sf)
     links = MT.near_duplicates(df, "lead_id", "name")
-    return MT.merge_duplicates(df, links, "lead_id", ["phone", "url"], "lead_id")
+    return MT.merge_duplicates(df, links, "lead_id", ["phone", "url", "address"], "lead_id")
 
 
 @query("u01_curated_and_live", """WITH cur AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'u' || CAST(o_custkey AS VARCHAR) END AS url FROM orders WHERE o_orderkey % 3 = 0),
@@ -563,6 +596,21 @@ def _(spark, sf):
     return MT.upsert(prior, fresh, ["id"], ["outreach_status", "notes"])
 
 
+@query("j33_lead_identity", """WITH l AS (SELECT c_custkey AS k, lpad(CAST(c_custkey % 90 AS VARCHAR), 5, '0') AS zip, CASE WHEN c_custkey % 3 = 0 THEN 'L' || CAST(c_custkey AS VARCHAR) ELSE '' END AS lid, CASE WHEN c_custkey % 5 > 0 THEN c_name END AS name, CASE c_custkey % 2 WHEN 0 THEN 'crm' END AS source FROM customer),
+ i AS (SELECT k, zip, CASE WHEN lid <> '' THEN lid ELSE coalesce(name, '') || '|' || coalesce(source, '') END AS identity FROM l),
+ prior AS (SELECT zip, identity, max(k) AS k FROM i WHERE k % 4 < 2 GROUP BY 1, 2), fresh AS (SELECT zip, identity, max(k) AS k FROM i WHERE k % 4 > 0 GROUP BY 1, 2)
+SELECT coalesce(f.zip, p.zip) AS zip, coalesce(f.identity, p.identity) AS identity, CASE WHEN f.k IS NULL THEN CASE WHEN p.k % 3 = 0 THEN 'CONTACTED' ELSE 'NEW' END WHEN p.k % 3 = 0 THEN 'CONTACTED' ELSE 'NEW' END AS outreach_status, coalesce(f.k, p.k) AS row
+FROM fresh f FULL OUTER JOIN prior p ON f.zip = p.zip AND f.identity = p.identity WHERE f.k IS NOT NULL OR p.k % 3 = 0""")
+def _(spark, sf):
+    k = C("c_custkey")
+    rows = V.table(spark, sf, "customer").select(k.alias("row"), F.lpad((k % 90).cast("string"), 5, "0").alias("zip"), F.when(k % 3 == 0, F.concat(F.lit("L"), k.cast("string"))).otherwise("").alias("id"),
+                                                 F.when(k % 5 > 0, C("c_name")).alias("name"), F.when(k % 2 == 0, "crm").alias("source")).withColumn("identity", MT.lead_identity(C("id"), C("name"), C("source")))
+    last = lambda df: df.groupBy("zip", "identity").agg(F.max("row").alias("row"))  # of rows with one identity the last counts
+    prior = last(rows.where(C("row") % 4 < 2)).withColumn("outreach_status", F.when(C("row") % 3 == 0, "CONTACTED").otherwise("NEW"))
+    fresh = last(rows.where(C("row") % 4 > 0)).withColumn("outreach_status", F.lit("NEW"))
+    return MT.upsert(prior, fresh, ["zip", "identity"], ["outreach_status"])
+
+
 @query("j34_append_unseen", "SELECT count(*) AS log_rows, sum(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END)::BIGINT AS appended FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
 def _(spark, sf):
     o = V.table(spark, sf, "orders").select(C("o_orderkey").alias("id"))
@@ -570,14 +618,17 @@ def _(spark, sf):
     return log.agg(F.count("*").alias("log_rows"), F.count_if(C("id") % 2 != 0).alias("appended"))
 
 
-@query("j16_address_containment", """WITH a AS (SELECT c_custkey AS id, lower(c_name) || ', block ' || CAST(c_custkey % 50 AS VARCHAR) || ', main street' AS addr FROM customer), o AS (SELECT s_suppkey AS oid, 'block ' || CAST(s_suppkey % 50 AS VARCHAR) || ', main' AS needle FROM supplier WHERE s_suppkey % 4 = 1)
-SELECT a.id, min(o.oid) AS override_id FROM a JOIN o ON contains(a.addr, o.needle) GROUP BY 1""")
+_OV = """WITH a AS (SELECT c_custkey AS id, lower(c_name) || ' | block ' || CAST(c_custkey % 50 AS VARCHAR) || ', main street' AS addr FROM customer),
+ o AS (SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey * 11 % 400 END AS cid, CASE WHEN s_suppkey % 4 = 1 THEN 'Block ' || CAST(s_suppkey % 50 AS VARCHAR) || ', Main ' END AS needle FROM supplier),
+ e AS (SELECT a.id, min(o.pos) AS pos FROM a JOIN o ON a.id = o.cid GROUP BY 1), c AS (SELECT a.id, min(o.pos) AS pos FROM a JOIN o ON trim(o.needle) <> '' AND contains(a.addr, trim(lower(o.needle))) GROUP BY 1)"""
+
+
+@query("j16_address_containment", _OV + " SELECT a.id, coalesce(e.pos, c.pos) AS override_row, CASE WHEN e.pos IS NOT NULL THEN 'candidate_id' ELSE 'address' END AS matched_by FROM a LEFT JOIN e ON a.id = e.id LEFT JOIN c ON a.id = c.id WHERE e.pos IS NOT NULL OR c.pos IS NOT NULL")
 def _(spark, sf):
-    k = C("c_custkey")
-    a = V.table(spark, sf, "customer").select(k.alias("id"), F.concat(F.lower("c_name"), F.lit(", block "), (k % 50).cast("string"), F.lit(", main street")).alias("addr"))
-    s = C("s_suppkey")
-    o = V.table(spark, sf, "supplier").where(s % 4 == 1).select(s.alias("oid"), F.concat(F.lit("block "), (s % 50).cast("string"), F.lit(", main")).alias("needle"))
-    return MT.contained(a, "addr", o, "needle").groupBy("id").agg(F.min("oid").alias("override_id"))
+    k, s = C("c_custkey"), C("s_suppkey")
+    a = V.table(spark, sf, "customer").select(k.alias("id"), F.concat(F.lower("c_name"), F.lit(" | block "), (k % 50).cast("string"), F.lit(", main street")).alias("addr"))
+    o = V.table(spark, sf, "supplier").select(s.alias("override_row"), F.when(s % 3 == 0, s * 11 % 400).alias("cid"), F.when(s % 4 == 1, F.concat(F.lit("Block "), (s % 50).cast("string"), F.lit(", Main "))).alias("needle"))
+    return MT.lookup_override(a, "id", "addr", o, "cid", "needle", "override_row")
 
 
 @query("j15_nearest_rent_override", with_views("v_candw v_site", f"""SELECT candidate_id, site_id AS override_id, {R('d', 3)} AS distance, {R('monthly_avg_revenue / 12', 2)} AS rent_month FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY d, site_id) AS rn FROM (

@@ -492,22 +492,32 @@ def _(spark, sf):
                                    rnd(F.avg(F.when(C("kind") == "CPR training", C("rating"))), 2).alias("competitor_rating"))
 
 
-@query("j29_site_health_by_name", """WITH s AS (SELECT s_suppkey AS site, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS n FROM supplier WHERE s_suppkey % 4 = 0), l AS (SELECT c_custkey AS loc, 'room at ' || trim(regexp_replace(lower('Supplier#' || lpad(CAST(c_custkey % 120 AS VARCHAR), 9, '0')), '[^a-z0-9]+', ' ', 'g')) AS n FROM customer)
-SELECT loc, min(site) AS site FROM l JOIN s ON contains(l.n, s.n) GROUP BY 1""")
+_plain = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("j29_site_health_by_name", f"""WITH s AS (SELECT s_suppkey AS position, CASE WHEN s_suppkey % 4 = 0 THEN lpad(CAST(s_suppkey % 700 AS VARCHAR), 5, '0') END AS zip, CASE WHEN s_suppkey % 6 > 0 THEN {_plain("s_name")} ELSE '' END AS n FROM supplier),
+ l AS (SELECT c_custkey AS loc, CASE WHEN c_custkey % 3 = 0 THEN lpad(CAST(c_custkey % 700 AS VARCHAR), 5, '0') END AS zip, CASE c_custkey % 4 WHEN 0 THEN 'room at ' || {_plain("'Supplier#' || lpad(CAST(c_custkey % 120 AS VARCHAR), 9, '0')")} WHEN 1 THEN {_plain("'Supplier#0000000' || CAST(c_custkey % 12 AS VARCHAR)")} WHEN 2 THEN '' ELSE 'nobody' END AS n FROM customer),
+ z AS (SELECT loc, min(position) AS p FROM l JOIN s USING (zip) GROUP BY 1), m AS (SELECT loc, min(position) AS p FROM l JOIN s ON s.n <> '' AND (contains(l.n, s.n) OR contains(s.n, l.n)) GROUP BY 1)
+SELECT l.loc, coalesce(z.p, m.p) AS position FROM l LEFT JOIN z USING (loc) LEFT JOIN m USING (loc) WHERE coalesce(z.p, m.p) IS NOT NULL""")
 def _(spark, sf):
-    k = C("c_custkey")
-    loc = V.table(spark, sf, "customer").select(k.alias("loc"), T.plain_name(F.concat(F.lit("Room at Supplier#"), F.lpad((k % 120).cast("string"), 9, "0"))).alias("ln"))
-    site = V.table(spark, sf, "supplier").where(C("s_suppkey") % 4 == 0).select(C("s_suppkey").alias("site"), T.plain_name(C("s_name")).alias("sn"))
-    return MT.contained(loc, "ln", site, "sn").groupBy("loc").agg(F.min("site").alias("site"))
+    k, s = C("c_custkey"), C("s_suppkey")
+    numbered = lambda x: T.plain_name(F.concat(F.lit("Supplier#"), F.lpad(x.cast("string"), 9, "0")))
+    name = F.when(k % 4 == 0, F.concat(F.lit("room at "), numbered(k % 120))).when(k % 4 == 1, T.plain_name(F.concat(F.lit("Supplier#0000000"), (k % 12).cast("string")))).when(k % 4 == 2, "").otherwise("nobody")
+    loc = V.table(spark, sf, "customer").select(k.alias("loc"), F.when(k % 3 == 0, F.lpad((k % 700).cast("string"), 5, "0")).alias("zip"), name.alias("name"))
+    site = V.table(spark, sf, "supplier").select(s.alias("position"), F.when(s % 4 == 0, F.lpad((s % 700).cast("string"), 5, "0")).alias("zip"), F.when(s % 6 > 0, T.plain_name(C("s_name"))).otherwise("").alias("name"))
+    return MT.match_by_area_then_name(loc, site)
 
 
-@query("j24_rent_template_merge", with_views("v_point v_site", f"""SELECT 'generated' AS kind, count(*) AS rows, count(CASE WHEN m THEN 1 END) AS matched FROM (SELECT p.point_id, bool_or({HAV('p.lat', 'p.lng', 's_lat', 's_lng', 3958.7613)} <= 0.3) AS m FROM v_point p CROSS JOIN v_site s WHERE p.lat IS NOT NULL GROUP BY 1)"""))
+@query("j24_rent_template_merge", with_views("v_point v_site", """SELECT g.point_id AS row_id, w.r_id AS filled_id FROM v_point g LEFT JOIN walk w ON w.l_id = g.point_id AND w.r_id IS NOT NULL
+ UNION ALL SELECT NULL, site_id FROM v_site WHERE site_id NOT IN (SELECT r_id FROM walk WHERE r_id IS NOT NULL)""",
+       raw=f"""p AS (SELECT g.point_id AS l_id, s.site_id AS r_id FROM v_point g JOIN v_site s ON g.lat IS NOT NULL AND {HAV('g.lat', 'g.lng', 's_lat', 's_lng', 3958.7613)} <= 0.3),
+ q AS MATERIALIZED (SELECT row_number() OVER (ORDER BY l_id) AS i, l_id, list(r_id ORDER BY r_id) AS rs FROM p GROUP BY l_id),
+ walk(i, used, l_id, r_id) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT UNION ALL
+  SELECT i, CASE WHEN t IS NULL THEN used ELSE list_append(used, t) END, l_id, t FROM (SELECT q.i, w.used, q.l_id, list_filter(q.rs, lambda x: NOT list_contains(w.used, x))[1] AS t FROM walk w JOIN q ON q.i = w.i + 1))""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, sf):
-    from demandgrid.operators.geo import within
     from demandgrid.plans.q_ops import sites
-    g = V.points(spark, sf).where("lat IS NOT NULL").select("point_id", "lat", "lng")
-    hit = within(g, sites(spark, sf), ("lat", "lng"), ("s_lat", "s_lng"), 0.3, 0.3, 3958.7613).select("point_id").distinct().withColumn("m", F.lit(True))
-    return g.join(hit, "point_id", "left").agg(F.lit("generated").alias("kind"), F.count("*").alias("rows"), F.count("m").alias("matched"))
+    g = V.points(spark, sf).select(C("point_id").alias("row_id"), "lat", "lng")
+    return MT.replace_filled(g, sites(spark, sf).select(C("site_id").alias("filled_id"), C("s_lat").alias("lat"), C("s_lng").alias("lng")), 0.3)
 
 
 # --- interpretation of candidates -------------------------------------------------------------

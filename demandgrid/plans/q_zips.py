@@ -433,6 +433,10 @@ def _(spark, sf):
     return kept.groupBy("zip").agg(F.count("*").alias("kept"), *G.distance_buckets(C("distance"), [1, 3]))
 
 
-@query("j23_distance_dedupe")
+# the walk: best first, a point stays unless one that stayed is nearer than two miles
+@query("j23_distance_dedupe", with_views("v_point", "SELECT point_id, score FROM o WHERE i IN (SELECT unnest(kept) FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)) UNION ALL SELECT point_id, score FROM v_point WHERE lat IS NULL",
+       raw=f"""o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY score DESC, point_id) AS i, * FROM v_point WHERE lat IS NOT NULL),
+ q AS MATERIALIZED (SELECT b.i, list(a.i) FILTER (a.i IS NOT NULL) AS js FROM o b LEFT JOIN o a ON a.i < b.i AND {HAV('a.lat', 'a.lng', 'b.lat', 'b.lng', 3958.7613)} < 2.0 GROUP BY b.i),
+ walk(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT q.i, CASE WHEN list_has_any(w.kept, coalesce(q.js, [])) THEN w.kept ELSE list_append(w.kept, q.i) END FROM walk w JOIN q ON q.i = w.i + 1)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, sf):
     return G.distance_dedupe(V.points(spark, sf), "point_id", "lat", "lng", "score", 2.0).select("point_id", "score")

@@ -17,16 +17,26 @@ LNG_NAMES = ["longitude", "lon", "lng", "long", "x"]
 ZIP_NAMES = ["zip", "zipcode", "zip_code", "postal", "postal_code"]
 
 
-def csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text, quoted line breaks allowed, header trimmed."""
+def _named(df: DataFrame, position: str | None) -> DataFrame:
+    """Header names trimmed; ``position``: a column that orders rows as the files do
+    (by file, split and row), which row numbers of tasks alone do not."""
+    names = [c.replace("\ufeff", "").strip() for c in df.columns]
+    if position is None:
+        return df.toDF(*names)
+    at = F.struct(C("_metadata.file_path").alias("file"), C("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return df.select(*[C(f"`{c}`").alias(n) for c, n in zip(df.columns, names)], at.alias(position))
+
+
+def csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", position: str | None = None) -> DataFrame:
+    """All columns as text, quoted line breaks allowed (one task a file), header trimmed."""
     df = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    return df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
+    return _named(df, position)
 
 
-def big_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def big_csv(spark: SparkSession, path: str, sep: str = ",", position: str | None = None) -> DataFrame:
     """Like csv(), but splittable: for large files whose rows are single lines."""
     df = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
-    return df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
+    return _named(df, position)
 
 
 def col_or_null(df: DataFrame, *names: str) -> Column:
@@ -47,13 +57,13 @@ def class_history(spark: SparkSession, path: str, locations: str | None = None)
     rows = class_records(big_csv(spark, path))
     if locations is None:
         return rows
-    raw = csv(spark, locations).withColumn("_pos", F.monotonically_increasing_id())
+    raw = csv(spark, locations, position="_pos")
     return attach_locations(rows, location_dimension(raw, "Abbreviation", "Name", "_pos"))
 
 
 def zip_centroids(spark: SparkSession, path: str) -> DataFrame:
     """zip, lat, lng; bad rows dropped, the last duplicate wins."""
-    df = csv(spark, path).withColumn("_pos", F.monotonically_increasing_id())
+    df = csv(spark, path, position="_pos")
     rows = df.select(F.trim("zip").alias("zip"), C("lat").try_cast("double").alias("lat"), C("lng").try_cast("double").alias("lng"), "_pos")
     ok = rows.where(C("zip").rlike(r"^\d{5}$") & C("lat").isNotNull() & C("lng").isNotNull())
     return ok.groupBy("zip").agg(F.max_by(F.struct("lat", "lng"), "_pos").alias("r")).select("zip", "r.lat", "r.lng")
@@ -125,7 +135,7 @@ RENT_COLUMNS = ["city", "state", "latitude", "longitude", "radius_miles", "rent_
 
 
 def job_postings(spark: SparkSession, path: str) -> DataFrame:
-    df = csv(spark, path)
+    df = big_csv(spark, path)
     require(df, POSTING_COLUMNS)
     num = ["latitude", "longitude", "radius_miles"]
     return df.withColumns({c: parse_number(C(c)) for c in num})
@@ -180,14 +190,14 @@ def keyed_numbers(spark: SparkSession, path: str, key: str, numbers: list[str])
     return df.select(F.upper(F.trim(key)).alias(key), *[parse_number(col_or_null(df, c)).alias(c) for c in numbers]).where(C(key) != "")
 
 
-def first_row(df: DataFrame) -> DataFrame:
-    """First data row of a one-row settings file."""
-    return df.limit(1)
+def first_row(df: DataFrame, position: str) -> DataFrame:
+    """First data row, in file order, of a settings file."""
+    return df.orderBy(position).limit(1)
 
 
 def settings(spark: SparkSession, path: str, defaults: dict[str, float]) -> DataFrame:
     """Cost constants: the first row over the defaults."""
-    df = first_row(csv(spark, path))
+    df = first_row(csv(spark, path, position="_pos"), "_pos")
     return df.select(*[F.coalesce(parse_number(col_or_null(df, k)), F.lit(v)).alias(k) for k, v in defaults.items()])
 
 
@@ -197,25 +207,32 @@ def site_health(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: parse_number(col_or_null(df, c)) for c in num}).where(F.trim("site_name") != "")
 
 
-def table_or_json(spark: SparkSession, path: str) -> DataFrame:
-    """CSV, or its JSON twin when only that exists."""
-    return spark.read.option("multiLine", True).json(path) if path.endswith(".json") else csv(spark, path)
+def table_or_json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """The CSV table at ``path`` (no suffix), or its JSON twin when only that exists; the
+    columns of ``schema`` either way."""
+    found = preferred(spark, [path + ".csv", path + ".json"])
+    if found.endswith(".json"):
+        return spark.read.schema(schema).option("multiLine", multi_line).json(found)
+    kinds = [part.strip().rsplit(" ", 1) for part in schema.split(",")]
+    df = csv(spark, found)
+    return df.select(*[col_or_null(df, name).try_cast(kind).alias(name) for name, kind in kinds])
 
 
-def zip_list(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct ZIPs of a JSON list file in first-seen order."""
-    df = spark.read.schema("zips array<struct<zip:string,category:string,reason:string>>").option("multiLine", True).json(path)
-    rows = df.select(F.posexplode("zips").alias("pos", "z")).select(zip5(C("z.zip")).alias("zip"), "pos")
+def zip_list(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Distinct ZIPs of a JSON list file with their first position in file order."""
+    df = spark.read.schema("zips array<struct<zip:string,category:string,reason:string>>").option("multiLine", multi_line).json(path)
+    at = F.struct(C("_metadata.file_path").alias("file"), C("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    rows = df.select(at.alias("at"), F.posexplode("zips").alias("i", "z")).select(zip5(C("z.zip")).alias("zip"), F.struct("at", "i").alias("pos"))
     return rows.where(C("zip").isNotNull()).groupBy("zip").agg(F.min("pos").alias("pos"))
 
 
-def profiles(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+def profiles(spark: SparkSession, folder: str, schema: str, multi_line: bool = True) -> DataFrame:
     """Stored profile JSONs of a folder, with a declared schema."""
-    return spark.read.schema(schema).option("multiLine", True).json(folder)
+    return spark.read.schema(schema).option("multiLine", multi_line).json(folder)
 
 
 def backtest_rows(spark: SparkSession, path: str) -> DataFrame:
-    df = csv(spark, path)
+    df = big_csv(spark, path)
     require(df, ["address", "state", "outcome"])
     return df.withColumn("outcome", parse_number(C("outcome"))).where(C("outcome").isNotNull())
 
