@@ -376,15 +376,14 @@ def rent_estimates(df: DataFrame, cohort: str) -> DataFrame:
     joined back, so a cohort never has to sit in one task."""
     i, r = C("rent_pressure_index"), C("rent_per_sqft_annual")
     cited = df.where(r.isNotNull()).groupBy(cohort).agg(
-        F.count("*").alias("_n"), F.sum(i).alias("_sx"), F.sum(r).alias("_sy"), F.sum(i * i).alias("_sxx"), F.sum(i * r).alias("_sxy"))
+        F.count("*").alias("_n"), F.avg(i).alias("_mx"), F.avg(r).alias("_my"), F.var_pop(i).alias("_vx"), F.covar_pop(i, r).alias("_cxy"))
     j = df.join(cited, cohort, "left")
-    den = C("_n") * C("_sxx") - C("_sx") * C("_sx")
-    slope = F.try_divide(C("_n") * C("_sxy") - C("_sx") * C("_sy"), den)
-    one = F.when(C("_sx") <= 0, C("_sy")).otherwise(C("_sy") * i / C("_sx"))
-    many = F.when(F.abs(den) < 1e-9, C("_sy") / C("_n")).otherwise(F.greatest(F.lit(0.0), slope * i + (C("_sy") - slope * C("_sx")) / C("_n")))
+    spread = C("_n") * C("_n") * C("_vx")  # central moments: exact far from zero too
+    one = F.when(C("_mx") <= 0, C("_my")).otherwise(C("_my") * i / C("_mx"))
+    many = F.when(F.abs(spread) < 1e-9, C("_my")).otherwise(F.greatest(F.lit(0.0), C("_my") + F.try_divide(C("_cxy"), C("_vx")) * (i - C("_mx"))))
     est = F.when(C("_n") == 1, one).when(C("_n") > 1, many)
     return j.withColumns({"estimated_rent_per_sqft": rnd(est, 2), "anchor_count": F.coalesce(C("_n"), F.lit(0)),
-                          "rent_confidence": F.when(est.isNotNull(), "estimated_anchored").otherwise("estimated")}).drop("_n", "_sx", "_sy", "_sxx", "_sxy")
+                          "rent_confidence": F.when(est.isNotNull(), "estimated_anchored").otherwise("estimated")}).drop("_n", "_mx", "_my", "_vx", "_cxy")
 
 
 # --- cohort ------------------------------------------------------------------------

@@ -99,7 +99,7 @@ def market_demand(df: DataFrame) -> DataFrame:
 
 def competition(df: DataFrame) -> DataFrame:
     """Competitors prove demand up to a point, then cost points."""
-    df = df.withColumns({"_k": first_known(df, "competitor_count", "competitor_count_total"),
+    df = df.withColumns({"_k": first_known(df, "competitor_count", "competitor_count_total", "nearby_cpr_competitors_5mi"),
                          "_r": first_known(df, "avg_competitor_rating", "competitor_avg_rating")})
     k, r = C("_k"), C("_r")
     ladder = lambda *v: pick((k.isNull(), v[0]), (k <= 0, v[1]), (k <= 5, v[2]), (k <= 12, v[3]), (k < 20, v[4]), default=v[5])

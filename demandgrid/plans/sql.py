@@ -78,7 +78,8 @@ VIEWS = {
   event_id % 2003 AS class_id, event_type AS course,
   concat('Instructor ', CAST(user_id % 17 AS VARCHAR)) AS instructor, CAST(ts AS DATE) AS reg_date FROM events""",
     "v_review": """
- SELECT d.doc_id, d.text, CASE WHEN b.toxic = 1 THEN 1 WHEN b.quality = 1 THEN 5
+ SELECT d.doc_id, concat_ws(' ', ['Parking was hard to find.', 'They canceled my appointment.', 'The instructor was unprepared.', 'Very crowded, took forever.', 'No refund, they keep your money.',
+    'The website did not load.', 'Overpriced and not worth it.', 'Nobody helped, the worst.', 'My card never came, the certificate expired.', 'Great class!'][d.doc_id % 10 + 1], d.text) AS text, CASE WHEN b.toxic = 1 THEN 1 WHEN b.quality = 1 THEN 5
     WHEN b.quality = 0 THEN 3 END AS rating FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id""",
     "v_page": "SELECT page_id, url, html AS text FROM pages",
 }
