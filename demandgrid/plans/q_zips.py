@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demandgrid.functions.exprs import haversine, haversine_meters, joined, ratio, rnd
+from demandgrid.functions.exprs import haversine, haversine_meters, joined, rnd
 from demandgrid.operators import geo as G
 from demandgrid.operators import ranks as RK
 from demandgrid.operators import zip_demand as Z
@@ -21,16 +21,13 @@ def profiles(spark, sf):
     return Z.zip_profiles(held(spark, sf))
 
 
-def anchors(spark, sf):
-    """Reference average and newest date as fields of one scalar subquery."""
-    rows = V.classes(spark, sf)
-    e = F.when(is_held(CUTOFF) & (C("enrolled") > 0), C("enrolled"))
-    one = rows.agg(F.struct(rnd(ratio(F.sum(e), F.count(e)), 2).alias("ref"), F.date_format(F.max("class_date"), "yyyy-MM-dd").alias("latest")).alias("s")).scalar()
-    return one.getField("ref"), one.getField("latest")
+def with_anchors(spark, sf):
+    """Profiles, reference average and newest date from one scan of the classes."""
+    return Z.profiles_and_anchors(V.classes(spark, sf), is_held(CUTOFF) & (C("enrolled") > 0))
 
 
 def scored(spark, sf):
-    return Z.scored_profiles(profiles(spark, sf), *anchors(spark, sf))
+    return Z.scored_profiles(*with_anchors(spark, sf))
 
 
 def _bucket_cols(b):
@@ -172,7 +169,8 @@ def _(spark, sf):
  coalesce(adjustment, 0.0)::DOUBLE AS adjustment, coalesce(confidence_modifier, 0.0)::DOUBLE AS confidence_modifier, strength
  FROM v_cand d LEFT JOIN sc USING (candidate_id)""", raw=RESOLVED + "," + MERGED, sc=score_sql("merged")))
 def _(spark, sf):
-    return Z.candidate_zip_demand(candidates(spark, sf), profiles(spark, sf), centroids4(spark, sf), 5.0, *anchors(spark, sf)).select(
+    p, ref, latest = with_anchors(spark, sf)
+    return Z.candidate_zip_demand(candidates(spark, sf), p, centroids4(spark, sf), 5.0, ref, latest).select(
         "candidate_id", "zips", "basis", "zip_demand_score", "adjustment", "confidence_modifier", "strength")
 
 
