@@ -31,8 +31,8 @@ def first_match(left: DataFrame, right: DataFrame, miles: float = 0.05, share: f
     ``left``: l_id, l_name, l_lat, l_lng; ``right`` likewise with r_.
 
     Rows with equal words at an equal spot form a group, and groups, not rows, are
-    compared.  A pair of groups that match only each other pairs its members by
-    rank, so a pile of copies costs no pairwise work.  The other groups open up to
+    compared; groups with the same partners merge.  A pair of groups that match only
+    each other pairs its members by rank, so a pile of copies costs no pairwise work.  The other groups open up to
     rows and settle in rounds: a pair that comes first for both of its rows is
     taken, its rows leave, and the rest goes again."""
     ensure_checkpoint_dir(left.sparkSession)
@@ -48,6 +48,17 @@ def first_match(left: DataFrame, right: DataFrame, miles: float = 0.05, share: f
     rg = rrows.select("r_g", "r_w", "r_lat", "r_lng").dropDuplicates(["r_g"])
     near = within(lg, rg, ("l_lat", "l_lng"), ("r_lat", "r_lng"), miles, miles, EARTH_MILES_GRID)
     pairs = near.where(token_jaccard(C("l_w"), C("r_w")) >= share).select("l_g", "r_g").checkpoint()
+    # groups that see the same partners are one group: piles of copies under several
+    # names then pair by rank too.  Two passes, as merging one side can make the other alike
+    for _ in range(2):
+        for p, q in (("l_g", "r_g"), ("r_g", "l_g")):
+            seen = F.sha2(F.concat_ws(" ", F.count("*"), F.bit_xor(F.xxhash64(q)), F.bit_xor(F.xxhash64(q, F.lit(1)))), 256)
+            alike = pairs.groupBy(p).agg(seen.alias("_to")).checkpoint()
+            pairs = pairs.join(alike, p).select(C("_to").alias(p), q).distinct().checkpoint()
+            if p == "l_g":
+                lrows = lrows.join(alike, "l_g").drop("l_g").withColumnRenamed("_to", "l_g")
+            else:
+                rrows = rrows.join(alike, "r_g").drop("r_g").withColumnRenamed("_to", "r_g")
     degree_l = pairs.groupBy("l_g").agg(F.count("*").alias("dl"))
     degree_r = pairs.groupBy("r_g").agg(F.count("*").alias("dr"))
     sized = pairs.join(degree_l, "l_g").join(degree_r, "r_g")

@@ -229,6 +229,14 @@ def test_distance_dedupe_equals_greedy_walk(spark):
 
 # --- matching against the sequential rule -----------------------------------------------------------
 
+def test_piles_under_two_names_pair_by_rank(spark):
+    """Interleaved names that all match: the walk pairs the i-th left with the i-th right row."""
+    n = 2000
+    l = spark.range(n).select(C("id").alias("l_id"), F.when(C("id") % 2 == 0, "a b c").otherwise("a b c d").alias("l_name"), F.lit(37.0).alias("l_lat"), F.lit(-122.0).alias("l_lng"))
+    r = spark.range(n).select((C("id") + 5000).alias("r_id"), F.when(C("id") % 3 == 0, "a b c").otherwise("a b c d").alias("r_name"), F.lit(37.0).alias("r_lat"), F.lit(-122.0).alias("r_lng"))
+    assert {(x.l_id, x.r_id) for x in M.first_match(l, r).collect()} == {(i, i + 5000) for i in range(n)}
+
+
 def test_first_match_equals_sequential(spark):
     rnd = random.Random(4)
     words = ["cpr", "center", "east", "west", "academy"]
