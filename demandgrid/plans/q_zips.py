@@ -161,7 +161,7 @@ MERGED = """
 @query("a03_merged_profiles", with_views("prof v_centroid v_cand", "SELECT * FROM merged", raw=RESOLVED + "," + MERGED))
 def _(spark, sf):
     p = profiles(spark, sf)
-    return Z.merge_profiles(Z.resolve_candidates(candidates(spark, sf), p, centroids4(spark, sf), 5.0), p)
+    return Z.merged_candidates(candidates(spark, sf), p, centroids4(spark, sf), 5.0)
 
 
 @query("a04_candidate_zip_demand", with_views(
