@@ -37,6 +37,12 @@ def low(c: Column) -> Column:
     return F.lower(F.trim(F.coalesce(c, F.lit(""))))
 
 
+def words(text: Column, pattern: str) -> Column:
+    """Pattern search whose word classes and boundaries follow Unicode letters, whatever the JDK's default,
+    so an accented word is a whole word."""
+    return text.rlike("(?U)" + pattern)
+
+
 def squeeze(c: Column) -> Column:
     """Lower-cased, trimmed, inner whitespace collapsed."""
     return F.trim(F.regexp_replace(low(c), r"\s+", " "))
@@ -60,8 +66,8 @@ def title_signals(class_name: Column, own_pattern: str = r"\bhouse\b") -> dict[s
         "t_name": name,
         "t_brand": provider(name, own_pattern),
         "t_aid": name.rlike(r"first\s*aid"),
-        "t_cpr": name.rlike(r"\bcpr\b|heartsaver"),
-        "t_bls": name.rlike(r"\bbls\b|basic life support"),
+        "t_cpr": words(name, r"\bcpr\b|heartsaver"),
+        "t_bls": words(name, r"\bbls\b|basic life support"),
     }
 
 
@@ -71,8 +77,8 @@ def course_type(t: dict[str, Column]) -> Column:
     return pick(
         (name == "", "unknown_course_type"),
         (name.rlike("skills|skill session|rqi"), "skills_session"),
-        (name.rlike(r"\bacls\b|advanced cardiac life support|advanced cardiovascular life support"), "acls"),
-        (name.rlike(r"\bpals\b|pediatric advanced life support"), "pals"),
+        (words(name, r"\bacls\b|advanced cardiac life support|advanced cardiovascular life support"), "acls"),
+        (words(name, r"\bpals\b|pediatric advanced life support"), "pals"),
         ((brand == "arc") & bls, "arc_bls"),
         ((brand == "arc") & (cpr | aid), "arc_cpr"),
         ((brand == "aha") & bls, "aha_bls"),
@@ -101,7 +107,7 @@ def decision_course(ctype: Column, t: dict[str, Column]) -> Column:
         (ctype.isin(DECISION_COURSES), ctype),
         ((brand == "aha") & bls, "aha_bls"),
         ((brand == "arc") & bls, "arc_bls"),
-        ((brand == "arc") & t["t_name"].rlike(r"\bcpr\b|first\s*aid|\baed\b"), "arc_cpr"),
+        ((brand == "arc") & words(t["t_name"], r"\bcpr\b|first\s*aid|\baed\b"), "arc_cpr"),
     )
 
 

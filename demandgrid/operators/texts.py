@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandgrid.functions.text import words
 from demandgrid.functions.exprs import EARTH_MILES_GRID, n, pick, stages
 from demandgrid.operators.classes import top_per
 from demandgrid.operators.geo import within
@@ -51,8 +52,7 @@ ROLES = {
 
 
 def found(text: Column, pattern: str) -> Column:
-    # (?U): \w and \b follow Unicode letters, so accented words are whole words
-    return text.rlike("(?iU)" + pattern)
+    return words(text, "(?i)" + pattern)
 
 
 def themes(text: Column) -> Column:

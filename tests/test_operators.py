@@ -20,6 +20,7 @@ from demandgrid.operators import matching as M
 from demandgrid.operators import modeled as MO
 from demandgrid.operators import ops as O
 from demandgrid.operators import ranks as R
+from demandgrid.operators import texts as TX
 from demandgrid.operators import zip_demand as Z
 
 C = F.col
@@ -229,6 +230,14 @@ def test_distance_dedupe_equals_greedy_walk(spark):
 
 # --- matching against the sequential rule -----------------------------------------------------------
 
+def test_patterns_see_unicode_words(spark):
+    texts = {"Clases en español": True, "我们提供 中文 服务": True, "Se habla ESPAÑOL": True, "españolas": False, "plain page": False, "langue étrangère": False}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", TX.found(C("text"), TX.PAGE_SIGNALS["multilingual_support"]).alias("hit")).collect()
+    assert {r.text: r.hit for r in rows} == texts
+    got = spark.createDataFrame([("éparking",), ("no parking",)], "text string").select(F.array_contains(TX.themes(C("text")), "parking").alias("p")).collect()
+    assert [r.p for r in got] == [False, True]
+
+
 def test_piles_under_two_names_pair_by_rank(spark):
     """Interleaved names that all match: the walk pairs the i-th left with the i-th right row."""
     n = 2000
