@@ -331,7 +331,7 @@ def test_switched_text_is_labelled_word_by_word(spark):
 
 # --- 8, 10: lines and passages --------------------------------------------------------------------
 
-@pytest.mark.parametrize("group,salt_at", [(64, 1 << 20), (3, 1 << 20), (4, 40)])
+@pytest.mark.parametrize("group,salt_at", [(1024, 1 << 20), (3, 1 << 20), (4, 40)])
 def test_lines_equal_brute_force(spark, edge, small, monkeypatch, group, salt_at):
     monkeypatch.setattr(line_dedup, "SALT_AT", salt_at)
     rng = random.Random(8)
@@ -340,7 +340,7 @@ def test_lines_equal_brute_force(spark, edge, small, monkeypatch, group, salt_at
     lines += [" ".join(x if rng.random() > 0.1 else rng.choice(words) for x in rng.choice(lines).split(" ")) for _ in range(150)]
     rng.shuffle(lines)
     made = spark.createDataFrame([(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(100)], "doc_id long, text string").repartition(4)
-    for docs in [made, edge] if group != 64 else [made, edge, small.limit(80)]:
+    for docs in [made, edge] if group != 1024 else [made, edge, small.limit(80)]:
         monkeypatch.setattr(line_dedup, "GROUP", group)
         got = collections.defaultdict(set)
         for r in line_dedup.removed_lines(docs).collect():
