@@ -41,27 +41,27 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def _bitmap(rows: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
-    """``rows`` with ``_hit``: whether the doc_id may be among ``ids`` (always true if it is).
+def _bitmap(rows: DataFrame, ids: DataFrame, bits: int, key: str) -> DataFrame:
+    """``rows`` with ``_hit``: whether their key may be among ``ids`` (always true if it is).
 
     A bitmap of hashed ids, at most ``bits`` / 64 rows whatever the input, is broadcast."""
-    h = F.xxhash64("doc_id").bitwiseAND(bits - 1)
+    h = F.xxhash64(key).bitwiseAND(bits - 1)
     words = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("_m"))
     marked = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), h.alias("_h")).join(F.broadcast(words), F.shiftright("_h", 6) == F.col("_w"), "left")
     return marked.select("_row", F.coalesce(F.expr("(_m & shiftleft(1L, int(_h & 63))) != 0"), F.lit(False)).alias("_hit"))
 
 
-def pruned(rows: DataFrame, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """``rows`` without most of those whose doc_id is not among ``ids`` (doc_id), so that
-    the join that follows need not shuffle the other rows' texts.  The more ids there
+def pruned(rows: DataFrame, ids: DataFrame, key: str = "doc_id", bits: int = 1 << 24) -> DataFrame:
+    """``rows`` without most of those whose key is not among ``ids``, so that the join that
+    follows need not shuffle the others (their texts, mostly).  The more ids there
     are, the more other rows pass too; wanted rows always do."""
-    return _bitmap(rows, ids, bits).where("_hit").select("_row.*")
+    return _bitmap(rows, ids, bits, key).where("_hit").select("_row.*")
 
 
 def without(docs: DataFrame, gone: DataFrame, bits: int = 1 << 24) -> DataFrame:
     """``docs`` less the rows in ``gone`` (a stored table of doc_id, _text = xxhash64 of
     the text); only rows that may be among them are shuffled for the anti-join."""
-    marked = _bitmap(docs, gone, bits)
+    marked = _bitmap(docs, gone, bits, "doc_id")
     named = gone.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).distinct()
     text = F.xxhash64(F.col("_row.text").cast("string"))
     stays = marked.where("_hit").join(named, F.col("_row.doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (text == F.col("_hash")), "left_anti")
