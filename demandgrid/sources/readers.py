@@ -134,8 +134,9 @@ POSTING_COLUMNS = ["city", "state", "latitude", "longitude", "radius_miles", "em
 RENT_COLUMNS = ["city", "state", "latitude", "longitude", "radius_miles", "rent_per_sqft_annual", "source_url", "notes"]
 
 
-def job_postings(spark: SparkSession, path: str) -> DataFrame:
-    df = big_csv(spark, path)
+def job_postings(spark: SparkSession, path: str, single_lines: bool = False) -> DataFrame:
+    """``single_lines``: the caller knows that no cell has a line break; large files are then split."""
+    df = (big_csv if single_lines else csv)(spark, path)
     require(df, POSTING_COLUMNS)
     num = ["latitude", "longitude", "radius_miles"]
     return df.withColumns({c: parse_number(C(c)) for c in num})
@@ -231,8 +232,9 @@ def profiles(spark: SparkSession, folder: str, schema: str, multi_line: bool = T
     return spark.read.schema(schema).option("multiLine", multi_line).json(folder)
 
 
-def backtest_rows(spark: SparkSession, path: str) -> DataFrame:
-    df = big_csv(spark, path)
+def backtest_rows(spark: SparkSession, path: str, single_lines: bool = False) -> DataFrame:
+    """``single_lines`` as for job_postings()."""
+    df = (big_csv if single_lines else csv)(spark, path)
     require(df, ["address", "state", "outcome"])
     return df.withColumn("outcome", parse_number(C("outcome"))).where(C("outcome").isNotNull())
 

@@ -52,6 +52,16 @@ def test_required_columns(spark, tmp_path):
     assert RD.backtest_rows(spark, b).count() == 1
 
 
+def test_line_breaks_in_cells(spark, tmp_path):
+    j = put(tmp_path, "j.csv", ",".join(RD.POSTING_COLUMNS) + '\nReno,NV,39.5,-119.8,5,A,EMT,"first\nsecond, third",http://x,2025-01-01,"n\n""m"""\nElko,NV,40,-115,9,B,CNA,one,http://y,2025-01-02,\n')
+    rows = {r.city: r for r in RD.job_postings(spark, j).collect()}
+    assert set(rows) == {"Reno", "Elko"} and rows["Elko"].radius_miles == 9.0
+    assert (rows["Reno"].description, rows["Reno"].source_url, rows["Reno"].notes) == ("first\nsecond, third", "http://x", 'n\n"m"')
+    b = put(tmp_path, "b.csv", 'address,state,label,outcome\n"1 A\nReno",NV,"a\nb",5\n2 B,NV,c,6\n')
+    assert sorted((r.address, r.outcome) for r in RD.backtest_rows(spark, b).collect()) == [("1 A\nReno", 5.0), ("2 B", 6.0)]
+    assert RD.backtest_rows(spark, put(tmp_path, "s.csv", "address,state,outcome\nx,CA,5\n"), single_lines=True).count() == 1
+
+
 def test_overrides_and_validation(spark, tmp_path):
     o = put(tmp_path, "o.csv", "candidate_id,address_match,asking_rent,square_feet,parking_notes,broker_notes\n,,1,2,,\nc1,,30,900,lot,\n")
     assert [r.candidate_id for r in RD.commercial_overrides(spark, o).collect()] == ["c1"]
