@@ -82,6 +82,7 @@ def test_plan_follows_the_pigeonhole_principle():
     assert (cost, chosen) == (11, [1, 0, -1])
 
 
+
 # --- 2: packing ---------------------------------------------------------------------------
 
 @pytest.mark.parametrize("table", ["edge", "small"])
@@ -329,6 +330,7 @@ def test_switched_text_is_labelled_word_by_word(spark):
     assert (best[:38] == chain.langs.index("en")).mean() > 0.9 and (best[42:] == chain.langs.index("de")).mean() > 0.9
 
 
+
 # --- 8, 10: lines and passages --------------------------------------------------------------------
 
 @pytest.mark.parametrize("group,salt_at", [(1024, 1 << 20), (3, 1 << 20), (4, 40)])
@@ -348,6 +350,16 @@ def test_lines_equal_brute_force(spark, edge, small, monkeypatch, group, salt_at
         assert dict(got) == brute.line_removals(rows_of(docs))
 
 
+def test_repeated_rows_lose_their_near_copies(spark):
+    """Lines of rows repeated under one id, similar but not equal to lines of an earlier document."""
+    rng = random.Random(9)
+    earlier = [[f"{rng.choice('abc')}{rng.randrange(10**6)}" for _ in range(12)] for _ in range(40)]
+    later = "\n".join(" ".join([*words, "more"]) for words in earlier)
+    docs = spark.createDataFrame([(1, "\n".join(map(" ".join, earlier))), (2, later), (2, later), (2, later)], "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["line"]) for r in line_dedup.removed_lines(docs).collect()}
+    assert got == {(2, k) for k in range(40)}
+
+
 def test_stripped_lines(edge, empty):
     out = line_dedup.strip_lines(edge)
     assert out.columns == edge.columns and out.count() == edge.count()
