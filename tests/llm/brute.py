@@ -39,6 +39,23 @@ def classes(ids, fps, distance=3):
     return [least[find(i)] for i in range(len(a))]
 
 
+def near_classes(rows, percent=80, width=5):
+    """Smallest id (None last) reachable over pairs of similar shingle sets, per row."""
+    sets = []
+    for _, t in rows:
+        w = WORDS.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for k in range(i):
+            if root[i] != root[k] and (sets[i] == sets[k] or 100 * len(sets[i] & sets[k]) >= percent * len(sets[i] | sets[k]) > 0):
+                root = [root[k] if r == root[i] else r for r in root]
+    least = {}
+    for (d, _), r in zip(rows, root):
+        least[r] = d if least.get(r) is None else least[r] if d is None else min(least[r], d)
+    return [least[r] for r in root]
+
+
 def strip_repeats(rows, span=50):
     """[(n_words, n_removed, kept_sha256)] for (doc_id, text) rows."""
     first = {}

@@ -7,13 +7,14 @@ import re
 import zlib
 
 import brute
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 from oracle import check, connect
 from pyspark.sql import functions as F
 
-from demandgrid.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup
+from demandgrid.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup
 from demandgrid.llm.queries import ORACLES, QUERIES
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -82,6 +83,23 @@ def test_plan_follows_the_pigeonhole_principle():
     assert (cost, chosen) == (11, [1, 0, -1])
 
 
+@pytest.mark.parametrize("named", [4, 1])
+def test_near_copies_equal_brute_force(spark, edge, small, monkeypatch, named):
+    """The pipeline's near stage: no pair of five-word Jaccard 0.8 or more stays, nothing else goes."""
+    monkeypatch.setattr(near_dedup, "NAMED", named)
+    rng = random.Random(4)
+    texts = []
+    for size in [6, 60, 60, 200, 400]:
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(size)]
+        for rate in [0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.1] * 4:
+            texts.append(" ".join(w if rng.random() >= rate else f"z{rng.randrange(5000)}" for w in base))
+    rng.shuffle(texts)
+    made = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string").repartition(4)
+    for docs in [made, edge, small]:
+        rows = rows_of(docs)
+        want = collections.Counter(r for r, c in zip(rows, brute.near_classes(rows)) if r[0] == c)
+        assert collections.Counter(rows_of(corpus_pipeline.near(spark, docs, SF))) == want
+
 
 # --- 2: packing ---------------------------------------------------------------------------
 
