@@ -1,6 +1,7 @@
 """Language identification by a linear-chain conditional random field.
 
-Every word of a text is a position, every language a label.  A word's emission is
+Every word of a text is a position (a word of more than ``LONG`` characters is several),
+every language a label.  A word's emission is
 the sum of hashed weights of its affixes (1 to 3 letters), letter trigrams and, if
 it is frequent enough in the sample, of the word itself (the lexicon); learned
 transitions say how likely a text stays in a language or switches.  The weights
@@ -42,19 +43,29 @@ PER_LANG = 250
 FIT_CHARS = 20_000
 BUCKETS = 1 << 18
 BLOCK = 32
+LONG = 64
 LETTER = re.compile(r"[^\W\d_]")
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 CACHED_WORDS = 400_000
 C = F.col
 
 
+def positions(text: str) -> list[str]:
+    """The words of a text; one of more than ``LONG`` characters (an unspaced script) in runs
+    of that length, which overlap by two so that no trigram is lost."""
+    words = WORDS.findall(text)
+    if not words or max(map(len, words)) <= LONG:
+        return words
+    return [w[k : k + LONG] for w in words for k in range(0, max(1, len(w) - 2), LONG - 2)]
+
+
 def features(word: str, lexicon: set[str]) -> list[int]:
     """Hashed features of a word; empty if it has no letter."""
     w = EDGES.sub("", word).lower()
     if not w:
         return []
     names = ["<" + w[:k] for k in (1, 2, 3)] + [">" + w[-k:] for k in (1, 2, 3)]
-    names += [w[k : k + 3] for k in range(len(w) - 2)] if len(w) <= 64 else [w[k : k + 3] for k in range(62)]
+    names += [w[k : k + 3] for k in range(len(w) - 2)]
     if w in lexicon:
         names.append("=" + w)
     return [zlib.crc32(x.encode()) & BUCKETS - 1 for x in names]
@@ -117,7 +128,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, chain: int = 64,
     langs = sorted(set(labels))
     if not langs:
         return None
-    docs = [WORDS.findall(t) for t in texts]
+    docs = [positions(t) for t in texts]
     seen = Counter(EDGES.sub("", w).lower() for d in docs for w in d)
     lexicon = {w for w, n in seen.items() if n >= 5 and w}
     k, rng = len(langs), np.random.default_rng(seed)
@@ -235,7 +246,7 @@ def predict(texts: list[str | None], reader: Reader, words_at_once: int = 60_000
 
     size = 0
     for text in texts:
-        words = WORDS.findall(text) if text and LETTER.search(text) else []
+        words = positions(text) if text and LETTER.search(text) else []
         if size and size + len(words) > words_at_once:
             flush()
             size = 0

@@ -348,6 +348,19 @@ def test_switched_text_is_labelled_word_by_word(spark):
     assert (best[:38] == chain.langs.index("en")).mean() > 0.9 and (best[42:] == chain.langs.index("de")).mean() > 0.9
 
 
+def test_long_words_are_read_to_their_end():
+    """Unspaced text: every trigram counts once, and the language of most letters wins."""
+    word = "".join(chr(0x4E00 + k) for k in range(1000))
+    runs = language_id.positions("a " + word)
+    assert runs[0] == "a" and [r[k : k + 3] for r in runs[1:] for k in range(len(r) - 2)] == [word[k : k + 3] for k in range(998)]
+    assert max(map(len, runs)) == 64 and language_id.positions("x" * 64) == ["x" * 64]
+    rng = random.Random(2)
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [made(x, 600) for x in ("abcde", "vwxyz") for _ in range(20)]
+    chain = language_id.train(texts, ["l1"] * 20 + ["l2"] * 20)
+    langs, scores = language_id.predict([made("abcde", 100) + made("vwxyz", 900), made("vwxyz", 100) + made("abcde", 900)], language_id.Reader(chain))
+    assert langs == ["l2", "l1"] and all(0.8 < s < 0.97 for s in scores)
+
 
 # --- 8, 10: lines and passages --------------------------------------------------------------------
 
