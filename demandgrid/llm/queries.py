@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from demandgrid.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup
+from demandgrid.llm import exact_dedup, language_id, line_dedup, mixing, packing, phrases, pii, quality_classifier, quality_rules, simhash, substring_dedup
 from demandgrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,21 @@ n AS (SELECT doc_id, count(*) AS n_lines FROM k GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n_lines, 0) AS n_lines, coalesce(r.n, 0) AS n_removed, coalesce(r.removed, '') AS removed FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id)""")
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_phrases", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE k >= 2 AND a >= 10),
+cuts AS (SELECT c.lang, phrase, k, a, i, array_to_string(w[:i], ' ') AS head, array_to_string(w[i + 1:], ' ') AS tail FROM c, (SELECT unnest([1, 2]) AS i) WHERE i < k),
+s AS (SELECT cuts.*, x.a AS l, y.a AS r, CAST((1000000::HUGEINT * cuts.a * cuts.a) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+o AS (SELECT b.lang, b.phrase, max(c.a) AS longer FROM b JOIN c ON c.lang = b.lang AND c.k = 3 AND b.k = 2 AND b.phrase IN (array_to_string(c.w[:2], ' '), array_to_string(c.w[2:], ' ')) GROUP BY ALL),
+t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000""")
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(table(spark, sf_dir, "documents"))
