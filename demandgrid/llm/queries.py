@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from demandgrid.llm import exact_dedup, language_id, line_dedup, mixing, packing, phrases, pii, quality_classifier, quality_rules, simhash, substring_dedup
+from demandgrid.llm import exact_dedup, language_id, line_dedup, mixing, packing, phrases, pii, quality_classifier, quality_rules, rare_features, simhash, substring_dedup
 from demandgrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,8 @@ t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a
 SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000""")
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.top_phrases(table(spark, sf_dir, "documents"))
+
+
+@query("op12_fingerprints")
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rare_features.fingerprints(table(spark, sf_dir, "documents"))
