@@ -14,8 +14,9 @@
    compressed, in base64 (empty without a filter).
 4. Two filters are compared by their common bits: 0 at what chance gives (plus
    ``MARGIN`` of the way), 1 where the smaller one is inside the larger.  The likeness
-   of two chains is the mean, over the filters of the shorter one, of the best match
-   in the longer one; empty chains are alike (1), an empty and another one are not (0).
+   of two chains is the mean, over the filters of the one with fewer bits (weighed by
+   their bits), of the best match in the other; empty chains are alike (1), an empty
+   and another one are not (0).
 
 Neighbours (the next document by descending id) come from one range partitioning of
 the rows; a task streams its rows in order, and the last row of each partition meets
@@ -157,11 +158,11 @@ def chains(texts: list[bytes], place: np.ndarray) -> list[np.ndarray]:
 
 
 def likeness(one: np.ndarray, other: np.ndarray) -> float:
-    if len(one) > len(other) or (len(one) == len(other) and one.tobytes() > other.tobytes()):
-        one, other = other, one
-    if not len(one):
-        return 1.0 if not len(other) else 0.0
-    a, b = np.ascontiguousarray(one).view(np.uint64), np.ascontiguousarray(other).view(np.uint64)
+    """How alike two chains are, 0 to 1; the same both ways."""
+    if not len(one) or not len(other):
+        return float(len(one) == len(other))
+    sides = [np.ascontiguousarray(x).view(np.uint64) for x in (one, other)]
+    a, b = sorted(sides, key=lambda x: (int(np.bitwise_count(x).sum()), x.tobytes()))
     na, nb = np.bitwise_count(a).sum(1).astype(np.int64), np.bitwise_count(b).sum(1).astype(np.int64)
     best = np.zeros(len(a))
     step = max(1, (1 << 18) // len(b))
@@ -171,7 +172,7 @@ def likeness(one: np.ndarray, other: np.ndarray) -> float:
         chance = na[s : s + step, None] * nb / BITS
         floor = chance + MARGIN * (most - chance)
         best[s : s + step] = np.clip((common - floor) / np.maximum(most - floor, 1e-9), 0, 1).max(1)
-    return float(best.mean())
+    return float((best * na).sum() / na.sum())
 
 
 def edited(text: bytes, following: bytes) -> bytes:
