@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from demandgrid.llm import exact_dedup, language_id, line_dedup, mixing, packing, phrases, pii, quality_classifier, quality_rules, rare_features, simhash, substring_dedup
+from demandgrid.llm import exact_dedup, language_id, line_dedup, mixing, packing, phrases, pii, prefix_trie, quality_classifier, quality_rules, rare_features, simhash, substring_dedup
 from demandgrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,25 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_fingerprints")
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rare_features.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op11_prefix_trie", """
+WITH t8 AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(256) x(i))),
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+z AS (SELECT c, count(*) AS n FROM o GROUP BY c),
+k AS (SELECT c, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 9 AS h FROM z, t8),
+b AS (SELECT k.c, k.h, least(k.h, coalesce(z.n, 0)) AS pre FROM k LEFT JOIN z ON z.c = k.c - k.c % 5),
+r AS (SELECT c, 0 AS d, '' AS role, '' AS text FROM b
+  UNION ALL SELECT k.c, o.i, o.role, o.text FROM k JOIN o ON o.c = k.c - k.c % 5 AND o.i <= k.h
+  UNION ALL SELECT b.c, b.pre + o.i - b.h, o.role, o.text FROM b JOIN o ON o.c = b.c AND o.i > b.h),
+q AS (SELECT c, d, octet_length(encode(text)) AS size, list(sha256(role || chr(10) || text)) OVER (PARTITION BY c ORDER BY d) AS path FROM r),
+s AS (SELECT c, d, size, sha256(array_to_string(path, ',')) AS node, lag(sha256(array_to_string(path, ','))) OVER (PARTITION BY c ORDER BY d) AS parent, lead(d) OVER (PARTITION BY c ORDER BY d) IS NULL AS ends FROM q),
+n AS (SELECT node, d, any_value(parent) AS parent, any_value(size) AS size, min(c) AS conv_id, count(*) AS n_convs, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends) AS ended FROM s GROUP BY node, d),
+f AS (SELECT parent AS node, count(*) AS n_children FROM n GROUP BY parent),
+g AS (SELECT s.node, sum((n.n_convs - 1) * n.size) AS saved_tokens, count_if(f.node IS NULL) AS n_leaves FROM n JOIN s ON s.c = n.conv_id AND s.d <= n.d LEFT JOIN f ON f.node = n.node GROUP BY s.node)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0) AS n_children, CAST(g.n_leaves AS BIGINT) AS n_leaves, CAST(g.saved_tokens AS BIGINT) AS saved_tokens,
+  sha256(coalesce(n.ended, '')) AS ends_sha256
+FROM n LEFT JOIN n p ON p.node = n.parent LEFT JOIN f ON f.node = n.node JOIN g ON g.node = n.node""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))

@@ -2,15 +2,94 @@
 
 import hashlib
 import math
+import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from demandgrid.llm import phrases, rare_features
+from demandgrid.llm import phrases, prefix_trie, rare_features
 
 from brute import LOWER
 
+# ---- op11
+
+
+def plain_trie(rows):
+    """rows: (conv_id, turn, role, text) -> {(conv_id, depth): rest of the row}"""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "", hashlib.sha256((text or "").encode()).hexdigest(), text or ""))
+    own = {c: [(x[2], x[4]) for x in sorted(v)] for c, v in own.items()}
+    members, ends = defaultdict(set), defaultdict(list)
+    for c, mine in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - int(math.fmod(c, 5))
+        whole = (*own.get(base, [])[:h], *mine[h:])
+        for d in range(len(whole) + 1):
+            members[whole[:d]].add(c)
+        ends[whole].append(c)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, tokens = Counter(), Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            tokens[p[:d]] += (len(m) - 1) * (len(p[-1][1].encode()) if p else 0)
+    sha = lambda ids: hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest()
+    return {(min(m), len(p)): (min(members[p[:-1]]) if p else None, len(m), children[p], leaves[p], tokens[p], sha(ends[p])) for p, m in members.items()}
+
+
+def found_trie(df):
+    rows = df.collect()
+    out = {(r["conv_id"], r["depth"]): (r["parent_conv_id"], r["n_convs"], r["n_children"], r["n_leaves"], r["saved_tokens"], r["ends_sha256"]) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+TURNS = "conv_id bigint, turn bigint, role string, text string, depth string, block string, i string, p1 string, n_convs string"
+
+
+def odd_turns():
+    rng = random.Random(2)
+    rows = [(c, t, rng.choice(["user", "bot", None]), rng.choice(["a", "b", "é", "", None])) for c in [-7, -5, *range(40)] for t in range(rng.randint(1, 13))]
+    rows += [(1000 + k, t, "user", f"same {t}") for k in range(30) for t in range(12)]  # copies
+    rows += [(50, None, "user", "null turn"), (50, None, "user", "null turn"), (50, 3, "z", "tie"), (50, 3, "y", "tie"), (None, 1, "user", "nobody")]
+    rows += [(200, t, "user", str(t % 7)) for t in range(60)] + [(201, t, "user", str(t % 7)) for t in range(45)]  # long ones
+    rows += [(303, 0, "user", "no base, one turn")]
+    return rows
+
+
+@pytest.mark.parametrize("depths, most", [(4096, 1 << 18), (4, 20)])
+def test_trie_equals_plain_one(spark, depths, most):
+    rows = odd_turns()
+    df = spark.createDataFrame([(*r, *["x"] * 5) for r in rows], TURNS).repartition(4)
+    assert found_trie(prefix_trie.trie(df, depths, most)) == plain_trie(rows)
+
+
+def test_trie_of_nothing_and_of_one(spark):
+    assert prefix_trie.trie(spark.createDataFrame([], TURNS)).count() == 0
+    for rows in ([(303, 0, "user", "x")], [(8, 1, None, None)], [(None, 1, "u", "x")]):
+        assert found_trie(prefix_trie.trie(spark.createDataFrame([(*r, *["x"] * 5) for r in rows], TURNS))) == plain_trie(rows)
+
+
+def test_trie_of_given_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    assert found_trie(prefix_trie.trie(df, most=50)) == plain_trie([tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()])
+
+
+def test_perfect_hash_is_minimal_and_verified():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 1000, 50_000):
+        p1, p2 = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for _ in range(2))
+        p1[: n // 2] = 5  # only the second half tells these apart
+        h = prefix_trie.PerfectHash(p1, p2)
+        s = h.slots(p1, p2)
+        assert sorted(s) == list(range(n))
+        assert (h.slots(p1, p2 ^ np.uint64(1 << 63)) == -1).all()
+
+
 # ---- op13
 
 
