@@ -46,8 +46,8 @@ MIN_COUNT = 10
 TOP = 2000
 #: Percent of a phrase's occurrences that a longer candidate around it may hold.
 INSIDE = 50
-CHUNK = 8 << 20
-FLUSH = 1 << 21
+CHUNK = 2 << 20
+FLUSH = 1 << 20
 PART_MASS = 1 << 26
 MAX_BITS = 29
 #: Word lists of a language are ranked in so many parts before they are ranked as one.
