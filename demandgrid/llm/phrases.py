@@ -241,7 +241,7 @@ def frequent_ngrams(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("bigint")).alias("n")).first()["n"] or 0
     # a text of b bytes has at most b / 2 + 1 words
-    bits = max(6, math.ceil(math.log2(1 + longest * size / 2 / PART_MASS)))
+    bits = max(8, math.ceil(math.log2(1 + longest * size / 2 / PART_MASS)))
     summaries = texts.mapInArrow(_summarised(bits, longest), SUMMARIES)
     found = saved(summaries.repartition(F.col("part")).sortWithinPartitions("part", "kind").mapInArrow(_merged(min_count), "part int, n bigint, hashes binary"))
     n = found.agg(F.sum("n").alias("n")).first()["n"] or 0
