@@ -1,7 +1,7 @@
 """Entity matching and set operations over names, places and record identities.
 
 Fuzzy joins meet on equi-keys only: grid cells for distance, rare tokens for
-names, whole substrings for containment.  Greedy one-to-one and keep-first rules
+names, rare runs of characters for containment.  Greedy one-to-one and keep-first rules
 are evaluated in rounds that give exactly the result of the sequential walk.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from demandgrid.functions.exprs import EARTH_MILES_GRID
+from demandgrid.functions.exprs import EARTH_MILES_GRID, fenced
 from demandgrid.functions.text import name_tokens, plain_name, token_jaccard
 from demandgrid.operators.geo import within
 from demandgrid.session import ensure_checkpoint_dir
@@ -141,17 +141,40 @@ def merge_duplicates(df: DataFrame, links: DataFrame, key: str, fill: list[str],
     return filled.withColumn("contactable", F.coalesce(has("phone"), F.lit(False)) | F.coalesce(has("url"), F.lit(False)))
 
 
-def contained(long: DataFrame, long_text: str, short: DataFrame, short_text: str) -> DataFrame:
+#: Characters of a key in the containment index; a shorter needle is its own key.
+GRAM = 4
+
+
+def _with_grams(df: DataFrame, text: str, sizes: Column) -> DataFrame:
+    """A row per distinct run of characters of the given sizes in ``text``, as _g.
+
+    Characters are split off once, so a text costs its length, however long it is."""
+    cut = fenced(df.withColumns({"_ch": F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), "_sizes": sizes}), ["_ch", "_sizes"])
+    runs = F.flatten(F.transform(F.filter("_sizes", lambda n: n <= F.size("_ch")), lambda n: F.transform(
+        F.sequence(F.lit(1), F.size("_ch") - n + 1), lambda i: F.array_join(F.slice("_ch", i, n), ""))))
+    return cut.select(*[c for c in df.columns if c != text], F.explode(F.array_distinct(runs)).alias("_g"))
+
+
+def contained(long: DataFrame, long_text: str, short: DataFrame, short_text: str, gram: int = GRAM) -> DataFrame:
     """Pairs where the short text occurs inside the long one.
 
-    Every substring of the long text whose length some short text has becomes a
-    join key, so containment is an exact equi-join."""
-    lengths = short.where(F.length(short_text) > 0).agg(F.collect_set(F.length(short_text)).alias("l")).scalar()
-    texts = long.where(C(long_text).isNotNull()).select(C(long_text).alias("_lt")).distinct().withColumn("_ls", lengths)
-    grams = F.flatten(F.transform(F.filter("_ls", lambda n: n <= F.length("_lt")), lambda n: F.transform(
-        F.sequence(F.lit(1), F.length("_lt") - n + 1), lambda i: F.substring(C("_lt"), i, n))))
-    keys = texts.select("_lt", F.explode(F.array_distinct(grams)).alias("_st"))
-    return long.join(keys, C(long_text) == C("_lt")).join(short, C("_st") == C(short_text)).drop("_lt", "_st")
+    An inverted index: every long text lists its distinct runs of ``gram`` characters
+    (of needles' own size where they are shorter), each needle is looked up under the
+    one of its runs that the fewest texts hold, and what meets there is verified.  A
+    needle with a run that no text holds meets nothing."""
+    ensure_checkpoint_dir(long.sparkSession)
+    needles = short.where(F.length(short_text) > 0).select(C(short_text).alias("_st")).distinct()
+    size = F.least(F.length("_st"), F.lit(gram))
+    keys = _with_grams(needles.withColumn("_n", C("_st")), "_n", F.array(size)).checkpoint()
+    sizes = needles.agg(F.collect_set(size).alias("s")).scalar()  # at most ``gram`` numbers
+    # the hash only says where to look: a pair is verified on the texts themselves
+    texts = long.where(C(long_text).isNotNull()).select(C(long_text).alias("_lt")).distinct().withColumn("_tid", F.xxhash64("_lt"))
+    held = _with_grams(texts, "_lt", sizes).join(keys.select("_g").distinct(), "_g", "left_semi").checkpoint()
+    spread = held.groupBy("_g").agg(F.count("*").alias("_df"))
+    rarest = keys.join(spread, "_g", "left").groupBy("_st").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "_g")).alias("_k"))
+    met = rarest.where("_k._df > 0").select("_st", C("_k._g").alias("_g")).join(held, "_g").select("_tid", "_st").distinct()
+    found = long.withColumn("_tid", F.xxhash64(long_text)).join(met, "_tid").where(F.contains(long_text, "_st"))
+    return found.join(short, C("_st") == C(short_text)).drop("_tid", "_st")
 
 
 def union_preferring(curated: DataFrame, live: DataFrame, url: str, order: str) -> DataFrame:
