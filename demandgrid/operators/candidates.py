@@ -17,6 +17,7 @@ from demandgrid.functions.exprs import (
 )
 from demandgrid.operators.classes import top_per
 from demandgrid.operators.geo import distance_buckets, within
+from demandgrid.operators.pyramid import near_sums
 
 C = F.col
 BUCKET_MILES = [1, 3, 5, 10]
@@ -55,6 +56,10 @@ def nearby(cands: DataFrame, places: DataFrame, miles: float) -> DataFrame:
     return within(spots(cands), places, ("at_lat", "at_lng"), ("p_lat", "p_lng"), miles, miles, EARTH_MILES_GRID)
 
 
+def _rings(miles: float) -> list[float]:
+    return sorted({float(m) for m in BUCKET_MILES if m < miles} | {float(miles)})
+
+
 def back_to(cands: DataFrame, per_spot: DataFrame) -> DataFrame:
     """Spot results for every candidate at that spot."""
     return cands.select("candidate_id", C("lat").alias("at_lat"), C("lng").alias("at_lng")).join(per_spot, ["at_lat", "at_lng"]).drop("at_lat", "at_lng")
@@ -63,7 +68,8 @@ def back_to(cands: DataFrame, per_spot: DataFrame) -> DataFrame:
 def demand_buckets(cands: DataFrame, places: DataFrame, miles: float = 10.0) -> DataFrame:
     """Distinct places per candidate spot and category within 1/3/5/10 miles."""
     p = places.dropDuplicates(["place_id", "category"]).groupBy(C("lat").alias("p_lat"), C("lng").alias("p_lng"), "category").agg(F.count("*").alias("k"))
-    return nearby(cands, p, miles).groupBy("at_lat", "at_lng", "category").agg(*distance_buckets(C("distance"), BUCKET_MILES, C("k")))
+    rings = near_sums(spots(cands), ("at_lat", "at_lng"), p, ("p_lat", "p_lng"), ["k"], keys=["category"], radii=_rings(miles))
+    return rings.groupBy("at_lat", "at_lng", "category").agg(*distance_buckets(C("distance"), BUCKET_MILES, C("k")))
 
 
 def nearest_places(cands: DataFrame, places: DataFrame, miles: float, limit: int) -> DataFrame:
@@ -79,7 +85,7 @@ def competition_summary(cands: DataFrame, competitors: DataFrame, miles: float =
 
     ``competitors``: place_id, lat, lng, rating, reviews, website, phone, checked and
     boolean page findings (booking_missing, ...); all counters are sums or maxima,
-    so they are taken per spot before the distance join."""
+    so they are taken per cell of a pyramid, and rings of cells are added."""
     r, v = C("rating"), F.coalesce(C("reviews"), F.lit(0))
     flag_cols = [c for c in competitors.columns if c.endswith(("_missing", "_offered", "_detected"))]
     direct = F.lower(F.coalesce(C("name"), F.lit(""))).rlike("|".join(DIRECT_WORDS))
@@ -88,7 +94,8 @@ def competition_summary(cands: DataFrame, competitors: DataFrame, miles: float =
         n(r < 4.0).alias("low_rated"), n(~C("website")).alias("no_site"), n(~C("phone")).alias("no_phone"), n(C("checked")).alias("checked"),
         n(v >= 100).alias("large"), n((v >= 25) & (v < 100)).alias("medium"), n((v > 0) & (v < 25)).alias("small"), n(v == 0).alias("unknown"),
         n(direct).alias("direct"), *[n(C(c)).alias(c) for c in flag_cols])
-    near = nearby(cands, per, miles)
+    counters = [c for c in per.columns if c not in ("p_lat", "p_lng", "m_v")]
+    near = near_sums(spots(cands), ("at_lat", "at_lng"), per, ("p_lat", "p_lng"), counters, ["m_v"], radii=_rings(miles))
     s = lambda c: F.sum(c)
     return near.groupBy("at_lat", "at_lng").agg(
         s("k").alias("competitor_count_total"), *[F.coalesce(F.sum(F.when(C("distance") <= m, C("k"))), F.lit(0)).alias(f"competitors_{m}mi") for m in BUCKET_MILES],

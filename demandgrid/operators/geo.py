@@ -195,30 +195,6 @@ def polygon_vertex_meters(lat: Column, lng: Column, polygon: Column) -> Column:
     return F.when(polygon_contains(lat, lng, polygon), F.lit(0.0)).otherwise(d)
 
 
-def polygon_cells(zones: DataFrame, polygon: str, meters: float, size: float) -> DataFrame:
-    """Zones copied to the cells of their bounding box, grown by a margin."""
-    p = C(polygon)
-    lat_lo, lat_hi = F.array_min(F.transform(p, lambda v: v["lat"])), F.array_max(F.transform(p, lambda v: v["lat"]))
-    lng_lo, lng_hi = F.array_min(F.transform(p, lambda v: v["lng"])), F.array_max(F.transform(p, lambda v: v["lng"]))
-    pad = meters / 1609.344
-    dlat = F.lit(pad / _SAFE_DEGREE)
-    dlng = _lng_reach(F.greatest(F.abs(lat_lo), F.abs(lat_hi)) + dlat, F.lit(pad))
-    return zones.withColumn("cy", F.explode(F.sequence(F.floor((lat_lo - dlat) / size), F.floor((lat_hi + dlat) / size)))).withColumn(
-        "cx", F.explode(lng_range(lng_lo - dlng, lng_hi + dlng, size)))
-
-
-def near_zones(pts: DataFrame, key: str, lat: str, lng: str, zones: DataFrame, polygon: str,
-               meters: float, min_keep: int, size: float = 0.05) -> DataFrame:
-    """Points inside, or within a margin of, any zone; every point when fewer than
-    ``min_keep`` qualify."""
-    z = polygon_cells(zones.select(C(polygon).alias("_poly")), "_poly", meters, size)
-    met = in_cell(pts, lat, lng, size).join(z, ["cy", "cx"]).where(
-        polygon_vertex_meters(C(lat), C(lng), C("_poly")) <= meters).select(key).distinct()
-    kept = met.agg(F.count("*").alias("k")).scalar()
-    marked = pts.join(met.withColumn("_hit", F.lit(True)), key, "left")
-    return marked.where(C("_hit") | (kept < min_keep)).drop("_hit")
-
-
 def catchment(pairs: DataFrame, lat: Column, lng: Column, polygon: Column) -> DataFrame:
     """Keep rows inside the catchment; rows without coordinates stay, and fewer
     than three vertices is no catchment at all."""

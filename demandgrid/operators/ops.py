@@ -10,6 +10,7 @@ from demandgrid.functions.exprs import clamp, flags, joined, lookup, n, nonzero,
 from demandgrid.functions.text import plain_name
 from demandgrid.operators.classes import iso, top_per
 from demandgrid.operators.geo import nearest, within
+from demandgrid.operators.pyramid import nearest_k
 from demandgrid.session import ensure_checkpoint_dir
 
 C = F.col
@@ -195,8 +196,8 @@ def match_instructors(targets: DataFrame, people: DataFrame, leads: DataFrame, m
 
     Stored leads of the ZIP and past instructors with the same plain name become
     one row; instructors beyond the radius are taken only where nobody real is
-    near, the nearest ``fallback`` of them.  That search doubles its radius and
-    only targets still short of people go on, so it never pairs everything.
+    near, the nearest ``fallback`` of them.  Counts of people by cell tell each such
+    target how far it must look, so it meets a few cells, never everybody.
 
     ``targets``: zip, lat, lng; ``people``: person, h_lat, h_lng, proven, performance_tier;
     ``leads``: zip, name, source, ..."""
@@ -223,23 +224,9 @@ def match_instructors(targets: DataFrame, people: DataFrame, leads: DataFrame, m
     alone = targets.join(crowd, "zip", "left_anti").checkpoint()
     # one home spot can fill a list with at most ``fallback`` people
     few = top_per(p, ["h_lat", "h_lng"], [C("person")], fallback, "_r").drop("_r").checkpoint()
-    far = None
-    reach = miles
-    while reach < 12500.0:
-        reach *= 2
-        hits = within(alone, few, ("lat", "lng"), ("h_lat", "h_lng"), reach, reach).select("zip", "nname", "person", rnd(C("distance"), 1).alias("p_miles"), "distance", "proven", "performance_tier")
-        best = top_per(hits, ["zip"], [C("distance"), C("person")], fallback).checkpoint()
-        full = best.groupBy("zip").agg(F.max("rn").alias("m")).where(C("m") >= fallback).select("zip")
-        last = reach >= 12500.0
-        done = best if last else best.join(full, "zip", "left_semi")
-        far = done if far is None else far.unionByName(done)
-        alone = alone.join(full, "zip", "left_anti").checkpoint()
-        if alone.isEmpty():
-            break
-    pool = crm.unionByName(sig).unionByName(fresh)
-    if far is not None:
-        pool = pool.unionByName(as_lead(far))
-    return pool
+    hits = nearest_k(alone, "zip", "lat", "lng", few, "h_lat", "h_lng", fallback)
+    far = top_per(hits, ["zip"], [C("distance"), C("person")], fallback).select("zip", "nname", "person", rnd(C("distance"), 1).alias("p_miles"), "proven", "performance_tier")
+    return crm.unionByName(sig).unionByName(fresh).unionByName(as_lead(far))
 
 
 def roster_near(targets: DataFrame, roster: DataFrame, max_radius: float, default_radius: float = 20.0) -> DataFrame:

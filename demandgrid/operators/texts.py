@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandgrid.functions.text import words
-from demandgrid.functions.exprs import EARTH_MILES_GRID, n, pick, stages
+from demandgrid.functions.exprs import n, pick, stages
 from demandgrid.operators.classes import top_per
-from demandgrid.operators.geo import within
+from demandgrid.operators.pyramid import near_sums
 
 C = F.col
 
@@ -110,12 +110,13 @@ def posting_spots(flags: DataFrame, extra: list[str] | None = None) -> DataFrame
     return flags.groupBy(*keys).agg(F.count("*").alias("postings"), n(C("certification")).alias("certified"), *[n(C(k)).alias(k) for k in [*CERTIFICATIONS, *ROLES]])
 
 
-def near_spots(cands: DataFrame, spots: DataFrame, max_radius: float) -> DataFrame:
-    """Distinct candidate places x posting spots that cover them (own radius,
+def covered(cands: DataFrame, spots: DataFrame, sums: list[str], keys: list[str], max_radius: float) -> DataFrame:
+    """Sums over the posting spots that cover each distinct candidate place (own radius,
     state equal when the posting names one).  ``cands``: lat, lng, state."""
     at = cands.where(C("lat").isNotNull()).select("lat", "lng", C("state").alias("c_state")).distinct()
-    near = within(at, spots, ("lat", "lng"), ("jlat", "jlng"), C("radius"), max_radius, EARTH_MILES_GRID)
-    return near.where((F.coalesce(C("state"), F.lit("")) == "") | (C("state") == F.upper("c_state")))
+    near = near_sums(at, ("lat", "lng"), spots, ("jlat", "jlng"), sums, keys=["state", *keys], own="radius", max_miles=max_radius)
+    met = at.join(near, ["lat", "lng"]).where((F.coalesce(C("state"), F.lit("")) == "") | (C("state") == F.upper("c_state")))
+    return met.groupBy("lat", "lng", "c_state", *keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def _per_candidate(cands: DataFrame, per: DataFrame) -> DataFrame:
@@ -127,12 +128,12 @@ def _per_candidate(cands: DataFrame, per: DataFrame) -> DataFrame:
 
 def posting_demand(cands: DataFrame, flags: DataFrame, max_radius: float) -> DataFrame:
     """Counts per candidate over the postings whose radius covers it."""
-    here = ["lat", "lng", "c_state"]
-    counts = near_spots(cands, posting_spots(flags), max_radius).groupBy(*here).agg(
-        F.sum("postings").alias("active_postings_count"), F.sum("certified").alias("certification_postings_count"), *[F.sum(k).alias(f"{k}_count") for k in [*CERTIFICATIONS, *ROLES]])
+    kinds = [*CERTIFICATIONS, *ROLES]
+    counts = covered(cands, posting_spots(flags), ["postings", "certified", *kinds], [], max_radius).select(
+        "lat", "lng", "c_state", C("postings").alias("active_postings_count"), C("certified").alias("certification_postings_count"), *[C(k).alias(f"{k}_count") for k in kinds])
     name = F.lower(F.trim("employer"))
-    who = flags.where(name != "").select("jlat", "jlng", "radius", "state", name.alias("who")).distinct()
-    employers = near_spots(cands, who, max_radius).groupBy(*here).agg(F.countDistinct("who").alias("unique_employers_count"))
+    who = flags.where(name != "").groupBy("jlat", "jlng", "radius", "state", name.alias("who")).agg(F.count("*").alias("postings"))
+    employers = covered(cands, who, ["postings"], ["who"], max_radius).groupBy("lat", "lng", "c_state").agg(F.count("*").alias("unique_employers_count"))
     j = counts.alias("a").join(employers.alias("b"), (C("a.lat") == C("b.lat")) & (C("a.lng") == C("b.lng")) & C("a.c_state").eqNullSafe(C("b.c_state")), "left")
     both = j.select("a.*", F.coalesce("b.unique_employers_count", F.lit(0)).alias("unique_employers_count"))
     return _per_candidate(cands, both)
@@ -141,5 +142,5 @@ def posting_demand(cands: DataFrame, flags: DataFrame, max_radius: float) -> Dat
 def top_employers(cands: DataFrame, flags: DataFrame, max_radius: float, limit: int = 10) -> DataFrame:
     who = F.when(F.trim("employer") == "", "unknown").otherwise(F.trim("employer"))
     per = flags.withColumn("who", who).groupBy("jlat", "jlng", "radius", "state", "who").agg(F.count("*").alias("postings"))
-    sums = near_spots(cands, per, max_radius).groupBy("lat", "lng", "c_state", C("who").alias("employer")).agg(F.sum("postings").alias("postings"))
+    sums = covered(cands, per, ["postings"], ["who"], max_radius).withColumnRenamed("who", "employer")
     return _per_candidate(cands, top_per(sums, ["lat", "lng", "c_state"], [C("postings").desc(), C("employer")], limit, "position"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from demandgrid.functions.exprs import haversine, haversine_meters, joined, rnd
 from demandgrid.operators import geo as G
+from demandgrid.operators import pyramid as PY
 from demandgrid.operators import ranks as RK
 from demandgrid.operators import zip_demand as Z
 from demandgrid.operators.classes import is_held
@@ -362,8 +363,9 @@ SELECT zip, kind, count(CASE WHEN d <= 1 THEN 1 END) AS within_1, count(CASE WHE
 def _(spark, sf):
     # copies of a spot are counted once each kind, then weighted
     p = V.pois(spark, sf).groupBy("kind", C("lat").alias("plat"), C("lng").alias("plng")).agg(F.count("*").alias("k"))
-    pairs = G.within(V.centroids(spark, sf), p, ("lat", "lng"), ("plat", "plng"), 10.0, 10.0, 3958.7613)
-    return pairs.groupBy("zip", "kind").agg(*G.distance_buckets(C("distance"), [1, 3, 5, 10], C("k")))
+    z = V.centroids(spark, sf)
+    rings = PY.near_sums(z, ("lat", "lng"), p, ("plat", "plng"), ["k"], keys=["kind"], radii=[1.0, 3.0, 5.0, 10.0])
+    return z.join(rings, ["lat", "lng"]).groupBy("zip", "kind").agg(*G.distance_buckets(C("distance"), [1, 3, 5, 10], C("k")))
 
 
 @query("j27_zip_distance", with_views("v_centroid", f"""
@@ -401,9 +403,7 @@ INSIDE = f"({_cross(1, 3)} + {_cross(2, 1)} + {_cross(3, 2)}) % 2 = 1"
 
 @query("j20_point_in_polygon", with_views("v_point", f"SELECT zone_id, point_id FROM t2 CROSS JOIN v_point WHERE lat IS NOT NULL AND {INSIDE}", tri=TRI, t2=TRI2))
 def _(spark, sf):
-    z = G.polygon_cells(triangles(spark, sf), "polygon", 0.0, 0.05)
-    j = G.in_cell(V.points(spark, sf), "lat", "lng", 0.05).join(z, ["cy", "cx"])
-    return j.where(G.polygon_contains(C("lat"), C("lng"), C("polygon"))).select("zone_id", "point_id").distinct()
+    return PY.in_zones(V.points(spark, sf), "lat", "lng", triangles(spark, sf), "zone_id", "polygon").select("zone_id", "point_id")
 
 
 def _m(i):
@@ -413,7 +413,7 @@ def _m(i):
 @query("j21_commercial_zone_filter", with_views("v_point", f"""SELECT DISTINCT point_id FROM t2 CROSS JOIN v_point WHERE lat IS NOT NULL AND ({INSIDE}
  OR least({_m(1)}, {_m(2)}, {_m(3)}) <= 250)""", tri=TRI, t2=TRI2))
 def _(spark, sf):
-    return G.near_zones(V.points(spark, sf), "point_id", "lat", "lng", triangles(spark, sf), "polygon", 250.0, 3).select("point_id")
+    return PY.near_zones(V.points(spark, sf), "point_id", "lat", "lng", triangles(spark, sf), "polygon", 250.0, 3).select("point_id")
 
 
 @query("j22_catchment_trim", with_views("v_centroid v_poi", f"""
