@@ -7,6 +7,8 @@ whatever the number of records.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -446,24 +448,35 @@ def cohort_differentiation(df: DataFrame, cohort: str, score: str) -> DataFrame:
     return s.select(cohort, rnd(F.when(C("k") >= 2, clamp((cv - 0.02) / 0.08, 0, 1)).otherwise(1.0) * 100.0, 2).alias("differentiation"))
 
 
-def catchment_overlap(nearest5: DataFrame, cands: DataFrame) -> DataFrame:
+def catchment_overlap(nearest5: DataFrame, cands: DataFrame, most: int = 5) -> DataFrame:
     """Mean Jaccard of each candidate's nearest-competitor set with all others.
 
-    Equal sets collapse to one row with a weight, and only sets that share a
-    competitor meet; sets without anything in common count as zero in the mean.
-    ``nearest5``: candidate_id, place_id (at most five rows a candidate)."""
+    ``nearest5``: candidate_id, place_id (at most ``most`` rows a candidate); sets
+    without anything in common count as zero in the mean.
+
+    No two sets ever meet.  Every subset of a set (at most 2**most) is counted over all
+    sets by their size.  The counts of a set's subsets of j competitors add up to the
+    sum of C(k, j) over all others with k in common, so inclusion and exclusion gives how
+    many have exactly k, and with the sizes their Jaccards.  A competitor that nearly
+    all sets hold is one more counted subset, and costs what any other does."""
     sets = nearest5.groupBy("candidate_id").agg(F.array_sort(F.collect_set("place_id")).alias("ids"))
-    kinds = sets.groupBy("ids").agg(F.count("*").alias("w")).withColumn("sid", F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")))
     m = sets.agg(F.count("*").alias("m")).scalar()
-    one = kinds.select("sid", F.size("ids").alias("n"), "w", F.explode("ids").alias("pid"))
-    other = one.select(C("sid").alias("sid2"), C("n").alias("n2"), C("w").alias("w2"), "pid")
-    shared = one.join(other, "pid").groupBy("sid", "sid2", "n", "n2", "w2").agg(F.count("*").alias("k"))
-    jac = C("k") / (C("n") + C("n2") - C("k"))
-    weight = C("w2") - F.when(C("sid") == C("sid2"), 1).otherwise(0)
-    sums = shared.groupBy("sid").agg(F.sum(jac * weight).alias("s"))
-    per = sets.withColumn("sid", F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))).join(sums, "sid").select("candidate_id", "s").withColumn("_m", m)
+    kinds = sets.groupBy("ids").agg(F.count("*").alias("w"))
+    chosen = lambda mask: F.filter("ids", lambda x, i: F.floor(mask / F.pow(F.lit(2.0), i)) % 2 == 1)
+    subsets = F.transform(F.sequence(F.lit(1), F.pow(F.lit(2.0), F.size("ids")).cast("int") - 1), chosen)
+    rows = kinds.select("ids", "w", F.size("ids").alias("n"), F.explode(subsets).alias("sub"))
+    counts = rows.groupBy("sub", C("n").alias("n2")).agg(F.sum("w").alias("c"))
+    a = rows.select("ids", "n", "sub").join(counts, "sub").groupBy("ids", "n", "n2").agg(
+        *[F.sum(F.when(F.size("sub") == j, C("c")).otherwise(0)).alias(f"_a{j}") for j in range(1, most + 1)])
+    parts = []
+    for k in range(1, most + 1):
+        exactly = total([(-1) ** (j - k) * math.comb(j, k) * C(f"_a{j}") for j in range(k, most + 1)])
+        parts.append(F.when(exactly > 0, exactly * k / (C("n") + C("n2") - k)).otherwise(0.0))
+    # a set is in its own counts, with Jaccard 1
+    per = a.groupBy("ids").agg((F.sum(total(parts)) - 1.0).alias("s"))
+    mine = sets.join(per, "ids").select("candidate_id", "s").withColumn("_m", m)
     mean = F.try_divide(C("s"), C("_m") - 1)
-    out = cands.select("candidate_id").join(per, "candidate_id", "left")
+    out = cands.select("candidate_id").join(mine, "candidate_id", "left")
     return out.select("candidate_id", rnd(F.coalesce(clamp(1.0 - mean / 0.6, 0, 1), F.lit(1.0)) * 100.0, 2).alias("catchment_overlap"))
 
 

@@ -370,19 +370,19 @@ def _(spark, sf):
 SUBS = {"demand_score": (0, 37, 101, 1, 999983), "training_score": (0, 53, 101, 1, 999983), "competition_gap_score": (10, 7, 61, 1, 999983), "opportunity_score": (0, 29, 101, 1, 999983),
         "economy_score": (0, 31, 101, 1, 999983), "accessibility_score": (0, 41, 101, 1, 999983), "historical_score": (0, 43, 101, 1, 999983), "profitability_score": (0, 47, 101, 1, 999983)}
 COH = {"cohort": ["north", "south", "east"]}
-extend("v_scored", f"SELECT *, {R(' + '.join(f'{k} * {w}' for k, w in K.SUB_SCORES.items()), 2)} AS area_score FROM (SELECT point_id AS candidate_id, lat, lng, {derived_sql(SUBS, COH, {})} FROM (SELECT *, point_id AS k FROM v_point WHERE point_id > 0))", ["v_point"])
+extend("v_scored", f"SELECT *, {R(' + '.join(f'{k} * {w}' for k, w in K.SUB_SCORES.items()), 2)} AS area_score FROM (SELECT point_id AS candidate_id, lat, lng, {derived_sql(SUBS, COH, {})} FROM (SELECT *, point_id AS k FROM v_point))", ["v_point"])
 
 
 def scored(spark, sf):
-    p = V.points(spark, sf).where("point_id > 0")
+    p = V.points(spark, sf)
     df = p.select(C("point_id").alias("candidate_id"), "lat", "lng", *[v.alias(n) for n, v in derived_columns(C("point_id"), SUBS, COH, {}).items()])
     return K.stages(df, {"area_score": rnd(K.total([C(k) * w for k, w in K.SUB_SCORES.items()]), 2)})
 
 
-_blend = lambda c: f"CASE WHEN sd_{c} < 1e-6 THEN {c} ELSE {R(f'greatest(0.0, least(100.0, 0.5 * {c} + 50.0 / (1.0 + exp(-({c} - mu_{c}) / sd_{c}))))', 2)} END"
+_blend = lambda c: f"CASE WHEN {c} IS NULL THEN NULL WHEN sd_{c} < 1e-6 THEN {c} ELSE {R(f'greatest(0.0, least(100.0, 0.5 * {c} + 50.0 / (1.0 + exp(-({c} - mu_{c}) / sd_{c}))))', 2)} END"
 COHORT = layer("v_scored", {f"{a}_{c}": f"{f}({c}) OVER (PARTITION BY cohort)" for c in K.NORMALIZED for a, f in (("mu", "avg"), ("sd", "stddev_pop"))},
                {f"n_{c}": _blend(c) for c in K.NORMALIZED},
-               {"cohort_area_score": R(" + ".join(f"{'n_' if k in K.NORMALIZED else ''}{k} * {w}" for k, w in K.SUB_SCORES.items()), 2)})
+               {"cohort_area_score": R(" + ".join(f"coalesce({'n_' if k in K.NORMALIZED else ''}{k}, 0) * {w}" for k, w in K.SUB_SCORES.items()), 2)})
 
 
 @query("w06_cohort_blend", with_views("v_scored", "SELECT candidate_id, cohort, " + ", ".join(f"n_{c}" for c in K.NORMALIZED) + ", cohort_area_score FROM co", co=COHORT))
@@ -403,7 +403,7 @@ def _(spark, sf):
 
 
 @query("w07_factor_decomposition", with_views("v_scored", f"""SELECT candidate_id, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY abs(contribution) DESC, sub_score) AS INT) AS position, sub_score, value, cohort_mean, delta, contribution FROM (
- {" UNION ALL ".join(f"SELECT candidate_id, '{c}' AS sub_score, {R(c, 2)} AS value, {R(f'avg({c}) OVER (PARTITION BY cohort)', 2)} AS cohort_mean, {R(f'{c} - avg({c}) OVER (PARTITION BY cohort)', 2)} AS delta, {R(f'({c} - avg({c}) OVER (PARTITION BY cohort)) * {w}', 3)} AS contribution FROM v_scored" for c, w in K.SUB_SCORES.items())})"""))
+ {" UNION ALL ".join(f"SELECT candidate_id, '{c}' AS sub_score, {R(c, 2)} AS value, {R(f'avg({c}) OVER (PARTITION BY cohort)', 2)} AS cohort_mean, {R(f'{c} - avg({c}) OVER (PARTITION BY cohort)', 2)} AS delta, {R(f'({c} - avg({c}) OVER (PARTITION BY cohort)) * {w}', 3)} AS contribution FROM v_scored" for c, w in K.SUB_SCORES.items())}) WHERE value IS NOT NULL"""))
 def _(spark, sf):
     return K.factor_decomposition(scored(spark, sf), "cohort")
 

@@ -102,9 +102,9 @@ def _(spark, sf):
     return valid_rows(spark, sf).groupBy("model_agreement").agg(F.count("*").alias("zips"))
 
 
-@query("u03_key_intersection", with_views("v_zip prof", "SELECT count(*) AS common FROM (SELECT zip FROM v_zip INTERSECT SELECT zip FROM prof)"))
+@query("u03_key_intersection", with_views("v_zip prof", "SELECT zip FROM v_zip INTERSECT SELECT zip FROM prof"))
 def _(spark, sf):
-    return zips(spark, sf).select("zip").intersect(held(spark, sf).select("zip")).agg(F.count("*").alias("common"))
+    return zips(spark, sf).select("zip").intersect(held(spark, sf).select("zip"))
 
 
 _SIGNALS = ["population", "median_household_income", "hospital_count", "healthcare_facility_count", "demand_score"]

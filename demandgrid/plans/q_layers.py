@@ -101,7 +101,7 @@ def _(spark, sf):
     return c.select("candidate_id", "median_household_income").join(labor, "candidate_id", "left").join(rent, "candidate_id", "left")
 
 
-@query("c43_score_outcome_join", with_views("v_scored", "SELECT count(*) AS rows, " + R("corr(area_score, o)", 6) + " AS pearson FROM (SELECT s.area_score, avg(o_totalprice) AS o FROM v_scored s JOIN orders ON s.candidate_id = o_custkey GROUP BY s.candidate_id, s.area_score)"))
+@query("c43_score_outcome_join", with_views("v_scored", "SELECT count(area_score) AS rows, " + R("corr(area_score, o)", 6) + " AS pearson FROM (SELECT s.area_score, avg(o_totalprice) AS o FROM v_scored s JOIN orders ON s.candidate_id = o_custkey GROUP BY s.candidate_id, s.area_score)"))
 def _(spark, sf):
     from demandgrid.operators.ranks import fit
     from demandgrid.plans.q_candidates import scored as cohort_scored
@@ -175,11 +175,11 @@ def _(spark, sf):
 
 
 @query("c48_missing_inputs", with_views("v_zip v_space", """SELECT z.zip, i.input, 'add_' || i.input || '_input' AS task FROM v_zip z CROSS JOIN (VALUES ('rooms'), ('hospitals'), ('transit')) i(input) WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.input = i.input AND h.zip = z.zip)""",
-       have="SELECT 'rooms' AS input, zip FROM v_space UNION ALL SELECT 'hospitals', zip FROM v_zip WHERE hospital_count > 0 UNION ALL SELECT 'transit', zip FROM v_zip WHERE hospital_count < 0"))
+       have="SELECT 'rooms' AS input, zip FROM v_space UNION ALL SELECT 'hospitals', zip FROM v_zip WHERE hospital_count > 0 UNION ALL SELECT 'transit', lpad(CAST(s_suppkey * 13 % 700 AS VARCHAR), 5, '0') FROM supplier"))
 def _(spark, sf):
     z = zips(spark, sf)
     have = {"rooms": V.table(spark, sf, "part").select(F.lpad((C("p_partkey") % 700).cast("string"), 5, "0").alias("zip")),
-            "hospitals": z.where("hospital_count > 0").select("zip"), "transit": z.where("hospital_count < 0").select("zip")}
+            "hospitals": z.where("hospital_count > 0").select("zip"), "transit": V.table(spark, sf, "supplier").select(F.lpad((C("s_suppkey") * 13 % 700).cast("string"), 5, "0").alias("zip"))}
     return MT.missing_inputs(z.select("zip"), "zip", have).withColumn("task", F.concat(F.lit("add_"), C("input"), F.lit("_input")))
 
 
@@ -302,9 +302,9 @@ def _(spark, sf):
     return RD.commercial_validation(spark, saved(spark, raw)).select("zip", "monthly_rent")
 
 
-@query("s15_state_price_file", "SELECT upper(r_name) AS state, 80.0::DOUBLE AS median_price, CAST(r_regionkey AS DOUBLE) AS sample_size FROM region")
+@query("s15_state_price_file", "SELECT upper(r_name) AS state, CASE WHEN r_regionkey % 4 < 3 THEN 80 + r_regionkey * 1.25 END::DOUBLE AS median_price, CAST(r_regionkey AS DOUBLE) AS sample_size FROM region")
 def _(spark, sf):
-    raw = V.table(spark, sf, "region").select(F.lower("r_name").alias("state"), F.lit("80").alias("median_price"), C("r_regionkey").alias("sample_size"), F.lit("75").alias("overall_median"))
+    raw = V.table(spark, sf, "region").select(F.lower("r_name").alias("state"), F.when(C("r_regionkey") % 4 < 3, F.concat(F.lit("$"), (80 + C("r_regionkey") * 1.25).cast("string"))).otherwise("n/a").alias("median_price"), C("r_regionkey").alias("sample_size"), F.lit("75").alias("overall_median"))
     return RD.state_prices(spark, saved(spark, raw)).select("state", "median_price", "sample_size")
 
 
@@ -320,9 +320,9 @@ def _(spark, sf):
     return RD.locations(spark, saved(spark, raw)).select("location_name", "zip", "active_status", "capacity")
 
 
-@query("s18_course_economics_file", "SELECT upper(r_name) AS course_type, 90.5::DOUBLE AS student_price, NULL::DOUBLE AS card_cost FROM region")
+@query("s18_course_economics_file", "SELECT upper(r_name) AS course_type, (90.5 + r_regionkey)::DOUBLE AS student_price, CASE WHEN r_regionkey % 2 = 1 THEN 3 * r_regionkey END::DOUBLE AS card_cost FROM region")
 def _(spark, sf):
-    raw = V.table(spark, sf, "region").select(C("r_name").alias("course_type"), F.lit("$90.50").alias("student_price"), F.lit("n/a").alias("card_cost"))
+    raw = V.table(spark, sf, "region").select(C("r_name").alias("course_type"), F.concat(F.lit("$"), (90.5 + C("r_regionkey")).cast("string")).alias("student_price"), F.when(C("r_regionkey") % 2 == 1, (3 * C("r_regionkey")).cast("string")).otherwise("n/a").alias("card_cost"))
     return RD.keyed_numbers(spark, saved(spark, raw), "course_type", ["student_price", "card_cost"])
 
 
@@ -390,11 +390,11 @@ def _(spark, sf):
     return df.select("course_type", C("average_students").cast("double").alias("average_students"), C("class_count").cast("bigint").alias("class_count"))
 
 
-@query("s31_preferred_layer", with_views("v_zip", "SELECT count(*) AS rows FROM v_zip"))
+@query("s31_preferred_layer", with_views("v_zip", "SELECT zip, population FROM v_zip"))
 def _(spark, sf):
     base = scratch(spark)
-    zips(spark, sf).select("zip").write.parquet(base + "/base")
-    return spark.read.parquet(RD.preferred(spark, [base + "/enriched", base + "/base"])).agg(F.count("*").alias("rows"))
+    zips(spark, sf).select("zip", "population").write.parquet(base + "/base")
+    return spark.read.parquet(RD.preferred(spark, [base + "/enriched", base + "/base"]))
 
 
 @query("s32_backtest_file", "SELECT CAST(s_suppkey AS VARCHAR) AS address, CAST(s_suppkey AS DOUBLE) AS outcome FROM supplier WHERE s_suppkey % 3 > 0")
@@ -403,8 +403,8 @@ def _(spark, sf):
     return RD.backtest_rows(spark, saved(spark, raw)).select("address", "outcome")
 
 
-@query("c42_zip_files", with_views("v_zip", "SELECT count(*) AS rows, count(DISTINCT zip) AS zips FROM v_zip"))
+@query("c42_zip_files", with_views("v_zip", "SELECT zip, population FROM v_zip"))
 def _(spark, sf):
     path = scratch(spark)
     SK.write_zip_files(zips(spark, sf).select("zip", "population"), path)
-    return spark.read.schema("population double, zip string").json(path).agg(F.count("*").alias("rows"), F.countDistinct("zip").alias("zips"))
+    return spark.read.schema("population double, zip string").json(path).select("zip", "population")

@@ -147,7 +147,7 @@ def _(spark, sf):
 SN = {"monthly_avg_revenue": (0, 173, 3000, 1, 5), "raw_gap": (-500, 61, 1500, 1, 2), "period_net_profit": (-400, 83, 900, 1, 3)}
 SL = {"health_status": ["critical", " Strong", "stable", None, "LEAKAGE", "nonsense", "WATCH"]}
 SB = {"active": [True, True, False]}
-extend("v_site", f"SELECT s_suppkey AS site_id, s_name AS site_name, {derived_sql(SN, SL, SB)}, CAST(37000 + k * 3001 % 600 AS DOUBLE) / 1000 AS s_lat, CAST(-122300 + k * 7001 % 600 AS DOUBLE) / 1000 AS s_lng FROM (SELECT *, s_suppkey AS k FROM supplier) WHERE k % 3 = 0 OR k % 7 = 1")
+extend("v_site", f"SELECT s_suppkey AS site_id, s_name AS site_name, {derived_sql(SN, SL, SB)}, CAST(37000 + k * 3001 % 600 AS DOUBLE) / 1000 AS s_lat, CAST(-122300 + k * 7001 % 600 AS DOUBLE) / 1000 AS s_lng FROM (SELECT *, s_suppkey AS k FROM supplier)")
 HEALTH = f"""SELECT *, health IN ('CRITICAL','LEAKAGE') AS is_weak, health = 'STRONG' AS is_strong, concat_ws(',', CASE WHEN health = 'LEAKAGE' THEN 'leakage' END, CASE WHEN health = 'CRITICAL' THEN 'critical' END, CASE WHEN break_even_gap < 0 THEN 'below_break_even' END,
  CASE WHEN monthly_avg_revenue >= 1067 AND period_net_profit < 0 THEN 'period_net_loss' END) AS warnings FROM (SELECT *, CASE WHEN upper(trim(health_status)) IN ('CRITICAL','WATCH','STABLE','STRONG','LEAKAGE') THEN upper(trim(health_status)) ELSE 'WATCH' END AS health,
  coalesce(raw_gap, {R('monthly_avg_revenue - 1067', 2)}) AS break_even_gap FROM v_site)"""
@@ -156,7 +156,7 @@ extend("health", HEALTH, ["v_site"])
 
 def sites(spark, sf):
     k = C("s_suppkey")
-    return V.table(spark, sf, "supplier").where((k % 3 == 0) | (k % 7 == 1)).select(
+    return V.table(spark, sf, "supplier").select(
         k.alias("site_id"), C("s_name").alias("site_name"), *[v.alias(x) for x, v in derived_columns(k, SN, SL, SB).items()],
         ((37000 + k * 3001 % 600).cast("double") / 1000.0).alias("s_lat"), ((-122300 + k * 7001 % 600).cast("double") / 1000.0).alias("s_lng"))
 
@@ -561,10 +561,10 @@ def _(spark, sf):
     return MT.union_preferring(cur, live, "url", "id")
 
 
-@query("u02_distinct_places", "SELECT count(*) AS places, count(DISTINCT pid) AS ids FROM (SELECT DISTINCT CASE WHEN l_partkey % 5 > 0 THEN l_partkey END AS pid FROM lineitem WHERE l_partkey % 5 > 0 UNION ALL SELECT NULL FROM lineitem WHERE l_partkey % 5 = 0)")
+@query("u02_distinct_places", "SELECT l_partkey AS pid, NULL::BIGINT AS line FROM lineitem WHERE l_partkey % 5 > 0 GROUP BY 1 UNION ALL SELECT NULL, l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_partkey % 5 = 0")
 def _(spark, sf):
-    rows = V.table(spark, sf, "lineitem").select(F.when(C("l_partkey") % 5 > 0, C("l_partkey")).alias("pid"))
-    return MT.distinct_places(rows, "pid").agg(F.count("*").alias("places"), F.countDistinct("pid").alias("ids"))
+    rows = V.table(spark, sf, "lineitem").select(F.when(C("l_partkey") % 5 > 0, C("l_partkey")).alias("pid"), F.when(C("l_partkey") % 5 == 0, C("l_orderkey") * 10 + C("l_linenumber")).alias("line"))
+    return MT.distinct_places(rows, "pid")
 
 
 @query("u05_ordered_distinct", "SELECT l_partkey AS value, min(l_orderkey * 10 + l_linenumber) AS position FROM lineitem GROUP BY 1")
@@ -611,11 +611,11 @@ def _(spark, sf):
     return MT.upsert(prior, fresh, ["zip", "identity"], ["outreach_status"])
 
 
-@query("j34_append_unseen", "SELECT count(*) AS log_rows, sum(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END)::BIGINT AS appended FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+@query("j34_append_unseen", """SELECT id, stage FROM (SELECT o_orderkey AS id, 'sent' AS stage FROM orders WHERE o_orderkey % 2 = 0 UNION ALL
+ SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0))""")
 def _(spark, sf):
     o = V.table(spark, sf, "orders").select(C("o_orderkey").alias("id"))
-    log = MT.append_unseen(o.where("id % 2 = 0"), o.where("id % 3 = 0"), "id")
-    return log.agg(F.count("*").alias("log_rows"), F.count_if(C("id") % 2 != 0).alias("appended"))
+    return MT.append_unseen(o.where("id % 2 = 0").withColumn("stage", F.lit("sent")), o.where("id % 3 = 0").withColumn("stage", F.lit("new")), "id")
 
 
 _OV = """WITH a AS (SELECT c_custkey AS id, lower(c_name) || ' | block ' || CAST(c_custkey % 50 AS VARCHAR) || ', main street' AS addr FROM customer),

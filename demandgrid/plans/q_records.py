@@ -474,11 +474,11 @@ def _(spark, sf):
 
 
 @query("c10_category_status", with_views("v_zip v_place", """SELECT z.zip, c.category, coalesce(p.k, 0) AS places, CASE WHEN z.lat IS NULL THEN 'no_coordinates' WHEN p.k IS NULL THEN 'missing' ELSE 'ok' END AS status FROM v_zip z CROSS JOIN (SELECT DISTINCT category FROM v_place) c
- LEFT JOIN (SELECT lpad(CAST(place_id * 7 % 100 AS VARCHAR), 5, '0') AS zip, category, count(*) AS k FROM v_place WHERE place_id % 5 > 0 GROUP BY 1, 2) p ON z.zip = p.zip AND c.category = p.category"""))
+ LEFT JOIN (SELECT lpad(CAST(place_id * 7 % 100 AS VARCHAR), 5, '0') AS zip, category, count(*) AS k FROM v_place GROUP BY 1, 2) p ON z.zip = p.zip AND c.category = p.category"""))
 def _(spark, sf):
     # the category list is fixed, so it is exploded inside each row
     z = zips(spark, sf).select("zip", "lat", F.explode(arr(*CATS)).alias("category"))
-    k = places(spark, sf).where(C("place_id") % 5 > 0).groupBy(F.lpad((C("place_id") * 7 % 100).cast("string"), 5, "0").alias("zip"), "category").agg(F.count("*").alias("k"))
+    k = places(spark, sf).groupBy(F.lpad((C("place_id") * 7 % 100).cast("string"), 5, "0").alias("zip"), "category").agg(F.count("*").alias("k"))
     return z.join(k, ["zip", "category"], "left").select("zip", "category", F.coalesce("k", F.lit(0)).alias("places"), pick((C("lat").isNull(), "no_coordinates"), (C("k").isNull(), "missing"), default="ok").alias("status"))
 
 
@@ -572,9 +572,9 @@ def _(spark, sf):
     return s.groupBy("city").agg(F.max_by("course_type", "s").alias("best_course"))
 
 
-@query("a59_report_metadata", with_views("modeled", "SELECT count(*) AS zip_rows, count(DISTINCT validation_tier) AS tiers, count(CASE WHEN model_tier = 'enriched' THEN 1 END) AS enriched FROM modeled"))
+@query("a59_report_metadata", with_views("modeled", "SELECT validation_tier, count(*) AS zip_rows, count(CASE WHEN model_tier = 'enriched' THEN 1 END) AS enriched, count(DISTINCT model_tier) AS model_tiers, min(zip) AS first_zip FROM modeled GROUP BY 1"))
 def _(spark, sf):
-    return model(spark, sf).agg(F.count("*").alias("zip_rows"), F.countDistinct("validation_tier").alias("tiers"), F.count_if(C("model_tier") == "enriched").alias("enriched"))
+    return model(spark, sf).groupBy("validation_tier").agg(F.count("*").alias("zip_rows"), F.count_if(C("model_tier") == "enriched").alias("enriched"), F.countDistinct("model_tier").alias("model_tiers"), F.min("zip").alias("first_zip"))
 
 
 @query("a52_action_queue", with_views("v_zip", """SELECT grp AS task_group, count(*) AS tasks FROM (SELECT 'confirm_instructor' AS grp FROM v_zip WHERE nursing_school_count >= 2 UNION ALL SELECT 'find_room' FROM v_zip WHERE coalesce(community_facility_count, 0) < 10 UNION ALL SELECT 'check_commercial' FROM v_zip WHERE commercial_ready IS NULL
@@ -628,13 +628,14 @@ def _(spark, sf):
     return RD.map_elements(spark, path, lines=True).groupBy("kind").agg(F.count("*").alias("elements"))
 
 
-@query("s06_acs_table", with_views("v_zip_signal", f"SELECT zip, population, {R('CASE WHEN population > 0 THEN 0.6 END', 6)} AS working_age_share, {R('CASE WHEN population > 0 THEN 0.02 END', 6)} AS bachelors_or_higher_share FROM v_zip_signal"))
+@query("s06_acs_table", with_views("v_zip_signal", f"""SELECT zip, population, {R('CASE WHEN population > 0 THEN population * (40 + k % 30) / 100.0 / population END', 6)} AS working_age_share,
+ {R('CASE WHEN population > 0 THEN ((k % 7) * population / 100.0 + CASE WHEN k % 4 > 0 THEN population * 0.01 ELSE 0 END) / population END', 6)} AS bachelors_or_higher_share FROM (SELECT *, CAST(zip AS INT) AS k FROM v_zip_signal)"""))
 def _(spark, sf):
     z = V.zip_signals(spark, sf)
-    pop = C("population")
+    pop, k = C("population"), C("zip").cast("int")
     s = lambda c: F.coalesce(c.cast("string"), F.lit("-666666666"))
-    raw = z.select(C("zip").cast("int").cast("string").alias("ZCTA"), s(pop).alias("B01003_001E"), s(C("median_household_income")).alias("B19013_001E"), s(pop * 0.6).alias("B23025_001E"), s(pop * 0.3).alias("B23025_004E"), s(pop).alias("B15003_001E"),
-                   F.lit("-666666666").alias("B15003_022E"), s(pop * 0.01).alias("B15003_023E"), s(pop * 0.01).alias("B15003_024E"), F.lit("bad").alias("B15003_025E"), F.lit(None).cast("string").alias("C24050_046E"))
+    raw = z.select(C("zip").cast("int").cast("string").alias("ZCTA"), s(pop).alias("B01003_001E"), s(C("median_household_income")).alias("B19013_001E"), s(pop * (40 + k % 30) / 100).alias("B23025_001E"), s(pop * 0.3).alias("B23025_004E"), s(pop).alias("B15003_001E"),
+                   F.lit("-666666666").alias("B15003_022E"), s((k % 7) * pop / 100).alias("B15003_023E"), s(F.when(k % 4 > 0, pop * 0.01)).alias("B15003_024E"), F.lit("bad").alias("B15003_025E"), F.lit(None).cast("string").alias("C24050_046E"))
     return RD.acs(raw).select("zip", "population", rnd(C("working_age_share"), 6).alias("working_age_share"), rnd(C("bachelors_or_higher_share"), 6).alias("bachelors_or_higher_share"))
 
 

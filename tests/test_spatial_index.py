@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from demandgrid.functions.exprs import EARTH_MILES, EARTH_MILES_GRID
+from demandgrid.operators import candidates as K
 from demandgrid.operators import matching as M
 from demandgrid.operators import pyramid as PY
 
@@ -165,3 +166,15 @@ def test_contained_keeps_repeated_rows_and_needles(spark):
     left = spark.createDataFrame([(1, "main street 5"), (2, "main street 5"), (3, "a")], "id int, t string")
     right = spark.createDataFrame([(7, "street"), (8, "street"), (9, "a")], "nid int, n string")
     assert sorted((r["id"], r["nid"]) for r in M.contained(left, "t", right, "n").collect()) == [(1, 7), (1, 8), (1, 9), (2, 7), (2, 8), (2, 9), (3, 9)]
+
+
+def test_overlap_with_a_hub_in_nine_of_ten_sets(spark):
+    rng = random.Random(6)
+    sets = {i: set(rng.sample(range(1, 60), rng.randint(1, 4))) | ({0} if i % 10 else set()) for i in range(600)}
+    n5 = spark.createDataFrame([(i, p) for i, s in sets.items() for p in s], "candidate_id long, place_id long")
+    cands = spark.createDataFrame([(i,) for i in [*sets, 9999]], "candidate_id long")
+    got = {r["candidate_id"]: r["catchment_overlap"] for r in K.catchment_overlap(n5, cands).collect()}
+    for i, s in sets.items():
+        mean = sum(len(s & t) / len(s | t) for j, t in sets.items() if j != i) / (len(sets) - 1)
+        assert got[i] == pytest.approx(max(0.0, min(1.0, 1 - mean / 0.6)) * 100, abs=0.0051)
+    assert got[9999] == 100.0
