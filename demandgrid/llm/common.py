@@ -45,7 +45,8 @@ def _bitmap(rows: DataFrame, ids: DataFrame, bits: int, key: str) -> DataFrame:
     """``rows`` with ``_hit``: whether their key may be among ``ids`` (always true if it is).
 
     A bitmap of hashed ids, at most ``bits`` / 64 rows whatever the input, is broadcast."""
-    h = F.xxhash64(key).bitwiseAND(bits - 1)
+    # ids are compared as numbers, whatever type the table gives them
+    h = F.xxhash64(F.col(key).cast("bigint")).bitwiseAND(bits - 1)
     words = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("_m"))
     marked = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), h.alias("_h")).join(F.broadcast(words), F.shiftright("_h", 6) == F.col("_w"), "left")
     return marked.select("_row", F.coalesce(F.expr("(_m & shiftleft(1L, int(_h & 63))) != 0"), F.lit(False)).alias("_hit"))

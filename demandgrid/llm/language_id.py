@@ -257,13 +257,20 @@ def predict(texts: list[str | None], reader: Reader, words_at_once: int = 60_000
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG, fit_chars: int = FIT_CHARS) -> list[tuple[str, str]]:
-    """(text, lang) of at most ``per_lang`` documents a language outside the held-out fold."""
-    open_ = docs.where(C("lang").isNotNull() & C("text").isNotNull() & (crc_mod(C("doc_id"), 3) != 1) & (F.length("text") <= fit_chars))
-    order = [F.md5(C("doc_id").cast("string").cast("binary")), C("doc_id")]
-    # ids only; the group limit keeps per_lang rows a language before the shuffle
-    ids = open_.select("doc_id", "lang").withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(C("_n") <= per_lang)
-    picked = open_.join(F.broadcast(ids.select(C("doc_id").alias("_id"), C("lang").alias("_lang"))), (C("doc_id") == C("_id")) & (C("lang") == C("_lang")))
-    return sorted((r["text"], r["lang"]) for r in picked.select("text", "lang").collect())
+    """(text, lang) of at most ``per_lang`` documents a language outside the held-out fold.
+
+    Repeated rows count once.  Texts of up to ``fit_chars`` characters come first; of a
+    longer one a passage of that length is taken, at a place that its hash decides."""
+    open_ = docs.where(C("lang").isNotNull() & C("text").isNotNull() & (crc_mod(C("doc_id"), 3) != 1)).withColumns(
+        {"_hash": F.xxhash64("text"), "_more": F.greatest(F.length("text") - fit_chars, F.lit(0))})
+    order = [C("_more") > 0, F.md5(C("doc_id").cast("string").cast("binary")), C("doc_id"), C("_hash")]
+    # no texts; the group limit keeps per_lang rows a language before the shuffle
+    ids = open_.select("doc_id", "lang", "_hash", "_more").distinct().withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(C("_n") <= per_lang)
+    named = F.broadcast(ids.select(C("doc_id").alias("_id"), C("lang").alias("_lang"), C("_hash").alias("_wanted")))
+    picked = open_.join(named, (C("doc_id") == C("_id")) & (C("lang") == C("_lang")) & (C("_hash") == C("_wanted")))
+    passage = F.substring("text", F.pmod(C("_hash"), C("_more") + 1).cast("int") + 1, F.lit(fit_chars))
+    rows = picked.select("doc_id", "lang", "_hash", passage.alias("text")).dropDuplicates(["doc_id", "lang", "_hash"])
+    return sorted((r["text"], r["lang"]) for r in rows.collect())
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG, fit_chars: int = FIT_CHARS) -> DataFrame:

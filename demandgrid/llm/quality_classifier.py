@@ -146,11 +146,13 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, thres
 def _scored(stats: DataFrame, labels: DataFrame, fit_rows: int, threshold: float) -> DataFrame:
     held = crc_mod(C("doc_id"), 4) == 2
     known = labels.select(C("doc_id").cast("bigint").alias("_id"), C("quality").cast("int").alias("label")).where(C("label").isNotNull() & (crc_mod(C("_id"), 4) != 2))
-    first = known.orderBy(F.md5(C("_id").cast("string").cast("binary")), "_id", "label").limit(fit_rows)
+    order = F.md5(C("_id").cast("string").cast("binary"))
+    first = known.distinct().orderBy(order, "_id", "label").limit(fit_rows)
     # at most fit_rows labels; documents without labels never reach the fit
-    rows = stats.join(F.broadcast(first), C("doc_id") == C("_id")).select("label", *STATS)
+    rows = stats.join(F.broadcast(first), C("doc_id") == C("_id")).dropDuplicates(["_id", "_text", "label"])
+    cut = rows.orderBy(order, "_id", "label", "_text").limit(2 * fit_rows).select("label", *STATS)
     # one sorted file of bounded length: the forest's bagging depends on the order of rows
-    sample = saved(rows.orderBy("label", *STATS).limit(2 * fit_rows).coalesce(1))
+    sample = saved(cut.orderBy("label", *STATS).coalesce(1))
     model = fit(sample)
     return stats.select("doc_id", "_text", F.coalesce(held, F.lit(False)).alias("held_out"), model.score().alias("score")).withColumn("predicted", (C("score") >= threshold).cast("int"))
 

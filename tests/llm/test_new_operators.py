@@ -262,3 +262,65 @@ def test_fingerprints_of_odd_rows(spark, edge, empty):
     assert rare_features.fingerprints(empty).count() == 0
     one = rare_features.fingerprints(edge.where("doc_id = 4")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
+# ---- ids of any type, repeated rows, and the pipeline as a whole
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_stages_take_ids_of_any_type(spark, kind):
+    from pyspark.sql import functions as F
+
+    from demandgrid.llm import exact_dedup, near_dedup, quality_classifier
+
+    words = [f"w{i}" for i in range(60)]
+    texts = {1: " ".join(words), 2: " ".join(words), 3: " ".join(words[:-1] + ["x"]), 4: "something else entirely"}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+    ids = lambda df: sorted(int(r["doc_id"]) for r in df.collect())
+    assert ids(exact_dedup.deduplicate(docs)) == [2, 3, 4]
+    assert ids(near_dedup.one_of_each(docs)) == [1, 4]
+    labels = spark.createDataFrame([(k, int(k == 4)) for k in (1, 2, 3, 4)], "doc_id bigint, quality int")
+    wide = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    assert ids(quality_classifier.accepted(docs, labels)) == ids(quality_classifier.accepted(wide, labels))
+
+
+def test_repeated_labelled_rows_change_no_score(spark):
+    from demandgrid.llm import quality_classifier
+
+    good, bad = "A plain sentence of ordinary words stands here, number {}.", "$$$ ### buy buy buy buy ||| {} ***"
+    rows = [(k, (good if k % 2 else bad).format(k)) for k in range(24)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id bigint, quality int")
+    scores = []
+    for times in (1, 500):
+        many = rows + [r for r in rows if r[0] % 2 == 0 for _ in range(times - 1)]
+        docs = spark.createDataFrame(many, "doc_id bigint, text string")
+        scores.append({r["doc_id"]: r["score"] for r in quality_classifier.classify(docs, labels, fit_rows=10).collect()})
+    assert scores[0] == scores[1]
+
+
+def test_language_sample_is_bounded_and_reads_long_texts(spark):
+    from demandgrid.llm import language_id
+
+    rows = [(1, "short words here", "en")] * 3000 + [(k, f"text number {k}", "en") for k in range(2, 90)] + [(500 + k, f"langer satz {k} " * 300, "de") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = language_id.sample(docs, per_lang=20, fit_chars=200)
+    counts = Counter(lang for _, lang in found)
+    assert counts["en"] == 20 and 0 < counts["de"] <= 20
+    assert all(len(t) <= 200 for t, _ in found) and len(set(found)) == len(found)
+
+
+def test_pipeline_end_to_end(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.saved(stage(spark, docs, sf))
+        if name != "pack":
+            assert out.columns == docs.columns
+        kept.append(out.count())
+        docs = out
+    assert kept[0] >= kept[1] >= kept[2] > 0
+    run = corpus_pipeline.run(spark, sf)
+    assert sorted(map(str, run.drop("sequence_id", "offset").collect())) == sorted(map(str, docs.drop("sequence_id", "offset").collect()))
