@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import LOWER_BYTES, saved, without
+from demandgrid.llm.common import LOWER_BYTES, lean, saved, without
 
 TABLE_BYTES = 32 << 20
 PARTIAL = "h bigint, content binary, keep_id bigint, n bigint"
@@ -147,9 +147,9 @@ def copy_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """text_sha256, keep_id (largest doc_id), group_size of every text that two or more rows share."""
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
     return (
-        rows.mapInArrow(_fold(table_bytes), PARTIAL)
+        rows.mapInArrow(lean(_fold(table_bytes)), PARTIAL)
         .repartition("h").sortWithinPartitions("h")
-        .mapInArrow(_settle(table_bytes), "text_sha256 string, keep_id bigint, group_size bigint")
+        .mapInArrow(lean(_settle(table_bytes)), "text_sha256 string, keep_id bigint, group_size bigint")
     )
 
 

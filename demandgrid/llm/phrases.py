@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from demandgrid.llm.common import LOWER_BYTES, saved
+from demandgrid.llm.common import LOWER_BYTES, lean, saved
 
 LONGEST = 3
 MIN_COUNT = 10
@@ -242,8 +242,8 @@ def frequent_ngrams(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     size = texts.agg(F.sum(F.octet_length("text").cast("bigint")).alias("n")).first()["n"] or 0
     # a text of b bytes has at most b / 2 + 1 words
     bits = max(8, math.ceil(math.log2(1 + longest * size / 2 / PART_MASS)))
-    summaries = texts.mapInArrow(_summarised(bits, longest), SUMMARIES)
-    found = saved(summaries.repartition(F.col("part")).sortWithinPartitions("part", "kind").mapInArrow(_merged(min_count), "part int, n bigint, hashes binary"))
+    summaries = texts.mapInArrow(lean(_summarised(bits, longest)), SUMMARIES)
+    found = saved(summaries.repartition(F.col("part")).sortWithinPartitions("part", "kind").mapInArrow(lean(_merged(min_count)), "part int, n bigint, hashes binary"))
     n = found.agg(F.sum("n").alias("n")).first()["n"] or 0
     width = max(bits + 3, min(MAX_BITS, 4 + n.bit_length()))
 
@@ -261,7 +261,7 @@ def frequent_ngrams(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     for row in found.mapInArrow(segments, "part int, own binary").collect():
         bitmap[row["part"] * step : (row["part"] + 1) * step] = row["own"]
     marks = spark.sparkContext.broadcast(bytes(bitmap))
-    counts = texts.mapInArrow(_counted(marks, width, longest), "lang string, phrase string, a bigint")
+    counts = texts.mapInArrow(lean(_counted(marks, width, longest)), "lang string, phrase string, a bigint")
     return counts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("phrase").isNull() | (F.col("a") >= min_count))
 
 

@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import WORDS, crc_mod, saved, without
+from demandgrid.llm.common import WORDS, crc_mod, lean, saved, without
 
 FIT_ROWS = 12_000
 THRESHOLD = 0.7
@@ -67,7 +67,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, _text (hash of the text) and the statistics of every whole text."""
     rows = docs.select(C("doc_id").cast("bigint"), F.xxhash64(C("text").cast("string")).alias("_text"), C("text").cast("string"))
-    return rows.mapInPandas(_measure, "doc_id bigint, _text bigint, " + ", ".join(f"{s} double" for s in STATS))
+    return rows.mapInPandas(lean(_measure), "doc_id bigint, _text bigint, " + ", ".join(f"{s} double" for s in STATS))
 
 
 Rule = tuple[tuple[str, str, float], ...]  # (statistic, "<=" or ">", bound), all of which must hold
