@@ -11,6 +11,7 @@ from demandgrid.functions.text import plain_name
 from demandgrid.operators.classes import iso, top_per
 from demandgrid.operators.geo import nearest, within
 from demandgrid.operators.pyramid import nearest_k
+from demandgrid.operators.ranks import quantiles
 from demandgrid.session import ensure_checkpoint_dir
 
 C = F.col
@@ -22,11 +23,15 @@ def competitor_supply(df: DataFrame) -> DataFrame:
     """Class supply per ZIP and course: counts, distinct providers, price range,
     six providers and three places by name.
 
+    Rows without ZIP or course type are counted, but have no median.
     The name lists come from distinct names cut per group before they are
     collected, so no list grows with the data."""
     keys = ["zip", "course_type"]
-    main = df.groupBy(*keys).agg(F.count("*").alias("class_count"), F.countDistinct("provider").alias("provider_count"), F.median("price").alias("median_price"),
+    main = df.groupBy(*keys).agg(F.count("*").alias("class_count"), F.countDistinct("provider").alias("provider_count"),
                                  F.min("price").alias("min_price"), F.max("price").alias("max_price"))
+    # prices of a busy key are counted and ranked in many tasks, never held in one
+    keyed = df.where(C("zip").isNotNull() & C("course_type").isNotNull()).select(*keys, C("price").cast("double").alias("price"))
+    main = main.join(quantiles(keyed, "price", {"median_price": 0.5}, keys), keys, "left")
 
     def names(col: str, k: int) -> DataFrame:
         few = top_per(df.where(C(col).isNotNull()).select(*keys, col).distinct(), keys, [C(col)], k)
