@@ -16,7 +16,8 @@ chained, and the marginals inside all blocks follow, which equals the sequential
 recursion.
 
 The sample is bounded: ``per_lang`` whole documents per language (first in md5
-order of the id, held-out fold excluded), texts up to ``fit_chars`` characters.
+order of the id, held-out fold excluded); repeated rows count once, and of texts over
+``fit_chars`` characters, taken last, a passage of that length is learnt from.
 The model is a fixed 2**18 x languages table, shipped to every task.
 
 Defined cases: `und` with score 0 if the text is null or has no letter, or if

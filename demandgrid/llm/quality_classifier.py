@@ -13,7 +13,7 @@
 Defined cases: null and empty texts have all statistics 0 and are scored like any
 other; when no labelled rows (or one class only) can be learnt from, the score is
 the labels' smoothed mean (0.5 without labels); rows repeated under one doc_id are
-scored each; several labels of one doc_id count each.  labels, lang, source and
+scored each but learnt from once; different labels of one doc_id count each.  labels, lang, source and
 doc_id never enter a statistic.
 """
 
