@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from demandgrid.functions import places as P
@@ -628,6 +630,48 @@ def _(spark, sf):
     return RD.map_elements(spark, path, lines=True).groupBy("kind").agg(F.count("*").alias("elements"))
 
 
+def array_files(df, text, head: str, tail: str):
+    """Rows as large JSON arrays: 16 files, each one array in the order of the ids, commas between rows."""
+    w = Window.partitionBy("part").orderBy("id")
+    rows = df.select(F.pmod(F.hash("id"), F.lit(16)).alias("part"), "id", text.alias("v"))
+    ends = rows.select("part", "id", F.concat(F.when(F.row_number().over(w) == 1, head).otherwise(","), "v", F.when(F.lead("id").over(w).isNull(), tail).otherwise("")).alias("value"))
+    path = scratch(df.sparkSession)
+    ends.repartition(16, "part").sortWithinPartitions("part", "id").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+@query("s10_map_array_file", with_views("v_poi", """SELECT CASE place_id % 3 WHEN 0 THEN 'school' WHEN 1 THEN 'commercial' END AS kind, lat, lng, count(*) AS elements FROM v_poi WHERE place_id % 3 < 2 GROUP BY ALL"""))
+def _(spark, sf):
+    k = C("place_id")
+    tags = F.create_map(F.lit("name"), F.concat(C("name"), F.lit(' } "x" ] {')), F.lit("amenity"), by(k, "school", "", "bench"), F.lit("shop"), by(k, "", "books", ""))
+    at = F.struct("lat", C("lng").alias("lon"))
+    e = F.struct(F.lit("way").alias("type"), F.when(k % 2 == 0, C("lat")).alias("lat"), F.when(k % 2 == 0, C("lng")).alias("lon"), F.when(k % 2 == 1, at).alias("center"), tags.alias("tags"))
+    path = array_files(V.pois(spark, sf).withColumn("id", k), F.to_json(e), '{"version":0.6,"osm3s":{"note":"[{"},"elements":[', '],"remark":[{"type":"node","lat":1,"lon":1,"tags":{"amenity":"school"}}]}')
+    return RD.map_elements(spark, path).groupBy("kind", "lat", "lng").agg(F.count("*").alias("elements"))
+
+
+@query("s06_acs_array_file", with_views("v_zip_signal", f"""SELECT zip, CASE WHEN k % 5 > 0 THEN population END::DOUBLE AS population, median_household_income::DOUBLE AS median_household_income,
+ {R('CASE WHEN k % 5 > 0 AND population > 0 THEN (k % 9) * 10.0 / population END', 6)} AS working_age_share FROM (SELECT *, CAST(zip AS INT) AS k FROM v_zip_signal)"""))
+def _(spark, sf):
+    z, k = V.zip_signals(spark, sf), C("zip").cast("int")
+    s = lambda c: F.coalesce(c.cast("string"), F.lit("-666666666"))
+    names = ["NAME", "B01003_001E", "B19013_001E", "B23025_001E", "B23025_004E", "B15003_001E", *[f"B15003_0{i}E" for i in (22, 23, 24, 25)], "C24050_046E", "zip code tabulation area"]
+    cells = F.array(F.concat(F.lit('Area ["'), C("zip"), F.lit('"]')), s(F.when(k % 5 > 0, C("population"))), s(C("median_household_income")), s(k % 9 * 10), *[F.lit("-666666666")] * 7, k.cast("string"))
+    path = array_files(z.withColumn("id", k), F.to_json(cells), json.dumps([names])[:-1] + ",", "]")
+    return RD.acs_table(spark, path).select("zip", "population", "median_household_income", rnd(C("working_age_share"), 6).alias("working_age_share"))
+
+
+@query("s11_postings_with_line_breaks", """SELECT CAST(doc_id AS VARCHAR) AS title, md5(replace(replace(text, chr(13), ' '), chr(92), '/')) AS description_md5, CAST(doc_id % 9 AS DOUBLE) AS radius_miles, CASE WHEN doc_id % 2 = 0 THEN 'a "b", c' || chr(10) ELSE 'plain' END AS notes
+ FROM documents""")
+def _(spark, sf):
+    k = C("doc_id")
+    cols = {"title": k, "description": F.translate("text", "\r\\", " /"), "radius_miles": k % 9, "latitude": F.lit(37.1), "longitude": F.lit(-122.1), "notes": F.when(k % 2 == 0, 'a "b", c\n').otherwise("plain")}
+    raw = V.table(spark, sf, "documents").select(*[cols.get(c, F.lit("x")).alias(c) for c in RD.POSTING_COLUMNS])
+    path = scratch(spark)
+    raw.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return RD.job_postings(spark, path).select("title", F.md5("description").alias("description_md5"), "radius_miles", "notes")
+
+
 @query("s06_acs_table", with_views("v_zip_signal", f"""SELECT zip, population, {R('CASE WHEN population > 0 THEN population * (40 + k % 30) / 100.0 / population END', 6)} AS working_age_share,
  {R('CASE WHEN population > 0 THEN ((k % 7) * population / 100.0 + CASE WHEN k % 4 > 0 THEN population * 0.01 ELSE 0 END) / population END', 6)} AS bachelors_or_higher_share FROM (SELECT *, CAST(zip AS INT) AS k FROM v_zip_signal)"""))
 def _(spark, sf):

@@ -10,6 +10,7 @@ from demandgrid.functions.exprs import blank_to_null
 from demandgrid.functions.text import list_cell, low, money, parse_number, tri_bool, zip5
 from demandgrid.operators.classes import attach_locations, class_records, location_dimension
 from demandgrid.operators.facilities import map_kind
+from demandgrid.sources.split_files import csv_records, json_elements
 
 C = F.col
 LAT_NAMES = ["latitude", "lat", "y"]
@@ -39,6 +40,15 @@ def big_csv(spark: SparkSession, path: str, sep: str = ",", position: str | None
     return _named(df, position)
 
 
+def quoted_csv(spark: SparkSession, path: str, sep: str = ",", position: str | None = None) -> DataFrame:
+    """Like csv(), for large files: line breaks in cells are kept and a file is read by several tasks."""
+    header = csv(spark, path, sep).columns
+    schema = ", ".join("`" + c.replace("`", "``") + "` string" for c in header)
+    rows = csv_records(spark, path, sep).where(C("_record") > 0)
+    row = rows.select(F.from_csv("text", schema, {"sep": sep, "quote": '"', "escape": '"'}).alias("r"), "_pos")
+    return row.select("r.*", *([] if position is None else [C("_pos").alias(position)]))
+
+
 def col_or_null(df: DataFrame, *names: str) -> Column:
     lower = {c.lower(): c for c in df.columns}
     for name in names:
@@ -92,6 +102,19 @@ def acs(df: DataFrame) -> DataFrame:
         share(F.when(some.isNotNull(), total), v("B15003_001E")).alias("bachelors_or_higher_share"), share(v("C24050_046E"), v("B23025_004E")).alias("healthcare_employment_share"))
 
 
+def acs_table(spark: SparkSession, path: str) -> DataFrame:
+    """A saved table of one JSON array of rows, the names first, to shares; several tasks read it."""
+    rows = json_elements(spark, path, "array<string>", None, "[")
+    names = rows.orderBy("_file", "_element").limit(1).collect()
+    if not names:
+        raise ValueError("no header row")
+    header = names[0].e
+    body = rows.where((C("_element") > 0) & (F.size("e") == len(header)))
+    table = body.select(*[F.get("e", F.lit(i)).alias(name) for i, name in enumerate(header)])
+    zcta = next((name for name in header if name.lower().startswith("zip code tabulation area")), "ZCTA")
+    return acs(table.withColumnRenamed(zcta, "ZCTA"))
+
+
 def facilities(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
     """Facility files of several categories; rows with neither place nor ZIP drop."""
     out = None
@@ -124,8 +147,15 @@ MAP_SCHEMA = "elements array<struct<type:string,lat:double,lon:double,center:str
 
 
 def map_elements(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Map export to lat, lng, kind; ways and relations use their centre."""
-    df = spark.read.schema(MAP_SCHEMA).option("multiLine", not lines).json(path).select(F.explode("elements").alias("e"))
+    """Map export to lat, lng, kind; ways and relations use their centre.
+
+    A file is one object whose array of elements several tasks read, or with ``lines``
+    one such object a line."""
+    if lines:
+        df = spark.read.schema(MAP_SCHEMA).json(path).select(F.explode("elements").alias("e"))
+    else:
+        element = MAP_SCHEMA.removeprefix("elements array<struct<").removesuffix(">>")
+        df = json_elements(spark, path, f"struct<{element}>", "elements").select("e")
     rows = df.select(F.coalesce("e.lat", "e.center.lat").alias("lat"), F.coalesce("e.lon", "e.center.lon").alias("lng"), map_kind(C("e.tags.amenity"), C("e.tags.shop")).alias("kind"))
     return rows.where(C("lat").isNotNull() & C("lng").isNotNull() & C("kind").isNotNull())
 
@@ -134,9 +164,8 @@ POSTING_COLUMNS = ["city", "state", "latitude", "longitude", "radius_miles", "em
 RENT_COLUMNS = ["city", "state", "latitude", "longitude", "radius_miles", "rent_per_sqft_annual", "source_url", "notes"]
 
 
-def job_postings(spark: SparkSession, path: str, single_lines: bool = False) -> DataFrame:
-    """``single_lines``: the caller knows that no cell has a line break; large files are then split."""
-    df = (big_csv if single_lines else csv)(spark, path)
+def job_postings(spark: SparkSession, path: str) -> DataFrame:
+    df = quoted_csv(spark, path)
     require(df, POSTING_COLUMNS)
     num = ["latitude", "longitude", "radius_miles"]
     return df.withColumns({c: parse_number(C(c)) for c in num})
@@ -210,12 +239,14 @@ def site_health(spark: SparkSession, path: str) -> DataFrame:
 
 def table_or_json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """The CSV table at ``path`` (no suffix), or its JSON twin when only that exists; the
-    columns of ``schema`` either way."""
+    columns of ``schema`` either way.  The twin is one array, or one object a line."""
     found = preferred(spark, [path + ".csv", path + ".json"])
+    if found.endswith(".json") and multi_line:
+        return json_elements(spark, found, schema, None).select("e.*")
     if found.endswith(".json"):
-        return spark.read.schema(schema).option("multiLine", multi_line).json(found)
+        return spark.read.schema(schema).json(found)
     kinds = [part.strip().rsplit(" ", 1) for part in schema.split(",")]
-    df = csv(spark, found)
+    df = quoted_csv(spark, found)
     return df.select(*[col_or_null(df, name).try_cast(kind).alias(name) for name, kind in kinds])
 
 
@@ -232,9 +263,8 @@ def profiles(spark: SparkSession, folder: str, schema: str, multi_line: bool = T
     return spark.read.schema(schema).option("multiLine", multi_line).json(folder)
 
 
-def backtest_rows(spark: SparkSession, path: str, single_lines: bool = False) -> DataFrame:
-    """``single_lines`` as for job_postings()."""
-    df = (big_csv if single_lines else csv)(spark, path)
+def backtest_rows(spark: SparkSession, path: str) -> DataFrame:
+    df = quoted_csv(spark, path)
     require(df, ["address", "state", "outcome"])
     return df.withColumn("outcome", parse_number(C("outcome"))).where(C("outcome").isNotNull())
 

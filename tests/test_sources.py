@@ -59,7 +59,7 @@ def test_line_breaks_in_cells(spark, tmp_path):
     assert (rows["Reno"].description, rows["Reno"].source_url, rows["Reno"].notes) == ("first\nsecond, third", "http://x", 'n\n"m"')
     b = put(tmp_path, "b.csv", 'address,state,label,outcome\n"1 A\nReno",NV,"a\nb",5\n2 B,NV,c,6\n')
     assert sorted((r.address, r.outcome) for r in RD.backtest_rows(spark, b).collect()) == [("1 A\nReno", 5.0), ("2 B", 6.0)]
-    assert RD.backtest_rows(spark, put(tmp_path, "s.csv", "address,state,outcome\nx,CA,5\n"), single_lines=True).count() == 1
+    assert RD.backtest_rows(spark, put(tmp_path, "s.csv", "address,state,outcome\nx,CA,5\n")).count() == 1
 
 
 def test_overrides_and_validation(spark, tmp_path):
