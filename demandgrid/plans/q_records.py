@@ -27,6 +27,7 @@ from demandgrid.session import ensure_checkpoint_dir
 from demandgrid.sources import readers as RD
 from demandgrid.sources import sinks as SK
 from demandgrid.streaming import incremental as IN
+from demandgrid.streaming import live as LV
 
 C = F.col
 
@@ -414,6 +415,48 @@ def _(spark, sf):
     return IN.run_ledger(V.table(spark, sf, "lineitem").select(C("l_suppkey").alias("key"), by(C("l_orderkey"), "hit", "miss", "stale", "live").alias("outcome")))
 
 
+def streamed(spark, rows, versions):
+    """``rows`` as six files, taken in as a stream two at a time; the newest version per key."""
+    base = scratch(spark)
+    rows.repartition(6).write.parquet(base + "/in")
+    stream = LV.arriving(spark, base + "/in", rows.schema, 2)
+    LV.advance(versions(stream), base + "/out", base + "/state")
+    return LV.current(spark, base + "/out")
+
+
+@query("t02_live_replies", """SELECT 'p' || CAST(user_id AS VARCHAR) || '@x.com' AS key, min(event_id) AS received_at, min(event_id) % 4 = 0 AS opted_out FROM events GROUP BY user_id""")
+def _(spark, sf):
+    e = V.table(spark, sf, "events").select("event_id", F.concat(F.lit("P"), C("user_id").cast("string"), F.lit("@X.com")).alias("sender"), by(C("event_id"), "please UNSUBSCRIBE me", "sounds good", "call me", "ok").alias("words"))
+    return streamed(spark, e, lambda s: LV.replies(s, C("sender"), C("event_id"), C("words"))).select("key", "received_at", "opted_out")
+
+
+@query("t03_live_cooldown", "SELECT CAST(o_custkey AS VARCHAR) AS key, (SELECT max(epoch(o_orderdate)) FROM orders) - max(epoch(o_orderdate)) >= 864000 AS allowed FROM orders GROUP BY 1")
+def _(spark, sf):
+    rows = orders(spark, sf).select(C("o_custkey").alias("id"), C("o_orderdate").cast("timestamp").alias("refreshed_at"))
+    # allowed from the last second of the pause on
+    return streamed(spark, rows, lambda s: LV.timers(s, C("id"), C("refreshed_at"), F.lit(864000 - 1))).select("key", C("passed").alias("allowed"))
+
+
+@query("t04_live_created", "SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(*) AS created FROM events WHERE ts IS NOT NULL GROUP BY 1")
+def _(spark, sf):
+    rows = V.table(spark, sf, "events").select("ts")
+    return streamed(spark, rows, lambda s: LV.buckets(s, C("ts"), 3600)).select(C("key").alias("hour"), "created")
+
+
+@query("t05_live_expiry", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS seen, user_id % 5 * 3600 AS ttl FROM events),
+ l AS (SELECT key, max(seen) AS stamp, max(ttl) AS seconds FROM e GROUP BY 1) SELECT key, stamp, seconds, coalesce((SELECT max(seen) FROM e) > stamp + seconds, true) AS passed FROM l""")
+def _(spark, sf):
+    rows = V.table(spark, sf, "events").select("user_id", "ts")
+    return streamed(spark, rows, lambda s: LV.timers(s, C("user_id"), C("ts"), C("user_id") % 5 * 3600))
+
+
+@query("t06_live_ledger", """SELECT key, cache_hits, cache_misses, cache_stale, live_calls, live_calls = 0 AND cache_hits > 0 AS served_from_cache FROM (SELECT CAST(user_id AS VARCHAR) AS key, count(CASE WHEN m = 0 THEN 1 END) AS cache_hits,
+ count(CASE WHEN m = 1 THEN 1 END) AS cache_misses, count(CASE WHEN m = 2 THEN 1 END) AS cache_stale, count(CASE WHEN m = 3 THEN 1 END) AS live_calls FROM (SELECT user_id, event_id % 4 AS m FROM events) GROUP BY 1)""")
+def _(spark, sf):
+    rows = V.table(spark, sf, "events").select("user_id", by(C("event_id"), "hit", "miss", "stale", "live").alias("outcome"))
+    return streamed(spark, rows, lambda s: LV.ledger(s, C("user_id"), C("outcome")))
+
+
 @query("f13_fresh_within", f"SELECT o_orderpriority AS provider, count(CASE WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(o_orderdate) <= 90 * 86400 THEN 1 END) AS fresh FROM orders GROUP BY 1")
 def _(spark, sf):
     return orders(spark, sf).groupBy(C("o_orderpriority").alias("provider")).agg(F.count_if(IN.fresh_within(C("o_orderdate"), as_of(), 90)).alias("fresh"))
