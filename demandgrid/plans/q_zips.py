@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from demandgrid.functions.exprs import haversine, haversine_meters, joined, rnd
 from demandgrid.operators import geo as G
 from demandgrid.operators import pyramid as PY
 from demandgrid.operators import ranks as RK
+from demandgrid.operators import refresh as RF
 from demandgrid.operators import zip_demand as Z
 from demandgrid.operators.classes import is_held
 from demandgrid.plans import views as V
 from demandgrid.plans.q_classes import AVG2, CUTOFF, FILL, held
 from demandgrid.plans.registry import query
 from demandgrid.plans.sql import CLAMP, HAV, R, extend, with_views
+from demandgrid.session import shared_dir
 
 C = F.col
 
@@ -73,6 +77,28 @@ def _(spark, sf):
     return profiles(spark, sf).withColumn("cities", joined(C("cities")))
 
 
+def folded(spark, sf):
+    """The class history as sums: a base and two increments, the second folded twice."""
+    path = shared_dir(spark) + "/sums-" + uuid.uuid4().hex
+    rows = V.classes(spark, sf)
+    part = F.pmod(F.hash("class_name", "class_date", "city"), F.lit(3))
+    for batch in (0, 1, 2, 2):
+        RF.fold(rows.where(part == batch), path, f"b{batch}")
+    return RF.state(spark, path)
+
+
+@query("a01_refreshed_profiles", with_views("prof", "SELECT * FROM prof"))
+def _(spark, sf):
+    return RF.profiles(RF.held(folded(spark, sf), CUTOFF)).withColumn("cities", joined(C("cities")))
+
+
+@query("k02_refreshed_top_zips", with_views("scored", "SELECT zip, zip_demand_score, total_classes, strength FROM scored ORDER BY 2 DESC, 1 LIMIT 20"))
+def _(spark, sf):
+    rows = folded(spark, sf)
+    out = Z.scored_profiles(RF.profiles(RF.held(rows, CUTOFF)), *RF.anchors(rows, CUTOFF))
+    return out.select("zip", "zip_demand_score", "total_classes", "strength").orderBy(C("zip_demand_score").desc(), "zip").limit(20)
+
+
 @query("a02_zip_fill_rate", with_views("held", f"""
 SELECT zip, bucket, {FILL} AS fill_rate, CAST(sum(CASE WHEN capacity > 0 THEN capacity END) AS BIGINT) AS capacity
 FROM held WHERE zip IS NOT NULL AND bucket <> 'OTHER' GROUP BY 1, 2"""))
