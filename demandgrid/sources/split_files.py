@@ -69,12 +69,12 @@ def csv_records(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     Lines end with \\n or \\r\\n.  Blank lines outside cells are no records; a cell that
     is never closed runs to the end of its file.  Only the lines of records that cross
     lines are grouped."""
-    ensure_checkpoint_dir(spark)
     bare = F.regexp_replace("text", r"\r$", "")
     lines = pieces(spark, path, "\n").withColumns({"_zero": _ends_open(bare, sep), "_one": _ends_open(F.concat(F.lit('"'), bare), sep), "_blank": F.trim(bare) == ""})
     # both cases of the block's start are followed until the start is known
     both = _states(lines, {"_s0": 0, "_s1": 1}).withColumns({
-        "_b0": ((C("_s0") == 0) & ~C("_blank")).cast("bigint"), "_b1": ((C("_s1") == 0) & ~C("_blank")).cast("bigint")}).checkpoint()
+        "_b0": ((C("_s0") == 0) & ~C("_blank")).cast("bigint"), "_b1": ((C("_s1") == 0) & ~C("_blank")).cast("bigint")})
+    # the file is read twice: the first pass moves flags only, the second the text, once
     end = lambda s: F.max_by(F.when(C(s) == 0, C("_zero")).otherwise(C("_one")), "_row")
     blocks = both.groupBy(*BLOCK).agg(end("_s0").alias("_zero"), end("_s1").alias("_one"), F.sum("_b0").alias("_n0"), F.sum("_b1").alias("_n1"))
     starts = _states(blocks, {"_state": 0}, True)
