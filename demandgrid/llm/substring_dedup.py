@@ -10,10 +10,14 @@ starts in a document with a smaller id.
    anchors, so only windows whose anchor occurs in two documents can repeat; only
    anchors are shuffled for the whole corpus, not windows.
 3. The windows that are left are hashed (96 bits) and counted; the smallest id of
-   a repeated window owns it.  The owners' runs of such windows are the reference:
-   every repeated passage once, whatever the number of its copies.
-4. The reference is cut into shards of bounded size by owner.  A shard goes to the
-   tasks that hold the documents with candidates in it, and to no other: shards that
+   a repeated window owns it, at one place of its text.  The owners' runs of such
+   windows are the reference: every repeated passage once, whatever the number of its
+   copies.
+4. The reference is cut into blocks of windows (an owner's text at every 64th of a
+   shard's size; neighbours overlap by ``span - 1`` words), which are dealt to shards
+   by hash, so neither a long owner nor a pattern in the ids fills one shard.  A
+   window's shard follows from its owner's place, for the reference and for lookups
+   alike.  A shard goes to the tasks that hold the documents with candidates in it, and to no other: shards that
    many documents need are copied to several tasks (``salt_words`` of documents
    each).  The reference grows with the corpus, so a broadcast of every shard to
    every task has no size bound; this is the same with the bound.
@@ -129,23 +133,33 @@ def _runs(at: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[np.r_[0, cut]].tolist(), at[np.r_[cut - 1, len(at) - 1]].tolist()))
 
 
-def _deal(span: int, shards: int):
+def shard_of(owner: np.ndarray, place: np.ndarray, block: int, shards: int) -> np.ndarray:
+    """The shard of the windows that ``owner`` has at ``place``."""
+    x = owner.astype(np.int64).view(np.uint64) * BASES[0] + (place // block).astype(np.uint64) * BASES[1]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(shards)).astype(np.int64)
+
+
+def _deal(span: int, block: int, shards: int):
     """Reference runs (kind 0) and the runs to look up (kind 1), each under its shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for rid, doc, text, at, owner in zip(*(c.to_pylist() for c in batch.columns)):
+            for rid, doc, text, *found in zip(*(c.to_pylist() for c in batch.columns)):
                 words = WORDS.findall(text)
-                at, owner = np.array(at), np.array(owner)
+                at, owner, place = map(np.array, found)
                 order = np.argsort(at)
-                at, owner = at[order], owner[order]
-                mine, shard = owner == doc, owner % shards
-                for a, b in _runs(at[mine]):
-                    rows.append((doc % shards, 0, rid, doc, a, " ".join(words[a : b + span]), b - a + span))
-                for s in np.unique(shard[~mine]).tolist():
-                    for a, b in _runs(at[~mine & (shard == s)]):
-                        rows.append((s, 1, rid, doc, a, " ".join(words[a : b + span]), b - a + span))
+                at, owner, place = at[order], owner[order], place[order]
+                shard = shard_of(owner, place, block, shards)
+                # a window that the document itself has again, at another place, is neither
+                for kind, these in enumerate(((owner == doc) & (place == at), owner != doc)):
+                    order = np.flatnonzero(these)[np.argsort(shard[these], kind="stable")]
+                    ends = np.flatnonzero(np.diff(shard[order])) + 1
+                    for part in np.split(order, ends) if len(order) else ():
+                        for a, b in _runs(at[part]):
+                            rows.append((int(shard[part[0]]), kind, rid, doc, a, " ".join(words[a : b + span]), b - a + span))
             cols = list(zip(*rows)) or [[]] * 7
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["shard", "kind", "rid", "doc_id", "start", "words", "n"])
@@ -275,12 +289,14 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard_words: in
     texts = saved(pruned(rows, wanted).join(wanted, KEY).dropDuplicates(KEY).select(F.monotonically_increasing_id().alias("rid"), *KEY, "text", "anchors"))
     # rid is a fact once written: one short number per text from here on
     columns = ("text", "anchors")
-    counted = texts.select("doc_id", *columns).mapInArrow(_windows(span, gram), "doc bigint, at int, w1 bigint, w2 int").select("w1", "w2", C("doc").alias("doc_id"))
-    owned = saved(counted.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_b")).where("owner < _b").drop("_b"))
+    counted = texts.select("doc_id", *columns).mapInArrow(_windows(span, gram), "doc bigint, at int, w1 bigint, w2 int")
+    # of an owner's several places any one will do; once written it is a fact
+    owned = saved(counted.groupBy("w1", "w2").agg(F.min("doc").alias("owner"), F.min_by("at", "doc").alias("place"), F.max("doc").alias("_b")).where("owner < _b").drop("_b"))
     windows = texts.select("rid", *columns).mapInArrow(_windows(span, gram), "doc bigint, at int, w1 bigint, w2 int").withColumnRenamed("doc", "rid")
-    found = windows.join(owned, ["w1", "w2"]).groupBy("rid").agg(F.collect_list("at").alias("at"), F.collect_list("owner").alias("owner"))
+    found = windows.join(owned, ["w1", "w2"]).groupBy("rid").agg(F.collect_list("at").alias("at"), F.collect_list("owner").alias("owner"), F.collect_list("place").alias("place"))
+    block = max(span, shard_words // 64)
     shards = max(1, -(-owned.count() // shard_words))
-    dealt = texts.select("rid", "doc_id", "text").join(found, "rid").mapInArrow(_deal(span, shards), "shard bigint, kind int, rid bigint, doc_id bigint, start bigint, words string, n bigint")
+    dealt = texts.select("rid", "doc_id", "text").join(found, "rid").mapInArrow(_deal(span, block, shards), "shard bigint, kind int, rid bigint, doc_id bigint, start bigint, words string, n bigint")
     dealt = saved(dealt)
     salts = saved(dealt.where("kind = 1").groupBy("shard").agg(F.ceil(F.sum("n") / salt_words).alias("_salts")))
     salted = dealt.join(salts, "shard").withColumn("_mine", F.pmod(F.xxhash64("rid", "start"), C("_salts")))

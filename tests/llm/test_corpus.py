@@ -406,6 +406,23 @@ def test_passages_equal_brute_force(request, table, options):
     assert collections.Counter(map(tuple, substring_dedup.strip_repeats(docs, **options).drop("kept_text").collect())) == want
 
 
+def test_shards_are_even_for_a_long_owner_and_for_ids_in_thousands(spark):
+    rng = random.Random(8)
+    long, span, shard_words = [f"w{rng.randrange(5000)}" for _ in range(20000)], 10, 1000
+    texts = {7000: long, 9000: long[:15000] + ["end"]} | {d: ["loop"] * 400 for d in (1000, 4000)}
+    passage = {k: [f"p{rng.randrange(5000)}" for _ in range(60)] for k in range(100)}
+    texts |= {(k + 10) * 1000: passage[k] + [f"a{k}"] for k in passage} | {(k + 500) * 1000: [f"b{k}"] + passage[k] for k in passage}
+    rows = [(d, " ".join(w)) for d, w in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {tuple(r) for r in substring_dedup.strip_repeats(docs, span=span, gram=6, shard_words=shard_words, salt_words=5000).drop("kept_text").collect()}
+    assert got == {(d, *x) for (d, _), x in zip(rows, brute.strip_repeats(rows, span))}
+    # windows of the reference by shard: one long owner, and owners whose ids are multiples of 1,000
+    block, windows = shard_words // 64, [(7000, k) for k in range(14991)] + [((k + 10) * 1000, i) for k in passage for i in range(51)]
+    owner, place = map(np.array, zip(*windows))
+    per = np.bincount(substring_dedup.shard_of(owner, place, block, -(-len(windows) // shard_words)))
+    assert per.max() <= 2 * shard_words and per.min() > 0
+
+
 def test_automaton_finds_every_owner():
     rng = random.Random(9)
     for _ in range(60):
