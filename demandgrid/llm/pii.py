@@ -1,16 +1,23 @@
 """Personal data: fixed forms plus bootstrapped contextual extraction.
 
 1. One scan finds the base spans (e-mail, IP, card, phone) of every whole text, and
-   beside them loose candidates: words that look like an identifier of a kind but
-   match no base form.  Of each, the lexical patterns around it are kept: the two
-   words to the left, and the word to the left with the word to the right.
-2. Base spans are the seed instances.  The bipartite graph of (pattern, instance)
-   pairs, copies collapsed, is scored in rounds of Spark aggregations: a pattern's
-   confidence is the summed confidence of its instances over their number plus a
-   prior, an instance's is one minus the product of the doubts of its confident
-   patterns.
-3. Candidates whose confidence reaches ``accept`` after the last round are unseen
-   identifiers; all their occurrences are added.  Base spans always stay.
+   beside them loose candidates: a run of neighbouring words with digits, or a single
+   word with digits or an @, that looks like an identifier of a kind but matches no
+   base form.  Of each, the lexical patterns around it are kept: the two words to the
+   left, and the word to the left with the word to the right.
+2. Base spans are the seed instances of the bipartite graph of (pattern, instance)
+   pairs, copies collapsed.  A second scan counts what speaks against a pattern:
+   ordinary words in its slot.  A bitmap of fixed size tells the scan which patterns
+   have instances enough to matter; the join that follows is exact.
+3. The graph is scored in rounds of Spark aggregations.  Candidates are unknown, not
+   wrong: a pattern's trust is (sure instances + ``prior`` x background) / (sure
+   instances + contrary instances + ``prior``), where contrary ones are seeds of other
+   kinds and distinct ordinary words, and the background is the share of seeds among
+   all instances of the kind.  A pattern needs ``min_seeds`` sure instances, no fewer
+   sure than unknown ones, and ``confident`` trust.  An instance's confidence is one
+   minus the product of the doubts of its trusted patterns.
+4. Candidates that reach ``accept`` are sure in the next round and, after the last
+   one, unseen identifiers; all their occurrences are added.  Base spans always stay.
 
 The graph's rounds join stored tables on both sides, so AQE can split a pattern
 that a third of all instances share; partial aggregation comes before every
@@ -18,28 +25,38 @@ shuffle, and no node's neighbours are ever gathered.
 
 Offsets count code points, ends are exclusive.  Defined cases: null text is empty
 and has no spans; an empty table gives no rows; rows repeated under one doc_id and
-text get the same spans each.
+text get the same spans each; a context word of more than ``LONGEST`` characters says
+nothing (as if empty), so very long words cost no more than their length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import WORDS, saved
+from demandgrid.llm.common import WORDS, lean, saved
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 MIN_SEEDS = 5
-CONFIDENT = 0.8
+#: five sure instances and nothing contrary give at least 5 / 7; two such patterns give 0.918
+CONFIDENT = 0.7
 ACCEPT = 0.9
 PRIOR = 2.0
+#: bits of the bitmap that tells the second scan which patterns to look for
+BITS = 1 << 20
+LONGEST = 32
+#: characters of a candidate other than an e-mail address
+SLOT = 40
 C = F.col
 # the contract's forms; (?<![0-9]) and ++ only spare retries inside one run of digits, which fail alike
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -49,6 +66,9 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 DIGIT = re.compile(r"[0-9]")
+# whole words with a digit or an @, in one pass over the text
+MARKED = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
+ALNUM = re.compile(r"[^\W_]")
 TRIM = "\"'()[]{}<>,;:!?.|*$%&#="
 OCCURRENCE = "array<struct<kind:int,start:int,end:int,value:bigint,seed:boolean,patterns:array<bigint>>>"
 
@@ -90,20 +110,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def likely_kind(word: str) -> int | None:
-    """The kind that a word outside all base spans would be of, by its looks."""
-    if "@" in word.strip("@"):
-        return 0
-    digits = len(NOT_DIGIT.sub("", word))
-    if digits < 7 or digits < 0.8 * len(word):
+def likely_kind(words: str) -> int | None:
+    """The kind that a slot outside all base spans would be of, by its looks."""
+    if "@" in words:
+        return 0 if "@" in words.strip("@") and " " not in words else None
+    digits = len(DIGIT.findall(words))
+    if len(words) > SLOT or digits < 7 or 2 * digits < len(ALNUM.findall(words)):
         return None
-    if word.count(".") >= 3:
+    if words.count(".") >= 3 and " " not in words:
         return 1
     return 2 if digits >= 12 else 3
 
 
-def _context(words: list[str]) -> list[str]:
-    return [DIGIT.sub("0", w.strip(TRIM).lower()) for w in words]
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """Without punctuation at both ends; the bracket stays that opens one closed inside."""
+    first = start
+    while start < end and text[start] in TRIM:
+        start += 1
+    while end > start and text[end - 1] in TRIM:
+        end -= 1
+    if start > first and text[start - 1] == "(" and ")" in text[start:end]:
+        start -= 1
+    return start, end
+
+
+def slots(text: str, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of words with digits, one space apart, and the single marked words;
+    words that a base span touches belong to none."""
+    out, run, at = [], [], 0
+    for m in MARKED.finditer(text):
+        start, end = m.span()
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        free = at == len(covered) or covered[at][0] >= end
+        joins = run and free and start - run[-1][1] == 1 and text[start - 1] == " " and "@" not in m[0] and "@" not in text[slice(*run[-1])]
+        if run and not joins:
+            out += run + [(run[0][0], run[-1][1])] * (len(run) > 1)
+            run = []
+        if free:
+            run.append((start, end))
+    return out + run + ([(run[0][0], run[-1][1])] if len(run) > 1 else [])
 
 
 def _signed(x: str) -> int:
@@ -111,32 +157,46 @@ def _signed(x: str) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def word_key(word: str) -> int:
+    """Hash of a context word without case, digits and outer punctuation; 0: nothing is left."""
+    plain = DIGIT.sub("0", word.strip(TRIM).lower()) if len(word) <= LONGEST else ""
+    return xxhash.xxh64_intdigest(plain) if plain else 0
+
+
+def pattern_keys(side: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of patterns: side 0 (two words to the left) or 1 (one on each side)."""
+    x = first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(side)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _around(text: str, starts: list[int], ends: list[int], start: int, end: int) -> list[int | None]:
+    """Keys of the two words to the left and of the one to the right (None: there is none)."""
+    left, right = bisect_left(starts, start) - 1, bisect_right(ends, end)
+    pieces = [(starts[i], min(ends[i], start)) if i >= 0 else None for i in (left - 1, left)]
+    pieces.append((max(starts[right], end), ends[right]) if right < len(starts) else None)
+    return [None if p is None else 0 if p[1] - p[0] > LONGEST else word_key(text[slice(*p)]) for p in pieces]
+
+
 def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
     """Seeds and candidates with the patterns around them."""
-    covered = sorted((s, e) for _, s, e in spans)
     found = [(k, s, e, True) for k, s, e in spans]
     if DIGIT.search(text) or "@" in text:
-        at = 0
-        for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*", text) if len(covered) or "@" in text or re.search(r"[0-9].?[0-9].?[0-9]", text) else ():
-            word = m[0].strip(TRIM)
-            kind = likely_kind(word)
-            if kind is None:
-                continue
-            start = m.start() + m[0].find(word)
-            while at < len(covered) and covered[at][1] <= start:
-                at += 1
-            if not any(s < start + len(word) for s, _ in covered[at : at + 1]):
-                found.append((kind, start, start + len(word), False))
+        for place in slots(text, sorted((s, e) for _, s, e in spans)):
+            start, end = _trimmed(text, *place)
+            kind = likely_kind(text[start:end])
+            if kind is not None:
+                found.append((kind, start, end, False))
+    if not found:
+        return []
+    starts, ends = map(list, zip(*(m.span() for m in WORDS.finditer(text))))
     out = []
     for kind, start, end, seed in found:
-        left = _context(WORDS.findall(text[max(0, start - 80) : start])[-2:])
-        right = _context(WORDS.findall(text[end : end + 40])[:1])
-        patterns = []
-        if len(left) == 2 and any(left):
-            patterns.append(f"{kind} L {left[0]} {left[1]}")
-        if left and right and (left[-1] or right[0]):
-            patterns.append(f"{kind} B {left[-1]} {right[0]}")
-        out.append((kind, start, end, _signed(f"{kind} {text[start:end].lower()}"), seed, [_signed(p) for p in patterns]))
+        two, one, right = _around(text, starts, ends, start, end)
+        pairs = [(side, a, b) for side, a, b in ((0, two, one), (1, one, right)) if a is not None and b is not None and (a or b)]
+        patterns = [int(pattern_keys(side, np.array([a], np.uint64), np.array([b], np.uint64)).view(np.int64)[0]) for side, a, b in pairs]
+        out.append((kind, start, end, _signed(f"{kind} {text[start:end].lower()}"), seed, patterns))
     return out
 
 
@@ -164,27 +224,76 @@ def scan(docs: DataFrame) -> DataFrame:
                                    f"base array<struct<kind:int,start:int,end:int>>, occurrences {OCCURRENCE}")
 
 
-def unseen(occ: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confident: float = CONFIDENT, accept: float = ACCEPT) -> DataFrame:
+def _plain_slots(bits: np.ndarray):
+    """(pattern, word) of the ordinary words (no digit, no @) in slots of the patterns in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, int] = {}
+        mask = np.uint64(64 * len(bits) - 1)
+        for batch in batches:
+            patterns, fillers = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            for text in batch.column(0):
+                words = WORDS.findall(text.as_py() or "")
+                if len(cache) > 200_000:
+                    cache.clear()
+                for w in words:
+                    if w not in cache and len(w) <= LONGEST:
+                        cache[w] = word_key(w)
+                key = np.fromiter((cache.get(w, 0) for w in words), np.uint64, len(words))
+                plain = np.fromiter((DIGIT.search(w) is None and "@" not in w for w in words), bool, len(words))
+                for side, first, second, fill in ((0, key[:-2], key[1:-1], slice(2, None)), (1, key[:-2], key[2:], slice(1, -1))):
+                    if len(words) > 2:
+                        p = pattern_keys(side, first, second)
+                        h = p & mask
+                        hit = plain[fill] & ((first | second) != 0) & ((bits[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
+                        patterns.append(p[hit])
+                        fillers.append(key[fill][hit])
+            pairs = np.unique(np.stack([np.concatenate(patterns), np.concatenate(fillers)], 1), axis=0).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["pattern", "word"])
+
+    return run
+
+
+def against(docs: DataFrame, edges: DataFrame, min_seeds: int) -> DataFrame:
+    """(pattern, kind, contrary): of the patterns with instances enough to be trusted, how many
+    seeds of other kinds and how many distinct ordinary words they name."""
+    enough = saved(edges.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.count_if("seed").alias("mine")).where(C("n") >= min_seeds))
+    at = C("pattern").bitwiseAND(BITS - 1)
+    words = enough.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pattern & {BITS - 1} & 63))")).alias("m"))
+    bits = np.zeros(BITS // 64, np.uint64)
+    for row in words.collect():  # BITS / 64 rows at most
+        bits[row["w"]] = np.int64(row["m"]).astype(np.uint64)
+    wanted = enough.select("pattern").distinct()
+    plain = saved(docs.select(C("text").cast("string")).mapInArrow(lean(_plain_slots(bits)), "pattern bigint, word bigint").distinct().join(wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("plain")))
+    seeds = edges.where("seed").join(wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("seeds"))
+    both = enough.join(plain, "pattern", "left").join(seeds, "pattern", "left")
+    none = F.lit(0)
+    return both.select("pattern", "kind", (F.coalesce("plain", none) + F.coalesce("seeds", none) - C("mine")).alias("contrary"))
+
+
+def unseen(docs: DataFrame, occ: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confident: float = CONFIDENT, accept: float = ACCEPT, prior: float = PRIOR) -> DataFrame:
     """(value) of the candidates that the graph's patterns make sure enough."""
-    edges = saved(occ.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
-    known = saved(edges.groupBy("value").agg(F.max("seed").cast("double").alias("sure")))
+    edges = saved(occ.select("kind", "value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed")))
+    contrary = against(docs, edges, min_seeds)
+    values = edges.groupBy("kind", "value").agg(F.max("seed").alias("seed"))
+    background = values.groupBy("kind").agg((F.count_if("seed") / (F.count("*") + 1)).alias("background"))
+    names = saved(contrary.join(background, "kind"))
+    known = saved(values.select("value", "seed", C("seed").cast("double").alias("sure")))
     for _ in range(rounds):
-        # patterns that name enough sure instances
-        seen = saved(edges.join(known, "value").groupBy("pattern").agg(
-            (F.sum("sure") / (F.count("*") + PRIOR)).alias("trust"), F.count_if(C("sure") >= accept).alias("n")).where((C("n") >= min_seeds) & (C("trust") >= confident)))
-        doubt = F.exp(F.sum(F.log1p(-C("trust"))))
-        found = edges.join(seen, "pattern").groupBy("value").agg((1.0 - doubt).alias("sure"), F.max("seed").alias("seed"))
-        known = saved(edges.groupBy("value").agg(F.max("seed").alias("_seed")).join(found, "value", "left").select(
-            "value", F.when(C("_seed"), F.lit(1.0)).otherwise(F.coalesce("sure", F.lit(0.0))).alias("sure")))
-    seeds = edges.where("seed").select("value").distinct()
-    return known.where(C("sure") >= accept).join(seeds, "value", "left_anti").select("value")
-
-
-def find(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confident: float = CONFIDENT, accept: float = ACCEPT) -> DataFrame:
+        per = edges.drop("seed").join(known, "value").groupBy("pattern", "kind").agg(F.count_if(C("sure") >= accept).alias("n"), F.count("*").alias("all"))
+        trust = F.least(F.round((C("n") + prior * C("background")) / (C("n") + C("contrary") + prior), 9), F.lit(0.999999))
+        trusted = saved(per.join(names, ["pattern", "kind"]).select("pattern", "kind", "n", "all", trust.alias("trust")).where(
+            (C("n") >= min_seeds) & (2 * C("n") >= C("all")) & (C("trust") >= confident)))
+        found = edges.join(trusted, ["pattern", "kind"]).groupBy("value").agg(F.round(1.0 - F.exp(F.sum(F.log1p(-C("trust")))), 9).alias("found"))
+        known = saved(known.drop("sure").join(found, "value", "left").select("value", "seed", F.when(C("seed"), F.lit(1.0)).otherwise(F.coalesce("found", F.lit(0.0))).alias("sure")))
+    return known.where((C("sure") >= accept) & ~C("seed")).select("value")
+
+
+def find(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confident: float = CONFIDENT, accept: float = ACCEPT, prior: float = PRIOR) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     base = saved(scan(docs))
     occ = base.select("doc_id", "_text", F.inline("occurrences"))
-    new = saved(unseen(occ, rounds, min_seeds, confident, accept))
+    new = saved(unseen(docs, occ, rounds, min_seeds, confident, accept, prior))
     added = occ.where(~C("seed")).join(new, "value").groupBy("doc_id", "_text").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
     added = saved(added).withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
     both = base.join(added, C("doc_id").eqNullSafe(C("_id")) & (C("_text") == C("_hash")), "left")

@@ -6,6 +6,8 @@ import re
 import numpy as np
 import xxhash
 
+from demandgrid.llm import pii
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -86,3 +88,51 @@ def line_removals(rows, percent=80):
                 out.setdefault(d, set()).add(k)
                 break
     return out
+
+
+def unseen_identifiers(rows, rounds=3, min_seeds=5, confident=0.7, accept=0.9, prior=2.0):
+    """Texts of the identifiers that contexts reveal, by plain dicts over (doc_id, text) rows:
+    {(kind, lower-case text)}.  Slots and kinds come from the operator's own helpers."""
+    def plain(word):
+        return re.sub("[0-9]", "0", word.strip(pii.TRIM).lower()) if len(word) <= pii.LONGEST else ""
+
+    edges, fillers = {}, {}
+    for _, text in rows:
+        text = text or ""
+        spans = pii.base_spans(text)
+        covered = sorted((s, e) for _, s, e in spans)
+        found = [(k, s, e, True) for k, s, e in spans]
+        for place in pii.slots(text, covered):
+            s, e = pii._trimmed(text, *place)
+            if pii.likely_kind(text[s:e]) is not None:
+                found.append((pii.likely_kind(text[s:e]), s, e, False))
+        for kind, s, e, seed in found:
+            left, right = [plain(w) for w in WORDS.findall(text[:s])[-2:]], [plain(w) for w in WORDS.findall(text[e:])[:1]]
+            value = (kind, text[s:e].lower())
+            patterns = [("L", *left)] if len(left) == 2 else []
+            patterns += [("B", left[-1], right[0])] if left and right else []
+            for p in (p for p in patterns if any(p[1:])):
+                at = edges.setdefault((p, kind), {})
+                at[value] = at.get(value, False) or seed
+        words = WORDS.findall(text)
+        for i, w in enumerate(words):
+            if not re.search("[0-9@]", w):
+                if i >= 2:
+                    fillers.setdefault(("L", plain(words[i - 2]), plain(words[i - 1])), set()).add(plain(w))
+                if 1 <= i < len(words) - 1:
+                    fillers.setdefault(("B", plain(words[i - 1]), plain(words[i + 1])), set()).add(plain(w))
+    seeds = {v for at in edges.values() for v, seed in at.items() if seed}
+    every = {v for at in edges.values() for v in at}
+    share = [sum(v[0] == k for v in seeds) / (sum(v[0] == k for v in every) + 1) for k in range(4)]
+    sure = dict.fromkeys(seeds, 1.0)
+    for _ in range(rounds):
+        doubt = {}
+        for (p, kind), at in edges.items():
+            n = sum(sure.get(v, 0) >= accept for v in at)
+            others = sum(seed for (q, k), vs in edges.items() if q == p and k != kind for seed in vs.values())
+            trust = min(round((n + prior * share[kind]) / (n + len(fillers.get(p, ())) + others + prior), 9), 0.999999)
+            if n >= min_seeds and 2 * n >= len(at) and trust >= confident:
+                for v in at:
+                    doubt[v] = doubt.get(v, 1.0) * (1 - trust)
+        sure = {v: round(1 - d, 9) for v, d in doubt.items()} | dict.fromkeys(seeds, 1.0)
+    return {v for v, x in sure.items() if x >= accept} - seeds
