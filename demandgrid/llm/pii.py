@@ -7,8 +7,10 @@
    left, and the word to the left with the word to the right.
 2. Base spans are the seed instances of the bipartite graph of (pattern, instance)
    pairs, copies collapsed.  A second scan counts what speaks against a pattern:
-   ordinary words in its slot.  A bitmap of fixed size tells the scan which patterns
-   have instances enough to matter; the join that follows is exact.
+   ordinary words in its slot.  A table of fixed size tells the scan which patterns
+   have instances enough to matter, and how many distinct words decide against each
+   for good: a pattern that a task has seen with more is out whatever the rounds say,
+   so the task need not go on with it.  The join that follows is exact.
 3. The graph is scored in rounds of Spark aggregations.  Candidates are unknown, not
    wrong: a pattern's trust is (sure instances + ``prior`` x background) / (sure
    instances + contrary instances + ``prior``), where contrary ones are seeds of other
@@ -52,8 +54,10 @@ MIN_SEEDS = 5
 CONFIDENT = 0.7
 ACCEPT = 0.9
 PRIOR = 2.0
-#: bits of the bitmap that tells the second scan which patterns to look for
-BITS = 1 << 20
+#: slots of the table that tells the second scan which patterns to look for, and how many
+#: (pattern, word) pairs a task holds before it passes them on
+PLACES = 1 << 18
+HELD = 500_000
 LONGEST = 32
 #: characters of a candidate other than an e-mail address
 SLOT = 40
@@ -224,12 +228,20 @@ def scan(docs: DataFrame) -> DataFrame:
                                    f"base array<struct<kind:int,start:int,end:int>>, occurrences {OCCURRENCE}")
 
 
-def _plain_slots(bits: np.ndarray):
-    """(pattern, word) of the ordinary words (no digit, no @) in slots of the patterns in the bitmap."""
+def _plain_slots(levels: np.ndarray):
+    """(pattern, word) of the ordinary words (no digit, no @) in slots of the patterns that the
+    table holds, until 2**level distinct ones are known of a pattern."""
+
+    def passed_on(seen: dict[int, set[int]]) -> pa.RecordBatch:
+        patterns = np.repeat(np.fromiter(seen, np.int64, len(seen)), np.fromiter(map(len, seen.values()), np.int64, len(seen)))
+        words = np.fromiter((w for of in seen.values() for w in of), np.int64, len(patterns))
+        return pa.RecordBatch.from_arrays([pa.array(patterns), pa.array(words)], ["pattern", "word"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
-        mask = np.uint64(64 * len(bits) - 1)
+        mask = np.uint64(len(levels) - 1)
+        seen: dict[int, set[int]] = {}
+        held = 0
         for batch in batches:
             patterns, fillers = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
             for text in batch.column(0):
@@ -244,27 +256,36 @@ def _plain_slots(bits: np.ndarray):
                 for side, first, second, fill in ((0, key[:-2], key[1:-1], slice(2, None)), (1, key[:-2], key[2:], slice(1, -1))):
                     if len(words) > 2:
                         p = pattern_keys(side, first, second)
-                        h = p & mask
-                        hit = plain[fill] & ((first | second) != 0) & ((bits[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
+                        hit = plain[fill] & ((first | second) != 0) & (levels[(p & mask).astype(np.int64)] > 0)
                         patterns.append(p[hit])
                         fillers.append(key[fill][hit])
             pairs = np.unique(np.stack([np.concatenate(patterns), np.concatenate(fillers)], 1), axis=0).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["pattern", "word"])
+            for pattern, word in pairs.tolist():
+                of = seen.setdefault(pattern, set())
+                if len(of) < 1 << int(levels[pattern & int(mask)]) and word not in of:
+                    of.add(word)
+                    held += 1
+            if held > HELD:
+                yield passed_on(seen)
+                seen, held = {}, 0
+        yield passed_on(seen)
 
     return run
 
 
-def against(docs: DataFrame, edges: DataFrame, min_seeds: int) -> DataFrame:
+def against(docs: DataFrame, edges: DataFrame, min_seeds: int, confident: float, prior: float) -> DataFrame:
     """(pattern, kind, contrary): of the patterns with instances enough to be trusted, how many
-    seeds of other kinds and how many distinct ordinary words they name."""
+    seeds of other kinds and how many distinct ordinary words they name (no fewer than
+    rule the pattern out, where there are more than that)."""
     enough = saved(edges.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.count_if("seed").alias("mine")).where(C("n") >= min_seeds))
-    at = C("pattern").bitwiseAND(BITS - 1)
-    words = enough.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pattern & {BITS - 1} & 63))")).alias("m"))
-    bits = np.zeros(BITS // 64, np.uint64)
-    for row in words.collect():  # BITS / 64 rows at most
-        bits[row["w"]] = np.int64(row["m"]).astype(np.uint64)
+    # were all its instances sure, this many contrary ones would still be too many
+    decides = (C("n") + prior) * (1.01 * (1 - confident) / confident) + 3
+    table = enough.groupBy(C("pattern").bitwiseAND(PLACES - 1).alias("at")).agg(F.max(F.ceil(F.log2(decides))).cast("int").alias("level"))
+    levels = np.zeros(PLACES, np.int8)
+    for row in table.collect():  # PLACES rows at most
+        levels[row["at"]] = row["level"]
     wanted = enough.select("pattern").distinct()
-    plain = saved(docs.select(C("text").cast("string")).mapInArrow(lean(_plain_slots(bits)), "pattern bigint, word bigint").distinct().join(wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("plain")))
+    plain = saved(docs.select(C("text").cast("string")).mapInArrow(lean(_plain_slots(levels)), "pattern bigint, word bigint").distinct().join(wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("plain")))
     seeds = edges.where("seed").join(wanted, "pattern").groupBy("pattern").agg(F.count("*").alias("seeds"))
     both = enough.join(plain, "pattern", "left").join(seeds, "pattern", "left")
     none = F.lit(0)
@@ -274,7 +295,7 @@ def against(docs: DataFrame, edges: DataFrame, min_seeds: int) -> DataFrame:
 def unseen(docs: DataFrame, occ: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confident: float = CONFIDENT, accept: float = ACCEPT, prior: float = PRIOR) -> DataFrame:
     """(value) of the candidates that the graph's patterns make sure enough."""
     edges = saved(occ.select("kind", "value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed")))
-    contrary = against(docs, edges, min_seeds)
+    contrary = against(docs, edges, min_seeds, confident, prior)
     values = edges.groupBy("kind", "value").agg(F.max("seed").alias("seed"))
     background = values.groupBy("kind").agg((F.count_if("seed") / (F.count("*") + 1)).alias("background"))
     names = saved(contrary.join(background, "kind"))
