@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandgrid.functions.exprs import EARTH_MILES, EARTH_MILES_GRID, fenced, haversine, haversine_meters, total
-from demandgrid.operators.geo import MILES_PER_DEGREE, _reach, polygon_contains
+from demandgrid.operators.geo import MILES_PER_DEGREE, _reach, catchment, polygon_contains, within
 from demandgrid.session import ensure_checkpoint_dir
 
 C = F.col
@@ -69,8 +69,12 @@ def _ring(distance: Column, radii: list[float]) -> Column:
 
 def near_sums(queries: DataFrame, at: tuple[str, str], sites: DataFrame, site_at: tuple[str, str], sums: list[str], maxes: list[str] | None = None,
               keys: list[str] | None = None, radii: list[float] | None = None, own: str | None = None, max_miles: float | None = None,
-              radius: float = EARTH_MILES_GRID, heavy: int = HEAVY) -> DataFrame:
-    """Sums and maxima over the sites around every query point: at, keys, distance, sums, maxes.
+              radius: float = EARTH_MILES_GRID, heavy: int = HEAVY, mins: list[str] | None = None, polygon: str | None = None) -> DataFrame:
+    """Sums, maxima and minima over the sites around every query point: at, keys, distance, sums, maxes, mins.
+
+    With ``polygon`` (a column of the queries) only sites inside it count too; a query
+    point's row then carries it, and cells that its edge touches are split like those that
+    a circle crosses.  Under three vertices it holds nothing.
 
     With ``radii`` a row per ring: ``distance`` is the smallest of the radii that holds
     the ring's sites.  With ``own`` every site reaches as far as that column says (at
@@ -83,14 +87,17 @@ def near_sums(queries: DataFrame, at: tuple[str, str], sites: DataFrame, site_at
     Own radii are classed by size, so that a cell's sites reach about equally far."""
     spark = queries.sparkSession
     ensure_checkpoint_dir(spark)
-    maxes, keys = maxes or [], keys or []
+    maxes, mins, keys = maxes or [], mins or [], keys or []
+    at_q = ["q_lat", "q_lng", *(["_p"] if polygon else [])]
     most = float(max_miles if radii is None else max(radii))
     top = math.ceil(math.log2(2.0 * MILES_PER_DEGREE / most))
     levels = [top + SPLIT * i for i in range(SPLITS + 1)]
-    q = queries.select(C(at[0]).alias("q_lat"), C(at[1]).alias("q_lng")).where("q_lat IS NOT NULL AND q_lng IS NOT NULL").distinct()
+    q = queries.select(C(at[0]).alias("q_lat"), C(at[1]).alias("q_lng"), *([C(polygon).alias("_p")] if polygon else [])).where("q_lat IS NOT NULL AND q_lng IS NOT NULL").distinct()
+    if polygon:
+        q = q.where(F.size("_p") >= 3)
     reach = C(own).cast("double") if own else F.lit(most)
     reached = F.floor(F.log2(F.greatest(reach, F.lit(1e-3))) * 4.0) if own else F.lit(0).cast("bigint")
-    kept = [F.sum(c).alias(c) for c in sums] + [F.max(c).alias(c) for c in maxes]
+    kept = [F.sum(c).alias(c) for c in sums] + [F.max(c).alias(c) for c in maxes] + [F.min(c).alias(c) for c in mins]
     placed = sites.where(C(site_at[0]).isNotNull() & C(site_at[1]).isNotNull() & reach.isNotNull())
     rows = (
         placed.withColumns({"s_lat": C(site_at[0]), "s_lng": C(site_at[1]), "_reach": reach, "_class": reached})
@@ -119,23 +126,51 @@ def near_sums(queries: DataFrame, at: tuple[str, str], sites: DataFrame, site_at
         else:
             crossed = reduce(lambda x, y: x | y, [(C("_near") < r) & (C("_far") > r) for r in radii])
             beyond, inner, ring = C("_near") > most, ~crossed, _ring(C("_far"), radii)
-        judged = met.where(~beyond).withColumns({"_inner": inner, "distance": F.when(inner, ring)}).drop("_near", "_far", "_r0", "_r1").checkpoint()
+        if polygon:
+            # a cell whose edge is untouched lies wholly inside or outside, and the latter goes
+            met = _judged(met.where(~beyond), F.lit(side(level)))
+            beyond, inner = F.lit(False), inner & ~C("_crossed")
+        judged = met.where(~beyond).withColumns({"_inner": inner, "distance": F.when(inner, ring)}).drop("_near", "_far", "_r0", "_r1", "_crossed").checkpoint()
         whole = judged.where("_inner").drop("_n").join(cells.where(C("_level") == level).drop("_level", "_n", "_r0", "_r1"), ["cy", "cx", "_class"])
         last = level == levels[-1]
         few = judged.where(~C("_inner")) if last else judged.where(~C("_inner") & (C("_n") <= heavy))
         gy, gx = grid(C("s_lat"), C("s_lng"), level)
         d = haversine(C("q_lat"), C("q_lng"), C("s_lat"), C("s_lng"), radius)
         pairs = few.drop("_n", "distance").join(rows.withColumns({"cy": gy, "cx": gx}), ["cy", "cx", "_class"]).withColumn("_d", d).where(C("_d") <= C("_reach"))
+        if polygon:
+            pairs = pairs.where(polygon_contains(C("s_lat"), C("s_lng"), C("_p")))
         ringed = F.lit(None).cast("double") if own else _ring(C("_d"), radii)
-        columns = ["q_lat", "q_lng", *keys, "distance", *sums, *maxes]
+        columns = [*at_q, *keys, "distance", *sums, *maxes, *mins]
         part = whole.select(*columns).unionByName(pairs.withColumn("distance", ringed).select(*columns))
         found = part if found is None else found.unionByName(part)
         more = judged.where(~C("_inner") & (C("_n") > heavy))
         if last or more.isEmpty():
             break
-        open_ = more.select("q_lat", "q_lng", C("cy").alias("_py"), C("cx").alias("_px"), "_class")
-    out = found.groupBy("q_lat", "q_lng", *keys, "distance").agg(*kept)
-    return out.withColumnsRenamed({"q_lat": at[0], "q_lng": at[1]})
+        open_ = more.select(*at_q, C("cy").alias("_py"), C("cx").alias("_px"), "_class")
+    out = found.groupBy(*at_q, *keys, "distance").agg(*kept)
+    return out.withColumnsRenamed({"q_lat": at[0], "q_lng": at[1], **({"_p": polygon} if polygon else {})})
+
+
+def catchment_rings(queries: DataFrame, at: tuple[str, str], polygon: str, sites: DataFrame, site_at: tuple[str, str], unlisted: Column,
+                    radii: list[float], radius: float = EARTH_MILES_GRID, heavy: int = HEAVY) -> DataFrame:
+    """Queries with a row per ring (``distance``, its radius) and the sites ``kept`` in it.
+
+    As ``geo.catchment``: ``unlisted`` sites stay, others must lie in the query's
+    polygon, and fewer than three vertices is no catchment at all.  Counts come from
+    nested grids, so no query meets the sites inside its circle and polygon one by one."""
+    one = sites.withColumn("kept", F.lit(1).cast("bigint"))
+    lat, lng = C(site_at[0]), C(site_at[1])
+    open_ = F.coalesce(F.size(polygon) < 3, F.lit(True))
+    listed, rest = one.where(~unlisted), one.where(unlisted)
+    # polygons are flat and cells are not: what lies off the map is met pair by pair
+    flat = (F.abs(lat) < 90.0) & (F.abs(lng) < 180.0)
+    off = catchment(within(queries, listed.where(~flat).select(lat.alias("_s_lat"), lng.alias("_s_lng"), "kept"), at, ("_s_lat", "_s_lng"), max(radii), max(radii), radius),
+                    C("_s_lat"), C("_s_lng"), C(polygon)).withColumn("distance", _ring(C("distance"), radii))
+    out = off.select(*queries.columns, "distance", "kept")
+    for q, s, by in ((queries, rest, None), (queries.where(open_), listed.where(flat), None), (queries.where(~open_), listed.where(flat), polygon)):
+        sums = near_sums(q, at, s, site_at, ["kept"], radii=radii, radius=radius, heavy=heavy, polygon=by)
+        out = out.unionByName(q.join(sums, [*at, *([by] if by else [])]).select(*queries.columns, "distance", "kept"))
+    return out
 
 
 #: Levels of the counts that tell how far the nearest people can be: 64 degrees to about 25 metres.
@@ -187,12 +222,17 @@ def _edges(polygon: Column) -> Column:
     return F.arrays_zip(polygon.alias("a"), F.concat(F.slice(polygon, -1, 1), F.slice(polygon, F.lit(1), F.size(polygon) - 1)).alias("b"))
 
 
+def _ends(p: Column) -> dict[str, Column]:
+    """The box of a polygon: _lo_lat, _lo_lng, _hi_lat, _hi_lng."""
+    return {f"_{f}_{d}": (F.array_min if f == "lo" else F.array_max)(F.transform(p, lambda v: v[d])) for f in ("lo", "hi") for d in ("lat", "lng")}  # noqa: B023
+
+
 def cover_start(zones: DataFrame, key: str, polygon: str) -> DataFrame:
     """key, _p, level, cy, cx: at most 25 cells that hold the polygon (array<struct<lat,lng>>) and
     that its size alone decides.  Flat coordinates, as in ``polygon_contains``; under three vertices no cell."""
     p = C("_p")
     z = zones.select(key, C(polygon).alias("_p")).where(F.size("_p") >= 3)
-    ends = {f"_{f}_{d}": (F.array_min if f == "lo" else F.array_max)(F.transform(p, lambda v: v[d])) for f in ("lo", "hi") for d in ("lat", "lng")}  # noqa: B023
+    ends = _ends(p)
     z = fenced(z.withColumns(ends), list(ends))
     extent = F.greatest(C("_hi_lat") - C("_lo_lat"), C("_hi_lng") - C("_lo_lng"), F.lit(1e-9))
     level = F.greatest(F.lit(COVER_LEVELS[0]), F.least(F.lit(COVER_LEVELS[-1]), (F.floor((2.0 - F.log2(extent)) / 2) * 2).cast("int"))).cast("int")
@@ -206,7 +246,12 @@ def cover_judge(cells: DataFrame) -> DataFrame:
     """Cells of ``cover_start`` less those outside their polygon, with _crossed: whether an edge touches them.
 
     A cell that no edge touches lies wholly inside or outside, as its centre does."""
-    s, eps = side(C("level")), 1e-9
+    return _judged(cells, side(C("level")))
+
+
+def _judged(cells: DataFrame, s: Column) -> DataFrame:
+    """The cells (cy, cx of side ``s``) less those outside their polygon _p, with _crossed."""
+    eps = 1e-9
     y0, x0 = C("cy") * s - 90.0, C("cx") * s - 180.0
     corners = {"_y0": y0 - eps, "_y1": y0 + s + eps, "_x0": x0 - eps, "_x1": x0 + s + eps}
     boxed = fenced(cells.withColumns(corners), list(corners))
@@ -234,14 +279,18 @@ def in_zones(pts: DataFrame, lat: str, lng: str, zones: DataFrame, key: str, pol
     # flat cells: like the polygons, longitudes do not wrap
     placed = pts.where(C(lat).isNotNull() & C(lng).isNotNull())
     celled = {"cy": F.floor((C(lat) + 90.0) * scale), "cx": F.floor((C(lng) + 180.0) * scale)}
-    open_, covers = cover_start(zones, key, polygon), None
+    # a zone is a few bytes of input but many cells of polygons, so the plan takes covers for
+    # small tables: they are dealt to all tasks here and never broadcast (the merge hints)
+    dealt = zones.select(key, C(polygon).alias("_p")).repartition("_p")
+    open_, covers = cover_start(dealt, key, "_p"), None
     while True:
         judged = cover_judge(open_).checkpoint()
         levels = judged.agg(F.collect_set("level").alias("l")).scalar()  # at most the cover levels
         counts = placed.select(lat, lng, F.explode(levels).alias("level")).withColumns(celled).groupBy("level", "cy", "cx").agg(F.count("*").alias("_n"))
-        held = judged.join(counts, ["level", "cy", "cx"])
+        held = judged.hint("merge").join(counts, ["level", "cy", "cx"])
         many = C("_crossed") & (C("_n") > heavy) & (C("level") < COVER_LEVELS[-1])
-        done = held.where(~many).select(key, "level", "cy", "cx", (~C("_crossed")).alias("inner"))
+        # touched cells keep the polygon: points meet it where they meet the cell
+        done = held.where(~many).select(key, "level", "cy", "cx", F.when(C("_crossed"), C("_p")).alias("_p"))
         covers = done if covers is None else covers.unionByName(done)
         more = held.where(many).checkpoint()
         if more.isEmpty():
@@ -249,11 +298,13 @@ def in_zones(pts: DataFrame, lat: str, lng: str, zones: DataFrame, key: str, pol
         parts = F.sequence(F.lit(0), F.lit(3))
         open_ = more.withColumn("_i", F.explode(parts)).withColumn("_j", F.explode(parts)).select(
             key, "_p", (C("level") + 2).cast("int").alias("level"), (C("cy") * 4 + C("_i")).alias("cy"), (C("cx") * 4 + C("_j")).alias("cx"))
-    covers = covers.checkpoint()
+    box = _ends(C("_p"))
+    covers = covers.withColumns(box).checkpoint()
     levels = covers.agg(F.collect_set("level").alias("l")).scalar()
-    met = placed.withColumn("level", F.explode(levels)).withColumns(celled).join(covers, ["level", "cy", "cx"]).drop("level", "cy", "cx")
-    cast = met.where(~C("inner")).join(zones.select(key, C(polygon).alias("_p")), key).where(polygon_contains(C(lat), C(lng), C("_p"))).drop("_p")
-    return met.where("inner").unionByName(cast).drop("inner")
+    met = placed.withColumn("level", F.explode(levels)).withColumns(celled).join(covers.hint("merge"), ["level", "cy", "cx"]).drop("level", "cy", "cx")
+    # rays are cast only within the polygon's box, widened by more than the rounding of a crossing
+    near = reduce(lambda x, y: x & y, [(C(c) >= C(f"_lo_{d}") - 1e-9) & (C(c) <= C(f"_hi_{d}") + 1e-9) for c, d in ((lat, "lat"), (lng, "lng"))])
+    return met.where(C("_p").isNull() | (near & polygon_contains(C(lat), C(lng), C("_p")))).drop("_p", *box)
 
 
 def near_zones(pts: DataFrame, key: str, lat: str, lng: str, zones: DataFrame, polygon: str, meters: float, min_keep: int) -> DataFrame:

@@ -178,3 +178,26 @@ def test_overlap_with_a_hub_in_nine_of_ten_sets(spark):
         mean = sum(len(s & t) / len(s | t) for j, t in sets.items() if j != i) / (len(sets) - 1)
         assert got[i] == pytest.approx(max(0.0, min(1.0, 1 - mean / 0.6)) * 100, abs=0.0051)
     assert got[9999] == 100.0
+
+
+def test_zone_covers_are_not_broadcast(spark):
+    """A zone is eight bytes of input and many cells of polygons: the plan's guess of their size must not send them to the driver."""
+    k = F.col("id")
+    v = lambda a, b: F.struct((37.0 + k % 50 * 0.01 + a).alias("lat"), (-122.0 + F.floor(k / 50) * 0.01 + b).alias("lng"))
+    zones = spark.range(500).select(k.alias("zone"), F.array(v(0.0, 0.0), v(0.02, 0.005), v(0.01, 0.02)).alias("poly"))
+    rng = random.Random(5)
+    pts = [(i, *p) for i, p in enumerate(spread(rng, 300, 37.25, -121.95, 0.2))]
+    got = PY.in_zones(spark.createDataFrame(pts, "id bigint, lat double, lng double"), "lat", "lng", zones, "zone", "poly", heavy=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+    def inside(lat, lng, p):
+        odd = False
+        for a, b in zip(p, [p[-1], *p[:-1]]):
+            if (a[1] > lng) != (b[1] > lng) and lat < (b[0] - a[0]) * (lng - a[1]) / (b[1] - a[1] or 1e-12) + a[0]:
+                odd = not odd
+        return odd
+
+    shapes = {z["zone"]: [(x["lat"], x["lng"]) for x in z["poly"]] for z in zones.collect()}
+    want = {(z, i) for z, p in shapes.items() for i, lat, lng in pts if inside(lat, lng, p)}
+    assert {(r["zone"], r["id"]) for r in got.collect()} == want and want
