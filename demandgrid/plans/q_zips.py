@@ -448,13 +448,11 @@ SELECT zip, count(*) AS kept, count(CASE WHEN d <= 1 THEN 1 END) AS within_1, co
   z.lat - 0.01 AS a3, z.lng + 0.06 AS o3 FROM v_centroid z CROSS JOIN v_poi p) WHERE d <= 5 AND (place_id % 7 = 0 OR {INSIDE}) GROUP BY 1"""))
 def _(spark, sf):
     # every seventh place is listed without coordinates and must be kept
-    pairs = G.within(V.centroids(spark, sf), V.pois(spark, sf).select("place_id", C("lat").alias("plat"), C("lng").alias("plng")),
-                     ("lat", "lng"), ("plat", "plng"), 5.0, 5.0, 3958.7613)
+    p = V.pois(spark, sf).select("place_id", C("lat").alias("plat"), C("lng").alias("plng"))
     v = lambda a, b: F.struct((C("lat") + a).alias("lat"), (C("lng") + b).alias("lng"))
-    shape = F.array(v(-0.03, -0.03), v(0.05, 0.0), v(-0.01, 0.06))
-    gone = C("place_id") % 7 == 0
-    kept = G.catchment(pairs, F.when(~gone, C("plat")), F.when(~gone, C("plng")), shape)
-    return kept.groupBy("zip").agg(F.count("*").alias("kept"), *G.distance_buckets(C("distance"), [1, 3]))
+    z = V.centroids(spark, sf).withColumn("shape", F.array(v(-0.03, -0.03), v(0.05, 0.0), v(-0.01, 0.06)))
+    kept = PY.catchment_rings(z, ("lat", "lng"), "shape", p, ("plat", "plng"), C("place_id") % 7 == 0, [1.0, 3.0, 5.0], 3958.7613)
+    return kept.groupBy("zip").agg(F.sum("kept").alias("kept"), *G.distance_buckets(C("distance"), [1, 3], C("kept")))
 
 
 # the walk: best first, a point stays unless one that stayed is nearer than two miles

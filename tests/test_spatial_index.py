@@ -201,3 +201,26 @@ def test_zone_covers_are_not_broadcast(spark):
     shapes = {z["zone"]: [(x["lat"], x["lng"]) for x in z["poly"]] for z in zones.collect()}
     want = {(z, i) for z, p in shapes.items() for i, lat, lng in pts if inside(lat, lng, p)}
     assert {(r["zone"], r["id"]) for r in got.collect()} == want and want
+
+
+@pytest.mark.parametrize("heavy", [1, 512])
+def test_catchment_rings_equal_plain_loops(spark, heavy):
+    """Circle and polygon by nested grids: unlisted places stay, a shape of two corners trims nothing."""
+    from demandgrid.operators import geo as G
+
+    rng = random.Random(heavy)
+    rows = [(f"z{i}", *p) for i, p in enumerate(spread(rng, 12, width=0.05))] + [("far", 10.0, 179.99)]
+    places = [(i, *p) for i, p in enumerate(spread(rng, 500, width=0.12))] + [(700, 10.0, 180.01), (701, 10.001, 179.995)]
+    q = spark.createDataFrame(rows, "zip string, lat double, lng double")
+    v = lambda a, b: F.struct((F.col("lat") + a).alias("lat"), (F.col("lng") + b).alias("lng"))
+    few = F.array(v(0.0, 0.0), v(0.05, 0.05))
+    q = q.withColumn("shape", F.when(F.col("zip") == "z3", few).when(F.col("zip") != "z4", F.array(v(-0.03, -0.03), v(0.05, 0.0), v(-0.01, 0.06))))
+    s = spark.createDataFrame(places, "id bigint, plat double, plng double")
+    gone = F.col("id") % 7 == 0
+    got = PY.catchment_rings(q, ("lat", "lng"), "shape", s, ("plat", "plng"), gone, [1.0, 3.0, 5.0], heavy=heavy)
+    got = {(r["zip"], r["distance"]): r["k"] for r in got.groupBy("zip", "distance").agg(F.sum("kept").alias("k")).collect()}
+    pairs = G.within(q, s, ("lat", "lng"), ("plat", "plng"), 5.0, 5.0, EARTH_MILES_GRID)
+    kept = G.catchment(pairs, F.when(~gone, F.col("plat")), F.when(~gone, F.col("plng")), F.col("shape"))
+    ring = F.when(F.col("distance") <= 1, 1.0).when(F.col("distance") <= 3, 3.0).otherwise(5.0)
+    want = {(r["zip"], r["r"]): r["k"] for r in kept.groupBy("zip", ring.alias("r")).agg(F.count("*").alias("k")).collect()}
+    assert got == want and want
