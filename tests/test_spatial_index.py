@@ -224,3 +224,29 @@ def test_catchment_rings_equal_plain_loops(spark, heavy):
     ring = F.when(F.col("distance") <= 1, 1.0).when(F.col("distance") <= 3, 3.0).otherwise(5.0)
     want = {(r["zip"], r["r"]): r["k"] for r in kept.groupBy("zip", ring.alias("r")).agg(F.count("*").alias("k")).collect()}
     assert got == want and want
+
+
+def test_candidate_pairs_are_not_moved_to_compare_them(spark):
+    """Candidates and ZIPs of one spot pair up without a shuffle of the pairs; keys of several spots still come once."""
+    from demandgrid.operators import zip_demand as Z
+
+    cands = [(1, None, 37.40, -122.0, None), (1, None, 37.41, -122.0, None), (2, "00003", 37.40, -122.0, None), (3, "00001", None, None, "x"), (4, None, None, None, "Town"), (None, "00002", None, None, None), (5, "00002", 37.41, -122.01, "town")]
+    c = spark.createDataFrame(cands + cands[2:4], "candidate_id bigint, candidate_zip string, lat double, lng double, city string")
+    cen = spark.createDataFrame([("00001", 37.40, -122.01), ("00002", 37.42, -122.0), ("00002", 37.40, -122.02), ("00003", 39.0, -120.0), ("00001", 37.40, -122.01)], "zip string, lat double, lng double")
+    ints = "total_classes total_students total_capacity arc_cpr_classes arc_cpr_students arc_bls_classes arc_bls_students aha_bls_classes aha_bls_students".split()
+    prof = spark.createDataFrame([(f"0000{i}", ["town"], 50.0 + i, f"2000-0{i}-01", f"2000-0{i}-09") for i in (1, 2, 3)], "zip string, cities array<string>, fill_rate double, earliest_class_date string, latest_class_date string")
+    prof = prof.withColumns({x: (F.col("zip").cast("bigint") * (j + 3)) for j, x in enumerate(ints)})
+    got = Z.resolve_candidates(c, prof, cen, 5.0)
+    rows = sorted(map(tuple, got.collect()), key=str)
+    near = "exact_plus_radius"
+    assert rows == sorted([(1, "00001", near), (1, "00002", near), (2, "00001", near), (2, "00002", near), (2, "00003", near), (3, "00001", near), (3, "00002", near), (4, "00001", "city"),
+                           (4, "00002", "city"), (4, "00003", "city"), (None, "00002", near), (None, "00001", near), (5, "00001", near), (5, "00002", near)], key=str)
+    # the pairs' branch of the plan ends in its join: only odd pairs are compared
+    branch = got._jdf.queryExecution().optimizedPlan().toString().split("\n:- ")[1]
+    assert "Join Inner" in branch and "Aggregate" not in branch
+    merged = {r["candidate_id"]: r for r in Z.merged_candidates(c, prof, cen, 5.0).collect()}
+    facts = {r["zip"]: r for r in prof.collect()}
+    for i in {r[0] for r in rows}:
+        mine = [facts[z] for k, z, _ in rows if k == i]
+        assert merged[i]["zips"] == len(mine) and all(merged[i][x] == sum(f[x] for f in mine) for x in ints)
+        assert merged[i]["earliest_class_date"] == min(f["earliest_class_date"] for f in mine) and merged[i]["latest_class_date"] == max(f["latest_class_date"] for f in mine)
