@@ -301,10 +301,18 @@ def in_zones(pts: DataFrame, lat: str, lng: str, zones: DataFrame, key: str, pol
     box = _ends(C("_p"))
     covers = covers.withColumns(box).checkpoint()
     levels = covers.agg(F.collect_set("level").alias("l")).scalar()
-    met = placed.withColumn("level", F.explode(levels)).withColumns(celled).join(covers.hint("merge"), ["level", "cy", "cx"]).drop("level", "cy", "cx")
+    meet = lambda part: placed.withColumn("level", F.explode(levels)).withColumns(celled).join(part.hint("merge"), ["level", "cy", "cx"]).drop("level", "cy", "cx")
     # rays are cast only within the polygon's box, widened by more than the rounding of a crossing
     near = reduce(lambda x, y: x & y, [(C(c) >= C(f"_lo_{d}") - 1e-9) & (C(c) <= C(f"_hi_{d}") + 1e-9) for c, d in ((lat, "lat"), (lng, "lng"))])
-    return met.where(C("_p").isNull() | (near & polygon_contains(C(lat), C(lng), C("_p")))).drop("_p", *box)
+    hit = near & polygon_contains(C(lat), C(lng), C("_p"))
+    repeated = zones.where(C(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_k")).where("_k > 1").select(key).checkpoint()
+    if repeated.isEmpty():
+        return meet(covers).where(C("_p").isNull() | (C(key).isNotNull() & hit)).drop("_p", *box)
+    # where a key has several zones, each of them is asked in every touched cell of any
+    out = meet(covers.join(repeated, key, "left_anti")).where(C("_p").isNull() | (C(key).isNotNull() & hit)).drop("_p", *box)
+    met = meet(covers.join(repeated, key, "left_semi"))
+    cast = met.where("_p IS NOT NULL").drop("_p", *box).join(dealt.hint("merge"), key).where(polygon_contains(C(lat), C(lng), C("_p"))).drop("_p")
+    return out.unionByName(met.where("_p IS NULL").drop("_p", *box)).unionByName(cast.select(*out.columns))
 
 
 def near_zones(pts: DataFrame, key: str, lat: str, lng: str, zones: DataFrame, polygon: str, meters: float, min_keep: int) -> DataFrame:
