@@ -4,7 +4,7 @@ Each function folds a stream into keyed state and emits a new version of a key's
 whenever that row changes; ``advance`` runs what has arrived (available-now trigger,
 checkpoint, exactly-once file sink) and ``current`` reads each key's newest version.  The
 rows equal those of ``incremental`` over all rows at once, however the input is cut into
-files and in whatever order the files arrive.  State is a few numbers a key, and a key's
+files and in whatever order the files arrive.  State is a few numbers a key, and a state's
 rows come in Arrow batches, so a hot key costs time, not memory.
 
 Timers follow the newest stamp seen: a deadline fires when a row of any key is stamped
@@ -27,6 +27,8 @@ C = F.col
 # stamps are moved this far ahead and the watermark the same way back: it then stands at
 # the newest stamp, which fires timers, and no late row is ever dropped
 LAG_DAYS = 40000
+# states that the keys of ``timers`` share
+BUCKETS = 4096
 OUTCOMES = ["hit", "miss", "stale", "live"]
 
 
@@ -49,41 +51,58 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by(F.struct(*rest), "version").alias("r")).select("key", "r.*")
 
 
-def timers(rows: DataFrame, key: Column, stamp: Column, seconds: Column) -> DataFrame:
+def timers(rows: DataFrame, key: Column, stamp: Column, seconds: Column, buckets: int = BUCKETS) -> DataFrame:
     """Versions of (key, stamp, seconds, passed): the newest stamp of each key, the longest
     time to live among equal stamps, and whether the newest stamp of all keys lies
     more than that later (whole seconds).  A key without any stamp has passed.
 
     Cool-downs, expiring entries and follow-ups due are all this: the renewal of a key, its
-    time to live and the moment it has passed."""
+    time to live and the moment it has passed.
+
+    A call of the state function costs milliseconds whatever it holds, so keys share one of
+    ``buckets`` states: calls a step stay bounded while the keys of a state grow with the
+    table.  A state's timer is the earliest deadline of its keys; ``buckets`` is part of
+    the checkpoint and must not change."""
     whole = F.unix_timestamp(stamp)
     named = rows.select(key.cast("string").alias("key"), whole.alias("stamp"), F.coalesce(seconds.cast("bigint"), F.lit(0)).alias("seconds"))
     clock = F.timestamp_seconds(F.coalesce("stamp", F.lit(0)) + LAG_DAYS * 86400)
-    keyed = named.withColumn("_clock", clock).withWatermark("_clock", f"{LAG_DAYS} days").groupBy("key")
+    keyed = named.withColumns({"_clock": clock, "_bucket": F.pmod(F.xxhash64("key"), F.lit(buckets))}).withWatermark("_clock", f"{LAG_DAYS} days").groupBy("_bucket")
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else (None, 0, None, 0)
-        newest, fresh = (old[0], old[1]) if old[0] is not None else None, not state.exists
+        old = {k: tuple(v) for k, *v in zip(*state.get)} if state.exists else {}
+        newest = {k: (v[0], v[1]) if v[0] is not None else None for k, v in old.items()}
         if not state.hasTimedOut:
             for batch in batches:
-                known = batch.dropna(subset=["stamp"])
-                if len(known):
-                    top = known.sort_values(["stamp", "seconds"]).iloc[-1]
-                    found = (int(top["stamp"]), int(top["seconds"]))
-                    newest = found if newest is None or found > newest else newest
-        now = state.getCurrentWatermarkMs()
-        passed = newest is None or state.hasTimedOut or (newest[0] + newest[1]) * 1000 < now
-        stamp_, seconds_ = newest or (None, 0)
-        version = old[3] + 1
-        changed = fresh or (stamp_, seconds_, passed) != tuple(old[:3])
-        state.update((stamp_, seconds_, passed, version if changed else old[3]))
-        if not passed:
+                # a batch's best row of every key: rows without a stamp come first
+                best = batch[["key", "stamp", "seconds"]].sort_values(["key", "stamp", "seconds"], na_position="first").drop_duplicates("key", keep="last")
+                for k, at, life in zip(best["key"].tolist(), best["stamp"].tolist(), best["seconds"].tolist()):
+                    k = None if pd.isna(k) else k
+                    found = None if pd.isna(at) else (int(at), int(life))
+                    was = newest.setdefault(k, found)
+                    if found is not None and (was is None or found > was):
+                        newest[k] = found
+        now, rows_, changed, wait = state.getCurrentWatermarkMs(), [], [], []
+        for k, top in newest.items():
+            passed = top is None or (top[0] + top[1]) * 1000 < now
+            was = old.get(k)
+            row = (*(top or (None, 0)), passed)
+            version = was[3] if was is not None else 0
+            if was is None or row != was[:3]:
+                version += 1
+                changed.append((k, version, *row))
+            rows_.append((k, *row, version))
+            if not passed:
+                wait.append((top[0] + top[1]) * 1000)
+        state.update(tuple(map(list, zip(*rows_))))
+        if wait:
             # the timer fires when the watermark lies beyond it
-            state.setTimeoutTimestamp(max((stamp_ + seconds_) * 1000, now + 1))
+            state.setTimeoutTimestamp(max(min(wait), now + 1))
         if changed:
-            yield pd.DataFrame({"key": [group[0]], "version": [version], "stamp": pd.array([stamp_], "Int64"), "seconds": [seconds_], "passed": [passed]})
+            k, version, at, life, passed = zip(*changed)
+            yield pd.DataFrame({"key": k, "version": version, "stamp": pd.array(at, "Int64"), "seconds": life, "passed": passed})
 
-    return keyed.applyInPandasWithState(step, "key string, version bigint, stamp bigint, seconds bigint, passed boolean", "stamp bigint, seconds bigint, passed boolean, version bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    held = "keys array<string>, stamps array<bigint>, seconds array<bigint>, passed array<boolean>, versions array<bigint>"
+    return keyed.applyInPandasWithState(step, "key string, version bigint, stamp bigint, seconds bigint, passed boolean", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ledger(calls: DataFrame, key: Column, outcome: Column) -> DataFrame:

@@ -71,3 +71,19 @@ def test_ledger_replies_buckets(spark, tmp_path, order):
     spans = run("buckets", L.buckets(stream, C("made"), 3600))
     since = spans.where(C("key") >= F.lit(int((edge - datetime(1970, 1, 1)).total_seconds()) // 3600)).agg(F.sum("created")).first()[0]
     assert since == sum(r[4] >= edge for r in rows)
+
+
+def test_keys_of_timers_share_states(spark, tmp_path):
+    """The state function is called per state, not per key: calls stay few while keys grow."""
+    rows = [(f"k{i % 300}", DAY0 + timedelta(seconds=i % 300 * 10 + i // 300), i % 7) for i in range(600)] + [(None, DAY0, 1)]
+    schema = "key string, as_of timestamp, ttl_seconds bigint"
+    arrive(spark, str(tmp_path / "in"), rows, schema, (1, 0, 2))
+    stream = L.arriving(spark, str(tmp_path / "in"), schema, 1)
+    versions = L.timers(stream, C("key"), C("as_of"), C("ttl_seconds"), 4)
+    L.advance(versions, str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = {r.key: (r.stamp, r.seconds, r.passed) for r in L.current(spark, str(tmp_path / "out")).collect()}
+    table = spark.createDataFrame(rows, schema).groupBy("key").agg(F.max(F.struct(F.unix_timestamp("as_of").alias("t"), "ttl_seconds")).alias("r")).collect()
+    newest = max(r.r.t for r in table)
+    assert got == {r.key: (r.r.t, r.r.ttl_seconds, newest > r.r.t + r.r.ttl_seconds) for r in table}
+    states = spark.read.format("statestore").load(str(tmp_path / "ck"))
+    assert states.count() <= 4
