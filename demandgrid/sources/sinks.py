@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from demandgrid.functions.places import clean_url
 from demandgrid.operators.records import lite, scrubbed
+from demandgrid.session import many
 
 C = F.col
 
@@ -23,8 +24,13 @@ def read_detail(spark: SparkSession, path: str, zip_: str) -> DataFrame:
 
 
 def write_zip_files(df: DataFrame, path: str) -> None:
-    """One folder per ZIP; only for small key sets, else use write_detail."""
-    scrubbed(df).repartition("zip").write.mode("overwrite").partitionBy("zip").option("compression", "gzip").json(path)
+    """One folder per ZIP; only for small key sets, else use write_detail.
+
+    The cost is the files, not the bytes, so the ZIPs are dealt to all tasks whatever
+    their size, and every task moves its own files into place."""
+    rows = scrubbed(df)
+    out = rows.repartition(many(rows.sparkSession), "zip").write.mode("overwrite").partitionBy("zip")
+    out.option("compression", "gzip").option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(path)
 
 
 def write_lite(df: DataFrame, path: str) -> None:
