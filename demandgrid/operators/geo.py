@@ -12,11 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandgrid.functions.exprs import EARTH_METERS, EARTH_MILES, EARTH_MILES_GRID, haversine, haversine_meters, n, rnd
+from demandgrid.session import ensure_checkpoint_dir, many
 
 C = F.col
 MILES_PER_DEGREE = 69.0
 # box half-widths use a slightly shorter degree so no true neighbour is cut off
 _SAFE_DEGREE = 68.9
+# right rows of a cell that meet in one part
+CELL_ROWS = 4096
+# fourfold steps from the first search radius to the widest
+WIDENINGS = 4
 
 
 def bbox(lat: Column, lng: Column, miles: Column) -> dict[str, Column]:
@@ -92,13 +97,48 @@ def within(
 ) -> DataFrame:
     """All pairs within a distance.  ``miles`` may be a column of either side
     (each row's own radius); ``max_miles`` bounds it and sizes the cells.
-    Column names of the two sides must differ."""
+    Column names of the two sides must differ.
+
+    A cell with more than ``CELL_ROWS`` right rows is met in parts, and the parts are dealt
+    to all tasks: comparing costs far more than the bytes say, and a town is few cells."""
     size = cell_size(max_miles)
     limit = miles if isinstance(miles, Column) else F.lit(float(miles))
     a = spread_cells(left, *left_at, F.lit(float(max_miles)), size)
     b = in_cell(right, *right_at, size)
+    parts = b.groupBy("cy", "cx").agg(F.ceil(F.count("*") / CELL_ROWS).alias("_parts"))
+    a = a.join(parts, ["cy", "cx"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), C("_parts") - 1))).drop("_parts")
+    own = F.pmod(F.xxhash64(*[C(f"`{c}`") for c in right.columns]), C("_parts"))
+    b = b.join(parts, ["cy", "cx"]).withColumn("_part", own).drop("_parts")
     d = haversine(C(left_at[0]), C(left_at[1]), C(right_at[0]), C(right_at[1]), radius)
-    return a.join(b, ["cy", "cx"]).withColumn("distance", d).where(C("distance") <= limit).drop("cy", "cx")
+    at, k = ["cy", "cx", "_part"], many(left.sparkSession)
+    met = a.repartition(k, *at).join(b.repartition(k, *at), at)
+    return met.withColumn("distance", d).where(C("distance") <= limit).drop(*at)
+
+
+def nearest_reaching(
+    pts: DataFrame, lat: str, lng: str, sites: DataFrame, site: str, s_lat: str, s_lng: str, reach: str,
+    max_miles: float, radius: float = EARTH_MILES,
+) -> DataFrame:
+    """Of the sites whose own ``reach`` (at most ``max_miles``) covers it, the nearest one of
+    every distinct coordinate: lat, lng, <site>, distance.  Ties go to the smallest ``site``.
+
+    The search starts close by and widens fourfold; only coordinates without a hit go on,
+    so one in a crowded town meets the sites next to it, never all within the maximum."""
+    ensure_checkpoint_dir(pts.sparkSession)
+    rest = pts.where(C(lat).isNotNull() & C(lng).isNotNull()).select(C(lat).alias("p_lat"), C(lng).alias("p_lng")).distinct().checkpoint()
+    spots = sites.where(C(s_lat).isNotNull() & C(s_lng).isNotNull()).groupBy(
+        C(s_lat).alias("q_lat"), C(s_lng).alias("q_lng"), C(reach).alias("q_reach")).agg(F.min(site).alias("q_site")).checkpoint()
+    d, found = haversine(C("p_lat"), C("p_lng"), C("q_lat"), C("q_lng"), radius), None
+    for k in range(WIDENINGS, -1, -1):
+        miles = float(max_miles) / 4.0**k
+        size = miles / MILES_PER_DEGREE
+        met = spread_cells(rest, "p_lat", "p_lng", F.lit(miles), size).join(in_cell(spots, "q_lat", "q_lng", size), ["cy", "cx"])
+        near = met.withColumn("d", d).where((C("d") <= miles) & (C("d") <= C("q_reach")))
+        hits = near.groupBy("p_lat", "p_lng").agg(F.min(F.struct("d", "q_site")).alias("b")).checkpoint()
+        found = hits if found is None else found.unionByName(hits)
+        if k:
+            rest = rest.join(hits, ["p_lat", "p_lng"], "left_anti").checkpoint()
+    return found.select(C("p_lat").alias(lat), C("p_lng").alias(lng), C("b.q_site").alias(site), C("b.d").alias("distance"))
 
 
 def nearest(
@@ -212,8 +252,6 @@ def distance_dedupe(df: DataFrame, key: str, lat: str, lng: str, score: str, mil
     rows with a handful of cell leaders, never rows with rows, so a crowded spot
     stays linear.  The best open row overall is kept in every round, hence the
     loop ends; open rows are checkpointed as they shrink."""
-    from demandgrid.session import ensure_checkpoint_dir
-
     if miles <= 0:
         return df
     ensure_checkpoint_dir(df.sparkSession)

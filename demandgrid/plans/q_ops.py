@@ -634,8 +634,10 @@ def _(spark, sf):
 @query("j15_nearest_rent_override", with_views("v_candw v_site", f"""SELECT candidate_id, site_id AS override_id, {R('d', 3)} AS distance, {R('monthly_avg_revenue / 12', 2)} AS rent_month FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY d, site_id) AS rn FROM (
  SELECT c.candidate_id, s.*, {HAV('c.lat', 'c.lng', 's_lat', 's_lng', 3958.7613)} AS d FROM v_candw c CROSS JOIN v_site s WHERE c.lat IS NOT NULL AND s.monthly_avg_revenue IS NOT NULL) WHERE d <= 1 + site_id % 4) WHERE rn = 1"""))
 def _(spark, sf):
-    from demandgrid.operators.geo import within
+    from demandgrid.operators.geo import nearest_reaching
     s = sites(spark, sf).where("monthly_avg_revenue IS NOT NULL").withColumn("radius", (1 + C("site_id") % 4).cast("double"))
-    near = within(cands(spark, sf).select("candidate_id", "lat", "lng"), s, ("lat", "lng"), ("s_lat", "s_lng"), C("radius"), 4.0, 3958.7613)
-    best = near.groupBy("candidate_id").agg(F.min(F.struct("distance", "site_id", "monthly_avg_revenue")).alias("b"))
+    s = s.withColumn("site", F.struct("site_id", "monthly_avg_revenue"))
+    c = cands(spark, sf).select("candidate_id", "lat", "lng")
+    near = c.join(nearest_reaching(c, "lat", "lng", s, "site", "s_lat", "s_lng", "radius", 4.0, 3958.7613), ["lat", "lng"])
+    best = near.groupBy("candidate_id").agg(F.min(F.struct("distance", "site.site_id", "site.monthly_avg_revenue")).alias("b"))
     return best.select("candidate_id", C("b.site_id").alias("override_id"), rnd(C("b.distance"), 3).alias("distance"), rnd(C("b.monthly_avg_revenue") / 12, 2).alias("rent_month"))
