@@ -31,7 +31,8 @@ def first_match(left: DataFrame, right: DataFrame, miles: float = 0.05, share: f
     ``left``: l_id, l_name, l_lat, l_lng; ``right`` likewise with r_.
 
     Rows with equal words at an equal spot form a group, and groups, not rows, are
-    compared; groups with the same partners merge.  A pair of groups that match only
+    compared; groups with the same partners merge.  A group is known by 16 bytes, as pairs
+    of groups are most of what is shuffled.  A pair of groups that match only
     each other pairs its members by rank, so a pile of copies costs no pairwise work.  The other groups open up to
     rows and settle in rounds: a pair that comes first for both of its rows is
     taken, its rows leave, and the rest goes again."""
@@ -41,18 +42,18 @@ def first_match(left: DataFrame, right: DataFrame, miles: float = 0.05, share: f
         placed = df.where(C(f"{p}_lat").isNotNull() & C(f"{p}_lng").isNotNull()).withColumn(f"{p}_w", word_set(C(f"{p}_name")))
         placed = placed.where(F.size(f"{p}_w") > 0)
         named = F.struct(C(f"{p}_w").alias("w"), C(f"{p}_lat").alias("lat"), C(f"{p}_lng").alias("lng"))
-        return placed.withColumn(f"{p}_g", F.md5(F.to_json(named)))
+        return placed.withColumn(f"{p}_g", F.unhex(F.md5(F.to_json(named))))
 
     lrows, rrows = groups(left, "l"), groups(right, "r")
-    lg = lrows.select("l_g", "l_w", "l_lat", "l_lng").dropDuplicates(["l_g"])
-    rg = rrows.select("r_g", "r_w", "r_lat", "r_lng").dropDuplicates(["r_g"])
+    lg = lrows.select("l_g", "l_w", "l_lat", "l_lng").dropDuplicates(["l_g"]).checkpoint()
+    rg = rrows.select("r_g", "r_w", "r_lat", "r_lng").dropDuplicates(["r_g"]).checkpoint()
     near = within(lg, rg, ("l_lat", "l_lng"), ("r_lat", "r_lng"), miles, miles, EARTH_MILES_GRID)
     pairs = near.where(token_jaccard(C("l_w"), C("r_w")) >= share).select("l_g", "r_g").checkpoint()
     # groups that see the same partners are one group: piles of copies under several
     # names then pair by rank too.  Two passes, as merging one side can make the other alike
     for _ in range(2):
         for p, q in (("l_g", "r_g"), ("r_g", "l_g")):
-            seen = F.sha2(F.concat_ws(" ", F.count("*"), F.bit_xor(F.xxhash64(q)), F.bit_xor(F.xxhash64(q, F.lit(1)))), 256)
+            seen = F.unhex(F.md5(F.concat_ws(" ", F.count("*"), F.bit_xor(F.xxhash64(q)), F.bit_xor(F.xxhash64(q, F.lit(1))))))
             alike = pairs.groupBy(p).agg(seen.alias("_to")).checkpoint()
             pairs = pairs.join(alike, p).select(C("_to").alias(p), q).distinct().checkpoint()
             if p == "l_g":
