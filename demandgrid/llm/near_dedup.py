@@ -7,7 +7,9 @@ their sets is ``percent`` / 100 or more; classes are the connected components.
 1. Shingles are counted over all documents, hashed into ``BUCKETS`` counters.  They
    order shingles by rarity; any total order is exact, the rare-first one keeps
    passages that many documents share from making candidates.
-2. Documents with equal sets collapse to one node.
+2. Documents with equal sets collapse to one node.  SimHash comes first: a node is
+   verified against the first of its SimHash component, and pairs that this has joined
+   are no candidates below.  Whatever it misses is found by the exact join.
 3. Prefix filter: two sets that similar share one of their first n - ceil(t n) + 1
    shingles in that order, so a node is dealt under those only.  In a shingle's group a
    node meets ``NAMED`` neighbours that pass the length and positional filters.
@@ -35,6 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandgrid.llm import simhash
 from demandgrid.llm.common import LOWER_TEXT, WORDS, _bitmap, lean, pruned, saved, small_batches, without
 from demandgrid.llm.line_dedup import _mix, _similar_enough, word_hashes
 from demandgrid.llm.simhash import components
@@ -235,18 +238,37 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.where(F.coalesce("_sid", "sid") != F.coalesce("_other", "other")).select("sid", "other")
 
 
-def _links(prints: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _fingerprinted(docs: DataFrame, prints: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links a < b of nodes in one SimHash component, where their whole sets are similar.
+
+    Every node is compared with the first node of its component, so a large group of near
+    copies costs one pair a member; what that leaves apart is left to the prefix filter."""
+    texts = saved(simhash.fingerprints(docs).dropDuplicates(["doc_id", "_text"]))
+    at = saved(nodes.select("sid", C("doc_id").alias("_id"), C("_text").alias("_hash")))
+    of = saved(at.join(texts, C("_id").eqNullSafe(C("doc_id")) & (C("_hash") == C("_text"))).select("sid", "fp"))
+    firsts = saved(of.groupBy("fp").agg(F.min("sid").alias("first")))
+    roots = saved(simhash.components(simhash.link_forest(firsts, simhash.plan(*simhash.co_occurrence(firsts)))))
+    placed = saved(firsts.join(roots, C("fp") == C("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = saved(placed.groupBy("root").agg(F.min("first").alias("other")))
+    pairs = of.join(placed.join(least, "root").select("fp", "other"), "fp").where(C("sid") != C("other")).select("sid", "other")
+    return _verified(prints, saved(pairs), percent)
+
+
+def _links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(node, root) of all linked nodes."""
+    links = _fingerprinted(docs, prints, nodes, percent)
+    roots = saved(components(links))
     n = F.size("keys")
     prefix = n - F.expr(f"(size(keys) * {percent} + 99) div 100").cast("int") + 1
     dealt = nodes.where(n > 0).select("sid", n.cast("bigint").alias("n"), F.posexplode(F.slice("keys", F.lit(1), prefix)).alias("j", "key"))
-    rows = dealt.select("key", "sid", C("sid").alias("root"), "n", C("j").cast("bigint").alias("j")).repartition("key").sortWithinPartitions("key", "sid")
+    dealt = dealt.join(roots, C("sid") == C("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("root"), "n", C("j").cast("bigint").alias("j"))
+    rows = dealt.repartition("key").sortWithinPartitions("key", "sid")
     met = saved(rows.mapInArrow(lean(_meet(percent, NAMED)), MET))
     tried = saved(met.where(C("other").isNotNull()).groupBy("sid", "other").agg(F.count("*").alias("c")))
     likely = saved(_bounded(prints, tried, percent))
     tried = tried.select("sid", "other")
     best = saved(likely.groupBy("sid").agg(F.max_by("other", F.struct("c", -C("other"))).alias("other")))
-    links = _verified(prints, best, percent)
+    links = saved(links.union(_verified(prints, best, percent)))
     roots = saved(components(links))
     more = _between(likely.select("sid", "other"), roots).join(best, ["sid", "other"], "left_anti")
     found = _verified(prints, saved(more), percent)
@@ -279,9 +301,9 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Data
     prints = saved(rows.mapInArrow(lean(_sets(frequencies(rows, width), width)), SETS).withColumn("sid", F.monotonically_increasing_id()))
     sets = saved(prints.groupBy("s1", "s2").agg(F.min("sid").alias("first_sid"), F.min("doc_id").alias("first"), F.count("*").alias("n_docs")))
     copies = saved(prints.select("sid", "s1", "s2").join(sets.where("n_docs > 1"), ["s1", "s2"]).where(C("sid") != C("first_sid")).select("sid"))
-    marked = _bitmap(prints.select("sid", "keys"), copies, 1 << 24, "sid")
+    marked = _bitmap(prints.select("sid", "doc_id", "_text", "keys"), copies, 1 << 24, "sid")
     nodes = marked.where(~C("_hit")).select("_row.*").union(marked.where("_hit").select("_row.*").join(copies, "sid", "left_anti"))
-    roots = _links(prints, nodes, percent)
+    roots = _links(docs, prints, nodes, percent)
     rooted = saved(sets.join(roots, C("first_sid") == C("node"), "left").select("s1", "s2", "first", F.coalesce("root", "first_sid").alias("root")))
     least = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = saved(rooted.join(least, "root").select("s1", "s2", "component_id"))
