@@ -47,6 +47,8 @@ WIDTH = 5
 BUCKETS = 1 << 18
 NAMED = 4
 ROUNDS = 3
+MARK = 1024
+MATRIX = 1 << 20
 AT_ONCE = 256
 AT_ONCE_BYTES = 1 << 20
 CACHED_WORDS = 150_000
@@ -151,9 +153,8 @@ def _sets(counts: np.ndarray, width: int):
     return run
 
 
-def _meet(percent: int, named: int | None):
-    """Candidate pairs (sid, other) of every shingle's group: rows up to ``named`` places
-    apart (all if None) in different components; a null ``other`` gives the rows of groups that hold more."""
+def _by_group(settle):
+    """``settle`` on whole groups of rows sorted by their first column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -167,11 +168,16 @@ def _meet(percent: int, named: int | None):
         if held is not None:
             yield from settle(held)
 
+    return run
+
+
+def _meet(percent: int, named: int):
+    """Candidate pairs (sid, other) of every shingle's group: rows up to ``named`` places
+    apart in different components; a null ``other`` gives the rows of groups that hold more."""
+
     def settle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         key, sid, root, n, j = (c.to_numpy() for c in batch.columns)
-        d = 0
-        while named is None or d < named:
-            d += 1
+        for d in range(1, named + 1):
             at = np.flatnonzero(key[d:] == key[:-d])
             if not len(at):
                 return
@@ -189,7 +195,57 @@ def _meet(percent: int, named: int | None):
     def rows(sid, other, *more) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(sid), other, *map(pa.array, more)], ["sid", "other", "key", "n", "j"])
 
-    return run
+    return _by_group(settle)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bitmap of ``MARK`` bits of every set, whatever its size."""
+    for batch in batches:
+        keys = batch.column(1)
+        out = np.zeros((batch.num_rows, MARK), np.uint8)
+        flat = keys.flatten().to_numpy().view(np.uint64)
+        of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(keys).to_numpy())
+        out[of, (_mix(flat, 0x94D049BB133111EB) & np.uint64(MARK - 1)).astype(np.int64)] = 1
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in np.packbits(out, axis=1, bitorder="little")], pa.binary())], ["sid", "mark"])
+
+
+def _meet_alike(percent: int, named: int | None):
+    """Pairs (sid, other) of every shingle's group in different components that neither
+    their sizes and places nor their marks rule out: of every row the first ``named``
+    (all if None).  Rows of a group are compared here, so pairs that cannot be similar are never rows."""
+
+    def settle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not batch.num_rows:
+            return
+        key, sid, root, n, j = (c.to_numpy() for c in batch.columns[:5])
+        marks = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(key), MARK // 64)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[starts[1:], len(key)]
+        for lo, hi in zip(starts.tolist(), ends.tolist()):
+            step = max(1, MATRIX // (hi - lo))
+            for at in range(lo, hi - 1, step):
+                a, b = np.arange(at, min(at + step, hi - 1))[:, None], np.arange(at + 1, hi)[None, :]
+                one, two = np.nonzero((a < b) & (root[a] != root[b]))
+                one, two = one + at, two + at + 1
+                keep = _similar_enough(n[one], j[one], n[two], j[two], percent)
+                one, two = one[keep], two[keep]
+                keep = np.empty(len(one), bool)
+                for s in range(0, len(one), MATRIX // 16):
+                    part = slice(s, s + MATRIX // 16)
+                    x, y, nx, ny = marks[one[part]], marks[two[part]], n[one[part]], n[two[part]]
+                    only_x, only_y = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (x & ~y, y & ~x))
+                    most = np.minimum(nx - only_x, ny - only_y)
+                    keep[part] = 100 * most >= percent * (nx + ny - most)
+                one, two = one[keep], two[keep]
+                if named is not None and len(one):
+                    new = np.flatnonzero(np.r_[True, one[1:] != one[:-1]])
+                    place = np.arange(len(one)) - np.repeat(new, np.diff(np.r_[new, len(one)]))
+                    one, two = one[place < named], two[place < named]
+                if len(one):
+                    p, q = sid[one], sid[two]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["sid", "other"])
+
+    return _by_group(settle)
 
 
 MET = "sid bigint, other bigint, key bigint, n bigint, j bigint"
@@ -275,7 +331,7 @@ def _links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, percent: int) -
     if not found.isEmpty():
         links = saved(links.union(found))
         roots = saved(components(links))
-    open_ = met.where(C("other").isNull()).select("key", "sid", "n", "j")
+    open_, marks = met.where(C("other").isNull()).select("key", "sid", "n", "j"), None
     for k in range(ROUNDS):
         named = None if k == ROUNDS - 1 else NAMED
         rooted = saved(open_.join(roots, C("sid") == C("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("root"), "n", "j"))
@@ -284,8 +340,11 @@ def _links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, percent: int) -
             break
         rows = pruned(rooted, live, "key").join(live, "key", "left_semi").select("key", "sid", "root", "n", "j")
         open_ = saved(rows.select("key", "sid", "n", "j"))
-        rows = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("sid", F.lit(k)))
-        new = saved(rows.mapInArrow(lean(_meet(percent, named)), MET).where(C("other").isNotNull()).select("sid", "other").distinct().join(tried, ["sid", "other"], "left_anti"))
+        if marks is None:
+            wanted = saved(open_.select("sid").distinct())
+            marks = saved(pruned(prints.select("sid", "keys"), wanted, "sid").join(wanted, "sid", "left_semi").mapInArrow(lean(_marks), "sid bigint, mark binary"))
+        rows = rows.join(marks, "sid").select("key", "sid", "root", "n", "j", "mark").repartition("key").sortWithinPartitions("key", F.xxhash64("sid", F.lit(k)))
+        new = saved(rows.mapInArrow(lean(_meet_alike(percent, named)), "sid bigint, other bigint").distinct().join(tried, ["sid", "other"], "left_anti"))
         tried = saved(tried.union(new))
         found = _verified(prints, saved(_bounded(prints, new, percent)), percent)
         if not found.isEmpty():

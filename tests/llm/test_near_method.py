@@ -1,5 +1,9 @@
 """The near stage goes through the SimHash operator before the exact join."""
 
+import random
+
+import brute
+
 import corpus_pipeline
 from demandgrid.llm import near_dedup, simhash
 
@@ -15,3 +19,17 @@ def test_simhash_joins_copies_before_the_exact_join(spark, monkeypatch):
     prints = simhash.near_duplicates(docs).where("doc_id < 6")
     alike = prints.select("component_id").distinct().count() < 6
     assert alike and linked[0].count() >= 1
+
+
+def test_unlike_documents_of_one_group_are_not_paired(spark, monkeypatch):
+    """Documents that share most shingles, but not enough, with many others: pairs that cannot be similar are no rows."""
+    rng, met, bounded = random.Random(2), [], near_dedup._bounded
+    passages = [[f"p{k}w{i}" for i in range(12)] for k in range(14)]
+    texts = sorted({" ".join(w for k in sorted(rng.sample(range(14), 8)) for w in passages[k]) for _ in range(150)})
+    rows = list(enumerate(texts)) + [(1000, texts[0] + " end")]
+    docs = spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, source string").repartition(3)
+    monkeypatch.setattr(near_dedup, "_bounded", lambda prints, pairs, percent: met.append(pairs.count()) or bounded(prints, pairs, percent))
+    got = {r.doc_id: r.component_id for r in near_dedup.classes(docs).collect()}
+    want = brute.near_classes(rows)
+    assert got == dict(zip([k for k, _ in rows], want))
+    assert len(met) > 1 and sum(met[1:]) < 5 * len(rows)
