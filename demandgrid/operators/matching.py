@@ -7,6 +7,7 @@ are evaluated in rounds that give exactly the result of the sequential walk.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,6 +18,8 @@ from demandgrid.operators.geo import within
 from demandgrid.session import ensure_checkpoint_dir
 
 C = F.col
+# rows of connected groups that one task walks
+WALK_ROWS = 1 << 20
 
 
 def word_set(name: Column) -> Column:
@@ -33,9 +36,8 @@ def first_match(left: DataFrame, right: DataFrame, miles: float = 0.05, share: f
     Rows with equal words at an equal spot form a group, and groups, not rows, are
     compared; groups with the same partners merge.  A group is known by 16 bytes, as pairs
     of groups are most of what is shuffled.  A pair of groups that match only
-    each other pairs its members by rank, so a pile of copies costs no pairwise work.  The other groups open up to
-    rows and settle in rounds: a pair that comes first for both of its rows is
-    taken, its rows leave, and the rest goes again."""
+    each other pairs its members by rank, so a pile of copies costs no pairwise work.  The other
+    groups are walked row by row, those that are connected in one task."""
     ensure_checkpoint_dir(left.sparkSession)
 
     def groups(df: DataFrame, p: str) -> DataFrame:
@@ -66,8 +68,89 @@ def first_match(left: DataFrame, right: DataFrame, miles: float = 0.05, share: f
     alone = sized.where((C("dl") == 1) & (C("dr") == 1)).select("l_g", "r_g")
     lone = _rank_pairs(lrows.select("l_g", "l_id"), rrows.select("r_g", "r_id"), alone)
     mixed = sized.where((C("dl") > 1) | (C("dr") > 1)).select("l_g", "r_g")
-    open_ = mixed.join(lrows.select("l_g", "l_id"), "l_g").join(rrows.select("r_g", "r_id"), "r_g").select("l_id", "r_id").checkpoint()
-    taken = lone
+    return lone.unionByName(_walked(lrows.select("l_g", "l_id"), rrows.select("r_g", "r_id"), mixed.checkpoint()))
+
+
+def _walked(l: DataFrame, r: DataFrame, edges: DataFrame) -> DataFrame:
+    """The sequential walk (l_id, r_id) over groups that overlap several others.
+
+    Groups that are connected are walked in one task, row by row in id order, so copies
+    cost one step each; connected groups of more than ``WALK_ROWS`` rows open up to pairs
+    of rows and settle in rounds over all tasks."""
+    l = l.where(C("l_id").isNotNull()).join(edges.select("l_g").distinct(), "l_g").distinct().checkpoint()
+    r = r.where(C("r_id").isNotNull()).join(edges.select("r_g").distinct(), "r_g").distinct().checkpoint()
+    # an id in several groups connects them
+    node = lambda tag, c: F.concat(F.lit(tag), C(c).cast("string")).cast("binary")
+    shared_l = l.join(l.groupBy("l_id").agg(F.count("*").alias("k")).where("k > 1"), "l_id").select("l_g", node("l", "l_id").alias("b"))
+    shared_r = r.join(r.groupBy("r_id").agg(F.count("*").alias("k")).where("k > 1"), "r_id").select("r_g", node("r", "r_id").alias("b"))
+    links = edges.select("l_g", C("r_g").alias("b")).unionByName(shared_l).unionByName(edges.join(shared_r, "r_g").select("l_g", "b"))
+    of = _connected(links, "l_g", "b")
+    placed = edges.join(of, "l_g").checkpoint()
+    lp, rp = l.join(of, "l_g"), r.join(placed.select("r_g", "_c").distinct(), "r_g")
+    sizes = lp.select("_c").unionByName(rp.select("_c")).unionByName(placed.select("_c")).groupBy("_c").agg(F.count("*").alias("k"))
+    wide = sizes.where(C("k") > WALK_ROWS).select("_c").checkpoint()
+    if not wide.isEmpty():
+        taken = _settled(placed.join(wide, "_c").join(l, "l_g").join(r, "r_g").select("l_id", "r_id").checkpoint())
+        placed, lp, rp = (x.join(wide, "_c", "left_anti") for x in (placed, lp, rp))
+    none = {c: F.lit(None).cast(t) for df in (l, r) for c, t in df.dtypes}
+    form = lambda df: df.select("_c", *[C(c) if c in df.columns else v.alias(c) for c, v in none.items()])
+    kinds = {**dict(l.dtypes), **dict(r.dtypes)}
+    rows = form(placed).unionByName(form(lp)).unionByName(form(rp))
+    walked = rows.groupBy("_c").applyInArrow(_walk, f"l_id {kinds['l_id']}, r_id {kinds['r_id']}")
+    return walked if wide.isEmpty() else walked.unionByName(taken)
+
+
+def _walk(rows: pa.Table) -> pa.Table:
+    """Each left row in id order takes the first unused right row of the groups that its own meet."""
+    meets, left, queue = {}, {}, {}
+    for lg, li, rg, ri in zip(*(rows.column(c).to_pylist() for c in ("l_g", "l_id", "r_g", "r_id"))):
+        if li is None and ri is None:
+            meets.setdefault(lg, []).append(rg)
+        elif ri is None:
+            left.setdefault(li, []).append(lg)
+        else:
+            queue.setdefault(rg, []).append(ri)
+    for q in queue.values():
+        q.sort(reverse=True)  # the first unused is the last
+    used, pairs = set(), []
+    for li in sorted(left):
+        best = None
+        for lg in left[li]:
+            for rg in meets[lg]:
+                q = queue[rg] if rg in queue else []
+                while q and q[-1] in used:
+                    q.pop()
+                if q and (best is None or q[-1] < best):
+                    best = q[-1]
+                elif not q:
+                    meets[lg] = [x for x in meets[lg] if queue.get(x)]
+        if best is not None:
+            used.add(best)
+            pairs.append((li, best))
+    kinds = [(c, rows.schema.field(c).type) for c in ("l_id", "r_id")]
+    return pa.table({c: pa.array([p[k] for p in pairs], t) for k, (c, t) in enumerate(kinds)})
+
+
+def _connected(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, _c): an equal ``_c`` for all ``a`` that are connected through ``b``.
+
+    Every a joins the least one it shares a b with, and the smaller graph goes again; keys
+    are hashes, so about half of a chain goes each time."""
+    links = links.select(C(a).alias("_a"), C(b).alias("_b")).distinct().checkpoint()
+    of = links.select(C("_a").alias(a), C("_a").alias("_c")).distinct().checkpoint()
+    while True:
+        least = links.groupBy("_b").agg(F.min("_a").alias("_m"))
+        to = links.join(least, "_b").groupBy("_a").agg(F.min("_m").alias("_to")).checkpoint()
+        if to.where(C("_a") != C("_to")).isEmpty():
+            return of
+        of = of.join(to, C("_c") == C("_a")).select(a, C("_to").alias("_c")).checkpoint()
+        links = links.join(to, "_a").select(C("_to").alias("_a"), "_b").distinct().checkpoint()
+
+
+def _settled(open_: DataFrame) -> DataFrame:
+    """The walk over pairs of rows in rounds: a pair that comes first for both of its rows
+    is taken, its rows leave, and the rest goes again."""
+    taken = open_.limit(0)
     while not open_.isEmpty():
         first_l = open_.groupBy("l_id").agg(F.min("r_id").alias("r_id"))
         first_r = open_.groupBy("r_id").agg(F.min("l_id").alias("l_id"))

@@ -94,6 +94,28 @@ def test_groups_of_listings_are_short(spark, monkeypatch):
     assert kinds == [("binary", "binary")]
 
 
+@pytest.mark.parametrize("rows", [M.WALK_ROWS, 20] if hasattr(M, "WALK_ROWS") else [0])
+def test_piles_that_overlap_are_walked_row_by_row(spark, monkeypatch, rows):
+    """Chains of spots with many copies each: no pairs of copies, no round per copy; repeated ids and wide chains too."""
+    opened, settled = [], getattr(M, "_settled", None)
+    monkeypatch.setattr(M, "WALK_ROWS", rows)
+    monkeypatch.setattr(M, "_settled", lambda o: opened.append(o.count()) or settled(o))
+    draw = random.Random(6)
+    left = [(k, 37 + (k * 7 % 5) * 0.004 + (k % 2), -122.0) for k in range(150)] + [(7, 37.0, -122.0), (11, 37.004, -122.0)]
+    right = [(k, 37.002 + (k * 3 % 4) * 0.004 + draw.randint(0, 1), -122.0) for k in range(900, 1010)] + [(k, 38.002 - d, -122.0) for k in (905, 940) for d in (0, 1)]
+    used, want = set(), []
+    for i in sorted({i for i, *_ in left}):
+        at = [p for p in left if p[0] == i]
+        hit = next((j for j, *q in sorted(right) if j not in used and any(hav(p[1], p[2], *q) <= 0.3 for p in at)), None)
+        if hit is not None:
+            used.add(hit)
+            want.append((i, hit))
+    g = spark.createDataFrame(left, "row_id long, lat double, lng double")
+    f = spark.createDataFrame(right, "filled_id long, lat double, lng double")
+    got = [tuple(x) for x in M.replace_filled(g, f, 0.3).where("row_id IS NOT NULL AND filled_id IS NOT NULL").distinct().collect()]
+    assert sorted(got) == want and bool(opened) == (rows == 20)
+
+
 def test_zip_files_are_dealt_to_many_tasks(spark, tmp_path):
     rows = spark.createDataFrame([(f"{k:05d}", float(k)) for k in range(40)], "zip string, population double")
     sinks.write_zip_files(rows, str(tmp_path / "zips"))
