@@ -18,8 +18,9 @@ their sets is ``percent`` / 100 or more; classes are the connected components.
    candidate first, then those that still join two components.  Groups with further pairs go
    on: only pairs between different components can matter, so a few rounds with other
    neighbours join dense groups of copies first, and the last round meets all pairs that
-   are left.  Nothing is dropped; a large group of documents that share rare shingles
-   but are not similar is the costly case.
+   are left.  A pair is compared under the first shingle that it shares there; rows that
+   have no pair left in a group leave it before any bitmap moves.  Nothing is dropped; a
+   large group of documents that share rare shingles but are not similar is the costly case.
 5. Components: alternating large-star / small-star rounds over stored tables.
 
 Defined cases as in SimHash: a text of fewer words than a shingle is one shingle; texts
@@ -47,10 +48,12 @@ WIDTH = 5
 BUCKETS = 1 << 18
 NAMED = 4
 ROUNDS = 3
-MARK = 1024
-MATRIX = 1 << 20
+BEFORE = 64
+EARLIER = 512
+MATRIX = 1 << 18
+COMPARED = 1 << 22
 AT_ONCE = 256
-AT_ONCE_BYTES = 1 << 20
+AT_ONCE_BYTES = 1 << 18
 CACHED_WORDS = 150_000
 C = F.col
 SETS = "doc_id bigint, _text bigint, s1 bigint, s2 bigint, keys array<bigint>, bits binary"
@@ -198,56 +201,111 @@ def _meet(percent: int, named: int):
     return _by_group(settle)
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bitmap of ``MARK`` bits of every set, whatever its size."""
-    for batch in batches:
-        keys = batch.column(1)
-        out = np.zeros((batch.num_rows, MARK), np.uint8)
-        flat = keys.flatten().to_numpy().view(np.uint64)
-        of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(keys).to_numpy())
-        out[of, (_mix(flat, 0x94D049BB133111EB) & np.uint64(MARK - 1)).astype(np.int64)] = 1
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in np.packbits(out, axis=1, bitorder="little")], pa.binary())], ["sid", "mark"])
+def _bound(bits: list[bytes], n: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The most shingles that the sets of rows ``one`` and ``two`` can share, by their bitmaps: a bit
+    that only one side has stands for a shingle that only this side has."""
+    sizes = np.array([len(x) for x in bits])
+    common, most = np.minimum(sizes[one], sizes[two]), np.empty(len(one), np.int64)
+    for size in np.unique(common).tolist():
+        at = np.flatnonzero(common == size)
+        step = max(1, COMPARED // size)
+        for part in (at[s : s + step] for s in range(0, len(at), step)):
+            used, place = np.unique(np.r_[one[part], two[part]], return_inverse=True)
+            folded = np.stack([np.bitwise_or.reduce(np.frombuffer(bits[k], np.uint64).reshape(-1, size // 8), axis=0) for k in used.tolist()])
+            x, y = folded[place[: len(part)]], folded[place[len(part) :]]
+            only_x, only_y = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (x & ~y, y & ~x))
+            most[part] = np.minimum(n[one[part]] - only_x, n[two[part]] - only_y)
+    return most
+
+
+def _met_before(before: pa.Array) -> np.ndarray:
+    """Bitmaps of the earlier shingles (``EARLIER`` of those that most rows have) of the rows of a group."""
+    of = np.repeat(np.arange(len(before)), pc.list_value_length(before).to_numpy())
+    values, place, times = np.unique(before.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    rank = np.full(len(values), EARLIER)
+    often = np.argsort(-times, kind="stable")[:EARLIER]
+    rank[often] = np.arange(len(often))
+    bit, out = rank[place], np.zeros((len(before), EARLIER // 64), np.uint64)
+    known = bit < EARLIER
+    np.bitwise_or.at(out, (of[known], bit[known] // 64), np.uint64(1) << (bit[known] % 64).astype(np.uint64))
+    return out
+
+
+def _within(batch: pa.RecordBatch, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (one, two), parts of ``MATRIX`` pairs or a row, of every group's pairs in different components that
+    neither sizes nor places rule out and that share no shingle of their ``before``: with that one they have met."""
+    key, _, root, n, j = (c.to_numpy() for c in batch.columns[:5])
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    ends = np.r_[starts[1:], len(key)]
+    for lo, hi in zip(starts.tolist(), ends.tolist()):
+        earlier = _met_before(batch.column(5).slice(lo, hi - lo))
+        step = max(1, MATRIX // (hi - lo))
+        for at in range(lo, hi - 1, step):
+            a, b = np.arange(at, min(at + step, hi - 1))[:, None], np.arange(at + 1, hi)[None, :]
+            one, two = np.nonzero((a < b) & (root[a] != root[b]))
+            one, two = one + at, two + at + 1
+            keep = _similar_enough(n[one], j[one], n[two], j[two], percent)
+            one, two = one[keep], two[keep]
+            new = np.ones(len(one), bool)
+            for word in earlier.T:
+                new &= (word[one - lo] & word[two - lo]) == 0
+            yield one[new], two[new]
+
+
+def _partnered(percent: int):
+    """The rows of every shingle's group that have a pair there (see ``_within``)."""
+
+    def settle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not batch.num_rows:
+            return
+        has = np.zeros(batch.num_rows, bool)
+        for one, two in _within(batch, percent):
+            has[one] = has[two] = True
+        yield batch.filter(pa.array(has)).select(["key", "sid", "n", "j", "before"])
+
+    return _by_group(settle)
 
 
 def _meet_alike(percent: int, named: int | None):
-    """Pairs (sid, other) of every shingle's group in different components that neither
-    their sizes and places nor their marks rule out: of every row the first ``named``
-    (all if None).  Rows of a group are compared here, so pairs that cannot be similar are never rows."""
+    """Pairs (sid, other) of every shingle's group (see ``_within``) that their bitmaps do not rule
+    out either: of every row the first ``named`` (all if None).  Rows of a group are compared
+    here, so pairs that cannot be similar are never rows, and others are rows once."""
 
     def settle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             return
-        key, sid, root, n, j = (c.to_numpy() for c in batch.columns[:5])
-        marks = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(key), MARK // 64)
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        ends = np.r_[starts[1:], len(key)]
-        for lo, hi in zip(starts.tolist(), ends.tolist()):
-            step = max(1, MATRIX // (hi - lo))
-            for at in range(lo, hi - 1, step):
-                a, b = np.arange(at, min(at + step, hi - 1))[:, None], np.arange(at + 1, hi)[None, :]
-                one, two = np.nonzero((a < b) & (root[a] != root[b]))
-                one, two = one + at, two + at + 1
-                keep = _similar_enough(n[one], j[one], n[two], j[two], percent)
-                one, two = one[keep], two[keep]
-                keep = np.empty(len(one), bool)
-                for s in range(0, len(one), MATRIX // 16):
-                    part = slice(s, s + MATRIX // 16)
-                    x, y, nx, ny = marks[one[part]], marks[two[part]], n[one[part]], n[two[part]]
-                    only_x, only_y = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (x & ~y, y & ~x))
-                    most = np.minimum(nx - only_x, ny - only_y)
-                    keep[part] = 100 * most >= percent * (nx + ny - most)
-                one, two = one[keep], two[keep]
-                if named is not None and len(one):
-                    new = np.flatnonzero(np.r_[True, one[1:] != one[:-1]])
-                    place = np.arange(len(one)) - np.repeat(new, np.diff(np.r_[new, len(one)]))
-                    one, two = one[place < named], two[place < named]
-                if len(one):
-                    p, q = sid[one], sid[two]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["sid", "other"])
+        sid, n, bits = batch.column(1).to_numpy(), batch.column(3).to_numpy(), batch.column(6).to_pylist()
+        for one, two in _within(batch, percent):
+            if not len(one):
+                continue
+            most = _bound(bits, n, one, two)
+            keep = 100 * most >= percent * (n[one] + n[two] - most)
+            one, two = one[keep], two[keep]
+            if named is not None and len(one):
+                new = np.flatnonzero(np.r_[True, one[1:] != one[:-1]])
+                place = np.arange(len(one)) - np.repeat(new, np.diff(np.r_[new, len(one)]))
+                one, two = one[place < named], two[place < named]
+            if len(one):
+                p, q = sid[one], sid[two]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["sid", "other"])
 
     return _by_group(settle)
 
 
+def _open_rows(rooted: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, sid, n, j, before) of live groups that can have a partner in them.
+
+    ``before`` names the ``BEFORE`` shingles next before this one under which the document
+    stands in a live group too: a pair that shares one of them meets there, where its places
+    are no worse, so it is looked at once and not under every shingle of a shared passage."""
+    rows = pruned(rooted, live, "key").join(live, "key", "left_semi")
+    per = rows.groupBy("sid", "root", "n").agg(F.sort_array(F.collect_list(F.struct("key", "j"))).alias("all"))
+    per = per.select("sid", "root", "n", C("all.key").alias("keys"), F.posexplode("all").alias("at", "row"))
+    before = F.slice("keys", F.greatest(C("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE)))
+    dealt = per.select("row.key", "sid", "root", "n", "row.j", before.alias("before")).repartition("key").sortWithinPartitions("key", "sid")
+    return saved(dealt.mapInArrow(lean(_partnered(percent)), "key bigint, sid bigint, n bigint, j bigint, before array<bigint>"))
+
+
 MET = "sid bigint, other bigint, key bigint, n bigint, j bigint"
 
 
@@ -331,19 +389,22 @@ def _links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, percent: int) -
     if not found.isEmpty():
         links = saved(links.union(found))
         roots = saved(components(links))
-    open_, marks = met.where(C("other").isNull()).select("key", "sid", "n", "j"), None
+    open_, bits = met.where(C("other").isNull()).select("key", "sid", "n", "j"), None
     for k in range(ROUNDS):
         named = None if k == ROUNDS - 1 else NAMED
-        rooted = saved(open_.join(roots, C("sid") == C("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("root"), "n", "j"))
+        rooted = saved(open_.join(roots, C("sid") == C("node"), "left").select(*open_.columns, F.coalesce("root", "sid").alias("root")))
         live = saved(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"))
         if live.isEmpty():
             break
-        rows = pruned(rooted, live, "key").join(live, "key", "left_semi").select("key", "sid", "root", "n", "j")
-        open_ = saved(rows.select("key", "sid", "n", "j"))
-        if marks is None:
+        if bits is None:
+            open_ = _open_rows(rooted, live, percent)
             wanted = saved(open_.select("sid").distinct())
-            marks = saved(pruned(prints.select("sid", "keys"), wanted, "sid").join(wanted, "sid", "left_semi").mapInArrow(lean(_marks), "sid bigint, mark binary"))
-        rows = rows.join(marks, "sid").select("key", "sid", "root", "n", "j", "mark").repartition("key").sortWithinPartitions("key", F.xxhash64("sid", F.lit(k)))
+            bits = saved(pruned(prints.select("sid", "bits"), wanted, "sid").join(wanted, "sid", "left_semi"))
+            rows = open_.join(roots, C("sid") == C("node"), "left").withColumn("root", F.coalesce("root", "sid"))
+        else:
+            rows = pruned(rooted, live, "key").join(live, "key", "left_semi")
+            open_ = saved(rows.select("key", "sid", "n", "j", "before"))
+        rows = rows.join(bits, "sid").select("key", "sid", "root", "n", "j", "before", "bits").repartition("key").sortWithinPartitions("key", F.xxhash64("sid", F.lit(k)))
         new = saved(rows.mapInArrow(lean(_meet_alike(percent, named)), "sid bigint, other bigint").distinct().join(tried, ["sid", "other"], "left_anti"))
         tried = saved(tried.union(new))
         found = _verified(prints, saved(_bounded(prints, new, percent)), percent)

@@ -3,6 +3,7 @@
 import random
 
 import brute
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from demandgrid.llm import near_dedup, simhash
@@ -33,3 +34,30 @@ def test_unlike_documents_of_one_group_are_not_paired(spark, monkeypatch):
     want = brute.near_classes(rows)
     assert got == dict(zip([k for k, _ in rows], want))
     assert len(met) > 1 and sum(met[1:]) < 5 * len(rows)
+
+
+def test_a_pair_of_an_open_group_is_met_once(spark, monkeypatch):
+    """Documents that share whole passages stand together under many shingles; they are compared, and rows, under one."""
+    rng, rows, meet = random.Random(4), [], near_dedup._meet_alike
+    passages = [[f"p{k}w{i}" for i in range(40)] for k in range(12)]
+    chosen = sorted({tuple(sorted(rng.sample(range(12), 9))) for _ in range(90)})
+    texts = [" ".join(w for k in c for w in passages[k]) for c in chosen]
+    alike = sum(len({*a} & {*b}) >= 8 for k, a in enumerate(chosen) for b in chosen[:k])
+
+    def counted(percent, named):
+        run, count = meet(percent, named), spark.sparkContext.accumulator(0)
+        rows.append(count)
+
+        def met(batches):
+            for batch in run(batches):
+                count.add(batch.num_rows)
+                yield batch
+
+        return met
+
+    docs = list(enumerate(texts))
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("source", F.lit("s")).repartition(3)
+    monkeypatch.setattr(near_dedup, "_meet_alike", counted)
+    got = {r.doc_id: r.component_id for r in near_dedup.classes(table).collect()}
+    assert got == dict(zip([k for k, _ in docs], brute.near_classes(docs)))
+    assert rows and max(r.value for r in rows) <= alike
