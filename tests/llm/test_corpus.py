@@ -10,6 +10,7 @@ import brute
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from oracle import check, connect
 from pyspark.sql import functions as F
@@ -441,6 +442,55 @@ def test_repeated_rows_lose_their_near_copies(spark):
     assert got == {(2, k) for k in range(40)}
 
 
+def test_long_lines_in_a_large_group(spark, monkeypatch):
+    """Lines of more than 255 words in a group beyond ``GROUP`` rows: bit counts have eight bits, sizes have not."""
+    monkeypatch.setattr(line_dedup, "GROUP", 4)
+    rng = random.Random(18)
+    lines = []
+    for n in (12, 260, 300, 300, 700):
+        base = ["rare", *(f"w{rng.randrange(10**6)}" for _ in range(n))]
+        lines += [" ".join(base[: -k or None] + [f"x{rng.randrange(10**6)}" for _ in range(k * 2)]) for k in (1, 2, 3, n // 60, n // 40, n // 30, n // 20, n // 3)]
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(k, "\n".join(lines[2 * k : 2 * k + 2])) for k in range(20)], "doc_id long, text string")
+    got = collections.defaultdict(set)
+    for r in line_dedup.removed_lines(docs).collect():
+        got[r["doc_id"]].add(r["line"])
+    assert dict(got) == brute.line_removals(rows_of(docs)) and got
+
+
+@pytest.mark.parametrize("at_once,block", [(8, 3), (1 << 16, 1 << 18)])
+def test_pairs_of_groups_in_parts(monkeypatch, at_once, block):
+    """A group is the same however batches cut it, and a large one comes out in blocks of bounded size."""
+    monkeypatch.setattr(line_dedup, "GROUP", 50)
+    monkeypatch.setattr(line_dedup, "AT_ONCE", at_once)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(19)
+    rows = [(key, 0, rng.randint(8, 400) if key % 2 else rng.randint(8, 12), rng.randint(0, 2), rng.getrandbits(64) | ((1 << 62) - 1) << 1) for key, m in enumerate((1, 2, 400, 30, 1, 300, 7)) for _ in range(m)]
+    rows = [(key, i, n, j, g) for i, (key, _, n, j, g) in enumerate(rows)]
+    allows = lambda a, b: bool(line_dedup._signature_allows(np.uint64(a[4]), np.int64(a[2]), np.uint64(b[4]), np.int64(b[2]), 80))
+    want, more, met = set(), set(), collections.defaultdict(list)
+    sizes = collections.Counter(r[0] for r in rows)
+    for r in rows:
+        passing = [o for o in met[r[0]] if line_dedup._similar_enough(o[2], o[3], r[2], r[3], 80)]
+        if sizes[r[0]] <= line_dedup.GROUP:
+            passing = [o for o in passing[::-1] if allows(o, r)]
+            want |= {(r[1], o[1]) for o in passing[: line_dedup.NAMED]}
+            more |= {r[1]} if len(passing) > line_dedup.NAMED else set()
+        else:
+            firsts = {}
+            for o in passing:
+                firsts.setdefault(o[2:4], o)
+            want |= {(r[1], o[1]) for o in firsts.values() if allows(o, r)}
+            more |= {r[1]} if len(passing) > len(firsts) else set()
+        met[r[0]].append(r)
+    columns = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] << 32 | r[3] for r in rows]), pa.array(np.array([r[4] for r in rows], np.uint64).view(np.int64))]
+    whole = pa.RecordBatch.from_arrays(columns, ["key", "sid", "nj", "sig"])
+    out = list(line_dedup._pairs(80)(whole.slice(k, 20) for k in range(0, len(rows), 20)))
+    got = [r for b in out for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert {(s, o) for s, o, m in got if not m} == want and {s for s, o, m in got if m} == more and len(got) == len(want) + len(more)
+    assert want and more and (block > 3 or len(out) > 300)
+
+
 def test_stripped_lines(edge, empty):
     out = line_dedup.strip_lines(edge)
     assert out.columns == edge.columns and out.count() == edge.count()
