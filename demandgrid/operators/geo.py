@@ -211,6 +211,18 @@ def distance_buckets(dist: Column, miles: list[float], weight: Column | None = N
     return [F.coalesce(F.sum(F.when(dist <= m, weight)), F.lit(0)).alias(f"within_{m:g}") for m in miles]
 
 
+def edge_facts(a: Column, b: Column) -> dict[str, Column]:
+    """What a ray test needs of the edge from a to b (structs lat, lng)."""
+    run = b["lng"] - a["lng"]
+    return {"lat": a["lat"], "lng": a["lng"], "to": b["lng"], "rise": b["lat"] - a["lat"], "run": F.when(run == 0, F.lit(1e-12)).otherwise(run)}
+
+
+def edge_crosses(lat: Column, lng: Column, e) -> Column:
+    """Whether the ray from a point crosses an edge (``edge_facts``)."""
+    straddles = (e["lng"] > lng) != (e["to"] > lng)
+    return straddles & (lat < e["rise"] * (lng - e["lng"]) / e["run"] + e["lat"])
+
+
 def polygon_contains(lat: Column, lng: Column, polygon: Column) -> Column:
     """Crossing-number test on array<struct<lat,lng>>, closing edge implied.
 
@@ -219,11 +231,7 @@ def polygon_contains(lat: Column, lng: Column, polygon: Column) -> Column:
     pairs = F.arrays_zip(polygon.alias("a"), F.concat(F.slice(polygon, -1, 1), F.slice(polygon, F.lit(1), F.greatest(size - 1, F.lit(1)))).alias("b"))
 
     def crosses(e: Column) -> Column:
-        a, b = e.getField("a"), e.getField("b")
-        run = b["lng"] - a["lng"]
-        run = F.when(run == 0, F.lit(1e-12)).otherwise(run)
-        straddles = (a["lng"] > lng) != (b["lng"] > lng)
-        return (straddles & (lat < (b["lat"] - a["lat"]) * (lng - a["lng"]) / run + a["lat"])).cast("int")
+        return edge_crosses(lat, lng, edge_facts(e.getField("a"), e.getField("b"))).cast("int")
 
     odd = F.aggregate(pairs, F.lit(0), lambda acc, e: acc + crosses(e)) % 2 == 1
     return F.when(size >= 3, odd).otherwise(F.lit(False))

@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandgrid.functions.exprs import EARTH_MILES, EARTH_MILES_GRID, fenced, haversine, haversine_meters, total
-from demandgrid.operators.geo import MILES_PER_DEGREE, _reach, catchment, polygon_contains, within
-from demandgrid.session import ensure_checkpoint_dir
+from demandgrid.operators.geo import MILES_PER_DEGREE, _reach, catchment, edge_crosses, edge_facts, polygon_contains, within
+from demandgrid.session import ensure_checkpoint_dir, many
 
 C = F.col
 #: Rows that a crossed cell may hold before it is split; meeting them costs less than judging its parts.
 HEAVY = 512
+#: Points of a cell that meet its zones in one part.
+PART_POINTS = 4096
 #: A split halves the side twice; after so many splits a cell is some metres wide.
 SPLIT, SPLITS = 2, 5
 #: Miles by which a cell must clear a circle; covers rounding of the distances.
@@ -268,51 +270,102 @@ def _judged(cells: DataFrame, s: Column) -> DataFrame:
     return judged.where(inside).drop(*corners)
 
 
+#: Edges of a cell for which a ray test is written out; a cell that more concern folds over them.
+UNROLLED = 8
+
+
+def _concerning(polygon: Column, s: Column) -> Column:
+    """The edges (``edge_facts``) that the ray of a point of the cell (cy, cx of side ``s``) can cross.
+
+    Rays go to larger latitudes, so edges beside or wholly below the cell are left out;
+    edges with unknown ends stay."""
+    eps = 1e-9
+    y0, x0 = C("cy") * s - 90.0 - eps, C("cx") * s - 180.0 - eps
+    x1 = x0 + s + 2 * eps
+
+    def may(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        unknown = reduce(lambda x, y: x | y, [v[d].isNull() for v in (a, b) for d in ("lat", "lng")])
+        return unknown | ((F.least(a["lng"], b["lng"]) <= x1) & (F.greatest(a["lng"], b["lng"]) >= x0) & (F.greatest(a["lat"], b["lat"]) >= y0))
+
+    facts = lambda e: F.struct(*[v.alias(k) for k, v in edge_facts(e["a"], e["b"]).items()])
+    return F.transform(F.filter(_edges(polygon), may), facts)
+
+
+def _odd(lat: Column, lng: Column, edges: Column, most: int) -> Column:
+    """The crossing-number test on at most ``most`` edges, without a fold where they are few."""
+    crosses = lambda e: edge_crosses(lat, lng, e).cast("int")
+    if most > UNROLLED:
+        return F.aggregate(edges, F.lit(0), lambda acc, e: acc + crosses(e)) % 2 == 1
+    return total([F.lit(0)] + [F.when(F.size(edges) > i, crosses(F.get(edges, F.lit(i)))).otherwise(0) for i in range(most)]) % 2 == 1
+
+
 def in_zones(pts: DataFrame, lat: str, lng: str, zones: DataFrame, key: str, polygon: str, heavy: int = HEAVY) -> DataFrame:
     """Points with every zone they lie in.
 
     Zones are covered by cells of their own size, so a cover has at most 25 cells to
     start with, and only touched cells with more than ``heavy`` points are split (in 16,
-    of which those without points go).  Rays are cast only for points in touched cells."""
-    ensure_checkpoint_dir(pts.sparkSession)
+    of which those without points go).  Rays are cast only for points in touched cells,
+    at the edges that concern the cell, and as one written-out formula where those are few.
+    A cell's points meet its zones in parts of ``PART_POINTS`` at most, dealt to all tasks."""
+    spark = pts.sparkSession
+    ensure_checkpoint_dir(spark)
+    k = many(spark)  # zones and covers are small beside the work on them
     scale = F.pow(F.lit(2.0), C("level"))
     # flat cells: like the polygons, longitudes do not wrap
     placed = pts.where(C(lat).isNotNull() & C(lng).isNotNull())
     celled = {"cy": F.floor((C(lat) + 90.0) * scale), "cx": F.floor((C(lng) + 180.0) * scale)}
+    at = ["level", "cy", "cx"]
     # a zone is a few bytes of input but many cells of polygons, so the plan takes covers for
     # small tables: they are dealt to all tasks here and never broadcast (the merge hints)
-    dealt = zones.select(key, C(polygon).alias("_p")).repartition("_p")
-    open_, covers = cover_start(dealt, key, "_p"), None
+    dealt = zones.select(key, C(polygon).alias("_p")).repartition(k, "_p")
+    open_, covers, parts = cover_start(dealt, key, "_p"), None, None
     while True:
         judged = cover_judge(open_).checkpoint()
         levels = judged.agg(F.collect_set("level").alias("l")).scalar()  # at most the cover levels
-        counts = placed.select(lat, lng, F.explode(levels).alias("level")).withColumns(celled).groupBy("level", "cy", "cx").agg(F.count("*").alias("_n"))
-        held = judged.hint("merge").join(counts, ["level", "cy", "cx"])
-        many = C("_crossed") & (C("_n") > heavy) & (C("level") < COVER_LEVELS[-1])
-        # touched cells keep the polygon: points meet it where they meet the cell
-        done = held.where(~many).select(key, "level", "cy", "cx", F.when(C("_crossed"), C("_p")).alias("_p"))
+        counts = placed.select(lat, lng, F.explode(levels).alias("level")).withColumns(celled).groupBy(*at).agg(F.count("*").alias("_n"))
+        held = judged.hint("merge").join(counts, at).checkpoint()
+        split = C("_crossed") & (C("_n") > heavy) & (C("level") < COVER_LEVELS[-1])
+        # touched cells keep their edges: points meet them where they meet the cell
+        done = held.where(~split).select(key, *at, F.when(C("_crossed"), C("_p")).alias("_p"), F.ceil(C("_n") / PART_POINTS).alias("_parts"))
         covers = done if covers is None else covers.unionByName(done)
-        more = held.where(many).checkpoint()
+        more = held.where(split)
         if more.isEmpty():
             break
-        parts = F.sequence(F.lit(0), F.lit(3))
-        open_ = more.withColumn("_i", F.explode(parts)).withColumn("_j", F.explode(parts)).select(
-            key, "_p", (C("level") + 2).cast("int").alias("level"), (C("cy") * 4 + C("_i")).alias("cy"), (C("cx") * 4 + C("_j")).alias("cx"))
+        quarter = F.sequence(F.lit(0), F.lit(3))
+        open_ = more.withColumn("_i", F.explode(quarter)).withColumn("_j", F.explode(quarter)).select(
+            key, "_p", (C("level") + 2).cast("int").alias("level"), (C("cy") * 4 + C("_i")).alias("cy"), (C("cx") * 4 + C("_j")).alias("cx")).repartition(k)
     box = _ends(C("_p"))
-    covers = covers.withColumns(box).checkpoint()
-    levels = covers.agg(F.collect_set("level").alias("l")).scalar()
-    meet = lambda part: placed.withColumn("level", F.explode(levels)).withColumns(celled).join(part.hint("merge"), ["level", "cy", "cx"]).drop("level", "cy", "cx")
+    covers = covers.repartition(k).withColumns({**box, "_e": _concerning(C("_p"), side(C("level")))}).drop("_p").checkpoint()
+    most = F.max(F.size("_e"))
+    levels, most = covers.agg(F.collect_set("level").alias("l")).scalar(), covers.agg(most.alias("m")).first()["m"]
+    parts = covers.groupBy(*at).agg(F.max("_parts").alias("_parts")).checkpoint()
+    spots = placed.withColumn("level", F.explode(levels)).withColumns(celled).join(parts, at)
+    spread = [C(f"`{c}`") for c in dict.fromkeys((lat, lng, pts.columns[0]))]  # not all columns, so that unused ones are not read
+    spots = spots.withColumn("_part", F.pmod(F.xxhash64(*spread), C("_parts"))).drop("_parts").repartition(k, *at, "_part")
+
+    def meet(part: DataFrame) -> DataFrame:
+        one = part.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), C("_parts") - 1))).drop("_parts").repartition(k, *at, "_part")
+        return one.join(spots.hint("merge"), [*at, "_part"]).select(*[C(f"`{c}`") for c in pts.columns], *[c for c in part.columns if c not in (*at, "_parts")])
+
     # rays are cast only within the polygon's box, widened by more than the rounding of a crossing
     near = reduce(lambda x, y: x & y, [(C(c) >= C(f"_lo_{d}") - 1e-9) & (C(c) <= C(f"_hi_{d}") + 1e-9) for c, d in ((lat, "lat"), (lng, "lng"))])
-    hit = near & polygon_contains(C(lat), C(lng), C("_p"))
+
+    def hits(part: DataFrame) -> DataFrame:
+        # a fold would keep its whole join out of compiled code, so few edges and many are met apart
+        few = (part.where(C("_e").isNull() | (F.size("_e") <= UNROLLED)), min(most or 0, UNROLLED))
+        out = [meet(x).where(C("_e").isNull() | (C(key).isNotNull() & near & _odd(C(lat), C(lng), C("_e"), n))) for x, n in
+               [few, *([(part.where(F.size("_e") > UNROLLED), most)] if (most or 0) > UNROLLED else [])]]
+        return reduce(DataFrame.unionByName, out).drop("_e", *box)
+
     repeated = zones.where(C(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_k")).where("_k > 1").select(key).checkpoint()
     if repeated.isEmpty():
-        return meet(covers).where(C("_p").isNull() | (C(key).isNotNull() & hit)).drop("_p", *box)
+        return hits(covers)
     # where a key has several zones, each of them is asked in every touched cell of any
-    out = meet(covers.join(repeated, key, "left_anti")).where(C("_p").isNull() | (C(key).isNotNull() & hit)).drop("_p", *box)
+    out = hits(covers.join(repeated, key, "left_anti"))
     met = meet(covers.join(repeated, key, "left_semi"))
-    cast = met.where("_p IS NOT NULL").drop("_p", *box).join(dealt.hint("merge"), key).where(polygon_contains(C(lat), C(lng), C("_p"))).drop("_p")
-    return out.unionByName(met.where("_p IS NULL").drop("_p", *box)).unionByName(cast.select(*out.columns))
+    cast = met.where("_e IS NOT NULL").drop("_e", *box).join(dealt.hint("merge"), key).where(polygon_contains(C(lat), C(lng), C("_p"))).drop("_p")
+    return out.unionByName(met.where("_e IS NULL").drop("_e", *box)).unionByName(cast.select(*out.columns))
 
 
 def near_zones(pts: DataFrame, key: str, lat: str, lng: str, zones: DataFrame, polygon: str, meters: float, min_keep: int) -> DataFrame:

@@ -203,6 +203,23 @@ def test_zone_covers_are_not_broadcast(spark):
     assert {(r["zone"], r["id"]) for r in got.collect()} == want and want
 
 
+@pytest.mark.parametrize("unrolled,part", [(8, 4096), (2, 5)])
+def test_rays_of_few_edges_are_compiled(spark, monkeypatch, unrolled, part):
+    """A fold over a polygon is run row by row; the pairs of points and zones of few edges meet without one, and in parts."""
+    monkeypatch.setattr(PY, "UNROLLED", unrolled)
+    monkeypatch.setattr(PY, "PART_POINTS", part)
+    rng = random.Random(unrolled)
+    polys = [[(37.0 + i % 6 * 0.05 + a, -122.0 + i // 6 * 0.05 + b) for a, b in ((0.0, 0.0), (0.09, 0.02), (0.05, 0.09))] for i in range(36)]
+    star = [(37.2 + (0.2 if i % 2 else 0.1) * math.sin(i * math.pi / 40), -121.8 + (0.2 if i % 2 else 0.1) * math.cos(i * math.pi / 40)) for i in range(80)]
+    pts = [(i, *p) for i, p in enumerate(spread(rng, 400, 37.2, -121.8, 0.25) + [(37.06, -121.96)] * 60)]
+    df = spark.createDataFrame(pts, "id int, lat double, lng double")
+    for shapes in ([*polys, star], polys):
+        got = PY.in_zones(df, "lat", "lng", spark.createDataFrame([(i, p) for i, p in enumerate(shapes)], ZONES), "zone", "polygon")
+        assert sorted((r["id"], r["zone"]) for r in got.collect()) == sorted((i, k) for i, la, lo in pts for k, p in enumerate(shapes) if inside(la, lo, p))
+    if unrolled > 2:
+        assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("heavy", [1, 512])
 def test_catchment_rings_equal_plain_loops(spark, heavy):
     """Circle and polygon by nested grids: unlisted places stay, a shape of two corners trims nothing."""
