@@ -8,6 +8,8 @@ coordinates collapse to one weighted row first, so copies of a point cost one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ MILES_PER_DEGREE = 69.0
 _SAFE_DEGREE = 68.9
 # right rows of a cell that meet in one part
 CELL_ROWS = 4096
+# cells across a radius, and rows of a cell that meet in one part, where many rows lie in every radius
+FINE, PART_ROWS = 3, 512
 # fourfold steps from the first search radius to the widest
 WIDENINGS = 4
 
@@ -115,6 +119,47 @@ def within(
     return met.withColumn("distance", d).where(C("distance") <= limit).drop(*at)
 
 
+def _vector(lat: Column, lng: Column) -> list[Column]:
+    """A point on the unit sphere."""
+    la, lo = F.radians(lat), F.radians(lng)
+    return [F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)]
+
+
+def within_dense(
+    left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str],
+    miles: float | Column, max_miles: float, radius: float = EARTH_MILES,
+) -> DataFrame:
+    """As ``within``, for sides so dense that the pairs are most of the work.  ``miles`` may
+    be a column of the right side, at most ``max_miles``.
+
+    The right rows, each as far as it reaches, are copied to cells a third of the maximum
+    wide, so that most of the pairs that meet are results.  They are judged by the straight
+    line between two points of the unit sphere, three products; only where that leaves a
+    doubt (a relative 1e-9) the distance itself decides.  The left rows of a cell meet in
+    parts of ``PART_ROWS`` rows at most, dealt to all tasks."""
+    spark = left.sparkSession
+    ensure_checkpoint_dir(spark)
+    size = cell_size(max_miles) / FINE
+    limit = F.least(miles if isinstance(miles, Column) else F.lit(float(miles)), F.lit(float(max_miles)))
+    chord = 2.0 * F.sin(F.least(C("_limit") / (2.0 * radius), F.lit(math.pi / 2)))
+    b = right.withColumn("_limit", F.when(miles.isNotNull(), limit) if isinstance(miles, Column) else limit).where("_limit >= 0")
+    b = b.withColumns({"_sure": F.pow(F.greatest(chord * (1 - 1e-9) - 1e-14, F.lit(0.0)), 2.0), "_most": F.pow(chord * (1 + 1e-9) + 1e-14, 2.0),
+                       **dict(zip(("_x2", "_y2", "_z2"), _vector(C(right_at[0]), C(right_at[1]))))})
+    b = spread_cells(b, *right_at, C("_limit"), size)
+    a = in_cell(left, *left_at, size)
+    parts = a.groupBy("cy", "cx").agg(F.ceil(F.count("*") / PART_ROWS).alias("_parts")).checkpoint()
+    own = F.pmod(F.xxhash64(*[C(f"`{c}`") for c in left.columns]), C("_parts"))
+    a = a.join(parts, ["cy", "cx"]).withColumn("_part", own).drop("_parts").withColumns(dict(zip(("_x1", "_y1", "_z1"), _vector(C(left_at[0]), C(left_at[1])))))
+    b = b.join(parts, ["cy", "cx"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), C("_parts") - 1))).drop("_parts")
+    at, k = ["cy", "cx", "_part"], many(spark)
+    dx, dy, dz = (C(f"_{c}1") - C(f"_{c}2") for c in "xyz")
+    line = dx * dx + dy * dy + dz * dz
+    d = haversine(C(left_at[0]), C(left_at[1]), C(right_at[0]), C(right_at[1]), radius)
+    # the side with the parts is the one that a task holds
+    met = b.repartition(k, *at).join(a.repartition(k, *at), at).where((line <= C("_sure")) | ((line <= C("_most")) & (d <= C("_limit"))))
+    return met.select(*[C(f"`{c}`") for c in (*left.columns, *right.columns)], d.alias("distance"))
+
+
 def nearest_reaching(
     pts: DataFrame, lat: str, lng: str, sites: DataFrame, site: str, s_lat: str, s_lng: str, reach: str,
     max_miles: float, radius: float = EARTH_MILES,

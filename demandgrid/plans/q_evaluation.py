@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandgrid.functions import text as T
-from demandgrid.functions.exprs import lookup, rnd
+from demandgrid.functions.exprs import lookup, rnd, rnd_far
 from demandgrid.operators import classes as K
 from demandgrid.operators import evaluation as E
 from demandgrid.operators import geo as G
@@ -20,6 +20,7 @@ from demandgrid.plans.q_modeled import layer, model, prio
 from demandgrid.plans.registry import query
 from demandgrid.plans.sql import CLAMP, HAV, R, RENORM, extend, with_views
 from demandgrid.plans.zip_table import zips
+from demandgrid.session import ensure_checkpoint_dir
 
 C = F.col
 
@@ -420,9 +421,11 @@ def posting_flags(spark, sf):
 
 def posting_matches(spark, sf):
     from demandgrid.plans.q_candidates import cands
-    c = cands(spark, sf).select("candidate_id", "lat", "lng", C("state").alias("c_state"))
-    near = G.within(c, posting_flags(spark, sf), ("lat", "lng"), ("jlat", "jlng"), C("radius"), 6.0, 3958.7613)
-    return near.where((F.coalesce(C("state"), F.lit("")) == "") | (C("state") == F.upper("c_state")))
+    ensure_checkpoint_dir(spark)
+    c = cands(spark, sf).select("candidate_id", "lat", "lng", F.upper("state").alias("c_state"))
+    flags = posting_flags(spark, sf).checkpoint()  # read several times; the patterns run once
+    near = G.within_dense(c, flags, ("lat", "lng"), ("jlat", "jlng"), C("radius"), 6.0, 3958.7613)
+    return near.where((F.coalesce(C("state"), F.lit("")) == "") | (C("state") == C("c_state")))
 
 
 @query("p25_posting_flags", with_views("v_job", f"SELECT job_id, {', '.join(_jf)}, {_anyc} AS certification FROM jf", jf=JOBF))
@@ -432,7 +435,7 @@ def _(spark, sf):
 
 @query("j14_postings_in_own_radius", with_views("v_candw v_job", f"SELECT candidate_id, job_id, {R('d', 3)} AS distance FROM ({JM}) WHERE d <= radius", jf=JOBF))
 def _(spark, sf):
-    return posting_matches(spark, sf).select("candidate_id", "job_id", rnd(C("distance"), 3).alias("distance"))
+    return posting_matches(spark, sf).select("candidate_id", "job_id", rnd_far(C("distance"), 3).alias("distance"))
 
 
 @query("a29_posting_demand", with_views("v_candw v_job", f"""SELECT candidate_id, count(*) AS active_postings_count, count(CASE WHEN {_anyc} THEN 1 END) AS certification_postings_count,
