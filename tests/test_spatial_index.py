@@ -312,3 +312,25 @@ def test_rounding_by_arithmetic_equals_decimal_rounding(spark):
     values = [rng.uniform(0, 10.0 ** rng.randint(-4, 7)) for _ in range(20_000)] + [k / 2000 for k in range(-50, 4000)] + [0.0005, 1.0005, 2.6755, 1e-12, -0.0001, -2.5, float("nan"), None]
     df = spark.createDataFrame([(v,) for v in values], "x double").select("x", rnd(F.col("x"), 3).alias("a"), rnd_far(F.col("x"), 3).alias("b"))
     assert df.where("NOT (a <=> b)").count() == 0
+
+
+@pytest.mark.parametrize("spots", [64, 3])
+def test_zips_of_several_spots_come_once_without_comparing_pairs(spark, monkeypatch, spots):
+    """A candidate near several spots of a ZIP counts it at the first; pairs are compared only where a ZIP has very many."""
+    from demandgrid.operators import zip_demand as Z
+
+    monkeypatch.setattr(Z, "SPOTS", spots)
+    rng = random.Random(spots)
+    at = spread(rng, 60, width=0.1)
+    places = [(f"{z:05d}", *p) for z, m in enumerate((1, 1, 2, 3, 9, 5, 1)) for p in spread(rng, m, width=0.12)]
+    c = spark.createDataFrame([(i, "00004" if i < 4 else None, *p, None) for i, p in enumerate(at)], "candidate_id bigint, candidate_zip string, lat double, lng double, city string")
+    cen = spark.createDataFrame(places + places[3:7], "zip string, lat double, lng double")
+    prof = spark.createDataFrame([(f"{z:05d}", ["town"]) for z in range(7)], "zip string, cities array<string>")
+    got = Z.resolve_candidates(c, prof, cen, 5.0)
+    want = {(i, z) for i, p in enumerate(at) for z, *q in places if miles(p, q, EARTH_MILES) <= 5.0} | {(i, "00004") for i in range(4)}
+    assert sorted((r["candidate_id"], r["zip"]) for r in got.collect()) == sorted(want)
+    # only own ZIPs beyond the radius and pairs with crowded ZIPs pass through a comparison of pairs
+    branches = got._jdf.queryExecution().optimizedPlan().toString().split("\n:- ")
+    compared = [b for b in branches if b.split("\n")[0].startswith("Aggregate [candidate_id")]
+    assert len(compared) == 1 and ("_x1#" in compared[0]) == (spots == 3)
+    assert "exists(" in got._jdf.queryExecution().optimizedPlan().toString()
