@@ -458,12 +458,13 @@ def test_long_lines_in_a_large_group(spark, monkeypatch):
     assert dict(got) == brute.line_removals(rows_of(docs)) and got
 
 
-@pytest.mark.parametrize("at_once,block", [(8, 3), (1 << 16, 1 << 18)])
-def test_pairs_of_groups_in_parts(monkeypatch, at_once, block):
+@pytest.mark.parametrize("at_once,block,compared", [(8, 3, 1 << 16), (8, 3, 50), (1 << 16, 1 << 18, 350)])
+def test_pairs_of_groups_in_parts(monkeypatch, at_once, block, compared):
     """A group is the same however batches cut it, and a large one comes out in blocks of bounded size."""
     monkeypatch.setattr(line_dedup, "GROUP", 50)
     monkeypatch.setattr(line_dedup, "AT_ONCE", at_once)
     monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "COMPARED", compared)
     rng = random.Random(19)
     rows = [(key, 0, rng.randint(8, 400) if key % 2 else rng.randint(8, 12), rng.randint(0, 2), rng.getrandbits(64) | ((1 << 62) - 1) << 1) for key, m in enumerate((1, 2, 400, 30, 1, 300, 7)) for _ in range(m)]
     rows = [(key, i, n, j, g) for i, (key, _, n, j, g) in enumerate(rows)]
@@ -472,7 +473,7 @@ def test_pairs_of_groups_in_parts(monkeypatch, at_once, block):
     sizes = collections.Counter(r[0] for r in rows)
     for r in rows:
         passing = [o for o in met[r[0]] if line_dedup._similar_enough(o[2], o[3], r[2], r[3], 80)]
-        if sizes[r[0]] <= line_dedup.GROUP:
+        if sizes[r[0]] <= compared:
             passing = [o for o in passing[::-1] if allows(o, r)]
             want |= {(r[1], o[1]) for o in passing[: line_dedup.NAMED]}
             more |= {r[1]} if len(passing) > line_dedup.NAMED else set()
@@ -488,7 +489,7 @@ def test_pairs_of_groups_in_parts(monkeypatch, at_once, block):
     out = list(line_dedup._pairs(80)(whole.slice(k, 20) for k in range(0, len(rows), 20)))
     got = [r for b in out for r in zip(*(c.to_pylist() for c in b.columns))]
     assert {(s, o) for s, o, m in got if not m} == want and {s for s, o, m in got if m} == more and len(got) == len(want) + len(more)
-    assert want and more and (block > 3 or len(out) > 300)
+    assert want and more and max(b.num_rows for b in out) <= at_once + 400 * 2
 
 
 def test_stripped_lines(edge, empty):
